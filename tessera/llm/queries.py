@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import html_text, secrets
 
 QUERIES = {
+    "op2_html_text": html_text.op2_html_text,
     "op6_secret_scan": secrets.op6_secret_scan,
 }
 
