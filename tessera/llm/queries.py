@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import html_text, secrets
+from . import html_text, secrets, simhash
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op9_simhash": simhash.op9_simhash,
 }
 
 ORACLES: dict[str, str] = {}
