@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import html_text, secrets, simhash
+from . import html_text, secrets, simhash, winnowing
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_winnowing": winnowing.op8_winnowing,
     "op9_simhash": simhash.op9_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_winnowing": winnowing.ORACLE,
+}
