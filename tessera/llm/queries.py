@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_links, html_text, secrets, simhash, winnowing
+from . import embedding_links, html_text, pieces, secrets, simhash, winnowing
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
     "op4_cover_tree": embedding_links.op4_cover_tree,
+    "op5_pieces": pieces.op5_pieces,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_winnowing": winnowing.op8_winnowing,
     "op9_simhash": simhash.op9_simhash,
