@@ -72,7 +72,7 @@ def planes_of(fps: np.ndarray) -> np.ndarray:
     words = -(-len(fps) // 64)
     bits = np.zeros((words * 64, 64), np.uint8)
     bits[: len(fps)] = np.unpackbits(fps.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    return np.packbits(bits.T, axis=1, bitorder="little").view(np.uint64)
+    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
 
 
 def within(planes: np.ndarray, query: int, words: np.ndarray, open_lanes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
