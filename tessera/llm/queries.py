@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_links, html_text, pieces, secrets, simhash, winnowing
+from . import chat, embedding_links, html_text, pieces, pu_quality, secrets, simhash, winnowing
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
+    "op3_pu_quality": pu_quality.op3_pu_quality,
     "op4_cover_tree": embedding_links.op4_cover_tree,
     "op5_pieces": pieces.op5_pieces,
     "op6_secret_scan": secrets.op6_secret_scan,
