@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_links, html_text, pieces, pu_quality, secrets, simhash, winnowing
+from . import chat, class_lm, embedding_links, html_text, pieces, pu_quality, secrets, simhash, winnowing
 
 QUERIES = {
     "op2_html_text": html_text.op2_html_text,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pieces": pieces.op5_pieces,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_winnowing": winnowing.op8_winnowing,
+    "op7_class_lm": class_lm.op7_class_lm,
     "op10_chat": chat.op10_chat,
     "op9_simhash": simhash.op9_simhash,
 }
