@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, class_lm, embedding_links, html_text, pieces, pu_quality, secrets, simhash, winnowing
+from . import chat, class_lm, embedding_links, html_text, passages, pieces, pu_quality, secrets, simhash, winnowing
 
 QUERIES = {
+    "op1_passages": passages.op1_passages,
     "op2_html_text": html_text.op2_html_text,
     "op3_pu_quality": pu_quality.op3_pu_quality,
     "op4_cover_tree": embedding_links.op4_cover_tree,
