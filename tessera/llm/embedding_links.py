@@ -19,6 +19,7 @@ such rows count as linked vectors, their component is the smallest id that isn't
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,9 @@ from .components import connected_components
 
 COSINE, PIVOTS, PART, MAX_TOPS = 0.9, 64, 4096, 20_000
 TOP_RADIUS, LEVELS = 1.0, 4
+#: Rows and columns of dot products at a time: they stay in a core's cache.
+BLOCK = (256, 2048)
+FEW = 16
 #: Distances nearer to a bound than this are never decided by it.
 SLACK = 1e-6
 
@@ -80,11 +84,29 @@ class Tree:
                 levels.append((own, cover, None, None, None, by, np.cumsum(size) - size, size))
         self.levels = levels
 
+    def packed(self) -> list:
+        """The levels to send; row numbers in 32 bits."""
+        return [tuple(a if a is None or a.dtype.kind == "f" else a.astype(np.int32) for a in level) for level in self.levels]
+
+    @classmethod
+    def unpacked(cls, x: np.ndarray, levels: list) -> Tree:
+        out = cls.__new__(cls)
+        out.x = x
+        out.x32 = out.x.astype(np.float32)
+        out.levels = [tuple(a if a is None or a.dtype.kind == "f" else a.astype(np.int64) for a in level) for level in levels]
+        return out
+
     def under(self, level: int, node: int) -> np.ndarray:
         """The rows under a node."""
         _, _, _, _, _, by, first, size = self.levels[level]
         return by[first[node] : first[node] + size[node]]
 
+    def all_under(self, level: int, nodes: np.ndarray) -> np.ndarray:
+        """The rows under any of the nodes."""
+        _, _, _, _, _, by, first, size = self.levels[level]
+        k = size[nodes]
+        return by[np.repeat(first[nodes] - (np.cumsum(k) - k), k) + np.arange(k.sum())]
+
     def children(self, level: int, node: int) -> np.ndarray:
         """The nodes of the next level under a node; a node of the last level is its own only child."""
         _, _, kids, first, count, *_ = self.levels[level]
@@ -136,13 +158,28 @@ def dual_links(a: Tree, b: Tree, cosine: float, wa: np.ndarray, wb: np.ndarray)
         ra, rb = a.levels[la][0], b.levels[lb][0]
         ca, cb = a.levels[la][1], b.levels[lb][1]
         if cross:
-            # one bound for all, in single precision, finds what may be open; each pair's own bounds follow
-            far = min(2.0, limit + ca[xs].max() + cb[ys].max() + 1e-3)
-            bound, right, px, py = np.float32(1 - far * far / 2), b.x32[rb[ys]].T, [], []
-            for s in range(0, len(xs), 1024):
-                u, v = np.nonzero(a.x32[ra[xs[s : s + 1024]]] @ right >= bound)
-                px.append(xs[s + u])
-                py.append(ys[v])
+            # nodes of few rows go straight down to their rows; other nodes of like radii share one bound, tested in single
+            # precision, and each pair's own bounds follow
+            px, py = [], []
+            few_x, few_y = a.levels[la][7][xs] <= FEW, b.levels[lb][7][ys] <= FEW
+            leaf = level >= depth - 1
+            if not leaf and few_x.any() and few_y.any():
+                todo.append((depth - 1, a.all_under(la, xs[few_x]), b.all_under(lb, ys[few_y]), True))
+            for u_nodes, v_nodes in [(u, v) for u in like_radii(xs, ca) for v in like_radii(ys, cb)] if leaf else [(u, v) for x, y in ((xs[~few_x], ys), (xs[few_x], ys[~few_y])) for u in like_radii(x, ca) for v in like_radii(y, cb)]:
+                if len(u_nodes) and len(v_nodes):
+                    far = min(2.0, limit + ca[u_nodes].max() + cb[v_nodes].max() + 1e-3)
+                    bound = np.float32(1 - far * far / 2)
+                    for t in range(0, len(v_nodes), BLOCK[1]):
+                        v_part = v_nodes[t : t + BLOCK[1]]
+                        right = np.ascontiguousarray(b.x32[rb[v_part]].T)
+                        for s in range(0, len(u_nodes), BLOCK[0]):
+                            dots = a.x32[ra[u_nodes[s : s + BLOCK[0]]]] @ right
+                            if dots.max() >= bound:  # most blocks of unlike vectors end here
+                                u, v = np.nonzero(dots >= bound)
+                                px.append(u_nodes[s + u])
+                                py.append(v_part[v])
+            if not px:
+                continue
             xs, ys = np.concatenate(px), np.concatenate(py)
         if not len(xs):
             continue
@@ -189,6 +226,12 @@ def dual_links(a: Tree, b: Tree, cosine: float, wa: np.ndarray, wb: np.ndarray)
     return na, nb, links
 
 
+def like_radii(nodes: np.ndarray, cover: np.ndarray) -> list[np.ndarray]:
+    """The nodes, split by covering radius."""
+    kind = np.searchsorted([1e-9, 0.1, 0.3, 0.6], cover[nodes])
+    return [nodes[kind == k] for k in np.unique(kind)]
+
+
 def spanning(rows_a: np.ndarray, rows_b: np.ndarray, shift: int) -> list[tuple[int, int]]:
     """Of links from rows_a to rows_b, a forest that connects the same; rows of b are told apart by shift."""
     up: dict[int, int] = {}
@@ -256,39 +299,48 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         dealt.groupBy("dim", "pivot", "chunk").agg(F.collect_list(F.struct("cls", "n", "v")).alias("rows")).withColumn("part", F.monotonically_increasing_id()).select("part", "dim", "rows"), "parts"
     )
 
+    def unit(x: np.ndarray) -> np.ndarray:
+        x = x.astype(np.float64)
+        x = x / np.abs(x).max(axis=1, keepdims=True)
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
     def unpack(column: pa.Array, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         item = column[i].values
         ids, weights = item.field("cls").to_numpy(zero_copy_only=False), item.field("n").to_numpy(zero_copy_only=False)
-        x = item.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1).astype(np.float64)
-        x = x / np.abs(x).max(axis=1, keepdims=True)
-        return ids, weights, x / np.linalg.norm(x, axis=1, keepdims=True)
+        return ids, weights, item.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                x = unpack(b.column(2), i)[2]
+                ids, weights, raw = unpack(b.column(2), i)
+                x = unit(raw)
                 centre = x.mean(axis=0)
                 centre = centre / (np.linalg.norm(centre) or 1)
                 far = float(np.linalg.norm(x - centre, axis=1).max())
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([far])], ["part", "dim", "centre", "far"])
+                packed_tree = pickle.dumps((ids, weights, np.ascontiguousarray(raw), Tree(x).packed()), protocol=5)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([far]), pa.array([packed_tree], pa.binary())], ["part", "dim", "centre", "far", "tree"])
 
-    tops = staged(packed.select("part", "dim", "rows").mapInArrow(top, "part long, dim int, centre array<double>, far double"), "tops")
+    trees = staged(packed.select("part", "dim", "rows").mapInArrow(top, "part long, dim int, centre array<double>, far double, tree binary"), "trees")
+    tops = trees.drop("tree")
     limit = math.sqrt(2 - 2 * cosine)
     p, q = tops.repartition(spark.sparkContext.defaultParallelism).alias("p"), bounded_broadcast(tops, MAX_TOPS).alias("q")
     gap = F.sqrt(F.aggregate(F.zip_with("p.centre", "q.centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, a: s + a))
     pairs = p.join(q, F.col("p.dim") == F.col("q.dim")).filter((F.col("p.part") <= F.col("q.part")) & (gap - F.col("p.far") - F.col("q.far") <= limit + SLACK))
     pairs = staged(pairs.select(F.col("p.part").alias("pa"), F.col("q.part").alias("pb")), "pairs")
-    left, right = (packed.select(F.col("part").alias(k), F.col("rows").alias(r)) for k, r in (("pa", "a"), ("pb", "b")))
+    left, right = (trees.select(F.col("part").alias(k), F.col("tree").alias(r)) for k, r in (("pa", "a"), ("pb", "b")))
     joined = pairs.join(left, "pa").join(right, "pb").select("pa", "pb", "a", "b")
     joined = joined.repartition(max(spark.sparkContext.defaultParallelism, min(4096, pairs.count())), "pa", "pb")
 
+    def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, Tree]:
+        ids, weights, x, levels = pickle.loads(raw)  # written by `top` above
+        return ids, weights, Tree.unpacked(unit(x), levels)
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 same = b.column(0)[i].as_py() == b.column(1)[i].as_py()
-                ida, wa, xa = unpack(b.column(2), i)
-                ta = Tree(xa)
-                idb, wb, tb = (ida, wa, ta) if same else ((u := unpack(b.column(3), i))[0], u[1], Tree(u[2]))
+                ida, wa, ta = opened(b.column(2)[i].as_py())
+                idb, wb, tb = (ida, wa, ta) if same else opened(b.column(3)[i].as_py())
                 na, nb, links = dual_links(ta, tb, cosine, wa, wb)
                 counted = np.nonzero(na)[0] if same else None
                 if same:
