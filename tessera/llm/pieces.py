@@ -21,6 +21,7 @@ as bytes, so decoding gives it back. Repeated rows: each has its own result. Oth
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -33,20 +34,32 @@ from .common import table
 MARK = "▁"
 WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-MAX_KNOWN, MAX_PAIRS = 200_000, 500_000
+MAX_KNOWN, MAX_PAIRS = 800_000, 1_000_000
+#: Words that this process has encoded, by vocabulary: later tasks of a worker go on with them.
+_known: dict[str, dict[str, bytes]] = {}
 #: Below the least score by so much is what a character costs that no piece covers.
 UNKNOWN = 10.0
 
 
 @dataclass
 class Vocabulary:
+    """Pieces by text, byte pieces, what each id decodes to, and the pieces as a trie from their last character back."""
+
     scores: dict[str, tuple[float, int]]
     bytes_: list[int]
     texts: list[bytes]
-    longest: int
     least: float
     ranked: bool
-    pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
+    pairs: dict[int, bool] = field(default_factory=dict)
+
+    def __post_init__(self) -> None:
+        self.names = {i: p for p, (_, i) in self.scores.items()}
+        self.trie: list = [{}, -1, 0.0]  # children, id or -1, score
+        for piece, (score, i) in self.scores.items():
+            node = self.trie
+            for c in reversed(piece):
+                node = node[0].setdefault(c, [{}, -1, 0.0])
+            node[1:] = i, score
 
 
 def load(path: str = MODEL) -> Vocabulary:
@@ -69,10 +82,9 @@ def load(path: str = MODEL) -> Vocabulary:
             texts.append(piece.replace(MARK, " ").encode())
     values = [x for x, _ in scores.values()]
     ranked = all(x <= 0 and x == int(x) for x in values)  # log probabilities are no whole numbers
-    vocab = Vocabulary(scores, bytes_, texts, max(map(len, scores)), min(values), ranked)
-    if ranked:  # a piece that merging never makes isn't used
-        vocab.scores = {p: x for p, x in scores.items() if merged(p, scores) == [p]}
-    return vocab
+    # a piece that merging never makes isn't used
+    used = {p: x for p, x in scores.items() if not ranked or merged(p, scores) == [p]}
+    return Vocabulary(used, bytes_, texts, min(values), ranked)
 
 
 def merged(text: str, scores: dict[str, tuple[float, int]]) -> list[str]:
@@ -86,22 +98,23 @@ def merged(text: str, scores: dict[str, tuple[float, int]]) -> list[str]:
     return parts
 
 
-def joins(a: str, b: str, vocab: Vocabulary) -> bool:
-    """Whether a and b may follow one another: merging their characters gives just these two."""
-    known = vocab.pairs.get((a, b))
+def joins(a: int, b: int, vocab: Vocabulary) -> bool:
+    """Whether piece b may follow piece a: merging their characters gives just these two."""
+    known = vocab.pairs.get(a << 32 | b)
     if known is None:
         if len(vocab.pairs) > MAX_PAIRS:
             vocab.pairs.clear()
-        known = vocab.pairs[a, b] = merged(a + b, vocab.scores) == [a, b]
+        x, y = vocab.names[a], vocab.names[b]
+        known = vocab.pairs[a << 32 | b] = merged(x + y, vocab.scores) == [x, y]
     return known
 
 
 def encode_words(words: list[str], vocab: Vocabulary) -> dict[str, bytes]:
     """The ids of each distinct word, as little-endian 32-bit numbers; words in any order."""
     out: dict[str, bytes] = {}
-    scores, longest, lost = vocab.scores, vocab.longest, vocab.least - UNKNOWN
+    trie, lost, ranked, pairs = vocab.trie, vocab.least - UNKNOWN, vocab.ranked, vocab.pairs
     best: list[float] = [0.0]
-    back: list[tuple[int, int]] = [(0, -1)]
+    starts, last = [0], [-1]  # of the best path to each place: where its last piece starts, and its id or -1
     before = ""
     for word in sorted(set(words)):
         n, same = len(word), 0
@@ -109,29 +122,36 @@ def encode_words(words: list[str], vocab: Vocabulary) -> dict[str, bytes]:
             if x != y:
                 break
             same += 1
-        del best[same + 1 :], back[same + 1 :]
+        del best[same + 1 :], starts[same + 1 :], last[same + 1 :]
         for end in range(same + 1, n + 1):
-            top, start, piece = best[end - 1] + lost, end - 1, -1
-            for a in range(max(0, end - longest), end):
-                if hit := scores.get(text := word[a:end]):
-                    if vocab.ranked:
-                        before_it = back[a]
-                        if not a or before_it[1] < 0 or joins(word[before_it[0] : a], text, vocab):
-                            start, piece = a, hit[1]
-                            break
-                    elif (value := best[a] + hit[0]) > top or value == top and a < start:
-                        top, start, piece = value, a, hit[1]
+            top, start, piece, node, a = best[end - 1] + lost, end - 1, -1, trie, end
+            found = []
+            while a and (node := node[0].get(word[a - 1])) is not None:
+                a -= 1
+                if node[1] >= 0:
+                    found.append((a, node))
+            if ranked:
+                for a, node in reversed(found):  # the longest first: it is the one most often
+                    left, own = last[a], node[1]
+                    if left < 0 or (known if (known := pairs.get(left << 32 | own)) is not None else joins(left, own, vocab)):
+                        start, piece = a, own
+                        break
+            else:
+                for a, node in found:
+                    if (value := best[a] + node[2]) >= top:
+                        top, start, piece = value, a, node[1]
             best.append(top)
-            back.append((start, piece))
+            starts.append(start)
+            last.append(piece)
         ids, at = [], n
         while at:
-            start, piece = back[at]
+            start, piece = starts[at], last[at]
             if piece >= 0:
                 ids.append(piece)
             else:
                 ids += [vocab.bytes_[x] for x in reversed(word[start:at].encode("utf-8", "surrogatepass"))]
             at = start
-        out[word] = np.array(ids[::-1], "<i4").tobytes()
+        out[word] = struct.pack(f"<{len(ids)}i", *reversed(ids))
         before = word
     return out
 
@@ -176,10 +196,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     out = T.StructType([df.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = vocab.value, {}
+        own, known = vocab.value, _known.setdefault(model, {})
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            for at in range(0, whole.num_rows, 2000):
+                b = whole.slice(at, 2000)
                 texts = b.column(1).to_pylist()
                 raw = pieces_of(texts, own, known)
                 sizes = np.array([len(x) // 4 for x in raw], np.int64)
