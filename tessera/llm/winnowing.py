@@ -106,7 +106,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ]
     at = again.select("id", "th", F.explode(F.concat(*places)).alias("s")).select("id", "th", "s.*") if lengths else None
     if at is None:
-        return per_doc.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"))
+        return per_doc.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.col("th").alias("text_hash"))
     small = bounded_broadcast(windows, max_broadcast)
     start = F.col("p") - F.col("at") + 1
     extended = at.join(small, ["hash", "k"]).withColumn("start", start).filter(F.col("start") >= 1).filter(F.slice("near", F.col("start") - F.col("low") + 1, F.size("window")) == F.col("window"))
