@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions import dates
+from ..functions import dates, edits
 from ..functions.hashes import hashed, phash_of
 from ..functions.text import ascii_fold
-from ..operators import duplicates as dup, facets as fct, index as idx, journal as jnl, model as m, search as s
+from ..operators import duplicates as dup, facets as fct, index as idx, journal as jnl, model as m, saved, search as s
 from ..operators.search import SORT_COLUMNS
 from ..sources import adapters as ad, walk
 from ..sources.adapters import FACTS_SQL, FILES_SQL, JOURNAL_SQL, NEXT_SQL, PHASH_SQL
@@ -508,6 +508,54 @@ def offset_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ad.files(spark, sf_dir).select("id", dates.offset_seconds(F.col("capture_offset")).cast("int").alias("seconds"))
 
 
+BATCH_OK = "count(*) = count(capture_time) AND count(*) = count(CASE WHEN capture_offset IN ('-05:00', '+00:00') THEN 1 END)"
+
+
+@query("batch_shift", with_files(f"SELECT id, CASE WHEN ok THEN capture_time + 3600 END AS shifted FROM files JOIN (SELECT parent_dir, {BATCH_OK} AS ok FROM files WHERE id % 28 IN (2, 6) GROUP BY parent_dir) USING (parent_dir) WHERE id % 28 IN (2, 6)"))
+def batch_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each folder's selected files shifted as one batch: refused where any lacks its time or zone."""
+    rows = ad.files(spark, sf_dir).filter("id % 28 IN (2, 6)")
+    ok = rows.groupBy("parent_dir").agg(((F.count("*") == F.count("capture_time")) & (F.count("*") == F.count(dates.offset_seconds(F.col("capture_offset"))))).alias("ok"))
+    return rows.join(ok, "parent_dir").select("id", edits.shifted(F.col("ok"), F.col("capture_time"), dates.shift_amount(F.lit("1:00"))).alias("shifted"))
+
+
+EDIT = """SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 9 - 1 AS INT) END AS rating, CASE WHEN id % 5 = 0 THEN CAST(id % 200 - 100 AS DOUBLE) END AS lat, CASE WHEN id % 10 = 0 THEN CAST(id % 500 - 250 AS DOUBLE) END AS lon,
+CASE WHEN id % 4 = 1 THEN capture_time END AS cap, capture_offset AS off, CASE WHEN id % 7 = 2 THEN '12x' WHEN id % 7 = 3 THEN '12' END AS sub, id % 6 = 1 AS others FROM {files}"""
+
+
+@query("edit_validation", with_files("SELECT id, CASE WHEN rating IS NULL AND lat IS NULL AND lon IS NULL AND cap IS NULL AND NOT others THEN 'emptyEdit' WHEN rating NOT BETWEEN 0 AND 5 THEN 'badRating' WHEN (lat IS NULL) <> (lon IS NULL) THEN 'halfCoordinate' WHEN abs(lat) > 90 THEN 'badLatitude' WHEN abs(lon) > 180 THEN 'badLongitude' WHEN cap IS NOT NULL AND off IS NULL THEN 'offsetRequired' WHEN cap IS NOT NULL AND off = '+5:30' THEN 'badOffset' WHEN sub = '12x' THEN 'badSubseconds' END AS error FROM edits", f"edits AS ({EDIT.format(files='files')})"))
+def edit_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ad.files(spark, sf_dir).createOrReplaceTempView("tessera_files")
+    rows = spark.sql(EDIT.format(files="tessera_files"))
+    return rows.select("id", edits.edit_error(*[F.col(c) for c in ("rating", "lat", "lon", "cap", "off", "sub", "others")]).alias("error"))
+
+
+@query("edit_parsing", with_files("SELECT id, CASE WHEN trim(typed) = '' THEN 'nothingToWrite' WHEN try_cast(trim(typed) AS INTEGER) BETWEEN 0 AND 5 THEN 'write' ELSE 'invalid' END AS rating, CASE id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS n_keywords FROM (SELECT id, CASE id % 4 WHEN 0 THEN '  ' WHEN 1 THEN concat(' ', id % 8, ' ') ELSE 'five' END AS typed FROM files)"))
+def edit_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = F.expr("CASE id % 4 WHEN 0 THEN '  ' WHEN 1 THEN concat(' ', id % 8, ' ') ELSE 'five' END")
+    words = F.expr("CASE id % 3 WHEN 0 THEN 'a, b,,' WHEN 1 THEN concat('one', chr(10)) ELSE ' , ' END")
+    return ad.files(spark, sf_dir).select("id", edits.rating_edit(typed)["action"].alias("rating"), F.size(edits.keywords(words)).alias("n_keywords"))
+
+
+# --- extras: what the catalogue's design has room for --------------------------------------------------------------------
+
+
+@query("ocr_text_search", "WITH t AS (SELECT doc_id + 1 AS id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents) SELECT id FROM t WHERE list_contains(w, 'license') AND len(list_filter(w, lambda x: starts_with(x, 'apach'))) > 0")
+def ocr_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search terms in the text of files: documents' texts stand for what was read from the images."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select((F.col("doc_id") + 1).alias("id"), "text")
+    rows = ad.files(spark, sf_dir).join(docs.withColumnRenamed("text", "ocr_text"), "id")
+    return s.matching(rows, m.SearchQuery(predicate=m.FilenameText("License apach"))).select("id")
+
+
+SAVED = {"large": SEARCHES["pred_megapixels"][0], "twins": SEARCHES["pred_has_duplicates"][0], "nested": SEARCHES["pred_nested"][0]}
+
+
+@query("saved_search_counts", with_files(f"SELECT 'large' AS name, count(*) AS n FROM files WHERE {SEARCHES['pred_megapixels'][1]} UNION ALL SELECT 'twins', count(*) FROM files WHERE {SEARCHES['pred_has_duplicates'][1]} UNION ALL SELECT 'nested', count(*) FROM files WHERE {SEARCHES['pred_nested'][1]}"))
+def saved_search_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return saved.counts(ad.files(spark, sf_dir), saved.saved_table(spark, SAVED, builtin=True))
+
+
 # --- kernels -----------------------------------------------------------------------------------------------------------
 
 
