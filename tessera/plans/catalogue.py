@@ -11,6 +11,7 @@ from ..operators import duplicates as dup, facets as fct, index as idx, journal
 from ..operators.search import SORT_COLUMNS
 from ..sources import adapters as ad, walk
 from ..sources.adapters import FACTS_SQL, FILES_SQL, JOURNAL_SQL, NEXT_SQL, PHASH_SQL
+from ..sources.metadata import read_headers
 from ..sources.media import HASH_KINDS, RAW, is_junk, media_kind
 
 QUERIES: dict = {}
@@ -114,6 +115,17 @@ def page_offset_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.search(ad.files(spark, sf_dir), m.SearchQuery(sort=m.Sort("width"), offset=100), ["id", "path"])
 
 
+@query("lookup_by_path", with_files("SELECT id, path FROM files WHERE path = (SELECT max(path) FROM files)"))
+def lookup_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ad.files(spark, sf_dir)
+    return s.by_path(rows, rows.agg(F.max("path")).first()[0]).select("id", "path")
+
+
+@query("paths_in_scope", with_files(f"SELECT path FROM files WHERE {RANGE_SRC1}"))
+def paths_in_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return s.matching(ad.files(spark, sf_dir), m.SearchQuery(SRC1)).select("path")
+
+
 @query("lookup_by_ids", with_files(f"SELECT {ROW} FROM files WHERE id IN (SELECT l.doc_id + 1 FROM labels l WHERE quality = 0)"))
 def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0").select((F.col("doc_id") + 1).alias("id"))
@@ -365,6 +377,19 @@ def journal_latest_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jnl.latest_batch(ad.journal(spark, sf_dir))
 
 
+@query("journal_in_state", with_journal("SELECT op_id, batch_id FROM good WHERE state = 'in_flight'", GOOD))
+def journal_in_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jnl.in_state(ad.journal(spark, sf_dir), "in_flight").select("op_id", "batch_id")
+
+
+@query("journal_append", with_journal("SELECT op_id, batch_id, src, state FROM journal UNION ALL SELECT (SELECT max(op_id) FROM journal) + row_number() OVER (ORDER BY doc_id), 'new', concat('/lib/', doc_id), 'in_flight' FROM labels WHERE quality = 0"))
+def journal_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that trashes the files of all low-quality labels."""
+    low = dup.group_numbers(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("quality = 0").select("doc_id"), "doc_id", "nth")
+    drafts = low.select("nth", F.lit("new").alias("batch_id"), F.lit("trash").alias("kind"), F.concat(F.lit("/lib/"), F.col("doc_id").cast("string")).alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(1.7e9).alias("timestamp"))
+    return jnl.append(ad.journal(spark, sf_dir), drafts).select("op_id", "batch_id", "src", "state")
+
+
 @query("journal_outcomes", with_journal("SELECT batch_id, " + ", ".join(f"count(*) FILTER (WHERE state = '{x}') AS {x}" for x in jnl.STATES) + " FROM journal GROUP BY batch_id"))
 def journal_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jnl.outcome_counts(ad.journal(spark, sf_dir))
@@ -412,6 +437,12 @@ def journal_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jnl.conclusions(ad.journal(spark, sf_dir), ad.known(spark, sf_dir), ad.facts(spark, sf_dir))
 
 
+@query("journal_settled", with_journal("SELECT j.op_id, CASE WHEN d.conclusion <> 'malformed' THEN 'reconciled' ELSE j.state END AS state FROM journal j LEFT JOIN dec3 d ON d.op_id = j.op_id", GOOD, FACTS_SQL, DECIDED))
+def journal_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j = ad.journal(spark, sf_dir)
+    return jnl.settled(j, jnl.conclusions(j, ad.known(spark, sf_dir), ad.facts(spark, sf_dir))).select("op_id", "state")
+
+
 @query("journal_reconcile_summary", with_journal("SELECT count(*) AS examined, count(*) FILTER (WHERE conclusion <> 'malformed') AS reconciled, count(*) FILTER (WHERE conclusion = 'malformed') AS unresolved, count(CASE WHEN winner < op_id THEN NULL ELSE correction END) AS corrections, CASE WHEN count(*) = 0 THEN 'emptyJournal' ELSE 'done' END AS disposition FROM dec3", GOOD, FACTS_SQL, DECIDED))
 def journal_reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = ad.journal(spark, sf_dir)
@@ -582,6 +613,24 @@ def image_hash_kernels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "content_hash", "image_hash", "image_hash_kind")
 
 
+def photos(docs: DataFrame) -> DataFrame:
+    """JPEG files whose headers Spark builds from the documents' columns: EXIF with make, orientation and time, and a frame."""
+    number = lambda c, n: F.lpad(F.hex(c), n, "0")
+    make = F.hex(F.concat(F.lit("Cam "), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(" \0")).cast("binary"))
+    stamp = F.hex(F.concat(dates.wall_clock(F.col("doc_id") * 1000 + 1500000000, F.lit("+00:00")), F.lit("\0")).cast("binary"))
+    ifd = F.concat(F.lit("49492A0008000000" "0300" "0F01020008000000" "32000000" "1201030001000000"), number(1 + F.col("doc_id") % 8, 2), F.lit("000000" "3201020014000000" "3A000000" "00000000"), make, stamp)
+    exif = F.concat(F.lit("457869660000"), ifd)
+    frame = F.concat(F.lit("FFC0000B08"), number(F.col("n_chars") % 5000, 4), number(F.length("text") % 3000 + F.col("doc_id") % 7, 4), F.lit("01011100"))
+    whole = F.concat(F.lit("FFD8FFE1"), number((F.length(exif) / 2).cast("long") + 2, 4), exif, frame, F.lit("FFDA0002AAFFD9"))
+    return docs.withColumn("content", F.unhex(F.when(F.col("doc_id") % 23 == 0, F.lit("00112233")).otherwise(whole)))
+
+
+@query("image_metadata", "SELECT doc_id, CASE WHEN ok THEN CAST(length(text) % 3000 + doc_id % 7 AS INTEGER) END AS width, CASE WHEN ok THEN CAST(n_chars % 5000 AS INTEGER) END AS height, CASE WHEN ok THEN CAST(doc_id * 1000 + 1500000000 AS DOUBLE) END AS capture_time, CASE WHEN ok THEN concat('Cam ', lpad(CAST(doc_id % 100 AS VARCHAR), 2, '0')) END AS camera_make, CASE WHEN ok THEN CAST(1 + doc_id % 8 AS INTEGER) END AS orientation, CASE WHEN NOT ok THEN 'notAnImage' END AS error FROM (SELECT *, doc_id % 23 <> 0 AS ok FROM documents)")
+def image_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = photos(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars"))
+    return read_headers(rows, "doc_id").select("doc_id", "width", "height", "capture_time", "camera_make", "orientation", "error")
+
+
 @query("phash_grid")
 def phash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Perceptual hashes of grids made of the embeddings: outer products of their halves."""
