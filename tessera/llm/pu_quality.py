@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .common import fold, staged, table
 
-STEPS, RIDGE, THRESHOLD, FOLDS, HELD_OUT = 12, 0.15, 0.7, 4, 2
+STEPS, RIDGE, THRESHOLD, FOLDS, HELD_OUT = 12, 0.25, 0.7, 4, 2
 #: The prior where labels have only one class or none.
 DEFAULT_PRIOR = 0.8
 # Characters whose share is a statistic of its own.

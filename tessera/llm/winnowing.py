@@ -131,7 +131,7 @@ def contaminated() -> Column:
 def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without contaminated ones; all columns stay."""
     bad = decontaminate(docs, items, id_col, text_col).filter(contaminated()).select(F.col(id_col).alias("bad_id"), F.col("text_hash").alias("bad_hash"))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col(text_col)) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, F.col(id_col).eqNullSafe(bad["bad_id"]) & (F.xxhash64(F.col(text_col)) == bad["bad_hash"]), "left_anti")
 
 
 def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
