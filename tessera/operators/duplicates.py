@@ -37,6 +37,7 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     content hash, null being one) in that of first appearance. A group's kind is its first file's.
     """
     found = exact_candidates(rows).withColumn("place", F.struct(F.lower("name").alias("n"), F.col("path").alias("p")))
+    found = written(found.select("id", "path", "place", "key", "image_hash_kind", "content_hash"), "exact")  # read four times below
     heads = found.groupBy("key").agg(F.min("place").alias("head"), F.min_by("image_hash_kind", "place").alias("kind"))
     numbered = group_numbers(heads, "head")
     copies = found.groupBy("key", "content_hash").agg(F.min("place").alias("copy_head"))
@@ -112,7 +113,10 @@ def value_pairs(values: DataFrame, threshold: int = THRESHOLD, nested_limit: int
 
 def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT) -> DataFrame:
     """(a, b, distance): ids of rows within the threshold, a before b in name order, not both in one exact group."""
-    cand = written(near_candidates(rows), "near")
+    return pairs_of(written(near_candidates(rows), "near"), threshold, nested_limit)
+
+
+def pairs_of(cand: DataFrame, threshold: int, nested_limit: int) -> DataFrame:
     pairs = value_pairs(cand.select("hi", "lo"), threshold, nested_limit)
     side = lambda s: cand.select(F.struct("hi", "lo").alias(s), F.struct("place", "id", "key").alias("x" + s))
     met = pairs.join(side("v"), "v").join(side("w"), "w")
@@ -124,32 +128,29 @@ def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int =
 def star_cover(pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
     """(seed_id, match_id, distance): each row that an earlier seed reaches goes to the earliest such seed.
 
-    Seeds are the first maximal independent set in name order. In a round, rows without an undecided earlier neighbour are
-    seeds, and their later neighbours are claimed; pairs of decided rows go. Every round decides at least the first row of
-    each connected part, and usually most rows.
+    Seeds are the first maximal independent set in name order, so every row is a seed or is claimed by one. In a round, rows
+    without an undecided earlier neighbour are seeds and claim their later neighbours; pairs of claimed rows go. Every round
+    decides at least the first row of each connected part, and usually most rows.
     """
     edges = written(pairs.select("a", "b", "distance", "pa"), "edges")
-    rest = edges.select("a", "b")
-    seeds = written(rest.select("a").limit(0), "seeds")
-    waiting = written(rest.select("a").unionByName(rest.select(F.col("b").alias("a"))).distinct(), "waiting")
+    rest, claimed = edges.select("a", "b"), None
     for _ in range(max_rounds):
-        if waiting.isEmpty():
+        if rest.isEmpty():
             break
-        fresh = written(waiting.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_anti"), "fresh")
-        seeds = seeds.unionByName(fresh)
-        claimed = rest.join(fresh, "a", "left_semi").select(F.col("b").alias("a")).distinct()
-        decided = written(fresh.unionByName(claimed), "decided")
-        waiting = written(waiting.join(decided, "a", "left_anti"), "waiting")
-        rest = written(rest.join(decided, "a", "left_anti").join(decided.withColumnRenamed("a", "b"), "b", "left_anti"), "rest")
-    reached = edges.join(seeds, "a", "left_semi").join(seeds.withColumnRenamed("a", "b"), "b", "left_anti")
+        fresh = written(rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select("b").distinct(), "claimed")
+        claimed = fresh if claimed is None else claimed.unionByName(fresh)
+        rest = written(rest.join(fresh, "b", "left_anti").join(fresh.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "rest")
+    if claimed is None:
+        return edges.select(F.col("a").alias("seed_id"), F.col("b").alias("match_id"), "distance")
+    reached = edges.join(claimed.withColumnRenamed("b", "a"), "a", "left_anti").join(claimed, "b", "left_semi")
     return reached.groupBy("b").agg(F.min(F.struct("pa", "a", "distance")).alias("s")).select(F.col("s.a").alias("seed_id"), F.col("b").alias("match_id"), F.col("s.distance").alias("distance"))
 
 
 def near_groups(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT) -> DataFrame:
     """(group_no, seed_id, match_no, match_id, distance): groups by seed in name order, matches by distance, then name order."""
-    pairs = written(near_pairs(rows, threshold, nested_limit), "pairs")
-    stars = written(star_cover(pairs), "stars")
-    place = near_candidates(rows).select(F.col("id").alias("pid"), "place")
+    cand = written(near_candidates(rows), "near")
+    stars = written(star_cover(pairs_of(cand, threshold, nested_limit)), "stars")
+    place = cand.select(F.col("id").alias("pid"), "place")
     heads = group_numbers(stars.select("seed_id").distinct().join(place, F.col("seed_id") == F.col("pid")).select("seed_id", "place"), "place")
     named = stars.join(heads.select("seed_id", "group_no"), "seed_id").join(place, F.col("match_id") == F.col("pid"))
     match_no = F.row_number().over(Window.partitionBy("seed_id").orderBy("distance", "place"))
