@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_cover_tree": embedding_links.ORACLE,
     "op8_winnowing": winnowing.ORACLE,
 }
