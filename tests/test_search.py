@@ -119,3 +119,14 @@ def test_facets(spark):
     assert got == {("total", None): 4, ("ext", "jpg"): 2, ("ext", "png"): 1, ("ext", "heic"): 1, ("camera_make", "Canon"): 2}
     one = fct.facet_maps(fct.facets(table(spark, rows), m.SearchQuery())).first()
     assert one.total == 4 and one.by_extension["jpg"] == 2 and one.by_camera == {"Canon": 2}
+
+
+def test_scope_and_columns_reach_the_scan(spark, seed, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "4000")
+    path = idx.write_generation(seed, str(tmp_path), 1)
+    index = spark.read.schema(idx.FILES).parquet(path)
+    plan = s.search(index, m.SearchQuery(m.Folder("/lib"), m.Width(m.AtLeast(1920)), limit=5), ["id", "path"])._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(path,/lib/)" in plan and "LessThan(path,/lib0)" in plan and "GreaterThanOrEqual" in plan
+    assert "TakeOrderedAndProject" in plan and "camera_make" not in plan.split("ReadSchema")[1]
+    facets = fct.facets(index, m.SearchQuery())._jdf.queryExecution().executedPlan().toString()
+    assert facets.count("FileScan") == 1
