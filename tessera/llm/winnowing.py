@@ -31,7 +31,9 @@ MAX_BROADCAST_ROWS = 200_000
 
 
 def quick_words(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
+    # the capital sigma is the one letter whose lower case depends on what stands around it
+    plain = F.replace(F.coalesce(text, F.lit("")), F.lit("Σ"), F.lit("σ"))
+    return F.array_remove(F.split(F.lower(plain), BETWEEN), "")
 
 
 def exact_words(text: Column) -> Column:
