@@ -30,6 +30,7 @@ from .common import bounded_broadcast, staged, table
 from .components import connected_components
 
 COSINE, PIVOTS, PART, MAX_TOPS = 0.9, 64, 4096, 20_000
+PART_VALUES = 1_000_000
 TOP_RADIUS, LEVELS = 1.0, 4
 #: Rows and columns of dot products at a time: they stay in a core's cache.
 BLOCK = (256, 2048)
@@ -274,6 +275,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     rows = staged(source.select("id", F.when(F.coalesce(fine, F.lit(False)), F.col("v")).alias("v")), "vectors")
     # one class for each distinct vector: partial sums before the shuffle, so copies never meet in one task
     classes = staged(rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
+    widest = classes.agg(F.max(F.size("v")).alias("d")).first().d or 1
+    part = max(16, min(part, PART_VALUES // widest))  # a part's bytes are bounded for long vectors too
     pivots = max(1, min(pivots, -(-classes.count() // part)))
     picked = [np.array(x.v, np.float64) for x in classes.select("v").orderBy(F.xxhash64("v")).limit(pivots).collect()]
     if not picked:
