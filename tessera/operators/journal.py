@@ -203,30 +203,58 @@ def resolved_name(stem: Column, ext: Column, n: Column) -> Column:
 
 
 def renames(plan: DataFrame, occupants: DataFrame) -> DataFrame:
-    """plan with new_name: within each destination, names that collide get the next free number.
+    """plan with new_name: in the items' order, each takes its name with the least number that is free in its destination.
 
-    Items of one destination and lower-cased stem and extension compete only with each other and with occupants of such
-    names, so the free numbers below the group's size plus its occupants are dealt in the items' order, by equi-joins on
-    (destination, stem, extension, number).
+    Names compete within a family: one destination, extension, and stem without its trailing numbers. Where a family's items
+    all have one stem, free numbers below the family's size plus its occupants are dealt in order, by equi-joins, however
+    large the family. Only families that mix stems such as `a` and `a 2` are dealt one by one.
     """
     parts = lambda c: (F.regexp_replace(c, r"(?<=.)\.[^.]*$", ""), F.regexp_extract(c, r"^.+\.([^.]*)$", 1))
     stem, ext = parts(F.col("name"))
-    items = plan.withColumn("stem", stem).withColumn("ext", ext).withColumn("low", F.lower("stem")).withColumn("lext", F.lower("ext"))
+    family = F.regexp_replace("low", r"( ([2-9]|[1-9]\d+))+$", "")
+    items = plan.withColumn("stem", stem).withColumn("ext", ext).withColumn("low", F.lower("stem")).withColumn("lext", F.lower("ext")).withColumn("family", family)
     o_stem, o_ext = parts(F.lower("name"))
-    number = F.regexp_extract(o_stem, r"^(.*) ([2-9]|[1-9]\d+)$", 2)
-    base = F.regexp_extract(o_stem, r"^(.*) ([2-9]|[1-9]\d+)$", 1)
-    # an occupant `a 3.jpg` takes number 3 of `a`, and number 1 of `a 3`
-    as_number = occupants.filter(number != "").select(F.col("parent_dir").alias("dst_dir"), base.alias("low"), o_ext.alias("lext"), number.try_cast("long").alias("taken"))
-    as_plain = occupants.select(F.col("parent_dir").alias("dst_dir"), o_stem.alias("low"), o_ext.alias("lext"), F.lit(1).cast("long").alias("taken"))
-    taken = as_number.unionByName(as_plain).distinct()
+    busy_names = occupants.select(F.col("parent_dir").alias("dst_dir"), o_stem.alias("low"), o_ext.alias("lext")).withColumn("family", family).distinct()
+    key = ["dst_dir", "family", "lext"]
+    mixed = items.groupBy(*key).agg((F.min("low") != F.max("low")).alias("mixed"))
+    marked = items.join(mixed, key)
+    one = dealt_by_joins(marked.filter("NOT mixed"), busy_names, plan.columns)
+    serial = marked.filter("mixed").select(*key, "nth", "stem", "low", "ext", F.lit(False).alias("there"))
+    there = busy_names.join(mixed.filter("mixed"), key, "left_semi").select(*key, F.lit(0).cast("long").alias("nth"), F.col("low").alias("stem"), "low", F.col("lext").alias("ext"), F.lit(True).alias("there"))
+    dealt = serial.unionByName(there).groupBy(*key).applyInPandas(deal_one_by_one, "nth long, new_name string")
+    return one.unionByName(plan.join(dealt, "nth").select(*plan.columns, "new_name"))
+
+
+def deal_one_by_one(pdf):
+    """One family's names in order; rows that are there already only take theirs."""
+    import pandas as pd
+
+    taken = set(pdf.loc[pdf["there"], "low"])
+    out = []
+    for r in pdf[~pdf["there"]].sort_values("nth").itertuples():
+        n = 1
+        while (name := r.low + (f" {n}" if n > 1 else "")) in taken:
+            n += 1
+        taken.add(name)
+        out.append((r.nth, r.stem + (f" {n}" if n > 1 else "") + (f".{r.ext}" if r.ext else "")))
+    return pd.DataFrame(out, columns=["nth", "new_name"])
+
+
+def dealt_by_joins(items: DataFrame, busy_names: DataFrame, columns: list[str]) -> DataFrame:
+    """Free numbers for items of one stem per family: n-th item, n-th free number."""
     key = ["dst_dir", "low", "lext"]
+    number = F.regexp_extract("low", r"^(.*) ([2-9]|[1-9]\d+)$", 2)
+    base = F.regexp_extract("low", r"^(.*) ([2-9]|[1-9]\d+)$", 1)
+    # an occupant `a 3` takes number 3 of `a`, and number 1 of `a 3`
+    as_number = busy_names.filter(number != "").select("dst_dir", base.alias("low"), "lext", number.try_cast("long").alias("n"))
+    taken = as_number.unionByName(busy_names.select("dst_dir", "low", "lext", F.lit(1).cast("long").alias("n"))).distinct()
     groups = items.groupBy(*key).agg(F.count("*").alias("wanted"))
     busy = taken.join(groups, key).groupBy(*key).agg(F.count("*").alias("busy"))
     room = groups.join(busy, key, "left").withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("wanted") + F.coalesce("busy", F.lit(0)))))
-    free = room.join(taken.withColumnRenamed("taken", "n"), [*key, "n"], "left_anti")
+    free = room.join(taken, [*key, "n"], "left_anti")
     nth_free = free.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("n"))).select(*key, "turn", "n")
     turns = items.withColumn("turn", F.row_number().over(Window.partitionBy(*key).orderBy("nth")))
-    return turns.join(nth_free, [*key, "turn"]).select(*plan.columns, resolved_name(F.col("stem"), F.col("ext"), F.col("n")).alias("new_name"))
+    return turns.join(nth_free, [*key, "turn"]).select(*columns, resolved_name(F.col("stem"), F.col("ext"), F.col("n")).alias("new_name"))
 
 
 def stash_name(batch: Column, item: Column, offset: Column) -> Column:

@@ -133,7 +133,7 @@ def plan_loop(plan, taken):
 
 def test_renames_equal_a_loop(spark):
     rng = random.Random(5)
-    plan = [(i, f"/d{rng.randint(0, 1)}", rng.choice(["a.jpg", "A.jpg", "b.png", "c", ".hidden"])) for i in range(60)]
+    plan = [(i, f"/d{rng.randint(0, 1)}", rng.choice(["a.jpg", "A.jpg", "b.png", "B 2.png", "b 2 2.png", "c", ".hidden"])) for i in range(80)]
     taken = {"/d0": {"a.jpg", "a 3.jpg", "b 2.png"}, "/d1": {"a 2.jpg"}}
     df = spark.createDataFrame([(n, f"/s/{n}", d, x) for n, d, x in plan], "nth long, src string, dst_dir string, name string")
     occ = spark.createDataFrame([(d, x.upper()) for d, xs in taken.items() for x in xs], "parent_dir string, name string")
