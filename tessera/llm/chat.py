@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import staged, table
+from .common import bounded_broadcast, staged, table
 
 ROLES = ("system", "user", "assistant")
 # How transcripts name the speakers.
@@ -35,7 +35,7 @@ SPEAKERS = {
 }
 NAMES = "|".join(sorted(SPEAKERS, key=len, reverse=True))
 MARKER = re.compile(rf"^\s*(?:(?:<\|(?:im_start\|>)?|\[|#{{1,4}}\s*|\*\*)\s*(?P<a>{NAMES})\s*(?:\|>|\]|:?\*\*:?|:|$)|(?P<b>{NAMES})\s*:)\s*", re.I)
-SEGMENT, SMOOTH = 256, 0.5
+SEGMENT, SMOOTH, MAX_BROADCAST_ROWS = 256, 0.5, 500_000
 STATES = 2 * len(ROLES)  # 2r opens a turn of role r, 2r + 1 continues it
 LENGTHS, PLACES = 8, 3
 
@@ -64,11 +64,12 @@ FEATURES = LENGTHS * 2 * PLACES
 def rows_of(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """The distinct rows with their segment, and whether a row is its conversation's first."""
     base = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).distinct()
-    low = base.groupBy("conv").agg(F.min("turn").alias("low"))
+    # of the plain rows, and staged: the join may then broadcast it or split hot conversations
+    low = staged(df.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t")).groupBy("c").agg(F.min("t").alias("low")), "low")
     late = (F.lit(1 << 52) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).cast("long")
     at = F.coalesce("turn", late)
     segment = F.floor((F.coalesce("turn", late) - F.coalesce("low", F.lit(0))) / SEGMENT).cast("long")
-    joined = base.join(low.withColumnRenamed("conv", "c"), F.col("conv").eqNullSafe(F.col("c")), "left")
+    joined = base.join(bounded_broadcast(low, MAX_BROADCAST_ROWS), F.col("conv").eqNullSafe(F.col("c")), "left")
     return joined.select("conv", at.alias("at"), "turn", "role", "text", segment.alias("segment"), (F.col("turn") == F.col("low")).alias("first"))
 
 
