@@ -88,6 +88,15 @@ def test_passages_cover_every_shared_window(spark):
     assert {d for d in by} == {1, 2, 4, 6, 3, 20, 8, 21}
 
 
+def test_a_passage_of_parts_from_several_documents_is_one_passage(spark):
+    rng = random.Random(14)
+    parts = [text_of(rng, 11) for _ in range(6)]
+    rows = [(i, f"{text_of(rng, 40)} {p} {text_of(rng, 40)}") for i, p in enumerate(parts)]
+    rows += [(10 + i, f"{text_of(rng, 30)} {' '.join(parts)} {text_of(rng, 30)}") for i in range(2)]
+    got = passages.passages(docs_of(spark, rows), sample=1).collect()
+    assert [(r.id, r.start, r.end, r.other_id) for r in got] == [(11, 30, 96, 10)]
+
+
 def test_chains_are_the_best_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
