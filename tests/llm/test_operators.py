@@ -97,6 +97,17 @@ def test_a_passage_of_parts_from_several_documents_is_one_passage(spark):
     assert [(r.id, r.start, r.end, r.other_id) for r in got] == [(11, 30, 96, 10)]
 
 
+def test_passages_with_evenly_spaced_changes_are_found(spark):
+    rng = random.Random(15)
+    rows = []
+    for i in range(40):
+        words = text_of(rng, 55).split()
+        changed = [f"other{i}" if j % 6 == 5 and j < 50 else w for j, w in enumerate(words)]
+        rows += [(i, " ".join([text_of(rng, 30), *words, text_of(rng, 30)])), (100 + i, " ".join([text_of(rng, 30), *changed, text_of(rng, 30)]))]
+    got = passages.passages(docs_of(spark, rows)).collect()
+    assert {(r.id, r.other_id) for r in got} == {(100 + i, i) for i in range(40)}
+
+
 def test_chains_are_the_best_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
