@@ -108,6 +108,19 @@ def test_passages_with_evenly_spaced_changes_are_found(spark):
     assert {(r.id, r.other_id) for r in got} == {(100 + i, i) for i in range(40)}
 
 
+def test_a_passage_in_many_documents_whose_parts_are_elsewhere_is_found(spark):
+    rng = random.Random(16)
+    rows, expected = [], set()
+    for at in range(0, 600, 100):
+        words = text_of(rng, 60).split()
+        parts = [words[:34], words[26:], words]  # each seed of the whole is in a part
+        for i in range(14):  # every other document has one part only
+            rows.append((at + i, " ".join([text_of(rng, 30), *parts[2 if i > 1 and i % 2 == 0 else (i + 1) // 2 % 2], text_of(rng, 30)])))
+        expected |= {(at + i, at + 2) for i in range(4, 14, 2)}
+    got = passages.passages(docs_of(spark, rows), sample=passages.SAMPLE).collect()
+    assert expected <= {(r.id, r.other_id) for r in got if r.start <= 30 and r.end >= 90}
+
+
 def test_chains_are_the_best_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
