@@ -121,6 +121,19 @@ def test_a_passage_in_many_documents_whose_parts_are_elsewhere_is_found(spark):
     assert expected <= {(r.id, r.other_id) for r in got if r.start <= 30 and r.end >= 90}
 
 
+def test_every_passage_of_a_pair_of_documents_is_found(spark):
+    rng = random.Random(17)
+    x, y, z = (text_of(rng, 60) for _ in range(3))
+    own = lambda: text_of(rng, 30)
+    rows = [(1, f"{x} {own()} {y}"), (2, f"{x} {own()} {y}"), (3, f"{own()} {z} {own()}"), (4, f"{z} {text_of(rng, 200)} {z}")]
+    rows += [(5, f"{rows[3][1]} {own()}")]
+    got = passages.passages(docs_of(spark, rows)).collect()
+    covers = lambda i, start: any(r.id == i and r.start <= start and r.end >= start + 60 for r in got)
+    assert covers(2, 0) and covers(2, 90) and covers(4, 0) and covers(4, 260) and covers(5, 260)
+    twice = passages.passages(docs_of(spark, [(1, rows[3][1]), (2, rows[2][1])])).collect()
+    assert {s for s in (0, 260) if any(r.id == 2 and r.other_start <= s and r.other_end >= s + 60 for r in twice)} == {0, 260}
+
+
 def test_chains_are_the_best_by_brute_force():
     rng = random.Random(3)
     for _ in range(30):
