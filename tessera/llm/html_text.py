@@ -1,10 +1,11 @@
 """HTML extraction: subtrees that recur across a host's pages are templates and go; the article's text stays.
 
-A page becomes a tree. Each subtree outside an explicit article gets a hash of its tags, classes, text and children. Spark
-counts, per host, the pages on which each hash occurs (pre-aggregated, distinct per page). Hashes found on many pages of a
-host are that host's template and are deleted, together with elements whose tag, role or class says that they are menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments. What an explicit article holds is
-never counted as a template: the same article may well stand on many pages.
+A page becomes a tree. Each subtree gets a hash of its tags, classes, text and children. Spark counts, per host, the pages on
+which each hash occurs outside explicit articles (pre-aggregated, distinct per page). Hashes found on many pages of a host are
+that host's template and are deleted, together with elements whose tag, role or class says that they are menus, headers, footers,
+sidebars, notices, adverts, forms, scripts, styles or reader comments. The blocks inside explicit articles (article, main) are
+counted by the different articles that hold them, as the same article may well stand on many pages; headings, single items and cells,
+and what is part of a sentence stay. The text is that of all articles of the page, in its order.
 
 A host's template hashes are few: each is on at least `min_share` of its pages, so there are at most 1/min_share times as
 many as a page has subtrees on average. They are joined to the pages by host, broadcast if their counted rows are few.
@@ -29,6 +30,8 @@ from .common import bounded_broadcast, staged, table
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript iframe xmp noframes".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option select video audio".split())
+# Blocks that may say the same in many articles without being a template.
+PARTS = set("article main body html h1 h2 h3 h4 h5 h6 hr li dt dd tr td th tbody thead tfoot caption figcaption legend option summary".split())
 # A start tag of the key ends an open element of the values.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
@@ -133,39 +136,49 @@ def is_article(node: Node) -> bool:
     return node.tag in ("article", "main") or bool(node.attrs) and (a := attributes(node)).get("role", "").lower() in ("main", "article") or bool(node.attrs) and "articlebody" in attributes(node).get("itemprop", "").lower()
 
 
-def subtree_hashes(root: Node) -> dict[int, bytes]:
-    """A hash for each subtree outside explicit articles, by id(node); those that hold an article have none."""
-    out: dict[int, bytes] = {}
+def number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def subtree_hashes(root: Node) -> dict[int, tuple[int, int]]:
+    """(hash, hash of the article it is in or 0) of each subtree that may be a template, by id(node); none that hold an article are."""
+    own: dict[int, bytes] = {}
     # children before parents, without recursion: pages may nest deeply
-    order, todo = [], [root]
+    order, todo = [], [(root, None)]
     while todo:
-        node = todo.pop()
-        order.append(node)
-        if not is_article(node):
-            todo += [k for k in node.kids if isinstance(k, Node)]
+        node, article = todo.pop()
+        explicit = is_article(node)
+        order.append((node, article, explicit))
+        todo += [(k, node if explicit else article) for k in node.kids if isinstance(k, Node)]
     closed: set[int] = set()
-    for node in reversed(order):
-        if is_article(node) or any(isinstance(k, Node) and id(k) in closed for k in node.kids):
+    for node, _, explicit in reversed(order):
+        if explicit or any(isinstance(k, Node) and id(k) in closed for k in node.kids):
             closed.add(id(node))
-            continue
         h = hashlib.blake2b(digest_size=8)
         h.update(f"{node.tag}|{SPACE.sub(' ', node.attrs).strip()}".encode("utf-8", "replace"))
         for k in node.kids:
-            h.update(b"<" + out[id(k)] if isinstance(k, Node) else b">" + SPACE.sub(" ", k).strip().encode("utf-8", "replace"))
-        out[id(node)] = h.digest()
+            h.update(b"<" + own[id(k)] if isinstance(k, Node) else b">" + SPACE.sub(" ", k).strip().encode("utf-8", "replace"))
+        own[id(node)] = h.digest()
+    out: dict[int, tuple[int, int]] = {}
+    for node, article, _ in order:
+        if id(node) in closed:
+            continue
+        if article is None:
+            out[id(node)] = (number(own[id(node)]), 0)
+        elif node.tag in BLOCKS and node.tag not in PARTS:  # inside an article a hash of its own, as it is counted by itself
+            out[id(node)] = (number(hashlib.blake2b(b"inside" + own[id(node)], digest_size=8).digest()), number(own[id(article)]) or 1)
     return out
 
 
-def number(digest: bytes) -> int:
-    return int.from_bytes(digest, "little", signed=True)
-
-
-def page_hashes(html: str | None) -> list[int]:
-    """The distinct hashes of a page's subtrees that have text and may be templates."""
-    return sorted({number(h) for h in subtree_hashes(parse(html)).values()}) if html else []
+def page_hashes(html: str | None) -> list[tuple[int, int]]:
+    """The distinct hashes of a page's subtrees that may be templates, each with its article's or 0; (1, its hash) for an article."""
+    if not html:
+        return []
+    found = set(subtree_hashes(parse(html)).values())
+    return sorted(found | {(1, article) for _, article in found if article})
 
 
-def blocks_of(node: Node, dropped: set[int], hashes: dict[int, bytes]) -> list[str]:
+def blocks_of(node: Node, dropped: set[int], hashes: dict[int, tuple[int, int]]) -> list[str]:
     """Text of the blocks under node, in page order, without what is marked or a template."""
     blocks: list[str] = []
     line: list[str] = []
@@ -185,7 +198,7 @@ def blocks_of(node: Node, dropped: set[int], hashes: dict[int, bytes]) -> list[s
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif x is node or not (marked(x, inside) or (id(x) in hashes and number(hashes[id(x)]) in dropped)):
+        elif x is node or not (marked(x, inside) or (id(x) in hashes and hashes[id(x)][0] in dropped)):
             if x.tag == "br":
                 line.append(" ")
             block = x.tag in BLOCKS
@@ -198,42 +211,50 @@ def blocks_of(node: Node, dropped: set[int], hashes: dict[int, bytes]) -> list[s
 
 
 def main_text(html: str | None, templates: set[int] | None = None) -> str:
-    """The article's text: its blocks joined by two line ends."""
+    """The articles' text: their blocks joined by two line ends."""
     if not html:
         return ""
     root, templates = parse(html), templates or set()
     hashes = subtree_hashes(root) if templates else {}
-    found, todo = [], [root]
+    articles, outer, todo = [], [], [(root, False)]  # outer: explicit articles of other tags that aren't in one another
     while todo:
-        node = todo.pop()
+        node, inside = todo.pop()
         if node is not root and marked(node, False):
             continue
         if is_article(node):
-            found.append(node)
+            if node.tag == "article":
+                articles.append(node)
+            if not inside:
+                outer.append(node)
             if node.tag == "article":
                 continue
-        todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    articles = [x for x in found if x.tag == "article"] or found
-    texts = ["\n\n".join(blocks_of(x, templates, hashes)) for x in articles or [root]]
-    return max(texts, key=len)
+            inside = True
+        todo += [(k, inside) for k in reversed(node.kids) if isinstance(k, Node)]
+    return "\n\n".join(b for x in articles or outer or [root] for b in blocks_of(x, templates, hashes))
 
 
 def templates_by_host(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): hashes of subtrees on at least min_pages and min_share of a host's pages. pages: url, html."""
+    """(host, templates): hashes of subtrees on at least min_pages and min_share of a host's pages, or of its different articles.
+
+    pages: url, html.
+    """
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hosts, hashes = [], []
+            hosts, hashes, articles = [], [], []
             for url, html in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = [0, *page_hashes(html)]  # 0 counts the page itself
+                own = [(0, 0), *page_hashes(html)]  # 0 counts the page itself, 1 an article
                 hosts += [host_of(url)] * len(own)
-                hashes += own
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], ["host", "hash"])
+                hashes += [h for h, _ in own]
+                articles += [a for _, a in own]
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(articles, pa.int64())], ["host", "hash", "article"])
 
-    seen = pages.mapInArrow(part, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("n"))
+    each = pages.mapInArrow(part, "host string, hash long, article long").groupBy("host", "hash", "article").agg(F.count("*").alias("n"))
+    inside = F.col("article") != 0  # an article counts once, however many pages have it
+    seen = each.groupBy("host", "hash", inside.alias("inside")).agg(F.sum(F.when(inside, 1).otherwise(F.col("n"))).alias("n"))
     many = staged(seen.filter(F.col("n") >= min_pages), "subtrees")  # read three times below
-    total = many.filter("hash = 0").select("host", F.col("n").alias("pages"))
-    return many.filter("hash != 0").join(total, "host").filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
+    total = many.filter("hash in (0, 1)").select("host", "inside", F.col("n").alias("pages"))
+    return many.filter("hash not in (0, 1)").join(total, ["host", "inside"]).filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:

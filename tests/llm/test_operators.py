@@ -165,6 +165,18 @@ def test_html(spark):
     assert got[9:] == [(20, ""), (21, ""), (22, "T\n\na b <c>"), (22, "again")]
 
 
+def test_html_templates_inside_articles(spark):
+    box = "<div class='box'><p>Get our letter every week.</p></div>"
+    page = lambda i: f"<main><article><h2>Summary</h2><p>Story {i} is <b>not</b> long.</p>{box}</article><article><p>Second story {i}.</p></article></main>"
+    pages = [(i, f"https://h.example/{i}", page(i)) for i in range(6)]
+    pages += [(20 + i, f"https://copied.example/{i}", "<article><p>One article.</p><p>On all pages.</p></article>") for i in range(6)]
+    pages += [(30 + i, f"https://main.example/{i}", f"<main><p>Text {i}.</p><p>All rights reserved.</p></main>") for i in range(6)]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Summary\n\nStory 3 is not long.\n\nSecond story 3."
+    assert got[22] == "One article.\n\nOn all pages."
+    assert got[31] == "Text 1."
+
+
 def test_html_is_the_same_at_any_size_of_broadcast(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert sorted(html_text.extract(df).collect()) == sorted(html_text.extract(df, max_broadcast=0).collect())
