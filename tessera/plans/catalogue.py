@@ -599,7 +599,7 @@ def content_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
 def containers(docs: DataFrame) -> DataFrame:
     """Image files around the documents' bytes, by Spark: JPEG or PNG with the text as image data, and a metadata segment that
     differs from row to row."""
-    body = F.hex(F.regexp_replace(F.substring("text", 1, 20000), "[^a-z ]", "").cast("binary"))
+    body = F.hex(F.regexp_replace(F.col("text"), "[^a-z ]", "").cast("binary"))
     size = lambda c, n, extra: F.lpad(F.hex((F.length(c) / 2).cast("long") + extra), n, "0")
     note = F.hex(F.concat(F.lit("id "), F.col("doc_id").cast("string")).cast("binary"))
     jpeg = F.concat(F.lit("FFD8FFE1"), size(note, 4, 2), note, F.lit("FFDB00040101FFDA00040101"), body, F.lit("FFD9"))

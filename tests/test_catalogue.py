@@ -247,3 +247,11 @@ def test_stream_of_upserts(spark, tmp_path):
     number, rows = latest_generation(spark, root)
     assert number == 2 and {r.path: r.content_hash for r in rows.collect()} == {"/a": "h1", "/b": "h2", "/c": "h3"}
     assert idx.integrity(rows).first().ok
+
+
+def test_image_data_is_the_whole_text(spark):
+    from tessera.plans.catalogue import containers, hashed
+
+    rows = [(i, "a" * 20000 + end) for i, end in ((3, "b"), (6, "c"), (1, "b"), (2, "c"))]
+    got = hashed(containers(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc_id", "image_hash").collect()
+    assert len({r.image_hash for r in got}) == 4
