@@ -6,7 +6,9 @@ stars: in name order, a row that no earlier seed claims becomes a seed and claim
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,7 +16,7 @@ from . import model as m
 from .search import matching
 from .staging import written
 
-THRESHOLD, CEILING, NESTED_LIMIT = 12, 100_000, 20_000
+THRESHOLD, CEILING, NESTED_LIMIT, LOCAL_EDGES = 12, 100_000, 20_000, 100_000
 PHASH = r"^[0-9a-fA-F]{16}$"
 
 
@@ -125,21 +127,44 @@ def pairs_of(cand: DataFrame, threshold: int, nested_limit: int) -> DataFrame:
     return out.filter(~F.coalesce(F.col("p.key") == F.col("q.key"), F.lit(False)) & (F.col("p.id") != F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), "distance", F.col("p.place").alias("pa"), F.col("q.place").alias("pb"))
 
 
-def star_cover(pairs: DataFrame, max_rounds: int = 500) -> DataFrame:
+def claimed_of(edges: list[tuple]) -> list:
+    """The rows of edges (a, b), a before b, that the greedy star cover claims."""
+    later, waiting = defaultdict(list), Counter(b for _, b in edges)
+    for a, b in edges:
+        later[a].append(b)
+    claimed, ready = set(), [a for a in later if a not in waiting]
+    while ready:  # all earlier neighbours of these are decided
+        a = ready.pop()
+        for b in later.get(a, ()):
+            if a not in claimed:
+                claimed.add(b)
+            waiting[b] -= 1
+            if not waiting[b]:
+                ready.append(b)
+    return list(claimed)
+
+
+def star_cover(pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(seed_id, match_id, distance): each row that an earlier seed reaches goes to the earliest such seed.
 
     Seeds are the first maximal independent set in name order, so every row is a seed or is claimed by one. In a round, rows
     without an undecided earlier neighbour are seeds and claim their later neighbours; pairs of claimed rows go. Every round
-    decides at least the first row of each connected part, and usually most rows.
+    decides at least the first row of each connected part, and usually most rows, so the rounds end; there is no bound on them.
+    Long runs in which each row is near its neighbours only need a round for two rows; what is left below local_edges pairs is
+    decided in the driver, by the same rule.
     """
     edges = written(pairs.select("a", "b", "distance", "pa"), "edges")
     rest, claimed = edges.select("a", "b"), None
-    for _ in range(max_rounds):
-        if rest.isEmpty():
+    for k in count():
+        if rest.limit(local_edges + 1).count() <= local_edges:
             break
         fresh = written(rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select("b").distinct(), "claimed")
         claimed = fresh if claimed is None else claimed.unionByName(fresh)
+        claimed = written(claimed, "claimed") if k % 20 == 19 else claimed  # keeps the plan short
         rest = written(rest.join(fresh, "b", "left_anti").join(fresh.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "rest")
+    if last := claimed_of([tuple(r) for r in rest.collect()]):
+        fresh = edges.sparkSession.createDataFrame([(b,) for b in last], edges.select("b").schema)
+        claimed = fresh if claimed is None else claimed.unionByName(fresh)
     if claimed is None:
         return edges.select(F.col("a").alias("seed_id"), F.col("b").alias("match_id"), "distance")
     reached = edges.join(claimed.withColumnRenamed("b", "a"), "a", "left_anti").join(claimed, "b", "left_semi")

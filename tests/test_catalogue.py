@@ -82,6 +82,13 @@ def test_star_cover_equals_the_greedy_loop(spark, limit):
     assert {(r.seed_id, r.match_id) for r in got} == greedy(values)
 
 
+@pytest.mark.parametrize("n, limit", [(1101, dup.LOCAL_EDGES), (25, 0)])
+def test_star_cover_of_a_long_run_is_decided_to_its_end(spark, n, limit):
+    pairs = spark.createDataFrame([(i, i + 1, 3, i) for i in range(n - 1)], "a long, b long, distance int, pa long")
+    got = {tuple(r) for r in dup.star_cover(pairs, limit).collect()}
+    assert got == {(i - 1, i, 3) for i in range(1, n, 2)}
+
+
 def test_report_ceiling(spark):
     rows = rows_of(spark, [("/a", "x", "i", "k", flipped(0)), ("/b", "y", "i", "k", "bad")])
     out = dup.duplicate_report(rows, m.SearchQuery(), ceiling=1)
