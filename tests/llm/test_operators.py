@@ -93,7 +93,7 @@ def test_a_passage_of_parts_from_several_documents_is_one_passage(spark):
     parts = [text_of(rng, 11) for _ in range(6)]
     rows = [(i, f"{text_of(rng, 40)} {p} {text_of(rng, 40)}") for i, p in enumerate(parts)]
     rows += [(10 + i, f"{text_of(rng, 30)} {' '.join(parts)} {text_of(rng, 30)}") for i in range(2)]
-    got = passages.passages(docs_of(spark, rows), sample=1).collect()
+    got = passages.passages(docs_of(spark, rows)).collect()
     assert [(r.id, r.start, r.end, r.other_id) for r in got] == [(11, 30, 96, 10)]
 
 
@@ -117,7 +117,7 @@ def test_a_passage_in_many_documents_whose_parts_are_elsewhere_is_found(spark):
         for i in range(14):  # every other document has one part only
             rows.append((at + i, " ".join([text_of(rng, 30), *parts[2 if i > 1 and i % 2 == 0 else (i + 1) // 2 % 2], text_of(rng, 30)])))
         expected |= {(at + i, at + 2) for i in range(4, 14, 2)}
-    got = passages.passages(docs_of(spark, rows), sample=passages.SAMPLE).collect()
+    got = passages.passages(docs_of(spark, rows)).collect()
     assert expected <= {(r.id, r.other_id) for r in got if r.start <= 30 and r.end >= 90}
 
 
@@ -135,22 +135,85 @@ def test_every_passage_of_a_pair_of_documents_is_found(spark):
 
 
 def test_chains_are_the_best_by_brute_force():
-    rng = random.Random(3)
-    for _ in range(30):
-        n = rng.randint(2, 9)
-        q, t = (np.array([rng.randint(0, 60) for _ in range(n)]) for _ in range(2))
-        links = sorted(set(zip(q.tolist(), t.tolist(), strict=True)))
-        value: dict = {}
-        for i, (a, b) in enumerate(links):
-            value[i] = float(passages.K)
-            for j, (c, d) in enumerate(links[:i]):
-                if c < a and d < b and max(a - c, b - d) <= passages.MAX_GAP + passages.K:
-                    value[i] = max(value[i], value[j] + min(passages.K, a - c, b - d) - passages.GAP * (a - c + b - d))
-        chains = passages.chains_of(np.array([x for x, _ in links]), np.array([x for _, x in links]))
+    rng, k = random.Random(3), passages.K
+    for _ in range(60):
+        runs = sorted({(rng.randint(0, 90), rng.randint(0, 90), rng.randint(k, 15)) for _ in range(rng.randint(2, 9))})
+        value: list = []
+        for j, (q, t, n) in enumerate(runs):
+            value.append(float(n))
+            for i, (c, d, m) in enumerate(runs):
+                qe, te = c + m - k + 1, d + m - k + 1
+                if i < j and qe <= q and te <= t:
+                    over = max(0, c + m - q, d + m - t)
+                    value[j] = max(value[j], n - over + value[i] - passages.GAP * (q - qe + t - te))
+        chains = passages.chains_of(np.array(runs).T)
+        assert sorted(x for c in chains for x in zip(*c.tolist(), strict=True)) == runs
         for c in chains:
             assert (np.diff(c[0]) > 0).all() and (np.diff(c[1]) > 0).all()
-        if max(value.values()) > passages.K:
-            assert chains and len(chains[0][0]) >= 2
+
+        def score(c):
+            total = float(c[2][0])
+            for i in range(1, c.shape[1]):
+                qe, te = (c[x][i - 1] + c[2][i - 1] - k + 1 for x in (0, 1))
+                total += c[2][i] - max(0, qe + k - 1 - c[0][i], te + k - 1 - c[1][i]) - passages.GAP * (c[0][i] - qe + c[1][i] - te)
+            return total
+
+        if not any(max(c - a, d - b) > passages.MAX_GAP for a, b, _ in runs for c, d, _ in runs):  # no chain is cut
+            assert max(map(score, chains)) == pytest.approx(max(value))
+
+
+@pytest.mark.parametrize(("rate", "least"), [(0, 1.0), (0.05, 0.97), (0.1, 0.9)])
+def test_recall_of_edited_passages(spark, rate, least):
+    """200 passages of 60 words, of whose words `rate` are changed, left out or followed by another; found: 45 words of it."""
+    rng, rows, truth = random.Random(21), [], {}
+    for i in range(200):
+        words, edited = text_of(rng, 60).split(), []
+        for w in words:
+            kind = rng.random() if rng.random() < rate else 1
+            edited += [w] if kind == 1 else [f"new{rng.random()}"] if kind < 0.6 else [w, f"new{rng.random()}"] if kind < 0.8 else []
+        rows += [(i, f"{text_of(rng, 30)} {' '.join(words)} {text_of(rng, 30)}"), (1000 + i, f"{text_of(rng, 30)} {' '.join(edited)} {text_of(rng, 30)}")]
+        truth[1000 + i] = 30, 30 + len(edited)
+    got = passages.passages(docs_of(spark, rows)).collect()
+    assert all(r.other_id == r.id - 1000 for r in got)
+    found = {r.id for r in got if min(r.end, truth[r.id][1]) - max(r.start, truth[r.id][0]) >= 45}
+    assert len(found) >= least * 200
+
+
+@pytest.mark.parametrize("copies", [3, 8, 40])
+def test_copies_of_a_passage_are_found_however_many_there_are(spark, copies):
+    rng, rows, expected, k = random.Random(22), [], set(), 0
+    for _ in range(10):
+        parts = [text_of(rng, 40) for _ in range(2)]
+        for c in range(-2, copies):
+            rows.append((k, f"{text_of(rng, 30)} {parts[c] if c < 0 else ' '.join(parts)} {text_of(rng, 30)}"))
+            expected |= {k} if c > 0 else set()
+            k += 1
+            if c > 2 and c % 2:  # documents with one part stand between
+                rows.append((k, f"{text_of(rng, 30)} {parts[c % 4 // 2]} {text_of(rng, 30)}"))
+                k += 1
+    found = {r.id for r in passages.passages(docs_of(spark, rows)).collect() if r.start <= 30 and r.end >= 110}
+    assert found == expected
+
+
+def test_frequent_seeds_are_linked_within_tasks_too(spark):
+    rng = random.Random(23)
+    words = text_of(rng, 70).split()
+    rows = [(i, " ".join([text_of(rng, 20), *(w if rng.random() > 0.04 or i % 2 else "x" for w in words), text_of(rng, 20)])) for i in range(300)]
+    for share in (1e-3, 0.5):  # all of the passage's seeds, none of them
+        got = passages.passages(docs_of(spark, rows).repartition(5), hot_share=share).collect()
+        found = {i for r in got for i in (r.id, r.other_id)}
+        assert found == set(range(300)) and len(got) < 12 * len(rows)
+
+
+def test_passages_edges(spark):
+    rng = random.Random(24)
+    long_text = text_of(rng, 60_000)
+    assert passages.passages(docs_of(spark, [(1, "x")]).limit(0)).count() == 0
+    got = passages.passages(docs_of(spark, [(1, long_text), (2, f"{text_of(rng, 30)} {long_text[200_000:]}"), (3, None), (4, ""), (3, None)])).collect()
+    assert [(r.id, r.other_id, r.end - r.start > 20_000, r.identity) for r in got] == [(2, 1, True, 1.0)]
+    copy = text_of(rng, 60)
+    named = spark.createDataFrame([("a", copy), ("b", copy + " more"), (None, copy)], "doc_id string, text string")
+    assert {(r.id, r.other_id) for r in passages.passages(named).collect()} in ({("a", "b")}, {("b", "a")})
 
 
 # --- 2 -----------------------------------------------------------------------------------------------------------------
