@@ -1,28 +1,35 @@
 """Chat formatting: a hidden Markov model over speaker markers and line features recovers roles, then turns are rendered.
 
 A transcript is a run of lines. Each line shows a marker class (which speaker's marker it starts with, or none) and features
-(its length, a question mark, its place in the transcript). Hidden states are role x (opens a turn | continues it). Emissions
-and transitions are estimated from the lines whose marker names a known role, counted in Spark; counts are sums over all
-rows. Viterbi gives each line its state; a turn starts where a state opens one. Turns are rendered canonically.
-
-A transcript of any length is split: segments of SEGMENT turns become max-plus transfer matrices (state in x state out), a
-row per segment, these are combined along the conversation, and each segment is then decoded from its known entry score and
-its best exit state. No task holds more than a segment's lines and a conversation's row of small matrices.
-
-Defined results. Null or empty text: one empty line. Null, empty or unknown role: no marker; the model decides. Exact repeats
-of a row count once. Rows with a null turn follow the others, in the order of their text's hash. Rows of one turn are ordered
-by role and text. Null conversation ids are one conversation. Other columns are ignored, whatever their names.
+(its length, that of the whole turn where it opens one, a question mark, its place). Hidden states are role x (opens a turn |
+continues it). Start, transition and emission probabilities, markers' included, are estimated from rows whose role is known,
+of conversations outside the held-out fold: counts are sums over all of them, PRIOR_MARK counts for the role that a marker
+names are added. The role column is nothing the model sees where it decodes, unless use_roles is set; then a known role is a
+marker of the row's first line. Viterbi gives each line its state; a turn starts where a state opens one and where a row
+starts. Turns are rendered canonically.
+
+Rows are sorted by conversation and turn over all partitions, and each partition is cut into lots of SEGMENT rows, whatever
+conversations they belong to, so that a task holds one lot at a time. A conversation that reaches over several lots (there are
+fewer such than lots) is decoded as a whole: its part of each lot becomes a max-plus transfer matrix (state in x state out),
+matrices are multiplied along the conversation, in levels of at most CHAIN of them, and each part is then decoded from its
+known entry score and what follows it.
+
+Defined results. Null or empty text: one empty line. Null, empty or unknown role: teaches nothing. Repeated rows: each is a turn.
+Rows with a null turn follow the others. Rows of one turn are ordered by hash, role and text. Null conversation ids are one
+conversation, of any length. A very long text is one row of its lot. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import bounded_broadcast, staged, table
 
@@ -35,9 +42,18 @@ SPEAKERS = {
 }
 NAMES = "|".join(sorted(SPEAKERS, key=len, reverse=True))
 MARKER = re.compile(rf"^\s*(?:(?:<\|(?:im_start\|>)?|\[|#{{1,4}}\s*|\*\*)\s*(?P<a>{NAMES})\s*(?:\|>|\]|:?\*\*:?|:|$)|(?P<b>{NAMES})\s*:)\s*", re.I)
-SEGMENT, SMOOTH, MAX_BROADCAST_ROWS = 256, 0.5, 500_000
+SEGMENT, SEGMENT_CHARS, SMOOTH, PRIOR_MARK, CHAIN, MAX_BROADCAST_ROWS = 256, 1_000_000, 0.5, 8.0, 4096, 200_000
+FOLDS, HELD_OUT = 4, 2
 STATES = 2 * len(ROLES)  # 2r opens a turn of role r, 2r + 1 continues it
-LENGTHS, PLACES = 8, 3
+LENGTHS, PLACES = 12, 3
+FEATURES = LENGTHS * 2 * PLACES
+MARKS = 1 + len(ROLES)
+
+
+def role_of(name: str | None) -> int:
+    """The number of a known role, or -1."""
+    role = SPEAKERS.get((name or "").strip().lower())
+    return ROLES.index(role) if role else -1
 
 
 def split_marker(line: str) -> tuple[int, str]:
@@ -46,90 +62,121 @@ def split_marker(line: str) -> tuple[int, str]:
     return (1 + ROLES.index(SPEAKERS[(m["a"] or m["b"]).lower()]), line[m.end() :]) if m else (0, line)
 
 
-def lines_of(role: str | None, text: str | None, first: bool) -> list[tuple[int, int, str]]:
-    """(marker, features, rest) of each line of a turn as a transcript has it: the speaker's name, then the text."""
-    mark = SPEAKERS.get((role or "").strip().lower())
+def lines_of(text: str | None, first: bool, role: int = -1) -> list[tuple[int, int, str]]:
+    """(marker, features, rest) of each line of a row. role: taken for the first line's marker, unless -1."""
     out = []
     for i, line in enumerate((text or "").split("\n")):
-        found, rest = (1 + ROLES.index(mark), line) if mark and not i else split_marker(line)
-        size = min(LENGTHS - 1, max(0, len(rest).bit_length() - 2))
+        found, rest = (1 + role, line) if role >= 0 and not i else split_marker(line)
+        size = min(LENGTHS - 1, (len(rest) if i else len(text or "")).bit_length())
         place = 0 if first and not i else 1 if not i else 2
         out.append((found, (size * 2 + ("?" in rest)) * PLACES + place, rest))
     return out
 
 
-FEATURES = LENGTHS * 2 * PLACES
+def lots_of(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
+    """Rows in order, SEGMENT to a lot: (lot, convs, turns, roles, texts, before); lots are numbered in order too.
+
+    before: the role of the row before the lot, if that is of the same conversation and partition.
+    """
+    base = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
+    base = base.select("conv", F.col("turn").isNull().alias("late"), "turn", F.xxhash64("role", "text").alias("h"), "role", "text")
+    kind = to_arrow_type(base.schema["conv"].dataType)
+    keys = ["conv", "late", "turn", "h"]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lot, held, size, last = TaskContext.get().partitionId() << 40, [], 0, (None, None)
+
+        def out() -> pa.RecordBatch:
+            cols = list(zip(*held, strict=True))
+            kinds = (kind, pa.int64(), pa.string(), pa.string())
+            before = last[1] if last[0] == held[0][0] else None
+            return pa.RecordBatch.from_arrays([pa.array([lot], pa.int64()), *(pa.array([list(c)], pa.list_(k)) for c, k in zip(cols, kinds, strict=True)), pa.array([before], pa.string())], ["lot", "convs", "turns", "roles", "texts", "before"])
+
+        for b in batches:
+            for x in zip(*(b.column(i).to_pylist() for i in (0, 2, 4, 5)), strict=True):
+                held.append(x)
+                size += len(x[3] or "")
+                if len(held) >= SEGMENT or size > SEGMENT_CHARS:
+                    yield out()
+                    lot, last, held, size = lot + 1, (x[0], x[2]), [], 0
+        if held:
+            yield out()
+
+    sql = base.schema["conv"].dataType.simpleString()
+    rows = base.repartitionByRange(*keys).sortWithinPartitions(*keys, "role", "text")
+    return staged(rows.mapInArrow(cut, f"lot long, convs array<{sql}>, turns array<long>, roles array<string>, texts array<string>, before string"), "lots")
+
+
+def long_ones(lots: DataFrame) -> DataFrame:
+    """(lot, head, tail): whether a lot's first conversation began before it, whether its last goes on after it."""
+    ends = lots.select("lot", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("convs")[0].alias("conv")), F.struct(F.lit(1).alias("side"), F.element_at("convs", -1).alias("conv")))).alias("x")).select("lot", "x.side", "x.conv")
+    over = ends.groupBy("conv").agg(F.min("lot").alias("a"), F.max("lot").alias("z")).filter("z > a").select(F.col("conv").alias("c"), "a", "z")
+    met = ends.join(bounded_broadcast(staged(over, "over"), MAX_BROADCAST_ROWS), F.col("conv").eqNullSafe(F.col("c")))
+    return met.groupBy("lot").agg(F.max((F.col("side") == 0) & (F.col("lot") > F.col("a"))).alias("head"), F.max((F.col("side") == 1) & (F.col("lot") < F.col("z"))).alias("tail"))
+
+
+def runs(convs: list) -> list[tuple[int, int]]:
+    """(from, to) of the rows of each conversation in a lot."""
+    cuts = [0, *(i for i in range(1, len(convs)) if convs[i] != convs[i - 1]), len(convs)]
+    return list(zip(cuts, cuts[1:], strict=False))
 
 
-def rows_of(df: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
-    """The distinct rows with their segment, and whether a row is its conversation's first."""
-    base = df.select(F.col(conv).alias("conv"), F.col(turn).cast("long").alias("turn"), F.col(role).alias("role"), F.col(text).alias("text")).distinct()
-    # of the plain rows, and staged: the join may then broadcast it or split hot conversations
-    low = staged(df.select(F.col(conv).alias("c"), F.col(turn).cast("long").alias("t")).groupBy("c").agg(F.min("t").alias("low")), "low")
-    late = (F.lit(1 << 52) + F.pmod(F.xxhash64("text"), F.lit(1 << 20))).cast("long")
-    at = F.coalesce("turn", late)
-    segment = F.floor((F.coalesce("turn", late) - F.coalesce("low", F.lit(0))) / SEGMENT).cast("long")
-    joined = base.join(bounded_broadcast(low, MAX_BROADCAST_ROWS), F.col("conv").eqNullSafe(F.col("c")), "left")
-    return joined.select("conv", at.alias("at"), "turn", "role", "text", segment.alias("segment"), (F.col("turn") == F.col("low")).alias("first"))
+def held_out(conv) -> bool:
+    """Whether nothing is learnt from a conversation: crc32 of its id as text."""
+    return conv is not None and zlib.crc32(str(conv).encode()) % FOLDS == HELD_OUT
 
 
-def fit(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def fit(lots: DataFrame, use_roles: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log probabilities (states x states + start row, states x (markers, features)) from counts over rows with known roles.
 
-    A turn's first line is emitted by the opening state, further lines by the continuing one. What follows a turn is counted
-    over pairs of turns in order, which are found by joining each row with the next turn number.
+    A turn's first line is emitted by the opening state, further lines by the continuing one.
     """
-    known = F.create_map(*[x for k, v in SPEAKERS.items() for x in (F.lit(k), F.lit(ROLES.index(v)))])
-    named = rows.select("conv", "turn", known[F.lower(F.trim("role"))].alias("r"), "text", "first").filter("r is not null")
+    sizes = {"emit": (STATES, FEATURES), "mark": (STATES, MARKS), "more": (len(ROLES), 2), "turn": (len(ROLES), len(ROLES)), "start": (1, len(ROLES))}
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((STATES, FEATURES), np.int64)
-        more = np.zeros((len(ROLES), 2), np.int64)
+        n = {k: np.zeros(v, np.int64) for k, v in sizes.items()}
         for b in batches:
-            for r, text, first in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for i, (_, f, _) in enumerate(lines_of(ROLES[r], text, bool(first))):
-                    counts[2 * r + (i > 0), f] += 1
-                more[r] += (i, 1)
-        s, f = np.nonzero(counts)
-        k, v = [*(s * FEATURES + f)], [*counts[s, f]]
-        k += [STATES * FEATURES + i for i in range(more.size)]
-        v += more.ravel().tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(v, pa.int64())], ["k", "v"])
-
-    sums = dict(named.select("r", "text", "first").mapInArrow(part, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect())  # at most STATES * FEATURES + 6 rows
-    emit = np.full((STATES, FEATURES), SMOOTH)
-    more = np.full((len(ROLES), 2), SMOOTH)
-    for k, v in sums.items():
-        if k < STATES * FEATURES:
-            emit[divmod(k, FEATURES)] += v
-        else:
-            more.ravel()[k - STATES * FEATURES] += v
-    nexts = named.select(F.col("conv").alias("c"), (F.col("turn") - 1).alias("t"), F.col("r").alias("s"))
-    # a null conversation or turn has no known order and isn't counted; joins are on ids and turns, so no group is gathered
-    pairs = named.join(nexts, (F.col("conv") == F.col("c")) & (F.col("turn") == F.col("t"))).groupBy("r", "s").count().collect()
-    starts = named.filter("first").groupBy("r").count().collect()
-    turn, start = np.full((len(ROLES), len(ROLES)), SMOOTH), np.full(len(ROLES), SMOOTH)
-    for x in pairs:
-        turn[x.r, x.s] += x["count"]
-    for x in starts:
-        start[x.r] += x["count"]
-    turn, start = turn / turn.sum(axis=1, keepdims=True), start / start.sum()
+            for convs, roles, texts, head, before in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                for lo, hi in runs(convs):
+                    if held_out(convs[lo]):
+                        continue
+                    last = -1 if lo else role_of(before)
+                    for i in range(lo, hi):
+                        r, first = role_of(roles[i]), i == lo and not (lo == 0 and head)
+                        if r >= 0:
+                            lines = lines_of(texts[i], first, r if use_roles else -1)
+                            for k, (mark, feature, _) in enumerate(lines):
+                                n["emit"][2 * r + (k > 0), feature] += 1
+                                n["mark"][2 * r + (k > 0), mark] += 1
+                            n["more"][r] += (len(lines) - 1, 1)
+                            if first:
+                                n["start"][0, r] += 1
+                            if last >= 0:
+                                n["turn"][last, r] += 1
+                        last = r
+        flat = np.concatenate([n[k].ravel() for k in sizes])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat)], ["k", "v"])
+
+    sums = lots.select("convs", "roles", "texts", "head", "before").mapInArrow(part, "k long, v long").groupBy("k").agg(F.sum("v").alias("v")).collect()  # a row for each count
+    flat = np.zeros(sum(a * b for a, b in sizes.values()))
+    for r in sums:
+        flat[r.k] = r.v
+    n, at = {}, 0
+    for k, (a, b) in sizes.items():
+        n[k], at = flat[at : at + a * b].reshape(a, b) + SMOOTH, at + a * b
+    for r in range(len(ROLES)):  # what a marker means is known before anything is counted
+        n["mark"][2 * r, 1 + r] += PRIOR_MARK
+        n["mark"][2 * r + 1, 0] += PRIOR_MARK
+        if use_roles:  # a role that is given isn't another
+            n["mark"][2 * r, [1 + x for x in range(len(ROLES)) if x != r]] = 1e-9
+    share = {k: v / v.sum(axis=1, keepdims=True) for k, v in n.items()}
     step = np.full((STATES + 1, STATES), -np.inf)
     for r in range(len(ROLES)):
-        go_on = more[r, 0] / more[r].sum()
         for state in (2 * r, 2 * r + 1):
-            step[state, 2 * r + 1] = np.log(go_on)
-            step[state, 0::2] = np.log((1 - go_on) * turn[r])
-    step[STATES, 0::2] = np.log(start)
-    mark = np.log(np.where(np.eye(len(ROLES), dtype=bool), 0.97, 0.005))  # a marker is seldom another role's
-    both = np.zeros((STATES, 1 + len(ROLES), FEATURES))
-    emit = np.log(emit / emit.sum(axis=1, keepdims=True))
-    for r in range(len(ROLES)):
-        both[2 * r, 0] = np.log(0.02) + emit[2 * r]
-        both[2 * r + 1, 0] = np.log(0.98) + emit[2 * r + 1]
-        both[2 * r, 1:] = mark[r][:, None] + emit[2 * r]
-        both[2 * r + 1, 1:] = np.log(0.02 / 3) + emit[2 * r + 1]
-    return step, both
+            step[state, 2 * r + 1] = np.log(share["more"][r, 0])
+            step[state, 0::2] = np.log(share["more"][r, 1] * share["turn"][r])
+    step[STATES, 0::2] = np.log(share["start"][0])
+    return step, np.log(share["mark"])[:, :, None] + np.log(share["emit"])[:, None, :]
 
 
 def transfer(lines: list[tuple[int, int, str]], step: np.ndarray, emit: np.ndarray) -> np.ndarray:
@@ -141,6 +188,11 @@ def transfer(lines: list[tuple[int, int, str]], step: np.ndarray, emit: np.ndarr
     return out
 
 
+def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product: a, then b."""
+    return (a[:, :, None] + b[None, :STATES, :]).max(axis=1)
+
+
 def decode_lines(lines: list[tuple[int, int, str]], entry: np.ndarray, leave: np.ndarray, step: np.ndarray, emit: np.ndarray) -> list[int]:
     """The best states of the lines, given scores of the states before them and of what follows their last state."""
     score, back = entry, []
@@ -154,86 +206,116 @@ def decode_lines(lines: list[tuple[int, int, str]], entry: np.ndarray, leave: np
     return states[::-1]
 
 
-def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turn, part, role_given, role, text, rendered): the turns that the model finds, each rendered canonically.
-
-    A row whose text holds several turns gives as many; part numbers them.
-    """
-    rows = staged(rows_of(df, conv, turn, role, text), "turns")
-    step, emit = fit(rows)
-    names = ["conv", "segment", "at", "role", "text", "turn", "first"]
-    lots = rows.repartition("conv", "segment").sortWithinPartitions("conv", "segment", "at", "role", "text").select(*names)
-    long_ones = staged(rows.groupBy("conv").agg(F.min("segment").alias("a"), F.max("segment").alias("z")).filter("z > a").select("conv"), "long")
+START = np.r_[np.full(STATES, -np.inf), 0.0]
 
-    def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
-        def each():
-            for b in batches:
-                yield from b.to_pylist()
-
-        for key, own in groupby(each(), key=lambda x: (x["conv"], x["segment"])):
-            yield key, list(own)
-
-    def lines(own: list[dict]) -> list[list[tuple[int, int, str]]]:
-        return [lines_of(x["role"], x["text"], bool(x["first"])) for x in own]
-
-    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, s), own in segments(batches):
-            m = transfer([y for x in lines(own) for y in x], step, emit)
-            yield pa.RecordBatch.from_arrays([pa.array([c], kind), pa.array([s], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv", "segment", "m"])
 
-    from pyspark.sql.pandas.types import to_arrow_type
+def bounds_of(parts: DataFrame, kind: pa.DataType, limit: int | None = None) -> DataFrame:
+    """(conv, lot, entry, leave) of each part (conv, lot, m) of a conversation: scores before it, and of what follows it.
 
-    kind = to_arrow_type(rows.schema["conv"].dataType)
-    sql = rows.schema["conv"].dataType.simpleString()
-
-    def chain(key, pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("segment")
-        ms = [np.array(m).reshape(STATES + 1, STATES) for m in pdf["m"]]
-        entries, leaves = [np.r_[np.full(STATES, -np.inf), 0.0]], [np.zeros(STATES)]
+    Where a conversation has more parts than the limit, neighbours are multiplied first, their product's bounds are found in
+    the same way and then carried to the parts; so no group has more rows than the limit.
+    """
+    limit = limit or CHAIN
+    sql, lists = parts.schema["conv"].dataType.simpleString(), (kind, pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+    out = f"conv {sql}, lot long, entry array<double>, leave array<double>"
+
+    def spread(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lot")
+        ms = [np.array(m).reshape(STATES + 1, STATES) for m in table["m"].to_pylist()]
+        entry, leave = table["entry"][0].as_py(), table["leave"][-1].as_py()
+        entries, leaves = [START if entry is None else np.array(entry)], [np.zeros(STATES) if leave is None else np.array(leave)]
         for m in ms[:-1]:
             entries.append((entries[-1][:, None] + m[: len(entries[-1])]).max(axis=0))
         for m in reversed(ms[1:]):
             leaves.append((m[:STATES] + leaves[-1][None, :]).max(axis=1))
-        return pd.DataFrame({"conv": pdf["conv"], "segment": pdf["segment"], "entry": [x.tolist() for x in entries], "leave": [x.tolist() for x in leaves[::-1]]})
+        cols = (table["conv"].to_pylist(), table["lot"].to_pylist(), [x.tolist() for x in entries], [x.tolist() for x in leaves[::-1]])
+        return pa.table([pa.array(c, k) for c, k in zip(cols, lists, strict=True)], ["conv", "lot", "entry", "leave"])
+
+    def product(table: pa.Table) -> pa.Table:
+        table = table.sort_by("lot")
+        m = None
+        for x in table["m"].to_pylist():
+            x = np.array(x).reshape(STATES + 1, STATES)
+            m = x if m is None else after(m, x)
+        return pa.table([table["conv"].slice(0, 1).combine_chunks(), table["block"].slice(0, 1).combine_chunks(), pa.array([m.ravel().tolist()], lists[2])], ["conv", "lot", "m"])
+
+    most = parts.groupBy("conv").count().agg(F.max("count")).first()[0] or 0
+    if most <= limit:
+        none = F.lit(None).cast("array<double>")
+        return parts.withColumns({"entry": none, "leave": none}).groupBy("conv").applyInArrow(spread, out)
+    # lots of a conversation are dense within a partition, so blocks of numbers hold at most so many of them
+    blocks = parts.withColumn("block", F.floor(F.col("lot") / limit).cast("long"))
+    outer = staged(bounds_of(staged(blocks.groupBy("conv", "block").applyInArrow(product, f"conv {sql}, lot long, m array<double>"), "blocks"), kind, limit), "block-bounds")
+    named = outer.select(F.col("conv").alias("c"), F.col("lot").alias("b"), "entry", "leave")
+    fed = blocks.join(named, F.col("conv").eqNullSafe(F.col("c")) & (F.col("block") == F.col("b"))).select("conv", "lot", "m", "entry", "leave", "block")
+    return fed.groupBy("conv", "block").applyInArrow(spread, out)
+
+
+def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", use_roles: bool = True) -> DataFrame:
+    """(conv, turn, part, role_given, role, text, held_out, rendered): the turns that the model finds, rendered canonically.
+
+    A row whose text holds several turns gives as many; part numbers them. held_out: the model has learnt nothing from the
+    conversation. use_roles: known roles are markers for the model, as in a transcript that names its speakers.
+    """
+    lots = lots_of(df, conv, turn, role, text)
+    marks = bounded_broadcast(staged(long_ones(lots), "marks"), MAX_BROADCAST_ROWS)
+    lots = lots.join(marks, "lot", "left").withColumns({x: F.coalesce(x, F.lit(False)) for x in ("head", "tail")})
+    step, emit = fit(lots, use_roles)
+    kind = to_arrow_type(lots.schema["convs"].dataType.elementType)
+    sql = lots.schema["convs"].dataType.elementType.simpleString()
 
-    some = lots.join(F.broadcast(long_ones), lots["conv"].eqNullSafe(long_ones["conv"]), "left_semi") if long_ones.limit(100_000).count() < 100_000 else lots.join(long_ones, lots["conv"].eqNullSafe(long_ones["conv"]), "left_semi").repartition("conv", "segment").sortWithinPartitions("conv", "segment", "at", "role", "text")
-    bounds = some.mapInArrow(matrices, f"conv {sql}, segment long, m array<double>").groupBy("conv").applyInPandas(chain, f"conv {sql}, segment long, entry array<double>, leave array<double>")
-    fed = lots if long_ones.isEmpty() else None
-    if fed is None:
-        bounds = staged(bounds, "bounds").withColumnRenamed("conv", "c").withColumnRenamed("segment", "s")
-        fed = rows.join(bounds, rows["conv"].eqNullSafe(F.col("c")) & (rows["segment"] == F.col("s")), "left").repartition("conv", "segment").sortWithinPartitions("conv", "segment", "at", "role", "text").select(*names, "entry", "leave")
+    def lines(roles: list, texts: list, lo: int, hi: int, began: bool) -> list[list[tuple[int, int, str]]]:
+        return [lines_of(texts[i], i == lo and not began, role_of(roles[i]) if use_roles else -1) for i in range(lo, hi)]
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lot, convs, roles, texts, head, tail in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                for lo, hi in runs(convs):
+                    began, goes_on = head and lo == 0, tail and hi == len(convs)
+                    if began or goes_on:
+                        m = transfer([y for x in lines(roles, texts, lo, hi, began) for y in x], step, emit)
+                        yield pa.RecordBatch.from_arrays([pa.array([convs[lo]], kind), pa.array([lot], pa.int64()), pa.array([m.ravel().tolist()], pa.list_(pa.float64()))], ["conv", "lot", "m"])
+
+    over = lots.filter("head or tail").select("lot", "convs", "roles", "texts", "head", "tail")
+    parts = staged(over.mapInArrow(matrices, f"conv {sql}, lot long, m array<double>"), "matrices")
+    if not parts.isEmpty():
+        side = staged(bounds_of(parts, kind), "bounds").groupBy("lot").agg(F.collect_list(F.struct("conv", "entry", "leave")).alias("bounds"))  # at most two for a lot
+        lots = lots.join(bounded_broadcast(side, MAX_BROADCAST_ROWS // 10), "lot", "left")
+    else:
+        lots = lots.withColumn("bounds", F.lit(None).cast(f"array<struct<conv:{sql},entry:array<double>,leave:array<double>>>"))
 
     def render(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (c, _), own in segments(batches):
-            per_row = lines(own)
-            entry = own[0].get("entry")
-            entry = np.r_[np.full(STATES, -np.inf), 0.0] if entry is None else np.array(entry)
-            leave = np.zeros(STATES) if own[0].get("leave") is None else np.array(own[0]["leave"])
-            states, at = decode_lines([y for x in per_row for y in x], entry, leave, step, emit), 0
-            out: list[tuple] = []
-            for x, ls in zip(own, per_row, strict=True):
-                part = 0
-                for i, (_, _, rest) in enumerate(ls):
-                    state = states[at]
-                    at += 1
-                    if state % 2 == 0 or not i:
-                        out.append((x["turn"], part, x["role"], ROLES[state // 2], [rest]))
-                        part += 1
-                    else:
-                        out[-1][4].append(rest)
-            texts = ["\n".join(x[4]).strip() for x in out]
-            shown = [f"<|{x[3]}|>\n{t}\n<|end|>" for x, t in zip(out, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([c] * len(out), kind), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int32()), *(pa.array([x[k] for x in out], pa.string()) for k in (2, 3)), pa.array(texts, pa.string()), pa.array(shown, pa.string())],
-                ["conv", "turn", "part", "role_given", "role", "text", "rendered"],
-            )
-
-    out = fed.mapInArrow(render, f"conv {sql}, turn long, part int, role_given string, role string, text string, rendered string")
+        for b in batches:
+            for convs, turns, roles, texts, head, tail, bounds in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                out: list[tuple] = []
+                for lo, hi in runs(convs):
+                    began, goes_on = head and lo == 0, tail and hi == len(convs)
+                    per_row = lines(roles, texts, lo, hi, began)
+                    known = next((x for x in bounds or () if x["conv"] == convs[lo]), None) if began or goes_on else None
+                    entry, leave = (np.array(known["entry"]), np.array(known["leave"])) if known else (START, np.zeros(STATES))
+                    states, at = decode_lines([y for x in per_row for y in x], entry, leave, step, emit), 0
+                    for i, ls in zip(range(lo, hi), per_row, strict=True):
+                        for k, (_, _, rest) in enumerate(ls):
+                            state = states[at]
+                            at += 1
+                            if state % 2 == 0 or not k:
+                                out.append((convs[i], turns[i], out[-1][2] + 1 if k else 0, roles[i], ROLES[state // 2], [rest]))
+                            else:
+                                out[-1][5].append(rest)
+                shown = ["\n".join(x[5]).strip() for x in out]
+                cols = [*zip(*(x[:5] for x in out), strict=True)]
+                kinds = (kind, pa.int64(), pa.int32(), pa.string(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), pa.array(shown, pa.string()), pa.array([held_out(c) for c in cols[0]]), pa.array([f"<|{x[4]}|>\n{t}\n<|end|>" for x, t in zip(out, shown, strict=True)], pa.string())],
+                    ["conv", "turn", "part", "role_given", "role", "text", "held_out", "rendered"],
+                )
+
+    fed = lots.select("convs", "turns", "roles", "texts", "head", "tail", "bounds")
+    out = fed.mapInArrow(render, f"conv {sql}, turn long, part int, role_given string, role string, text string, held_out boolean, rendered string")
     return out.withColumnRenamed("conv", conv)
 
 
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every turn of every conversation with the role that the model recovers, rendered."""
-    return format_turns(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "part", "role_given", "role", "rendered")
+    """Every turn of every conversation with the role that the model recovers from its lines alone, rendered."""
+    out = format_turns(table(spark, sf_dir, "conversations"), use_roles=False)
+    return out.select("conv_id", "turn", "part", "role_given", "role", "held_out", "rendered")

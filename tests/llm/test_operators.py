@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on rows with nulls, empty texts, repeats and clashing columns."""
 
+import itertools
 import math
 import random
 import re
@@ -529,7 +530,7 @@ def test_chat_transcripts_and_edges(spark):
     got = chat.format_turns(df).collect()
     one = [(r.part, r.role, r.text) for r in sorted(got, key=lambda r: r.part) if r.conv_id == 1]
     assert one == [(0, "user", "hi\nthere"), (1, "assistant", "hello"), (2, "user", "ok")]
-    assert sum(r.conv_id == 2 for r in got) == 4 and sum(r.conv_id is None for r in got) == 1
+    assert sum(r.conv_id == 2 for r in got) == 5 and sum(r.conv_id is None for r in got) == 1  # a repeated row is a turn
     assert chat.format_turns(df.limit(0)).count() == 0
 
 
@@ -540,3 +541,53 @@ def test_long_conversations_are_decoded_as_a_whole(spark, monkeypatch):
     whole = sorted((r.turn, r.part, r.role) for r in chat.format_turns(df).collect())
     monkeypatch.setattr(chat, "SEGMENT", 7)
     assert sorted((r.turn, r.part, r.role) for r in chat.format_turns(df).collect()) == whole
+
+
+def test_roles_come_from_the_lines_alone(spark):
+    sf = "/root/testdata/sf0.1"
+    got = chat.op10_chat(spark, sf).filter("part = 0").collect()
+    held = [r for r in got if r.held_out]
+    assert len(got) == spark.read.parquet(f"{sf}/conversations.parquet").count() and len(held) > 1000
+    assert sum(r.role == r.role_given for r in held) / len(held) > 0.95
+    assert sum(r.role == r.role_given for r in got) / len(got) > 0.95
+    # roles that are nonsense change nothing where they are held out
+    df = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    held = F.crc32(F.col("conv_id").cast("string").cast("binary")) % chat.FOLDS == chat.HELD_OUT
+    other = df.withColumn("role", F.when(held, F.lit("assistant")).otherwise(F.col("role")))
+    rows = lambda x: sorted((r.conv_id, r.turn, r.part, r.rendered) for r in chat.format_turns(x, use_roles=False).collect())
+    assert rows(df) == rows(other)
+
+
+def test_decoded_paths_are_the_best_of_all(spark):
+    rng, nr = random.Random(31), np.random.default_rng(31)
+    for _ in range(20):
+        step = np.log(nr.random((chat.STATES + 1, chat.STATES)))
+        step[:, 1::2] = [[x if s // 2 == r else -np.inf for r, x in enumerate(row[1::2])] if s < chat.STATES else [-np.inf] * 3 for s, row in enumerate(step)]
+        emit = np.log(nr.random((chat.STATES, chat.MARKS, chat.FEATURES)))
+        lines = [(rng.randrange(chat.MARKS), rng.randrange(chat.FEATURES), "") for _ in range(5)]
+
+        def value(path, step=step, emit=emit, lines=lines):
+            return sum(step[a, b] + emit[b, m, f] for a, b, (m, f, _) in zip([chat.STATES, *path], path, lines, strict=False))
+
+        best = max(value(p) for p in itertools.product(range(chat.STATES), repeat=len(lines)))
+        found = chat.decode_lines(lines, chat.START, np.zeros(chat.STATES), step, emit)
+        assert value(found) == pytest.approx(best) == pytest.approx(chat.transfer(lines, step, emit)[chat.STATES].max())
+
+
+def test_very_long_conversations_are_chained_in_levels(spark, monkeypatch):
+    rng = random.Random(33)
+    rows = [(None, i, ("user", "assistant")[i % 2], text_of(rng, (6, 60)[(i + i // 50) % 2])) for i in range(230)] + [(7, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    marks = lambda lots: lots.join(chat.long_ones(lots), "lot", "left").fillna(False)
+    step, emit = chat.fit(marks(chat.lots_of(df, "conv_id", "turn", "role", "text")), False)
+
+    def value():
+        """The score of the path that is found; other paths may be as good."""
+        got = sorted((r.turn, r.role) for r in chat.format_turns(df, use_roles=False).filter("conv_id is null").collect())
+        path = [chat.STATES, *(2 * chat.ROLES.index(r) for _, r in got)]
+        return sum(step[a, b] + emit[b, m, f] for a, b, (m, f, _) in zip(path, path[1:], (x for i, r in enumerate(rows[:230]) for x in chat.lines_of(r[3], i == 0)), strict=False))
+
+    whole = value()
+    monkeypatch.setattr(chat, "SEGMENT", 4)
+    monkeypatch.setattr(chat, "CHAIN", 5)
+    assert value() == pytest.approx(whole)
