@@ -167,8 +167,9 @@ def fit(lots: DataFrame, use_roles: bool) -> tuple[np.ndarray, np.ndarray]:
     for r in range(len(ROLES)):  # what a marker means is known before anything is counted
         n["mark"][2 * r, 1 + r] += PRIOR_MARK
         n["mark"][2 * r + 1, 0] += PRIOR_MARK
-        if use_roles:  # a role that is given isn't another
+        if use_roles:  # a role that is given isn't another, and whether it is given doesn't depend on which it is
             n["mark"][2 * r, [1 + x for x in range(len(ROLES)) if x != r]] = 1e-9
+            n["mark"][2 * r, 0] = 0.02 * n["mark"][2 * r, 1:].sum()
     share = {k: v / v.sum(axis=1, keepdims=True) for k, v in n.items()}
     step = np.full((STATES + 1, STATES), -np.inf)
     for r in range(len(ROLES)):
