@@ -2,10 +2,12 @@
 
 A page becomes a tree. Each subtree gets a hash of its tags, classes, text and children. Spark counts, per host, the pages on
 which each hash occurs outside explicit articles (pre-aggregated, distinct per page). Hashes found on many pages of a host are
-that host's template and are deleted, together with elements whose tag, role or class says that they are menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles or reader comments. The blocks inside explicit articles (article, main) are
+that host's template and are cut out of the page first. Then go elements whose tag, role or class says that they are menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles or reader comments; a class that may as well be about the subject
+doesn't delete running text. The blocks inside explicit articles (article, main) are
 counted by the different articles that hold them, as the same article may well stand on many pages; headings, single items and cells,
-and what is part of a sentence stay. The text is that of all articles of the page, in its order.
+and what is part of a sentence stay. The text is that of all articles of the page, in its order; of an article in a main
+element, that of the main element.
 
 A host's template hashes are few: each is on at least `min_share` of its pages, so there are at most 1/min_share times as
 many as a page has subtrees on average. They are joined to the pages by host, broadcast if their counted rows are few.
@@ -37,15 +39,19 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 # Elements, roles and words of class or id that mark what isn't the article.
-DROPPED = set("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed dialog menu title label input".split())
+DROPPED = set("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed dialog menu title input".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-MARKS = re.compile(r"^(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|adbox|banners?|cookies?|consent|gdpr|notices?|alerts?|promos?|promotions?|sponsors?|sponsored|sidebars?|menus?|nav|navs|navbar|navigation|footers?|masthead|breadcrumbs?|comments?|replies|reply|respond|disqus|share|sharing|social|related|recommended|newsletters?|subscribe|subscription|signup|popups?|modals?|overlay|login|widgets?|toolbar|pagination|pager|skip|copyright|disclaimer)$")
-HEADER_MARKS = re.compile(r"^(?:headers?|topbar|site-header)$")
+SURE = set("ad ads advert adverts advertisement advertisements advertising adsense adslot adbox cookie cookies consent gdpr sponsor sponsors sponsored sidebar sidebars nav navs navbar navigation footer footers masthead breadcrumb breadcrumbs comment comments disqus share sharing newsletter newsletters subscribe signup popup popups modal modals login pagination pager copyright disclaimer".split())
+# Words that mark such a part too, but may be about the article's subject: prose under them stays.
+MAYBE = set("banner banners notice notices alert alerts promo promos promotion promotions menu menus replies reply respond social related recommended subscription overlay widget widgets toolbar skip".split())
+# What such words are combined with.
+WITH = set("area bar block body bottom box button buttons container content count entry footer form group header holder icon icons inner item items left line link links list main message module page panel right section site slot strip text thread title top unit user widget wrap wrapper".split())
+HEADERS = set("header headers topbar".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
-MIN_PAGES, MIN_SHARE, MAX_BROADCAST_ROWS = 3, 0.2, 100_000
+MIN_PAGES, MIN_SHARE, MAX_BROADCAST_ROWS, PROSE = 3, 0.2, 100_000, 20
 
 
 class Node:
@@ -117,8 +123,25 @@ def attributes(node: Node) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(node.attrs)}
 
 
+def is_prose(node: Node) -> bool:
+    """Whether there is running text under a node: PROSE words or more, few of them in links."""
+    plain = linked = 0
+    todo: list = [(node, False)]
+    while todo:
+        x, inside = todo.pop()
+        if isinstance(x, str):
+            n = len(x.split())
+            plain, linked = plain + n * (not inside), linked + n * inside
+        elif x.tag not in RAW:
+            todo += [(k, inside or x.tag == "a") for k in x.kids]
+    return plain >= PROSE and linked <= 0.3 * (plain + linked)
+
+
 def marked(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, class or id says that the node isn't part of the article."""
+    """Whether tag, role, class or id says that the node isn't part of the article.
+
+    A class or id counts as a whole, all of its parts being words that mark or go with such words; `social-policy` isn't one.
+    """
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
     a = attributes(node)
@@ -126,10 +149,13 @@ def marked(node: Node, in_article: bool) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True
+    names = [set(re.split(r"[_-]+", x)) - {""} for x in (a.get("class", "") + " " + a.get("id", "")).lower().split()]
     if node.tag in ("html", "body", "article", "main"):
-        return node.tag == "article" and any(re.match("comments?$|reply$", w) for w in re.split(r"[\s_-]+", (a.get("class", "") + " " + a.get("id", "")).lower()))
-    words = [w for x in (a.get("class", ""), a.get("id", "")) for w in re.split(r"[\s_-]+", x.lower()) if w]
-    return any(MARKS.match(w) or not in_article and HEADER_MARKS.match(w) for w in words)
+        return node.tag == "article" and any(x & {"comment", "comments", "reply"} and x <= SURE | MAYBE | WITH for x in names)
+    names = [x for x in names if x <= SURE | MAYBE | WITH | HEADERS]
+    if any(x & SURE or not in_article and x & HEADERS for x in names):
+        return True
+    return any(x & MAYBE for x in names) and not is_prose(node)
 
 
 def is_article(node: Node) -> bool:
@@ -178,8 +204,8 @@ def page_hashes(html: str | None) -> list[tuple[int, int]]:
     return sorted(found | {(1, article) for _, article in found if article})
 
 
-def blocks_of(node: Node, dropped: set[int], hashes: dict[int, tuple[int, int]]) -> list[str]:
-    """Text of the blocks under node, in page order, without what is marked or a template."""
+def blocks_of(node: Node) -> list[str]:
+    """Text of the blocks under node, in page order, without what is marked."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -198,7 +224,7 @@ def blocks_of(node: Node, dropped: set[int], hashes: dict[int, tuple[int, int]])
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif x is node or not (marked(x, inside) or (id(x) in hashes and hashes[id(x)][0] in dropped)):
+        elif x is node or not marked(x, inside):
             if x.tag == "br":
                 line.append(" ")
             block = x.tag in BLOCKS
@@ -210,27 +236,40 @@ def blocks_of(node: Node, dropped: set[int], hashes: dict[int, tuple[int, int]])
     return blocks
 
 
-def main_text(html: str | None, templates: set[int] | None = None) -> str:
-    """The articles' text: their blocks joined by two line ends."""
+def without(root: Node, dropped: set[int], hashes: dict[int, tuple[int, int]]) -> int:
+    """Cuts the templates' subtrees out of a tree, and says how many."""
+    n, todo = 0, [root]
+    while todo:
+        node = todo.pop()
+        gone = {id(k) for k in node.kids if id(k) in hashes and hashes[id(k)][0] in dropped}
+        if gone:
+            n += len(gone)
+            # text on either side of a block stays apart
+            node.kids = [k if id(k) not in gone else Node("hr") for k in node.kids if id(k) not in gone or k.tag in BLOCKS]
+        todo += [k for k in node.kids if isinstance(k, Node)]
+    return n
+
+
+def main_parts(html: str | None, templates: set[int] | None = None) -> tuple[str, int]:
+    """(the article's text, its blocks joined by two line ends; how many template subtrees were cut out of the page)."""
     if not html:
-        return ""
+        return "", 0
     root, templates = parse(html), templates or set()
-    hashes = subtree_hashes(root) if templates else {}
-    articles, outer, todo = [], [], [(root, False)]  # outer: explicit articles of other tags that aren't in one another
+    cut = without(root, templates, subtree_hashes(root)) if templates else 0
+    found, todo = [], [root]  # explicit articles that aren't in one another
     while todo:
-        node, inside = todo.pop()
+        node = todo.pop()
         if node is not root and marked(node, False):
             continue
         if is_article(node):
-            if node.tag == "article":
-                articles.append(node)
-            if not inside:
-                outer.append(node)
-            if node.tag == "article":
-                continue
-            inside = True
-        todo += [(k, inside) for k in reversed(node.kids) if isinstance(k, Node)]
-    return "\n\n".join(b for x in articles or outer or [root] for b in blocks_of(x, templates, hashes))
+            found.append(node)
+        else:
+            todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
+    return "\n\n".join(b for x in found or [root] for b in blocks_of(x)), cut
+
+
+def main_text(html: str | None, templates: set[int] | None = None) -> str:
+    return main_parts(html, templates)[0]
 
 
 def templates_by_host(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
@@ -258,17 +297,17 @@ def templates_by_host(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """(id, url, text) of each row."""
+    """(id, url, text, n_templates) of each row; n_templates: recurring subtrees that were cut out of the page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     found = bounded_broadcast(staged(templates_by_host(rows.select("url", "html")), "templates"), max_broadcast)
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     joined = rows.withColumn("host", host).join(found, "host", "left").select("page_id", "url", "html", "templates")
-    out = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType())])
+    out = T.StructType([rows.schema["page_id"], rows.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_templates", T.LongType())])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = [main_text(h, set(t or ())) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string())], ["page_id", "url", "text"])
+            found = [main_parts(h, set(t or ())) for h, t in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["page_id", "url", "text", "n_templates"])
 
     return joined.mapInArrow(part, out)
 

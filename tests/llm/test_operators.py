@@ -241,6 +241,42 @@ def test_html_templates_inside_articles(spark):
     assert got[31] == "Text 1."
 
 
+@pytest.mark.parametrize("name", ["related work", "social-policy", "promotion-analysis", "alert fatigue", "label"])
+def test_prose_is_not_deleted_by_a_class_alone(name):
+    body = " ".join(["words of the article itself"] * 8)
+    tag = "label" if name == "label" else "section"
+    assert html_text.main_text(f"<article><h1>T</h1><{tag} class='{name}'>{body}</{tag}></article>").replace("\n\n", " ").replace("T ", "T") == f"T{body}"
+
+
+def test_what_is_not_the_article_goes():
+    gone = ["<div class='ad'>Buy now.</div>", "<div class='comments-list'><p>I think so.</p></div>", "<aside>x</aside>", "<div class='related'><a href='/1'>One</a></div>", "<div id='share_buttons'>s</div>", "<nav>m</nav>", "<form>f</form>"]
+    page = f"<body><header>h</header><div class='cookie-banner'>ok?</div><main><p>Lead.</p><article><h1>T</h1>{''.join(gone)}<p>One.</p></article><article><p>Two.</p></article><article class='comment'><p>No.</p></article></main><footer>f</footer></body>"
+    assert html_text.main_text(page) == "Lead.\n\nT\n\nOne.\n\nTwo."
+
+
+def test_templates_against_brute_force(spark):
+    rng, rows = random.Random(41), []
+    for i in range(60):
+        host, body = i % 3, [f"<p>{text_of(rng, 12)}</p>" for _ in range(4)]
+        if i % 2:
+            body.insert(rng.randint(0, 4), f"<div><b>Letter {host}</b> every week.</div>")
+        rows.append((i, f"https://h{host}.example/{i}", f"<div>Top {host}</div><ul><li>Home</li></ul><article>{''.join(body)}</article><p>Rights of {host}.</p>"))
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in got:  # all that recurs is known here
+        html = rows[r.page_id][2]
+        article = html[html.index("<article>") :].split("</article>")[0]
+        assert r.text.split("\n\n") == [x for x in re.findall(r"<p>(.*?)</p>", article)]
+        assert r.n_templates == 3 + r.page_id % 2
+
+
+def test_html_edges(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(empty).count() == 0
+    long_page = "<article>" + "".join(f"<p>word {i}</p>" for i in range(30_000)) + "</article>"
+    got = html_text.extract(spark.createDataFrame([(1, "x", long_page), (1, "x", long_page), (None, None, "<p>a")], empty.schema)).collect()
+    assert sorted(len(r.text.split("\n\n")) for r in got) == [1, 30_000, 30_000]
+
+
 def test_html_is_the_same_at_any_size_of_broadcast(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     assert sorted(html_text.extract(df).collect()) == sorted(html_text.extract(df, max_broadcast=0).collect())
