@@ -52,6 +52,8 @@ ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 MIN_PAGES, MIN_SHARE, MAX_BROADCAST_ROWS, PROSE = 3, 0.2, 100_000, 20
+#: Inside articles, where short paragraphs may be alike by chance: of a host's different articles.
+INSIDE_SHARE = 0.5
 
 
 class Node:
@@ -272,8 +274,8 @@ def main_text(html: str | None, templates: set[int] | None = None) -> str:
     return main_parts(html, templates)[0]
 
 
-def templates_by_host(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, templates): hashes of subtrees on at least min_pages and min_share of a host's pages, or of its different articles.
+def templates_by_host(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, inside_share: float = INSIDE_SHARE) -> DataFrame:
+    """(host, templates): hashes of subtrees on at least min_pages and min_share of a host's pages, or inside_share of its different articles.
 
     pages: url, html.
     """
@@ -293,7 +295,7 @@ def templates_by_host(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: f
     seen = each.groupBy("host", "hash", inside.alias("inside")).agg(F.sum(F.when(inside, 1).otherwise(F.col("n"))).alias("n"))
     many = staged(seen.filter(F.col("n") >= min_pages), "subtrees")  # read three times below
     total = many.filter("hash in (0, 1)").select("host", "inside", F.col("n").alias("pages"))
-    return many.filter("hash not in (0, 1)").join(total, ["host", "inside"]).filter(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
+    return many.filter("hash not in (0, 1)").join(total, ["host", "inside"]).filter(F.col("n") >= F.when(F.col("inside"), inside_share).otherwise(min_share) * F.col("pages")).groupBy("host").agg(F.sort_array(F.collect_set("hash")).alias("templates"))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
