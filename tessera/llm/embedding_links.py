@@ -1,13 +1,14 @@
 """Embedding near-duplicates by dual traversal of cover trees: exact threshold pairs under cosine.
 
 Vectors are normalised in double precision; on the unit sphere cosine >= t is chord distance <= sqrt(2 - 2t), a metric, so
-cover trees apply. Equal vectors form one class with a weight. Spark deals the classes into parts of bounded size (nearest of
-a bounded number of pivots, then hash chunks, so that a crowded region is split), each part becomes a tree: nested levels of
-centres with halving radii, each point under a centre within the level's radius, each node with its true covering radius.
-For each pair of parts, node pairs are compared from the top: a pair of nodes whose centres are further apart than the
+cover trees apply. Equal vectors form one class with a weight. Spark deals the classes into regions (the nearest of as many
+pivots as there are regions, in number bounded by PIVOT_VALUES), regions into parts of bounded size (by hash, so that a crowded
+region is split), and each part becomes a tree: nested levels of centres with halving radii, each point under a centre within
+the level's radius, each node with its true covering radius. The parts of a region form groups of bounded size; a task compares
+two groups. For each pair of parts, node pairs are compared from the top: a pair of nodes whose centres are further apart than the
 threshold and both covering radii has no link and is pruned; one whose centres are so near that all points must link is
-counted whole; the rest is expanded, at last by exact dot products. Pairs of whole parts are pruned by their top nodes before
-any data moves.
+counted whole; the rest is expanded, at last by exact dot products. Pairs of groups whose balls are too far apart are pruned
+before any data moves.
 
 Results gathered: links counted per class and a spanning set of links, never all pairs of a crowded group.
 
@@ -24,13 +25,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import bounded_broadcast, staged, table
 from .components import connected_components
 
-COSINE, PIVOTS, PART, MAX_TOPS = 0.9, 64, 4096, 20_000
-PART_VALUES = 1_000_000
+COSINE, PART, GROUP, MAX_TOPS, MAX_PAIRS = 0.9, 4096, 8, 20_000, 500_000
+PART_VALUES, PIVOT_VALUES = 1_000_000, 1_000_000
 TOP_RADIUS, LEVELS = 1.0, 4
 #: Rows and columns of dot products at a time: they stay in a core's cache.
 BLOCK = (256, 2048)
@@ -265,7 +266,12 @@ def clean(vector: list | None) -> np.ndarray | None:
     return x / np.linalg.norm(x)
 
 
-def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, part: int = PART, pivots: int = PIVOTS) -> DataFrame:
+def apart(a: str, b: str) -> Column:
+    """Distance of two vectors."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", cosine: float = COSINE, part: int = PART, group: int = GROUP) -> DataFrame:
     """(id, n_links, component): links to other vectors, and the smallest id reachable."""
     spark = df.sparkSession
     source = df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
@@ -277,7 +283,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     classes = staged(rows.filter("v is not null").groupBy("v").agg(F.min("id").alias("first"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id()), "classes")
     widest = classes.agg(F.max(F.size("v")).alias("d")).first().d or 1
     part = max(16, min(part, PART_VALUES // widest))  # a part's bytes are bounded for long vectors too
-    pivots = max(1, min(pivots, -(-classes.count() // part)))
+    parts = -(-classes.count() // part)
+    lot = max(1, min(group, -(-parts // 4)))  # parts of a group
+    pivots = max(1, min(PIVOT_VALUES // widest, -(-parts // lot)))
     picked = [np.array(x.v, np.float64) for x in classes.select("v").orderBy(F.xxhash64("v")).limit(pivots).collect()]
     if not picked:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
@@ -297,10 +305,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     crowd = placed.groupBy("dim", "pivot").agg(F.count("*").alias("size"))
     chunk = F.pmod(F.xxhash64("cls"), F.ceil(F.col("size") / part).cast("long")).cast("int")
     dealt = placed.join(F.broadcast(crowd), ["dim", "pivot"]).withColumn("chunk", chunk)  # at most pivots and dims rows
-    # whole parts go as one row each: packed rows of bounded number
-    packed = staged(
-        dealt.groupBy("dim", "pivot", "chunk").agg(F.collect_list(F.struct("cls", "n", "v")).alias("rows")).withColumn("part", F.monotonically_increasing_id()).select("part", "dim", "rows"), "parts"
-    )
+    # whole parts go as one row each: packed rows of bounded number; parts of a region are a group, or several
+    packed = dealt.groupBy("dim", "pivot", "chunk").agg(F.collect_list(F.struct("cls", "n", "v")).alias("rows"))
+    packed = staged(packed.select(F.struct("dim", "pivot", F.floor(F.col("chunk") / lot).cast("int").alias("lot")).alias("group"), F.col("chunk").alias("part"), "dim", "rows"), "parts")
 
     def unit(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -315,46 +322,67 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                ids, weights, raw = unpack(b.column(2), i)
+                ids, weights, raw = unpack(b.column(3), i)
                 x = unit(raw)
                 centre = x.mean(axis=0)
                 centre = centre / (np.linalg.norm(centre) or 1)
                 far = float(np.linalg.norm(x - centre, axis=1).max())
                 packed_tree = pickle.dumps((ids, weights, np.ascontiguousarray(raw), Tree(x).packed()), protocol=5)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([far]), pa.array([packed_tree], pa.binary())], ["part", "dim", "centre", "far", "tree"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), b.column(2).slice(i, 1), pa.array([centre.tolist()], pa.list_(pa.float64())), pa.array([far]), pa.array([packed_tree], pa.binary())], ["group", "part", "dim", "centre", "far", "tree"])
 
-    trees = staged(packed.select("part", "dim", "rows").mapInArrow(top, "part long, dim int, centre array<double>, far double, tree binary"), "trees")
-    tops = trees.drop("tree")
+    key = "struct<dim:int,pivot:int,lot:int>"
+    trees = staged(packed.mapInArrow(top, f"group {key}, part int, dim int, centre array<double>, far double, tree binary"), "trees")
     limit = math.sqrt(2 - 2 * cosine)
-    p, q = tops.repartition(spark.sparkContext.defaultParallelism).alias("p"), bounded_broadcast(tops, MAX_TOPS).alias("q")
-    gap = F.sqrt(F.aggregate(F.zip_with("p.centre", "q.centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, a: s + a))
-    pairs = p.join(q, F.col("p.dim") == F.col("q.dim")).filter((F.col("p.part") <= F.col("q.part")) & (gap - F.col("p.far") - F.col("q.far") <= limit + SLACK))
-    pairs = staged(pairs.select(F.col("p.part").alias("pa"), F.col("q.part").alias("pb")), "pairs")
-    left, right = (trees.select(F.col("part").alias(k), F.col("tree").alias(r)) for k, r in (("pa", "a"), ("pb", "b")))
-    joined = pairs.join(left, "pa").join(right, "pb").select("pa", "pb", "a", "b")
-    joined = joined.repartition(max(spark.sparkContext.defaultParallelism, min(4096, pairs.count())), "pa", "pb")
+    # a group's ball holds those of its parts
+    own = trees.select("group", "dim", "centre", "far")
+    middle = own.groupBy("group", "dim").agg(F.min(F.struct("far", "centre"))["centre"].alias("middle"))
+    tops = staged(own.join(middle, ["group", "dim"]).groupBy("group", "dim", "middle").agg(F.max(apart("centre", "middle") + F.col("far")).alias("far")), "tops")
+    n_tops, lots = tops.count(), 4 * spark.sparkContext.defaultParallelism
+    p = tops.select(*[F.col(c).alias("p_" + c) for c in tops.columns])
+    q = tops.select(*[F.col(c).alias("q_" + c) for c in tops.columns])
+    near = (F.col("p_group") <= F.col("q_group")) & (apart("p_middle", "q_middle") - F.col("p_far") - F.col("q_far") <= limit + SLACK)
+    if n_tops <= MAX_TOPS:
+        met = p.repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(q), (F.col("p_dim") == F.col("q_dim")) & near)
+    else:  # one side is dealt to lots, the other goes to all of them
+        p, q = p.withColumn("p_lot", F.pmod(F.xxhash64("p_group"), F.lit(lots))), q.withColumn("q_lot", F.explode(F.sequence(F.lit(0), F.lit(lots - 1))))
+        met = p.join(q, (F.col("p_lot") == F.col("q_lot")) & (F.col("p_dim") == F.col("q_dim")) & near)
+    pairs = staged(met.select(F.col("p_group").alias("ga"), F.col("q_group").alias("gb")), "pairs")
+    # a task compares two groups: all parts of the one are held, those of the other pass by; a group goes to as many tasks as
+    # it may have links with, so parts move once per pair of groups and not per pair of parts
+    asked = pairs.select("ga", "gb", F.explode(F.array_distinct(F.array("ga", "gb"))).alias("group"))
+    joined = trees.select("group", "part", "tree").join(bounded_broadcast(asked, MAX_PAIRS), "group")
+    joined = joined.select("ga", "gb", (F.col("group") != F.col("ga")).alias("second"), "part", "tree")
+    joined = joined.repartition(max(spark.sparkContext.defaultParallelism, min(4096, 2 * pairs.count())), "ga", "gb").sortWithinPartitions("ga", "gb", "second", "part")
 
     def opened(raw: bytes) -> tuple[np.ndarray, np.ndarray, Tree]:
         ids, weights, x, levels = pickle.loads(raw)  # written by `top` above
         return ids, weights, Tree.unpacked(unit(x), levels)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, held = None, []
         for b in batches:
             for i in range(b.num_rows):
-                same = b.column(0)[i].as_py() == b.column(1)[i].as_py()
-                ida, wa, ta = opened(b.column(2)[i].as_py())
-                idb, wb, tb = (ida, wa, ta) if same else opened(b.column(3)[i].as_py())
-                na, nb, links = dual_links(ta, tb, cosine, wa, wb)
-                counted = np.nonzero(na)[0] if same else None
-                if same:
-                    cls, n = ida[counted], na[counted]
-                else:
-                    cls, n = np.concatenate([ida[na > 0], idb[nb > 0]]), np.concatenate([na[na > 0], nb[nb > 0]])
-                links = sorted({(min(x, y), max(x, y)) for r, s in links if (x := int(ida[r])) != (y := int(idb[s]))})
-                k = len(cls)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([cls, np.array([x for x, _ in links], np.int64)]), pa.int64()), pa.array([None] * k + [y for _, y in links], pa.int64()), pa.array(np.concatenate([n, np.zeros(len(links), np.int64)]), pa.int64())], ["a", "b", "n"]
-                )
+                this, second = (b.column(0)[i].as_py(), b.column(1)[i].as_py()), b.column(2)[i].as_py()
+                if this != task:
+                    task, held = this, []
+                own = opened(b.column(4)[i].as_py())
+                if not second:
+                    held.append(own)
+                for other in held if second or this[0] == this[1] else ():
+                    yield linked(other, own)
+
+    def linked(a: tuple, b: tuple) -> pa.RecordBatch:
+        (ida, wa, ta), (idb, wb, tb) = a, b
+        na, nb, links = dual_links(ta, tb, cosine, wa, wb)
+        if a is b:
+            cls, n = ida[na > 0], na[na > 0]
+        else:
+            cls, n = np.concatenate([ida[na > 0], idb[nb > 0]]), np.concatenate([na[na > 0], nb[nb > 0]])
+        links = sorted({(min(x, y), max(x, y)) for r, s in links if (x := int(ida[r])) != (y := int(idb[s]))})
+        k = len(cls)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([cls, np.array([x for x, _ in links], np.int64)]), pa.int64()), pa.array([None] * k + [y for _, y in links], pa.int64()), pa.array(np.concatenate([n, np.zeros(len(links), np.int64)]), pa.int64())], ["a", "b", "n"]
+        )
 
     found = staged(joined.mapInArrow(compare, "a long, b long, n long"), "found")
     counts = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("linked"))

@@ -340,6 +340,18 @@ def test_cover_tree_equals_all_pairs(spark, part):
         assert r.component == truth.root(r.vec_id)
 
 
+def test_cover_tree_is_the_same_with_many_groups(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 6))
+    x = base[rng.integers(0, 40, 400)] + rng.normal(size=(400, 6)) * 0.15
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    whole = sorted(embedding_links.near_duplicates(df).collect())
+    monkeypatch.setattr(embedding_links, "MAX_TOPS", 0)
+    monkeypatch.setattr(embedding_links, "MAX_PAIRS", 0)
+    assert sorted(embedding_links.near_duplicates(df, part=16, group=2).collect()) == whole
+    assert embedding_links.near_duplicates(df.limit(0)).count() == 0
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------------
 
 HARD = ["", " ", "  a", "a  b ", "▁", "a▁b", "▁▁a ▁ b", "x\n\ty 😀 ▁", " ▁", "日本語 é", "don't  stop\r\n", "  nbsp", "ﷺ"]
