@@ -192,12 +192,18 @@ class Report:
 def duplicate_report(files: DataFrame, query: m.SearchQuery, threshold: int = THRESHOLD, ceiling: int | None = CEILING) -> Report:
     """Both tiers over one snapshot of the rows that match. Over the ceiling the near tier is refused and counted; None lifts it."""
     rows = written(matching(files, query), "scope")
-    count = rows.filter("phash is not null").count()
-    if ceiling is not None and count > ceiling:
-        return Report(exact_groups(rows), None, count)
+    count = rows.agg(near_tier(ceiling).alias("x")).first().x
+    if count.refused:
+        return Report(exact_groups(rows), None, count.with_phash)
     return Report(exact_groups(rows), near_groups(rows, threshold), None)
 
 
+def near_tier(ceiling: int | None) -> Column:
+    """(with_phash, refused): how many rows have a perceptual hash, malformed ones included, and whether they are too many."""
+    n = F.count("phash")
+    return F.struct(n.alias("with_phash"), (F.lit(False) if ceiling is None else n > ceiling).alias("refused"))
+
+
 def duplicates_of(files: DataFrame, file_id: int) -> DataFrame:
     """Rows that share a file's exact key."""
     keyed = files.withColumn("key", exact_key())

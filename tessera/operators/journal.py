@@ -184,17 +184,75 @@ def distinct_sources(drafts: DataFrame) -> DataFrame:
 
 
 def collisions(plan: DataFrame, occupants: DataFrame, moving: bool = True) -> DataFrame:
-    """plan (nth, src, dst_dir, name) with collision: claimedInBatch (an earlier item has the name), occupied, or null.
+    """plan (nth, src, dst_dir, name[, resolution]) with collision: claimedInBatch, occupied, or null.
 
-    Names are compared lower-cased. A file that moves within its directory may keep its own name. occupants: parent_dir, name.
+    Names are compared lower-cased. An item claims its name if nothing is in its way, or if it replaces what is there; one that is
+    skipped, renamed or not resolved yet claims nothing. After the first claim all further items collide with it. A file that
+    moves within its directory may keep its own name, whoever has it. Names that renaming deals out are `resolve`'s.
+    occupants: parent_dir, name.
     """
     low = F.lower(F.col("name"))
-    first = plan.groupBy("dst_dir", low.alias("low")).agg(F.min("nth").alias("first"))
     taken = occupants.groupBy(F.col("parent_dir").alias("dst_dir"), F.lower("name").alias("low")).agg(F.min("name").alias("taken"))
-    met = plan.withColumn("low", low).join(first, ["dst_dir", "low"]).join(taken, ["dst_dir", "low"], "left")
     own = F.lit(moving) & (F.regexp_replace("src", r"/[^/]*$", "") == F.col("dst_dir")) & (F.lower(F.substring_index("src", "/", -1)) == F.col("low"))
-    kind = F.when(F.col("first") < F.col("nth"), "claimedInBatch").when(F.col("taken").isNotNull() & ~own, "occupied")
-    return met.select(*plan.columns, kind.alias("collision"))
+    wish = F.coalesce(F.col("resolution"), F.lit("")) if "resolution" in plan.columns else F.lit("")
+    met = plan.withColumn("low", low).join(taken, ["dst_dir", "low"], "left").withColumn("own", F.coalesce(own, F.lit(False)))
+    claims = F.col("own") | F.col("taken").isNull() | (wish == "replace")
+    first = met.filter(claims).groupBy("dst_dir", "low").agg(F.min("nth").alias("first"))
+    kind = F.when(F.col("own"), F.lit(None)).when(F.col("first") < F.col("nth"), "claimedInBatch").when(F.col("taken").isNotNull(), "occupied")
+    return met.join(first, ["dst_dir", "low"], "left").select(*plan.columns, kind.alias("collision"))
+
+
+RESOLVED = "nth long, effective string, collisions array<string>, destinations array<string>, stashes array<string>"
+
+
+def resolve(plan: DataFrame, occupants: DataFrame, batch: str, moving: bool = True) -> DataFrame:
+    """What becomes of each item: (nth, effective, collisions, destinations, stashes).
+
+    plan: nth, dst_dir, srcs (the image first, then its companions, which have its stem), resolution (skip, rename, replace or
+    null). All names of an item take one suffix, the least from 2 on with which all are free. `replace` moves aside what is on
+    disk; where this batch has claimed a name there is nothing to move, and the item is renamed. Items whose names compete are
+    one family: a destination and a stem without its trailing numbers; they are decided in order, one by one.
+    """
+    stem = F.regexp_replace(F.lower(F.substring_index(F.col("srcs")[0], "/", -1)), r"(?<=.)\.[^.]*$", "")
+    bare = lambda c: F.regexp_replace(c, r"( ([2-9]|[1-9]\d+))+$", "")
+    items = plan.select("dst_dir", bare(stem).alias("family"), "nth", "srcs", "resolution", F.lit(None).cast("string").alias("there"))
+    o_stem = F.regexp_replace(F.lower("name"), r"(?<=.)\.[^.]*$", "")
+    busy = occupants.select(F.col("parent_dir").alias("dst_dir"), bare(o_stem).alias("family"), F.lit(None).cast("long").alias("nth"), F.lit(None).cast("array<string>").alias("srcs"), F.lit(None).cast("string").alias("resolution"), F.col("name").alias("there"))
+    busy = busy.join(items.select("dst_dir", "family").distinct(), ["dst_dir", "family"], "left_semi")
+
+    def decide(key, pdf):
+        import pandas as pd
+
+        real = {x.lower(): x for x in sorted(pdf["there"].dropna())}
+        claimed: set[str] = set()
+        least: dict[tuple, int] = {}  # names are never given back, so a search goes on where the last one ended
+        out = []
+        for r in pdf[pdf["there"].isna()].sort_values("nth").itertuples():
+            names = [x.rsplit("/", 1)[-1] for x in r.srcs]
+            own = {n.lower() for x, n in zip(r.srcs, names, strict=True) if moving and x.rsplit("/", 1)[0] == key[0]}
+            kind = lambda n, own=own: None if n.lower() in own else "claimedInBatch" if n.lower() in claimed else "occupied" if n.lower() in real else None
+            kinds = [kind(n) for n in names]
+            found, wish = [k for k in kinds if k], r.resolution if isinstance(r.resolution, str) else None
+            effective, stashes = wish if found else None, []
+            if effective == "replace" and "claimedInBatch" in found:
+                effective = "rename"
+            if effective == "rename":
+                parts = [(n[: n.rindex(".")], n[n.rindex(".") :]) if "." in n[1:] else (n, "") for n in names]
+                same = tuple((a.lower(), b.lower()) for a, b in parts)
+                n = least.get(same, 2) if not own else 2
+                while any(kind(f"{a} {n}{b}") for a, b in parts):
+                    n += 1
+                if not own:
+                    least[same] = n
+                names = [f"{a} {n}{b}" for a, b in parts]
+            elif effective == "replace":
+                stashes = [f"{key[0]}/.{batch[:8]}-{int(r.nth)}-{i}" for i, _ in enumerate(found)]
+            if not found or effective in ("rename", "replace"):
+                claimed.update(n.lower() for n in names)
+            out.append((int(r.nth), effective, found, [] if effective == "skip" else [f"{key[0]}/{n}" for n in names], stashes))
+        return pd.DataFrame(out, columns=["nth", "effective", "collisions", "destinations", "stashes"])
+
+    return items.unionByName(busy).groupBy("dst_dir", "family").applyInPandas(decide, RESOLVED)
 
 
 def resolved_name(stem: Column, ext: Column, n: Column) -> Column:
@@ -230,11 +288,12 @@ def deal_one_by_one(pdf):
     import pandas as pd
 
     taken = set(pdf.loc[pdf["there"], "low"])
-    out = []
+    out, least = [], {}  # names are never given back, so a stem's search goes on where it ended
     for r in pdf[~pdf["there"]].sort_values("nth").itertuples():
-        n = 1
+        n = least.get(r.low, 1)
         while (name := r.low + (f" {n}" if n > 1 else "")) in taken:
             n += 1
+        least[r.low] = n
         taken.add(name)
         out.append((r.nth, r.stem + (f" {n}" if n > 1 else "") + (f".{r.ext}" if r.ext else "")))
     return pd.DataFrame(out, columns=["nth", "new_name"])

@@ -19,4 +19,4 @@ def saved_table(spark: SparkSession, searches: dict[str, m.SearchQuery], builtin
 def counts(files: DataFrame, saved: DataFrame) -> DataFrame:
     """(name, n): how many rows each saved search matches. Saved searches are what users named, so few."""
     each = [matching(files, m.from_json(r.query)).agg(F.lit(r.name).alias("name"), F.count("*").alias("n")) for r in saved.collect()]
-    return reduce(DataFrame.unionByName, each)
+    return reduce(DataFrame.unionByName, each) if each else files.sparkSession.createDataFrame([], "name string, n long")

@@ -54,15 +54,15 @@ SEARCHES = {
     "pred_megapixels": (m.SearchQuery(predicate=m.Megapixels(m.AtLeast(6))), "CAST(width AS DOUBLE) * height / 1e6 >= 6"),
     "pred_aspect": (m.SearchQuery(predicate=m.AspectRatio(m.Between(1.3, 1.8))), "height > 0 AND CAST(width AS DOUBLE) / nullif(height, 0) BETWEEN 1.3 AND 1.8"),
     "pred_aspect_not": (m.SearchQuery(predicate=m.Not(m.AspectRatio(m.Between(1.3, 1.8)))), "(height > 0 AND CAST(width AS DOUBLE) / nullif(height, 0) BETWEEN 1.3 AND 1.8) IS NOT TRUE"),
-    "pred_exact_dims": (m.SearchQuery(predicate=m.ExactDimensions(237, 203)), "width = 237 AND height = 203"),
+    "pred_exact_dims": (m.SearchQuery(predicate=m.ExactDimensions(274, 256)), "width = 274 AND height = 256"),
     "pred_equal": (m.SearchQuery(predicate=m.Height(m.Equal(0))), "height = 0"),
     "pred_ext": (m.SearchQuery(predicate=m.FileExtension(("JPG", "heic"))), "ext IN ('jpg', 'heic')"),
     "pred_ext_empty": (m.SearchQuery(predicate=m.FileExtension(())), "false"),
-    "pred_capture_range": (m.SearchQuery(predicate=m.CaptureDate(1510000000.0, 1560000000.0)), "capture_time BETWEEN 1510000000 AND 1560000000"),
+    "pred_capture_range": (m.SearchQuery(predicate=m.CaptureDate(1500500000.0, 1501000000.0)), "capture_time BETWEEN 1500500000 AND 1501000000"),
     "pred_has_date": (m.SearchQuery(predicate=m.CaptureDate()), "capture_time IS NOT NULL"),
     "pred_modified_range": (m.SearchQuery(predicate=m.ModifiedDate(1700006000.0, None)), "mtime >= 1700006000"),
     "pred_make_nocase": (m.SearchQuery(predicate=CANON), MAKE_CANON),
-    "pred_make_not_ascii": (m.SearchQuery(predicate=m.CameraMake("é-cam")), f"{FOLD_MAKE} = 'é-cam'"),
+    "pred_make_not_ascii": (m.SearchQuery(predicate=m.CameraMake("É-CAM")), f"{FOLD_MAKE} = 'É-cam'"),
     "pred_model_nocase": (m.SearchQuery(predicate=m.CameraModel("EOS r5")), "translate(camera_model, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') = 'eos r5'"),
     "pred_text": (m.SearchQuery(predicate=m.FilenameText("img EN jp")), "list_contains(string_split_regex(lower(name), '[^a-z0-9]+'), 'img') AND list_contains(string_split_regex(lower(name), '[^a-z0-9]+'), 'en') AND len(list_filter(string_split_regex(lower(name), '[^a-z0-9]+'), lambda x: starts_with(x, 'jp'))) > 0"),
     "pred_text_blank": (m.SearchQuery(predicate=m.FilenameText("  ")), "true"),
@@ -196,10 +196,10 @@ AGREE = "CASE WHEN min(coalesce({c}, '')) = max(coalesce({c}, '')) THEN nullif(m
 OFFSET_OK = "CASE WHEN regexp_matches(capture_offset, '^[+-][0-9][0-9]:[0-9][0-9]$') THEN capture_offset END"
 
 
-@query("selection_agreement", with_files(f"SELECT parent_dir, {AGREE.format(c='camera_make')} AS make, {AGREE.format(c='camera_model')} AS model, CASE WHEN min({OFFSET_OK}) = max({OFFSET_OK}) THEN min({OFFSET_OK}) END AS \"offset\", count(*) FILTER (WHERE ext = 'cr2') AS raw_files, count(*) AS files FROM files WHERE id % 45 IN (6, 15) GROUP BY parent_dir"))
+@query("selection_agreement", with_files(f"SELECT parent_dir, id % 45 AS pick, {AGREE.format(c='camera_make')} AS make, {AGREE.format(c='camera_model')} AS model, CASE WHEN min({OFFSET_OK}) = max({OFFSET_OK}) THEN min({OFFSET_OK}) END AS \"offset\", count(*) FILTER (WHERE ext = 'cr2') AS raw_files, count(*) AS files FROM files GROUP BY parent_dir, pick"))
 def selection_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the selected files of each folder agree on."""
-    return fct.selection_summary(ad.files(spark, sf_dir).filter("id % 45 IN (6, 15)").groupBy("parent_dir"), RAW)
+    """What the files of each folder agree on, in 45 selections of each."""
+    return fct.selection_summary(ad.files(spark, sf_dir).groupBy("parent_dir", (F.col("id") % 45).alias("pick")), RAW)
 
 
 @query("missing_hashes", with_files("SELECT parent_dir, count(*) AS n FROM files WHERE hashed_at IS NULL AND path > '/lib/' AND path < '/lib0' GROUP BY parent_dir"))
@@ -354,13 +354,14 @@ def near_star_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("near_ceiling_count", with_files("SELECT count(*) + 1 AS with_phash, count(*) + 1 > 500 AS refused FROM near", PHASH_SQL, NEAR))
 def near_ceiling_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many rows have a perceptual hash, malformed ones included, and whether a ceiling of 500 refuses the near tier."""
-    rows = ad.files(spark, sf_dir, with_phash=True).filter("phash is not null")
-    return rows.agg(F.count("*").alias("with_phash")).withColumn("refused", F.col("with_phash") > 500)
+    return ad.files(spark, sf_dir, with_phash=True).agg(dup.near_tier(500).alias("x")).select("x.*")
 
 
-@query("duplicates_of_file", with_files("SELECT id, path FROM scoped_all WHERE k = (SELECT k FROM scoped_all WHERE id = 1) AND id <> 1", "scoped_all AS (SELECT *, CASE WHEN image_hash IS NOT NULL THEN concat('i', image_hash) WHEN content_hash IS NOT NULL THEN concat('c', content_hash) END AS k FROM files)"))
+@query("duplicates_of_file", with_files("SELECT id, path FROM scoped_all WHERE k = (SELECT k FROM scoped_all WHERE id = (SELECT * FROM asked)) AND id <> (SELECT * FROM asked)", "scoped_all AS (SELECT *, CASE WHEN image_hash IS NOT NULL THEN concat('i', image_hash) WHEN content_hash IS NOT NULL THEN concat('c', content_hash) END AS k FROM files), asked AS (SELECT min(id) FROM scoped_all WHERE k IN (SELECT k FROM scoped_all GROUP BY k HAVING count(*) > 1))"))
 def duplicates_of_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dup.duplicates_of(ad.files(spark, sf_dir), 1).select("id", "path")
+    """The twins of the first file that has any."""
+    rows = ad.files(spark, sf_dir)
+    return dup.duplicates_of(rows, dup.exact_candidates(rows).agg(F.min("id")).first()[0] or 0).select("id", "path")
 
 
 # --- journal -----------------------------------------------------------------------------------------------------------
@@ -451,7 +452,7 @@ def journal_reconcile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- planning ----------------------------------------------------------------------------------------------------------
 
-PLAN = "SELECT id AS nth, path AS src, concat('/dest/', CAST(id % 3 AS STRING)) AS dst_dir, concat(CASE WHEN id % 2 = 0 THEN 'Photo' ELSE 'photo' END, CAST(id % 40 AS STRING), '.', ext) AS name FROM {files} WHERE id % 4 <> 0"
+PLAN = "SELECT id AS nth, CASE WHEN id % 10 = 7 THEN concat(dst_dir, '/', upper(name)) ELSE path END AS src, dst_dir, name, CASE id % 5 WHEN 1 THEN 'skip' WHEN 2 THEN 'rename' WHEN 3 THEN 'replace' END AS resolution FROM (SELECT id, path, concat('/dest/', CAST(id % 3 AS STRING)) AS dst_dir, concat(CASE WHEN id % 2 = 0 THEN 'Photo' ELSE 'photo' END, CAST(id % 40 AS STRING), '.', ext) AS name FROM {files} WHERE id % 4 <> 0) AS p"
 OCCUPANTS = "SELECT DISTINCT concat('/dest/', CAST(id % 3 AS STRING)) AS parent_dir, concat('PHOTO', CAST(id % 25 AS STRING), CASE WHEN id % 5 = 0 THEN ' 2' ELSE '' END, '.', ext) AS name FROM {files} WHERE id % 4 = 0"
 
 
@@ -463,12 +464,23 @@ def _plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 PLAN_SQL = f"plan AS ({PLAN.format(files='files').replace('STRING', 'VARCHAR')}), occ AS ({OCCUPANTS.format(files='files').replace('STRING', 'VARCHAR')})"
 
 
-@query("collisions_occupied", with_files("SELECT nth, name, CASE WHEN nth > min(nth) OVER (PARTITION BY dst_dir, lower(name)) THEN 'claimedInBatch' WHEN EXISTS (SELECT 1 FROM occ WHERE occ.parent_dir = plan.dst_dir AND lower(occ.name) = lower(plan.name)) THEN 'occupied' END AS collision FROM plan", PLAN_SQL))
+@query("collisions_occupied", with_files("""SELECT nth, name, CASE WHEN own THEN NULL WHEN nth > min(CASE WHEN own OR NOT occupied OR resolution = 'replace' THEN nth END) OVER (PARTITION BY dst_dir, lower(name)) THEN 'claimedInBatch' WHEN occupied THEN 'occupied' END AS collision FROM met""", PLAN_SQL,
+"met AS (SELECT *, lower(src) = lower(concat(dst_dir, '/', name)) AS own, EXISTS (SELECT 1 FROM occ WHERE occ.parent_dir = plan.dst_dir AND lower(occ.name) = lower(plan.name)) AS occupied FROM plan)"))
 def collisions_occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, occupants = _plan(spark, sf_dir)
     return jnl.collisions(plan, occupants).select("nth", "name", "collision")
 
 
+@query("collisions_resolved")
+def collisions_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each item of the plan, every second with a sidecar. Beyond SQL, as items are decided in order; tested against a loop."""
+    plan, occupants = _plan(spark, sf_dir)
+    folder = F.regexp_replace("src", r"/[^/]*$", "")
+    side = F.concat(folder, F.lit("/"), F.regexp_replace("name", r"\.[^.]*$", ".xmp"))
+    srcs = F.concat(F.array(F.concat(folder, F.lit("/"), F.col("name"))), F.when(F.col("nth") % 2 == 0, F.array(side)).otherwise(F.array().cast("array<string>")))
+    return jnl.resolve(plan.select("nth", "dst_dir", srcs.alias("srcs"), "resolution"), occupants, "batch-000001")
+
+
 @query("rename_suffix")
 def rename_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan, occupants = _plan(spark, sf_dir)
@@ -479,12 +491,12 @@ COMPANION_FILES = "SELECT id, concat('/c/', CAST(id % 40 AS STRING), '/', CASE W
 
 
 @query("companions", with_files("""SELECT DISTINCT s.path, r.path AS companion FROM cf s JOIN cf r ON s.dir = r.dir AND s.stem = r.stem AND (r.ext IN ('xmp', 'aae') OR (s.ext = 'cr2' AND r.ext = 'jpg') OR (s.ext = 'jpg' AND r.ext = 'cr2'))
-WHERE s.path IN (SELECT path FROM cf WHERE id % 5 = 0) AND r.path NOT IN (SELECT path FROM cf WHERE id % 5 = 0)""", f"cf AS (SELECT id, path, split_part(path, '/', 3) AS dir, lower(split_part(split_part(path, '/', 4), '.', 1)) AS stem, split_part(path, '.', 2) AS ext FROM ({COMPANION_FILES.format(files='files').replace('STRING', 'VARCHAR')}))"))
+WHERE s.path IN (SELECT path FROM cf WHERE id % 9 < 4) AND r.path NOT IN (SELECT path FROM cf WHERE id % 9 < 4)""", f"cf AS (SELECT id, path, split_part(path, '/', 3) AS dir, lower(split_part(split_part(path, '/', 4), '.', 1)) AS stem, split_part(path, '.', 2) AS ext FROM ({COMPANION_FILES.format(files='files').replace('STRING', 'VARCHAR')}))"))
 def companions(spark: SparkSession, sf_dir: str) -> DataFrame:
     ad.files(spark, sf_dir).createOrReplaceTempView("tessera_files")
     rows = spark.sql(COMPANION_FILES.format(files="tessera_files"))
     rows = rows.withColumns(walk.split_path(F.col("path")))
-    return jnl.companions(rows, rows.filter("id % 5 = 0").select("path")).distinct()
+    return jnl.companions(rows, rows.filter("id % 9 < 4").select("path")).distinct()
 
 
 @query("distinct_sources", with_files("SELECT src, min(nth) AS nth FROM (SELECT id AS nth, concat('/s/', CAST(id % 300 AS VARCHAR)) AS src FROM files) GROUP BY src"))
@@ -542,12 +554,12 @@ def offset_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH_OK = "count(*) = count(capture_time) AND count(*) = count(CASE WHEN capture_offset IN ('-05:00', '+00:00') THEN 1 END)"
 
 
-@query("batch_shift", with_files(f"SELECT id, CASE WHEN ok THEN capture_time + 3600 END AS shifted FROM files JOIN (SELECT parent_dir, {BATCH_OK} AS ok FROM files WHERE id % 28 IN (2, 6) GROUP BY parent_dir) USING (parent_dir) WHERE id % 28 IN (2, 6)"))
+@query("batch_shift", with_files(f"SELECT id, CASE WHEN ok THEN capture_time + 3600 END AS shifted FROM files JOIN (SELECT parent_dir, id % 28 AS batch, {BATCH_OK} AS ok FROM files GROUP BY parent_dir, batch) b ON b.parent_dir = files.parent_dir AND b.batch = files.id % 28"))
 def batch_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each folder's selected files shifted as one batch: refused where any lacks its time or zone."""
-    rows = ad.files(spark, sf_dir).filter("id % 28 IN (2, 6)")
-    ok = rows.groupBy("parent_dir").agg(((F.count("*") == F.count("capture_time")) & (F.count("*") == F.count(dates.offset_seconds(F.col("capture_offset"))))).alias("ok"))
-    return rows.join(ok, "parent_dir").select("id", edits.shifted(F.col("ok"), F.col("capture_time"), dates.shift_amount(F.lit("1:00"))).alias("shifted"))
+    """Each folder's files shifted in 28 batches: refused where any lacks its time or zone."""
+    rows = ad.files(spark, sf_dir).withColumn("batch", F.col("id") % 28)
+    ok = rows.groupBy("parent_dir", "batch").agg(((F.count("*") == F.count("capture_time")) & (F.count("*") == F.count(dates.offset_seconds(F.col("capture_offset"))))).alias("ok"))
+    return rows.join(ok, ["parent_dir", "batch"]).select("id", edits.shifted(F.col("ok"), F.col("capture_time"), dates.shift_amount(F.lit("1:00"))).alias("shifted"))
 
 
 EDIT = """SELECT id, CASE WHEN id % 3 = 0 THEN CAST(id % 9 - 1 AS INT) END AS rating, CASE WHEN id % 5 = 0 THEN CAST(id % 200 - 100 AS DOUBLE) END AS lat, CASE WHEN id % 10 = 0 THEN CAST(id % 500 - 250 AS DOUBLE) END AS lon,

@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Extension -> kind of image.
 MEDIA = {
-    "jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "heic": "heic", "heif": "heic", "hif": "heic", "tif": "tiff", "tiff": "tiff", "psd": "psd", "psb": "psd",
-    "dng": "raw", "cr2": "raw", "cr3": "raw", "crw": "raw", "nef": "raw", "nrw": "raw", "arw": "raw", "srf": "raw", "sr2": "raw", "raf": "raw", "orf": "raw", "rw2": "raw", "pef": "raw",
+    "jpg": "jpeg", "jpeg": "jpeg", "jpe": "jpeg", "png": "png", "webp": "webp", "gif": "gif", "heic": "heic", "heif": "heic", "tif": "tiff", "tiff": "tiff", "psd": "psd",
+    "cr2": "raw", "cr3": "raw", "nef": "raw", "nrw": "raw", "arw": "raw", "srf": "raw", "sr2": "raw", "raf": "raw", "orf": "raw", "rw2": "raw", "pef": "raw", "dng": "raw", "raw": "raw", "3fr": "raw", "erf": "raw",
 }
 # Kinds that have an image hash, with the name of its rule.
 HASH_KINDS = {"jpeg": "jpeg-scan-v1", "png": "png-idat-v1", "webp": "webp-chunk-v1", "heic": "heic-item-v1"}

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import containers as con, dates
 from tessera.functions.hashes import phash_bits
-from tessera.operators import duplicates as dup, index as idx, journal as jnl, model as m
-from tessera.sources import walk
+from tessera.operators import duplicates as dup, index as idx, journal as jnl, model as m, saved
+from tessera.sources import media, walk
 from tessera.streaming.upsert import follow, latest_generation
 
 G = 0x9F32A3B705AE1B18
@@ -262,3 +262,64 @@ def test_image_data_is_the_whole_text(spark):
     rows = [(i, "a" * 20000 + end) for i, end in ((3, "b"), (6, "c"), (1, "b"), (2, "c"))]
     got = hashed(containers(spark.createDataFrame(rows, "doc_id long, text string"))).select("doc_id", "image_hash").collect()
     assert len({r.image_hash for r in got}) == 4
+
+
+def test_collisions_by_the_rule(spark):
+    rows = [  # nothing in the way; then a file in the way, by what is to become of the first of two
+        (1, "/s/a", "/d", "new.jpg", None, None), (2, "/s/b", "/d", "NEW.jpg", None, "claimedInBatch"),
+        (3, "/s/c", "/d", "old.jpg", None, "occupied"), (4, "/s/d", "/d", "old.jpg", None, "occupied"),
+        (5, "/s/e", "/d", "over.jpg", "skip", "occupied"), (6, "/s/f", "/d", "over.jpg", "replace", "occupied"), (7, "/s/g", "/d", "over.jpg", "replace", "claimedInBatch"),
+        (8, "/d/Own.jpg", "/d", "own.jpg", None, None), (9, "/s/h", "/d", "own.jpg", "rename", "claimedInBatch"),
+        (10, "/s/i", "/e", "old.jpg", None, None),
+    ]
+    plan = spark.createDataFrame([r[:5] for r in rows], "nth long, src string, dst_dir string, name string, resolution string")
+    taken = spark.createDataFrame([("/d", x) for x in ("OLD.jpg", "over.jpg", "own.jpg")], "parent_dir string, name string")
+    assert {r.nth: r.collision for r in jnl.collisions(plan, taken).collect()} == {r[0]: r[5] for r in rows}
+
+
+def resolve_loop(plan, taken, batch):
+    """The whole plan in order, with sets of names for each folder."""
+    claimed, out = {}, {}
+    for nth, dst, srcs, wish in sorted(plan):
+        names, real, mine = [x.rsplit("/", 1)[1] for x in srcs], {x.lower() for x in taken.get(dst, ())}, claimed.setdefault(dst, set())
+        own = {x.rsplit("/", 1)[1].lower() for x in srcs if x.rsplit("/", 1)[0] == dst}
+
+        def kind(name, own=own, mine=mine, real=real):
+            return None if name.lower() in own else "claimedInBatch" if name.lower() in mine else "occupied" if name.lower() in real else None
+
+        found = [kind(x) for x in names if kind(x)]
+        effective = ("rename" if wish == "replace" and "claimedInBatch" in found else wish) if found else None
+        if effective == "rename":
+            parts, n = [x.rpartition(".") for x in names], 2
+            while any(kind(f"{a} {n}.{b}") for a, _, b in parts):
+                n += 1
+            names = [f"{a} {n}.{b}" for a, _, b in parts]
+        if not found or effective in ("rename", "replace"):
+            mine |= {x.lower() for x in names}
+        stashes = [f"{dst}/.{batch[:8]}-{nth}-{i}" for i in range(len(found))] if effective == "replace" else []
+        out[nth] = (effective, found, [] if effective == "skip" else [f"{dst}/{x}" for x in names], stashes)
+    return out
+
+
+def test_resolutions_equal_a_loop(spark):
+    rng = random.Random(8)
+    plan = []
+    for i in range(150):
+        dst, stem, ext = f"/d{rng.randint(0, 1)}", rng.choice(["a", "A", "a 2", "a 3", "b", "b 2 2"]), rng.choice(["jpg", "cr2"])
+        folder = dst if rng.random() < 0.1 else f"/s/{i}"
+        plan.append((i, dst, [f"{folder}/{stem}.{ext}"] + ([f"{folder}/{stem}.xmp"] if rng.random() < 0.4 else []), rng.choice([None, "skip", "rename", "rename", "replace"])))
+    taken = {"/d0": {"a.jpg", "A 3.xmp", "b 2.cr2", "b.xmp"}, "/d1": {"a 2.jpg"}}
+    df = spark.createDataFrame(plan, "nth long, dst_dir string, srcs array<string>, resolution string")
+    occ = spark.createDataFrame([(d, x) for d, xs in taken.items() for x in xs], "parent_dir string, name string")
+    got = {r.nth: (r.effective, list(r.collisions), list(r.destinations), list(r.stashes)) for r in jnl.resolve(df, occ, "12345678-9").collect()}
+    assert got == resolve_loop(plan, taken, "12345678-9")
+
+
+def test_no_saved_searches_have_no_counts(spark):
+    assert saved.counts(spark.createDataFrame([], idx.FILES), spark.createDataFrame([], saved.SCHEMA)).collect() == []
+
+
+def test_media_kinds(spark):
+    kinds = {"a.RAW": "raw", "a.3fr": "raw", "a.erf": "raw", "a.heif": "heic", "a.psb": None, "a.crw": None, "a": None}
+    rows = spark.createDataFrame([(k,) for k in kinds], "name string").select("name", media.media_kind(media.extension(F.col("name"))).alias("kind"))
+    assert {r.name: r.kind for r in rows.collect()} == kinds
