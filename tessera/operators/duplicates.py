@@ -38,8 +38,11 @@ def exact_groups(rows: DataFrame) -> DataFrame:
     Files of a group are in the order of (lower-cased name, path), groups in that of their first file, copies (files of one
     content hash, null being one) in that of first appearance. A group's kind is its first file's.
     """
-    found = exact_candidates(rows).withColumn("place", F.struct(F.lower("name").alias("n"), F.col("path").alias("p")))
-    found = written(found.select("id", "path", "place", "key", "image_hash_kind", "content_hash"), "exact")  # read four times below
+    place = F.struct(F.lower("name").alias("n"), F.col("path").alias("p")).alias("place")
+    # a few columns of the rows, so that these are made once; then what has twins, which is read four times below
+    keyed = written(rows.select("id", "path", place, exact_key().alias("key"), "image_hash_kind", "content_hash").filter("key is not null"), "keys")
+    many = keyed.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    found = written(keyed.join(many, "key"), "exact")
     heads = found.groupBy("key").agg(F.min("place").alias("head"), F.min_by("image_hash_kind", "place").alias("kind"))
     numbered = group_numbers(heads, "head")
     copies = found.groupBy("key", "content_hash").agg(F.min("place").alias("copy_head"))

@@ -5,17 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df, written once under spark.checkpoint.dir (a folder of ours where that is unset) and read back."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a folder of ours where that is unset, in local mode alone."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
-    path = f"{base.rstrip('/')}/catalogue-{uuid.uuid4().hex}-{tag}"
+    if base:
+        return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return _own.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="tessera-"))
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """df, written once to the shared folder and read back."""
+    path = f"{folder(df.sparkSession)}/catalogue-{uuid.uuid4().hex}-{tag}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

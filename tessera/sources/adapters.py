@@ -5,9 +5,12 @@ Each adapter exists twice, as DataFrame expressions and as SQL for the oracle; b
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.index import COLUMNS
+from ..operators.index import COLUMNS, FILES, write_generation
+from ..operators.staging import folder
 
 MAC_KINDS = "CASE ext WHEN 'jpg' THEN 'jpeg-scan-v1' WHEN 'png' THEN 'png-idat-v1' WHEN 'webp' THEN 'webp-chunk-v1' WHEN 'heic' THEN 'heic-item-v1' END"
 #: Expressions that both engines read alike; {sha} is the text's hex SHA-256.
@@ -33,8 +36,20 @@ PARENT = "concat(CASE WHEN i % 50 = 0 THEN '/LIB/' ELSE '/lib/' END, source, '/'
 NAME = "concat(CASE WHEN i % 2 = 0 THEN 'IMG_' ELSE 'img-' END, lang, '-', lpad(CAST(i AS STRING), CAST(greatest(6, length(CAST(i AS STRING))) AS INT), '0'), '.', ext)"
 
 
+#: Index generations that this application has written.
+_generations: dict[tuple[str, str, bool], str] = {}
+
+
 def files(spark: SparkSession, sf_dir: str, with_phash: bool = False) -> DataFrame:
-    """The catalogue over documents. phash is null unless asked for, as it reads every word."""
+    """The catalogue's index over documents: written once for each application, laid out by path, so scopes and predicates prune."""
+    key = (spark.sparkContext.applicationId, sf_dir, with_phash)
+    if key not in _generations:
+        _generations[key] = write_generation(derived(spark, sf_dir, with_phash), f"{folder(spark)}/index-{uuid.uuid4().hex}", 1)
+    return spark.read.schema(FILES).parquet(_generations[key])
+
+
+def derived(spark: SparkSession, sf_dir: str, with_phash: bool = False) -> DataFrame:
+    """The rows of the index. phash is null unless asked for, as it reads every word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("i"), "text", "lang", "source", "n_chars")
     base = docs.withColumn("sha", F.sha2("text", 256)).withColumn("ext", F.expr(EXT.format(first="CAST(conv(substr(sha, 1, 2), 16, 10) AS INT)")))
     base = base.withColumn("parent_dir", F.expr(PARENT)).withColumn("name", F.expr(NAME)).withColumn("image_hash_kind", F.expr(f"CASE WHEN i % 10 <> 3 THEN {MAC_KINDS} END"))
