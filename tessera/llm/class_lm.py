@@ -2,9 +2,10 @@
 
 P(token | before) = P(class | class before) * P(token | class), both smoothed by one. Words are counted over all learning
 documents in Spark. Words whose share of the tokens is at least EXCHANGE_SHARE (hence at most 1/EXCHANGE_SHARE words) are
-assigned to classes one by one by exchange clustering; all rarer words are exchanged as shapes by their length. An exchange
-round is one Spark aggregation of how often each class precedes and follows each word, then a sweep in which each word moves
-to the class that raises the likelihood most; the classes of the best likelihood measured are kept.
+assigned to classes one by one by exchange clustering; rarer words are exchanged as shapes, by their last SUFFIX bytes and their
+length. An exchange round is one Spark aggregation of how often each class precedes and follows each word, then a sweep in which each word moves
+to the class that raises the likelihood most. Rounds end when the likelihood settles or after ROUNDS; the classes of the best
+likelihood measured are kept.
 
 Scoring: counts of words with a share of at least LOOKUP_SHARE (at most 1/LOOKUP_SHARE words) go to the tasks; what remains
 of a document, its distinct rarer words, is joined with the counts by word in Spark and summed by document. So nothing that
@@ -18,18 +19,22 @@ is learnt from. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import fold, staged, table
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, ROUNDS, TURNS, SHAPES = 32, 4, 2, 16
+CLASSES, ROUNDS, TURNS, SHAPES, SUFFIX, LONG = 32, 8, 2, 4096, 3, 15
+#: Rounds go on while the likelihood's part that the classes decide grows by this share.
+SETTLED = 1e-3
+LENGTHS = [bytes([i]) for i in range(LONG + 1)]
 EXCHANGE_SHARE, LOOKUP_SHARE = 2e-5, 4e-6
 FLUSH = 300_000
 
@@ -60,7 +65,7 @@ def count_words(texts: DataFrame) -> DataFrame:
 
 
 class Classes:
-    """Word ids and their classes. Id 0 is the end, then the exchanged words, then a shape for each length."""
+    """Word ids and their classes. Id 0 is the end, then the exchanged words, then the shapes."""
 
     def __init__(self, words: list[bytes], classes: int):
         self.ids = {w: 1 + i for i, w in enumerate(words)}
@@ -69,12 +74,15 @@ class Classes:
         # by rank, so that classes start out alike in size; the end has class 0 for itself
         self.of = np.concatenate([[0], 1 + np.arange(self.n - 1) % (classes - 1)]).astype(np.int64)
 
-    def shape(self, word: bytes) -> int:
-        return self.n - SHAPES + min(len(word), SHAPES) - 1
-
     def sequence(self, words: list[bytes]) -> list[int]:
-        ids, first = self.ids, self.n - SHAPES - 1
-        return [ids.get(w) or first + (n if (n := len(w)) < SHAPES else SHAPES) for w in words]
+        ids, first = self.ids, self.n - SHAPES
+        return [ids.get(w) or first + zlib.crc32(w[-SUFFIX:] + LENGTHS[min(len(w), LONG)]) % SHAPES for w in words]
+
+
+def shape(word: str) -> Column:
+    """The number of a word's shape, from its last bytes and its length."""
+    length = F.unhex(F.lpad(F.hex(F.least(F.octet_length(word), F.lit(LONG)).cast("long")), 2, "0"))
+    return (F.crc32(F.concat(F.substring(word, -SUFFIX, SUFFIX), length)) % SHAPES).cast("int")
 
 
 def encoded(texts: DataFrame, model: Classes) -> DataFrame:
@@ -178,16 +186,19 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     model = Classes([w for c, w in frequent if c >= EXCHANGE_SHARE * n], classes)
     best: tuple[float, np.ndarray, np.ndarray] | None = None
     ids = encoded(learn, model)
+    last = None
     for i in range(rounds + 1):
         before, after = neighbours(ids, model)
         pairs = pair_counts(after, model.of, classes)
-        if best is None or likelihood(pairs) > best[0]:
-            best = (likelihood(pairs), model.of, pairs)
-        if i < rounds:
-            model.of = exchange(before, after, model.of, classes, i % TURNS, TURNS)
+        value = likelihood(pairs)
+        if best is None or value > best[0]:
+            best = (value, model.of, pairs)
+        if i == rounds or last is not None and i % TURNS == 0 and value - last < SETTLED * abs(last):
+            break
+        last = value if i % TURNS == 0 else last
+        model.of = exchange(before, after, model.of, classes, i % TURNS, TURNS)
     model.of, pairs = best[1], best[2]
     # tokens and distinct words of each class
-    shape = F.least(F.octet_length("word"), F.lit(SHAPES)) - 1
     words = [w for c, w in frequent if c >= EXCHANGE_SHARE * n]
     tokens, kinds = np.zeros(classes), np.zeros(classes)
     tokens[0], kinds[0] = n_docs, n_docs > 0
@@ -195,7 +206,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
         cls = model.of[model.ids[w]]
         tokens[cls] += c
         kinds[cls] += 1
-    rare = counts.filter(F.col("c") < EXCHANGE_SHARE * n).groupBy(shape.alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()  # a row for each length
+    rare = counts.filter(F.col("c") < EXCHANGE_SHARE * n).groupBy(shape("word").alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()  # a row for each shape
     for r in rare:
         cls = model.of[model.n - SHAPES + r.s]
         tokens[cls] += r.c
@@ -211,7 +222,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, look, logs, step, below, base_below, end_log, any_end = shared.value
-        row, first = TaskContext.get().partitionId() << 40, m.n - SHAPES - 1
+        row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)

@@ -4,7 +4,9 @@ Trusted positives are labelled documents of quality 1 from the learning fold; th
 logistic loss l and class prior p, the risk is p E_P[l(f)] + max(0, E_U[l(-f)] - p E_P[l(-f)]). The model is additive over
 text statistics and their squares. Each Newton step is one Spark aggregation of gradient and Hessian over all rows; nothing
 but these sums, of fixed size, reaches the driver, and no row is sampled. Where the second term falls below zero the step
-follows the first alone. The class prior is estimated from the learning fold's labels, or given.
+follows the first alone. The class prior is given, or estimated from positives and unlabelled text: a logistic regression tells
+how likely a document is labelled, its mean over the positives is the share of good documents that are labelled, and the share
+of all documents that are labelled divided by it is the prior. Labels of quality 0 are used for nothing.
 
 Defined results. Null or empty text: the statistics of an empty text, scored like any other. Labels that are null or
 contradict one another for a document teach nothing. Repeated rows: each has its own score. No labels at all: the prior is
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .common import fold, staged, table
 
 STEPS, RIDGE, THRESHOLD, FOLDS, HELD_OUT = 12, 0.25, 0.7, 4, 2
-#: The prior where labels have only one class or none.
+PRIOR_STEPS, PRIOR_RIDGE, PRIOR_RANGE = 8, 0.01, (0.05, 0.95)
+#: The prior where nothing is labelled.
 DEFAULT_PRIOR = 0.8
 # Characters whose share is a statistic of its own.
 MARKS = b"!#$%&*|.,?-/@=<>\"'()_+:;[]{}~^\\`"
@@ -111,20 +114,48 @@ def learned(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
     return own.groupBy("lid").agg(F.min("q").alias("q"), F.max("q").alias("top")).filter("q = top").select("lid", "q")
 
 
+def full(v: np.ndarray, d: int) -> np.ndarray:
+    """A symmetric matrix from its upper half."""
+    h = np.zeros((d, d))
+    h[np.triu_indices(d)] = v
+    return h + np.triu(h, 1).T
+
+
+def estimated_prior(data: DataFrame, mean: np.ndarray, scale: np.ndarray, n: float, labelled: float) -> float:
+    """The share of good documents, from which are labelled good and what all look like. Newton steps over sums."""
+    d = 2 * N_STATS + 1
+    upper, ridge = np.triu_indices(d), np.r_[np.full(d - 1, PRIOR_RIDGE + 3 / n), 1e-9]
+    w, seen = np.zeros(d), 1.0
+    w[-1] = np.log(max(1.0, labelled) / max(1.0, n - labelled))
+    for _ in range(PRIOR_STEPS):
+
+        def of(x: np.ndarray, p: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+            e = expanded(x, mean, scale)
+            s = 1 / (1 + np.exp(-np.clip(e @ w, -40, 40)))
+            return np.concatenate([[s[p].sum()], e.T @ (s - p), ((e * (s * (1 - s))[:, None]).T @ e)[upper]])
+
+        v = sums(data, of)
+        seen = v[0] / labelled
+        step = np.linalg.solve(full(v[1 + d :], d) / n + np.diag(ridge), v[1 : 1 + d] / n + ridge * w)
+        if np.abs(step).max() < 1e-3:
+            break
+        w = w - step * min(1.0, 4 / max(1e-9, np.abs(step).max()))
+    return float(np.clip(labelled / n / max(seen, 1e-9), *PRIOR_RANGE))
+
+
 def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, steps: int = STEPS) -> Model:
     """The model of least non-negative risk. rows: id, x (staged statistics of all documents); labels: lid, q."""
-    seen = dict(labels.join(rows.select(F.col("id").alias("lid")).distinct(), "lid", "left_semi").groupBy("q").count().collect())
-    if prior is None:
-        prior = seen[1] / (seen[0] + seen[1]) if seen.get(0) and seen.get(1) else DEFAULT_PRIOR
-    if not seen.get(1):
-        return Model(prior)
     good = labels.filter("q = 1").select("lid")
     data = staged(rows.join(good, rows["id"] == good["lid"], "left").select("x", F.col("lid").isNotNull().alias("positive")), "learn")
-    first = sums(data, lambda x, p: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
-    n, mean = first[0], first[1 : N_STATS + 1] / first[0]
-    scale = np.sqrt(np.maximum(first[N_STATS + 1 :] / n - mean**2, 1e-6))
+    first = sums(data, lambda x, p: np.concatenate([[len(x), p.sum()], x.sum(axis=0), (x * x).sum(axis=0)]))
+    if not len(first) or not first[1]:
+        return Model(DEFAULT_PRIOR if prior is None else prior)
+    n, mean = first[0], first[2 : N_STATS + 2] / first[0]
+    scale = np.sqrt(np.maximum(first[N_STATS + 2 :] / n - mean**2, 1e-6))
     d = 2 * N_STATS + 1
     upper = np.triu_indices(d)
+    if prior is None:
+        prior = estimated_prior(data, mean, scale, n, first[1])
 
     def terms(w: np.ndarray):
         def of(x: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -137,11 +168,6 @@ def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, steps: i
 
         return of
 
-    def full(v: np.ndarray) -> np.ndarray:
-        h = np.zeros((d, d))
-        h[upper] = v
-        return h + np.triu(h, 1).T
-
     w, best = np.zeros(d), (np.inf, np.zeros(d))
     w[-1] = np.log(prior / (1 - prior))
     last = None
@@ -150,7 +176,7 @@ def fit(rows: DataFrame, labels: DataFrame, prior: float | None = None, steps: i
         np_, up, down, un = v[:4]
         gu, gp, gs = v[4 : 4 + d] / n, v[4 + d : 4 + 2 * d] / np_, v[4 + 2 * d : 4 + 3 * d] / np_
         k = len(upper[0])
-        hu, hp = full(v[4 + 3 * d : 4 + 3 * d + k]) / n, full(v[4 + 3 * d + k :]) / np_
+        hu, hp = full(v[4 + 3 * d : 4 + 3 * d + k], d) / n, full(v[4 + 3 * d + k :], d) / np_
         positive, negative = prior * up / np_, un / n - prior * down / np_
         risk = positive + max(0.0, negative) + RIDGE / 2 * (w[:-1] ** 2).sum()
         if risk < best[0] - 1e-9:

@@ -3,8 +3,8 @@
 Texts become words; every run of `K` words has a hash; of each window of `W` consecutive hashes the least is kept. A shared
 span of K + W - 1 = 13 words has all hashes of some window in common, so its least hash is kept on both sides: joining kept
 hashes misses no shared window. Hits are extended: at each matching place the document's words around it are compared with
-the whole item window. Items shorter than 13 words are one window; for each length below 13, the run of all its words is
-looked up in the same way, with a run of at most K words as its hash.
+the whole item window. Items shorter than 13 words are one window; where there are such, the windows of hashes are as small as the
+shortest of at least K words needs, and runs of fewer words are looked up for items of fewer words.
 
 Candidates are looked for with Spark's quick lower(); equal words stay equal under it and the bounds of words don't move, so
 nothing is missed. The comparison of words itself lower-cases A-Z alone.
@@ -12,8 +12,8 @@ nothing is missed. The comparison of words itself lower-cases A-Z alone.
 Only what a document shares with the items is gathered by document, so a group is no larger than its document. Item
 fingerprints are broadcast if a count shows few rows, and joined by shuffle otherwise.
 
-Defined results. Null or empty text: no words, not contaminated. Items without words have no window. Rows that repeat
-(doc_id, text) give one result row; rows of one doc_id with different texts have a row each. Null ids are ids like any other;
+Defined results. Null or empty text: no words, not contaminated. Items without words have no window. Every row has a
+result row, repeated rows too. Null ids are ids like any other;
 a null item_id is listed as the empty string and counted. Other columns are ignored, whatever their names.
 """
 
@@ -74,24 +74,24 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", max_broadcast: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """(id, n_words, n_hit, n_items, item_ids) for each distinct (id, text) row; the operator's whole result."""
+    """(id, n_words, n_hit, n_items, item_ids, text_hash) for each row; the operator's whole result."""
     windows = staged(item_windows(items, item_id, item_text), "windows")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("th", F.xxhash64("text"))
     lengths = sorted(x.k for x in windows.select("k").distinct().collect())  # at most K of them
     words = once(docs, "q", quick_words(F.col("text"))).select("id", "th", "q")
-    # winnowing needs windows of SPAN words; runs of items with fewer words may stand anywhere, so all runs are looked up
-    short = windows.filter(F.size("window") < SPAN)
-    few = short.limit(1).count() > 0
+    # the least hash of a window is the least of any smaller window around it, so windows as small as the shortest item's find
+    # all items; runs of fewer than K words, of items that short, may stand anywhere
+    least = windows.filter(F.col("k") == K).agg(F.min(F.size("window")).alias("n")).first().n or SPAN
     none = F.array().cast("array<bigint>")
     for k in lengths:
         words = once(words, f"h{k}", F.coalesce(runs(F.col("q"), k), none))
-    kept = [winnowed(F.col(f"h{k}")) if k == K and not few else F.array_distinct(F.col(f"h{k}")) for k in lengths]
+    kept = [winnowed(F.col(f"h{k}"), least - K + 1) if k == K else F.array_distinct(F.col(f"h{k}")) for k in lengths]
     prints = F.concat(*kept) if kept else none
     # the first entry, null, carries the document itself through the join
     rows = words.select("id", "th", F.size("q").cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), prints)).alias("hash"))
     hashes = bounded_broadcast(windows.select("hash").distinct().withColumn("found", F.lit(True)), max_broadcast)
     found = rows.join(hashes, "hash", "left").filter(F.col("found") | F.col("hash").isNull())
-    per_doc = staged(found.groupBy("id", "th", "n_words").agg(F.collect_set("hash").alias("hashes")), "hits")
+    per_doc = staged(found.groupBy("id", "th", "n_words").agg(F.collect_set("hash").alias("hashes"), F.count_if(F.col("hash").isNull()).alias("copies")), "hits")
     hit = per_doc.filter(F.size("hashes") > 0).select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "hashes")
     again = docs.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th"))).select("id", "th", "text", "hashes")
     again = once(once(again, "q", quick_words(F.col("text"))), "x", exact_words(F.col("text"))).drop("text")
@@ -108,7 +108,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     ]
     at = again.select("id", "th", F.explode(F.concat(*places)).alias("s")).select("id", "th", "s.*") if lengths else None
     if at is None:
-        return per_doc.select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.col("th").alias("text_hash"))
+        return each_row(per_doc).select(F.col("id").alias(id_col), "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.array().cast("array<string>").alias("item_ids"), F.col("th").alias("text_hash"))
     small = bounded_broadcast(windows, max_broadcast)
     start = F.col("p") - F.col("at") + 1
     extended = at.join(small, ["hash", "k"]).withColumn("start", start).filter(F.col("start") >= 1).filter(F.slice("near", F.col("start") - F.col("low") + 1, F.size("window")) == F.col("window"))
@@ -122,7 +122,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     hits = covered.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), count.cast("long").alias("n_hit"), "item_ids")
     out = per_doc.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & F.col("th").eqNullSafe(F.col("hit_th")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return out.select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("th").alias("text_hash"))
+    return each_row(out).select(F.col("id").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), F.col("th").alias("text_hash"))
+
+
+def each_row(results: DataFrame) -> DataFrame:
+    """A result for each row that had the same id and text."""
+    return results.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
 
 
 def contaminated() -> Column:
@@ -143,16 +148,16 @@ def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark),
 bl AS (SELECT item_id, w, least(13, len(w)) AS n FROM b WHERE len(w) > 0),
 win AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bl)),
 sizes AS (SELECT DISTINCT n FROM win),
-grams AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
-hits AS (SELECT doc_id, item_id, i, win.n AS n FROM grams JOIN win ON grams.n = win.n AND grams.g = win.g),
-cover AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+grams AS (SELECT row, n, i, array_to_string(w[i:i + n - 1], ' ') AS g FROM (SELECT row, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hits AS (SELECT row, item_id, i, win.n AS n FROM grams JOIN win ON grams.n = win.n AND grams.g = win.g),
+cover AS (SELECT row, count(DISTINCT p) AS n_hit FROM (SELECT row, unnest(range(i, i + n)) AS p FROM hits) GROUP BY row),
+items AS (SELECT row, count(*) AS n_items, sha256(string_agg(id, ',' ORDER BY id)) AS h FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY row)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(h, sha256('')) AS items_sha256,
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(d.w) AS contaminated
-FROM d LEFT JOIN cover ON d.doc_id = cover.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+FROM d LEFT JOIN cover ON d.row = cover.row LEFT JOIN items ON d.row = items.row
 """

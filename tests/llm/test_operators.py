@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, and on rows with nulls, empty texts, repeats and clashing columns."""
 
+import hashlib
 import itertools
 import math
 import random
@@ -496,7 +497,7 @@ def test_decontamination_equals_brute_force(spark, limit, short):
     items += [(9, "fomer tilan"), (10, text_of(rng, 7)), (11, "ralan")] if short else []
     rows = [(i, text_of(rng, 60)) for i in range(8)] + [(20, None), (21, ""), (22, items[0][1].upper().replace(" ", "--") + " tail"), (23, text_of(rng, 9) + " " + items[1][1] + ", " + items[1][1]), (24, items[8][1] + " x"), (26, items[8][1].replace("ΟΔΟΣ ", "ΟΔΟΣ'")), (25, " ".join(items[2][1].split()[2:14])), (None, items[3][1]), (22, "other row"), (22, "other row")]
     got = winnowing.decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string").withColumn("hash", F.lit(1)), max_broadcast=limit).collect()
-    want = sorted((str(d), *hits_of(t, items)) for d, t in set(rows))
+    want = sorted((str(d), *hits_of(t, items)) for d, t in rows)
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, list(r.item_ids)) for r in got) == want
 
 
@@ -639,3 +640,83 @@ def test_very_long_conversations_are_chained_in_levels(spark, monkeypatch):
     monkeypatch.setattr(chat, "SEGMENT", 4)
     monkeypatch.setattr(chat, "CHAIN", 5)
     assert value() == pytest.approx(whole)
+
+
+def test_class_scores_by_hand(spark):
+    """With two classes (the end, all words) nothing can move, so the model can be written down."""
+    rng = random.Random(51)
+    rows = [(i, text_of(rng, rng.randint(0, 30))) for i in range(60)] + [(70, None), (71, ""), (3, "a repeated id"), (72, text_of(rng, 30_000))]
+    got = class_lm.score(docs_of(spark, rows), classes=2).collect()
+    words = lambda t: (t or "").encode().lower().split()
+    learn = [words(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    counts, steps = Counter(w for x in learn for w in x), Counter()
+    for x in learn:
+        classes = [0, *(1 for _ in x), 0]
+        steps.update(zip(classes, classes[1:], strict=False))
+    out_of, total, kinds = [sum(steps[a, b] for b in (0, 1)) for a in (0, 1)], [len(learn), sum(counts.values())], [1, len(counts)]
+
+    def value(text):
+        tokens = [None, *words(text), None]
+        c = lambda w: len(learn) if w is None else counts[w]
+        k = lambda w: int(w is not None)
+        return sum(math.log10((steps[k(a), k(b)] + 1) / (out_of[k(a)] + 2)) + math.log10((c(b) + 1) / (total[k(b)] + kinds[k(b)] + 1)) for a, b in zip(tokens, tokens[1:], strict=False))
+
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == sorted((i, round(value(t), 6)) for i, t in rows)
+    assert class_lm.score(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_shapes_are_the_same_in_spark_and_python(spark):
+    rng = random.Random(52)
+    words = ["a", "ab", "abc", "é", "日本語", "x" * 40, *text_of(rng, 50).split()]
+    model = class_lm.Classes([], 4)
+    rows = spark.createDataFrame([(w.encode(),) for w in words], "word binary").select(class_lm.shape("word").alias("s")).collect()
+    assert [r.s + 1 for r in rows] == model.sequence([w.encode() for w in words])
+
+
+def test_classes_help_on_held_out_text(spark):
+    got = [r for r in class_lm.op7_class_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 0.1 * sum(r.n_tokens for r in got)
+
+
+@pytest.mark.parametrize("shortest", [2, 5, 8, 13])
+def test_winnowing_with_short_items_against_brute_force(spark, shortest):
+    rng = random.Random(53)
+    items = [(f"i{k}", text_of(rng, n)) for k, n in enumerate([shortest, 13, 20, 40])] + [("none", "!"), (None, text_of(rng, 15))]
+    rows = [(i, f"{text_of(rng, 10)} {rng.choice(items)[1]} {text_of(rng, rng.randint(0, 60))} {' '.join(rng.choice(items)[1].split()[3:17])}") for i in range(40)]
+    rows += [(50, None), (51, ""), (7, rows[7][1]), (7, rows[7][1]), (52, text_of(rng, 20_000) + " " + items[2][1])]
+    got = winnowing.decontaminate(docs_of(spark, rows), spark.createDataFrame(items, "item_id string, text string")).collect()
+    words = lambda t: [w for w in re.split(winnowing.BETWEEN, (t or "").lower()) if w]
+    windows = defaultdict(set)
+    for k, t in items:
+        w = words(t)
+        n = min(13, len(w))
+        for i in range(len(w) - n + 1 if w else 0):
+            windows[tuple(w[i : i + n])].add(k or "")
+    want = []
+    for i, t in rows:
+        w, hit, found = words(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for a in range(len(w) - n + 1):
+                if (own := tuple(w[a : a + n])) in windows:
+                    hit |= set(range(a, a + n))
+                    found |= windows[own]
+        want.append((i, len(w), len(hit), sorted(found)))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, list(r.item_ids)) for r in got) == sorted(want)
+
+
+def test_secret_query_columns_against_brute_force(spark):
+    got = {r.doc_id: r for r in secrets.op6_secret_scan(spark, "/root/testdata/sf0.001").collect()}
+    base = {
+        "assign": re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A),
+        "access": re.compile("AKIA[A-Z0-9]+"),
+        "hex": re.compile("[0-9a-f]+"),
+    }
+    fine = {"assign": lambda m: len(m[2]) >= 6, "access": lambda m: len(m[0]) >= 20, "hex": lambda m: len(m[0]) >= 24}
+    for d in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect():
+        found = {k: [m.span() for m in x.finditer(d.text or "") if fine[k](m)] for k, x in base.items()}
+        r, order = got[d.doc_id], list(base)
+        spans = sorted((a, order.index(k), b) for k, xs in found.items() for a, b in xs)
+        text = ",".join(f"{order[k]}:{a}:{b}" for a, k, b in spans)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(len(found[k]) for k in order)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(filter(None, text.split(","))) <= set(r.spans.split(","))
