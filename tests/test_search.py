@@ -1,6 +1,8 @@
 """Query semantics on a few rows, and what must fail."""
 
 import pytest
+
+import __spark_entry__ as entry
 from pyspark.sql import functions as F
 
 from tessera.functions.text import search_terms
@@ -140,3 +142,9 @@ def test_scope_and_columns_reach_the_scan(spark, seed, tmp_path):
     assert "TakeOrderedAndProject" in plan and "camera_make" not in plan.split("ReadSchema")[1]
     facets = fct.facets(index, m.SearchQuery())._jdf.queryExecution().executedPlan().toString()
     assert facets.count("FileScan") == 1
+
+
+def test_registered_searches_push_scopes_to_the_index(spark):
+    plan = entry.queries()["scope_recursive"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan.split("PushedFilters")[1].split("ReadSchema")[0]
+    assert "GreaterThan(path," in pushed and "LessThan(path," in pushed
