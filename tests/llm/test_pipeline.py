@@ -29,3 +29,17 @@ def test_stages_take_effect_and_keep_columns(spark):
             vocab = pieces.load()
             texts = {r.doc_id: r.text for r in before.collect()}
             assert all(r.round_trip and pieces.decode_ids(r.token_ids, vocab) == texts[r.doc_id] for r in rest.collect())
+
+
+def test_stages_on_odd_rows(spark):
+    rows = [(1, None), (2, ""), (3, "one two three four five six"), (3, "one two three four five six"), (4, "one two three four five six"), (None, "a text without an id"), (5, "word " * 20_000 + "end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars", "'x' AS hash", "1L AS id")
+    rest = docs
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        rest = stage(spark, rest, SF).cache()
+        assert rest.columns == docs.columns
+    assert sorted((r.doc_id or 0) for r in rest.collect()) == [0, 1, 3, 3, 5]
+    last = corpus_pipeline.STAGES[4][1](spark, rest, SF).collect()
+    assert len(last) == 5 and all(r.round_trip for r in last)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0
