@@ -1,4 +1,10 @@
-"""From raw documents to token ids: five stages, each over all that the one before it kept."""
+"""From raw documents to token ids: five stages, each over all that the one before it kept.
+
+Defined results of the stages. Null and empty texts: scored like any text without words; near-duplicates of one another, so one
+of those with an id stays; never contaminated, without secrets and without token ids. Null ids: such rows stay in each stage that
+doesn't judge their text. Repeated rows: each is judged by itself, and near-duplicate removal keeps all rows of the id that it
+keeps. Very long texts are read whole. Further columns are kept up to the last stage, whatever their names. Empty table: empty.
+"""
 
 from __future__ import annotations
 
