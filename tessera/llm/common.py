@@ -40,6 +40,20 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+HOT_KEY_SHARE = 1 / 1000
+
+
+def join_sums(rows: DataFrame, sums: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with the sums of their key (an inner join; sums: key, n, ...), in which no key gathers in one task.
+
+    Sums of keys that more than HOT_KEY_SHARE of the total rows have, 1/HOT_KEY_SHARE at most, are broadcast; the rest is
+    joined by shuffle.
+    """
+    hot = F.broadcast(sums.filter(F.col("n") > total * HOT_KEY_SHARE))
+    rest = rows.join(hot.select(key), key, "left_anti").join(sums.filter(F.col("n") <= total * HOT_KEY_SHARE), key)
+    return rows.join(hot, key).unionByName(rest)
+
+
 def fold(mod: int, key: str = "doc_id") -> Column:
     """crc32 of the key as text, modulo mod."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % mod

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from .common import staged, table
+from .common import join_sums, staged, table
 from .components import connected_components
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -192,9 +192,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     prints = staged(fingerprints(df, id_col, text_col, shingle), "fingerprints").withColumnRenamed(id_col, "id")
     classes = staged(prints.groupBy("fp").agg(F.min("id").alias("first")), "classes")
     groups = connected_components(near_links(classes.select("fp"), radius))
-    named = classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
-    least = named.groupBy("group").agg(F.min("first").alias("component"))
-    by_class = staged(named.join(least, "group").select("fp", "component"), "components")
+    named = staged(classes.join(groups, classes["fp"] == groups["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("group")), "groups")
+    least = staged(named.groupBy("group").agg(F.min("first").alias("component"), F.count("*").alias("n")), "least")
+    by_class = staged(join_sums(named, least, "group", named.count()).select("fp", "component"), "components")
     return prints.join(by_class, "fp").select(F.col("id").alias(id_col), "fp", "component")
 
 
