@@ -18,7 +18,6 @@ JPEG_DROPPED = {0xE0, 0xE1, 0xED, 0xFE}
 PNG_SIGNATURE, PNG_DROPPED = b"\x89PNG\r\n\x1a\n", {b"tEXt", b"zTXt", b"iTXt", b"eXIf", b"tIME", b"pHYs"}
 WEBP_KEPT = {b"VP8 ", b"VP8L", b"ALPH", b"ANIM", b"ANMF", b"ICCP"}
 HEIC_BRANDS, HEIC_DERIVED = {b"heic", b"heix", b"hevc", b"hevx", b"heim", b"heis", b"mif1", b"msf1"}, {b"grid", b"iovl", b"iden"}
-HEIC_TOP = {b"ftyp", b"meta", b"mdat", b"free", b"skip", b"idat", b"moov", b"uuid", b"wide", b"moof", b"mfra", b"pdin"}
 
 
 class Malformed(ValueError):
@@ -104,24 +103,30 @@ def webp_ranges(b: bytes) -> list[tuple[int, int]]:
     return [*out, (end, len(b))] if end < len(b) else out
 
 
+def box_at(b: bytes, at: int, end: int) -> tuple[bytes, int, int] | None:
+    """(kind, start of the payload, end) of the box at a place, or None if none fits before the end."""
+    if at + 8 > end:
+        return None
+    size, kind = struct.unpack_from(">I4s", b, at)
+    head = 8
+    if size == 1:
+        if at + 16 > end:
+            return None
+        size, head = struct.unpack_from(">Q", b, at + 8)[0], 16
+    elif size == 0:
+        size = end - at
+    return (kind, at + head, at + size) if size >= head and at + size <= end else None
+
+
 def boxes(b: bytes, at: int, end: int) -> list[tuple[bytes, int, int]]:
     """(kind, start of the payload, end) of boxes that tile a range."""
     out = []
     while at < end:
-        if at + 8 > end:
-            raise Malformed("truncated box")
-        size, kind = struct.unpack_from(">I4s", b, at)
-        head = 8
-        if size == 1:
-            if at + 16 > end:
-                raise Malformed("truncated box")
-            size, head = struct.unpack_from(">Q", b, at + 8)[0], 16
-        elif size == 0:
-            size = end - at
-        if size < head or at + size > end:
+        found = box_at(b, at, end)
+        if found is None:
             raise Malformed("bad box")
-        out.append((kind, at + head, at + size))
-        at += size
+        out.append(found)
+        at = found[2]
     return out
 
 
@@ -139,20 +144,10 @@ class Reader:
 
 
 def heic_ranges(b: bytes) -> list[tuple[int, int]]:
-    n, top, at = len(b), [], 0
-    trailer = n
-    while at < n:  # what isn't a known box after the known ones is trailing data
-        if at + 8 > n or b[at + 4 : at + 8] not in HEIC_TOP:
-            trailer = at
-            break
-        size = struct.unpack_from(">I", b, at)[0]
-        if size == 1 and at + 16 <= n:
-            size = struct.unpack_from(">Q", b, at + 8)[0]
-        end = n if size == 0 else at + size
-        if end > n:
-            raise Malformed("bad box")
-        top += boxes(b, at, end)
-        at = end
+    n, top, trailer = len(b), [], 0
+    while trailer < n and (found := box_at(b, trailer, n)):  # what follows the last box that fits is trailing data
+        top.append(found)
+        trailer = found[2]
     if not top or top[0][0] != b"ftyp":
         raise Malformed("no file type")
     _, s, e = top[0]
@@ -160,8 +155,8 @@ def heic_ranges(b: bytes) -> list[tuple[int, int]]:
     if not brands & HEIC_BRANDS:
         raise Malformed("not this kind of file")
     meta = [(s, e) for k, s, e in top if k == b"meta"]
-    if len(meta) != 1:
-        raise Malformed("one meta box expected")
+    if not meta:
+        raise Malformed("no meta box")
     inner: dict[bytes, tuple[int, int]] = {}
     for k, s, e in boxes(b, meta[0][0] + 4, meta[0][1]):
         if k in inner:

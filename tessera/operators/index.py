@@ -172,6 +172,30 @@ def hash_results(queue: DataFrame, hashed: DataFrame, now: float) -> DataFrame:
     return queue.join(got, F.col("id") == F.col("hid"), "left").select(*GUARD, *[F.col("h_" + c).alias(c) for c in HASHES[:-1]], F.lit(float(now)).alias("hashed_at"))
 
 
+def hashing_pass(index: DataFrame, contents: DataFrame, scope, now: float, volume_before: tuple, volume_after: tuple) -> tuple[DataFrame, DataFrame]:
+    """A tier-1 pass over the rows in scope that hashing was never attempted on: (next index, metrics of one row).
+
+    contents: path, content (null if it can't be read). A row is marked as attempted whether or not hashes came out, so it isn't
+    read again until its size or mtime changes; what the pass didn't reach stays in the queue, and the next pass takes it.
+    Nothing is written unless the volume is the same before and after, as an absent one would mark every file as attempted.
+    Metrics: total, completed (read), failed.
+    """
+    from ..functions.hashes import hashed
+
+    if volume_before != volume_after:
+        raise PermissionError("the volume isn't the one the pass began on; nothing is marked as attempted")
+    queue = index.filter(F.col("hashed_at").isNull() & scope_filter(scope)).select(*GUARD, "ext")
+    met = queue.join(contents.select("path", "content"), "path", "left")
+    done = hashed(met).select("id", *HASHES[:3], F.lit(None).cast("string").alias("phash"), F.col("content").isNotNull().alias("read"))
+    metrics = done.agg(F.count("*").alias("total"), F.count_if("read").alias("completed"), F.count_if(~F.col("read")).alias("failed"))
+    return guarded_hash_write(index, hash_results(queue, done, now)), metrics
+
+
+def rebuild(spark: SparkSession, root: str, generation: int) -> str:
+    """An empty generation after a broken one: the index only repeats what walks find, so nothing else is lost."""
+    return write_generation(spark.createDataFrame([], FILES), root, generation)
+
+
 def write_generation(index: DataFrame, root: str, generation: int) -> str:
     """A generation in a directory of its own, ordered by path so that statistics prune scopes. Returns the directory."""
     path = f"{root}/v{generation:08d}"

@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import ascii_fold
 from ..sources.media import JPEG, RAW, SIDECARS
 from .index import COLUMNS, HASHES, upsert
 
@@ -15,7 +14,6 @@ from .index import COLUMNS, HASHES, upsert
 KINDS = ("move", "copy", "trash", "delete")
 STATES = ("in_flight", "complete", "failed", "skipped", "reconciled")
 KEEP_DAYS, KEEP_BATCHES, MTIME_SLACK = 30, 200, 2.0
-ASIDE = ".replaced-"
 
 
 def decoded(journal: DataFrame) -> DataFrame:
@@ -316,10 +314,6 @@ def dealt_by_joins(items: DataFrame, busy_names: DataFrame, columns: list[str])
     return turns.join(nth_free, [*key, "turn"]).select(*columns, resolved_name(F.col("stem"), F.col("ext"), F.col("n")).alias("new_name"))
 
 
-def stash_name(batch: Column, item: Column, offset: Column) -> Column:
-    return F.concat(F.lit(ASIDE), F.substring(batch, 1, 8), F.lit("-"), item.cast("string"), F.lit("-"), offset.cast("string"))
-
-
 def copy_rows(files: DataFrame, copies: DataFrame, now: float) -> DataFrame:
     """Catalogue rows for copies (src, dst, size, mtime, inode, device, carry): the source's metadata, its hashes if carried.
 
@@ -358,7 +352,3 @@ FAILURES = {
 def failure(code: Column) -> Column:
     """The failure that an error code means; other for the rest."""
     return F.coalesce(F.create_map(*[F.lit(x) for pair in FAILURES.items() for x in pair])[code], F.when(code.isNotNull(), "other"))
-
-
-def folded_equal(a: Column, b: Column) -> Column:
-    return ascii_fold(a) == ascii_fold(b)

@@ -213,6 +213,35 @@ def hash_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.not_hashed(ad.files(spark, sf_dir), m.Everywhere(), 64).select("id", "path")
 
 
+QUEUED = "hashed_at IS NULL AND path > '/lib/' AND path < '/lib0'"
+
+
+@query("hashing_pass", with_files(f"SELECT id, CASE WHEN {QUEUED} THEN CASE WHEN id % 50 <> 4 THEN sha256(text) END ELSE content_hash END AS content_hash, CASE WHEN NOT ({QUEUED}) THEN image_hash END AS image_hash, CASE WHEN {QUEUED} THEN 1800000000.0::DOUBLE ELSE hashed_at END AS hashed_at FROM files JOIN docs ON i = id - 1"))
+def hashing_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' texts as files' contents; every fifth queued file can't be read. A text is no image, so it has no image hash."""
+    index, docs = ad.files(spark, sf_dir), spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = docs.select((F.col("doc_id") + 1).alias("id"), F.when((F.col("doc_id") + 1) % 50 != 4, F.col("text").cast("binary")).alias("content"))
+    volume = ("VOL-B", 2)
+    after, _ = idx.hashing_pass(index, index.select("id", "path").join(texts, "id"), m.Folder("/lib"), 1.8e9, volume, volume)
+    return after.select("id", "content_hash", "image_hash", "hashed_at")
+
+
+@query("display_order", with_files("SELECT id, size FROM files WHERE id IN (SELECT user_id FROM events)"))
+def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that events name, largest first."""
+    ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"))
+    return s.in_display_order(ad.files(spark, sf_dir), ids, m.Sort("size", False)).select("id", "size")
+
+
+@query("volume_identity", with_files("SELECT f.id, CASE WHEN f.volume_uuid IS NOT NULL THEN f.volume_uuid IS NOT DISTINCT FROM w.volume_uuid ELSE f.device = w.device END AS same FROM files f JOIN walked w ON f.path = w.path", NEXT_SQL))
+def volume_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each file that is walked again is on the volume it was on."""
+    index = ad.files(spark, sf_dir)
+    now = ad.next_generation(index).select("path", F.col("volume_uuid").alias("now_uuid"), F.col("device").alias("now_device"))
+    same = idx.same_volume(F.col("volume_uuid"), F.col("device"), F.col("now_uuid"), F.col("now_device"))
+    return index.join(now, "path").select("id", same.alias("same"))
+
+
 # --- upkeep ------------------------------------------------------------------------------------------------------------
 
 

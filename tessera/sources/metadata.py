@@ -1,4 +1,4 @@
-"""Reading image headers: size, orientation, camera and capture time, from the bytes of JPEG, PNG, WebP and TIFF-like files.
+"""Reading image headers: size, orientation, camera and capture time, from the bytes of JPEG, PNG, WebP, GIF, PSD, HEIC and raw files.
 
 Every file gives a row; what can't be read is null, and a file that can't be read at all has an error instead.
 """
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.containers import Malformed, Reader, box_at, boxes, item_kinds, locations
 from ..functions.dates import exif_time
 from ..functions.text import trimmed
 
@@ -19,6 +20,9 @@ TAGS = {0x0100: "width", 0x0101: "height", 0x010F: "make", 0x0110: "model", 0x01
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 7: 1, 9: 4, 10: 8}
 FRAMES = {0xC0, 0xC1, 0xC2, 0xC3, 0xC5, 0xC6, 0xC7, 0xC9, 0xCA, 0xCB, 0xCD, 0xCE, 0xCF}
 MAX_ENTRIES = 1000
+# How TIFF and raw files built like it begin; the number of a PSD's EXIF block; the maker block of CR3 files.
+TIFF_LIKE = (b"II*\0", b"MM\0*", b"IIRO", b"IIRS", b"MMOR")
+PSD_EXIF, CR3_UUID = b"\x04\x22", bytes.fromhex("85c0b687820f11e08111f4ce462b6a48")
 COLUMNS = "width int, height int, stamp string, capture_offset string, camera_make string, camera_model string, orientation int, error string"
 
 
@@ -117,6 +121,83 @@ def webp_header(b: bytes) -> dict[str, object]:
     return out
 
 
+def psd_header(b: bytes) -> dict[str, object]:
+    """The frame's size, and the EXIF block among the image resources."""
+    out: dict[str, object] = {}
+    out["height"], out["width"] = struct.unpack_from(">II", b, 14)
+    at = 30 + struct.unpack_from(">I", b, 26)[0]
+    end = at + 4 + struct.unpack_from(">I", b, at)[0]
+    at += 4
+    while at + 12 <= min(end, len(b)) and b[at : at + 4] == b"8BIM":
+        name = 1 + b[at + 6]
+        start = at + 6 + name + name % 2
+        size = struct.unpack_from(">I", b, start)[0]
+        if b[at + 4 : at + 6] == PSD_EXIF:
+            out = tiff_tags(b[start + 4 : start + 4 + size]) | out
+        at = start + 4 + size + size % 2
+    return out
+
+
+def heic_header(b: bytes) -> dict[str, object]:
+    """The primary item's extent by its properties, and the EXIF item."""
+    found = dict[bytes, tuple[int, int]]()
+    for kind, s, e in top_boxes(b):
+        if kind == b"meta":
+            found = {k: (s2, e2) for k, s2, e2 in boxes(b, s + 4, e)}
+            break
+    if not {b"pitm", b"iinf", b"iloc"} <= set(found):
+        raise Unreadable("notAnImage")
+    r = Reader(b, *found[b"pitm"])
+    primary = r.take(2) if r.take(4) >> 24 == 0 else r.take(4)
+    out: dict[str, object] = {}
+    properties = {k: (s, e) for k, s, e in boxes(b, *found[b"iprp"])} if b"iprp" in found else {}
+    if {b"ipco", b"ipma"} <= set(properties):
+        kept = boxes(b, *properties[b"ipco"])
+        for i in associated(b, *properties[b"ipma"]).get(primary, []):
+            if 0 < i <= len(kept) and kept[i - 1][0] == b"ispe":
+                out["width"], out["height"] = struct.unpack_from(">II", b, kept[i - 1][1] + 4)
+    places = locations(b, *found[b"iloc"])
+    for item, kind in item_kinds(b, *found[b"iinf"]).items():
+        method, extents = places.get(item, (0, []))
+        if kind == b"Exif" and extents:
+            base = 0 if method == 0 else found.get(b"idat", (0, 0))[0]
+            data = b"".join(b[base + o : base + o + n] for o, n in extents)
+            out = tiff_tags(data[4 + int.from_bytes(data[:4], "big") :]) | out
+    return out
+
+
+def top_boxes(b: bytes) -> list[tuple[bytes, int, int]]:
+    out, at = [], 0
+    while found := box_at(b, at, len(b)):
+        out.append(found)
+        at = found[2]
+    return out
+
+
+def associated(b: bytes, s: int, e: int) -> dict[int, list[int]]:
+    """Numbers of the properties of each item, from 1 on."""
+    r = Reader(b, s, e)
+    version = r.take(4)
+    wide = version & 1
+    out: dict[int, list[int]] = {}
+    for _ in range(r.take(4)):
+        item = r.take(2 if version >> 24 == 0 else 4)
+        out[item] = [r.take(2) & 0x7FFF if wide else r.take(1) & 0x7F for _ in range(r.take(1))]
+    return out
+
+
+def cr3_header(b: bytes) -> dict[str, object]:
+    """Directories of the movie box's maker block: the image's own, then that of the exposure."""
+    out: dict[str, object] = {}
+    for kind, s, e in top_boxes(b):
+        for k, s2, e2 in boxes(b, s, e) if kind == b"moov" else []:
+            if k == b"uuid" and b[s2 : s2 + 16] == CR3_UUID:
+                for block, s3, e3 in boxes(b, s2 + 16, e2):
+                    if block in (b"CMT1", b"CMT2"):
+                        out |= {t: v for t, v in tiff_tags(b[s3:e3]).items() if t not in out}
+    return out
+
+
 def header(b: bytes | None) -> dict[str, object]:
     """What the header of an image says; raises Unreadable with the reason."""
     if b is None:
@@ -127,8 +208,17 @@ def header(b: bytes | None) -> dict[str, object]:
         return png_header(b)
     if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
         return webp_header(b)
-    if b[:4] in (b"II*\0", b"MM\0*"):
+    if b[:4] in TIFF_LIKE:
         return tiff_tags(b)
+    if b[:6] in (b"GIF87a", b"GIF89a"):
+        return dict(zip(("width", "height"), struct.unpack_from("<HH", b, 6), strict=True))
+    if b[:6] == b"8BPS\0\1":
+        return psd_header(b)
+    if b[:15] == b"FUJIFILMCCD-RAW":
+        at, size = struct.unpack_from(">II", b, 84)
+        return jpeg_header(b[at : at + size])
+    if b[4:8] == b"ftyp":
+        return cr3_header(b) if b[8:12] == b"crx " else heic_header(b)
     raise Unreadable("notAnImage")
 
 
@@ -141,8 +231,10 @@ def read_headers(files: DataFrame, key: str = "path") -> DataFrame:
             for content in pdf["content"]:
                 try:
                     x, error = header(content), None
-                except (Unreadable, struct.error) as e:
-                    x, error = {}, str(e) if isinstance(e, Unreadable) else "unreadable"
+                    if x.get("width") is None or x.get("height") is None:
+                        raise Unreadable("notAnImage")
+                except (Unreadable, Malformed, struct.error, IndexError) as e:
+                    x, error = {}, str(e) if isinstance(e, Unreadable) else "notAnImage"
                 stamp = x.get("original") or x.get("digitized") or x.get("modified")
                 rows.append((x.get("width"), x.get("height"), stamp, x.get("offset_original") or x.get("offset_digitized"), x.get("make"), x.get("model"), None if error else x.get("orientation", 1), error))
             names = [c.split()[0] for c in COLUMNS.split(", ")]

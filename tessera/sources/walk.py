@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .media import extension, in_opaque_bundle, is_junk, media_kind
+from .media import OPAQUE, extension, in_opaque_bundle, is_junk, media_kind
 
 
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
@@ -54,14 +54,15 @@ def folder_children(files: DataFrame, folder: str) -> DataFrame:
     rest = F.substring(F.col("path"), len(base) + 1, 1 << 30)
     below = files.filter(F.col("path").startswith(base)).select(rest.alias("rest")).filter(F.col("rest").contains("/"))
     name = F.substring_index("rest", "/", 1)
-    kept = below.select(name.alias("name")).filter(~is_junk(F.col("name")) & ~F.coalesce(extension(F.col("name")).isin("photoslibrary", "aplibrary", "migratedaplibrary", "lrdata", "lrcat", "app", "bundle", "framework", "photolibrary", "pkg"), F.lit(False)))
+    kept = below.select(name.alias("name")).filter(~is_junk(F.col("name")) & ~F.coalesce(extension(F.col("name")).isin(*OPAQUE), F.lit(False)))
     return kept.groupBy("name").agg(F.count("*").alias("files")).orderBy(natural_key(F.col("name")), "name")
 
 
 def natural_key(name: Column) -> Column:
-    """Digits compare as numbers: every run of digits is left-padded."""
+    """Digits compare as numbers of any length: every run of digits follows its own length, leading zeros left out."""
     runs = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
-    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), F.lpad(x, 20, "0")).otherwise(x)), "")
+    number = lambda x: F.concat(F.lpad(F.length(F.ltrim(x, F.lit("0"))).cast("string"), 10, "0"), F.ltrim(x, F.lit("0")))
+    return F.array_join(F.transform(runs, lambda x: F.when(x.rlike(r"^\d"), number(x)).otherwise(x)), "")
 
 
 def evictions(cache: DataFrame, budget: int) -> DataFrame:

@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import containers as con, dates
+from tessera.functions import containers as con, dates, edits
 from tessera.functions.hashes import phash_bits
 from tessera.operators import duplicates as dup, index as idx, journal as jnl, model as m, saved
-from tessera.sources import media, walk
+from tessera.sources import media, metadata, walk
 from tessera.streaming.upsert import follow, latest_generation
 
 G = 0x9F32A3B705AE1B18
@@ -323,3 +323,111 @@ def test_media_kinds(spark):
     kinds = {"a.RAW": "raw", "a.3fr": "raw", "a.erf": "raw", "a.heif": "heic", "a.psb": None, "a.crw": None, "a": None}
     rows = spark.createDataFrame([(k,) for k in kinds], "name string").select("name", media.media_kind(media.extension(F.col("name"))).alias("kind"))
     assert {r.name: r.kind for r in rows.collect()} == kinds
+
+
+def ifd(*entries):
+    """A little-endian TIFF of one directory with short, long or text values."""
+    body, data, at = b"", b"", 8 + 2 + 12 * len(entries) + 4
+    for tag, kind, value in sorted(entries):
+        if kind == 2:
+            text = value.encode() + b"\0"
+            body += struct.pack("<HHII", tag, 2, len(text), at + len(data)) if len(text) > 4 else struct.pack("<HHI", tag, 2, len(text)) + text.ljust(4, b"\0")
+            data += text if len(text) > 4 else b""
+        else:
+            body += struct.pack("<HHII", tag, kind, 1, value)
+    return b"II*\0\x08\0\0\0" + struct.pack("<H", len(entries)) + body + b"\0" * 4 + data
+
+
+EXIF = ifd((0x010F, 2, "Canon "), (0x0110, 2, "R5"), (0x0112, 3, 6), (0x0132, 2, "2020:01:02 03:04:05"))
+
+
+def heic_with_properties():
+    """Two items with sizes of their own, the second one primary, and an EXIF item."""
+    infe = lambda i, kind: box(b"infe", b"\2\0\0\0" + struct.pack(">HH", i, 0) + kind + b"\0")
+    ispe = lambda w, h: box(b"ispe", b"\0" * 4 + struct.pack(">II", w, h))
+    iprp = box(b"iprp", box(b"ipco", ispe(1, 2) + ispe(4032, 3024)) + box(b"ipma", b"\0" * 4 + struct.pack(">IHBBHBB", 2, 1, 1, 1, 2, 1, 0x82)))
+    note = b"\0\0\0\6Exif\0\0" + EXIF
+
+    def build(at):
+        iloc = box(b"iloc", b"\0\0\0\0\x44\0" + struct.pack(">H", 1) + struct.pack(">HHHII", 3, 0, 1, at, len(note)))
+        iinf = box(b"iinf", b"\0\0\0\0" + struct.pack(">H", 3) + infe(1, b"hvc1") + infe(2, b"hvc1") + infe(3, b"Exif"))
+        return box(b"ftyp", b"heic\0\0\0\0mif1") + box(b"meta", b"\0" * 4 + box(b"pitm", b"\0\0\0\0\0\2") + iinf + iprp + iloc)
+
+    return build(len(build(0)) + 8) + box(b"mdat", note)
+
+
+def test_headers_of_more_containers(spark):
+    sized = ifd((0x0100, 4, 6000), (0x0101, 4, 4000), (0x010F, 2, "Canon"), (0x0112, 3, 8))
+    moment = ifd((0x9003, 2, "2021:01:01 00:00:00"), (0x9011, 2, "+01:00"))
+    resource = b"8BIM" + struct.pack(">H", 0x0422) + b"\0\0" + struct.pack(">I", len(EXIF)) + EXIF + b"\0" * (len(EXIF) % 2)
+    frame = segment(0xC0, b"\x08" + struct.pack(">HH", 30, 40) + b"\1")
+    rows = {
+        "gif": b"GIF89a" + struct.pack("<HH", 320, 200) + b"\0" * 9,
+        "psd": b"8BPS\0\1" + b"\0" * 6 + struct.pack(">HIIHH", 3, 70, 90, 8, 3) + struct.pack(">I", 0) + struct.pack(">I", len(resource)) + resource,
+        "raf": b"FUJIFILMCCD-RAW ".ljust(84, b"0") + struct.pack(">II", 92, 200) + jpeg(segment(0xE1, b"Exif\0\0" + EXIF), frame),
+        "cr3": box(b"ftyp", b"crx \0\0\0\1crx ") + box(b"moov", box(b"uuid", bytes.fromhex("85c0b687820f11e08111f4ce462b6a48") + box(b"CMT1", sized) + box(b"CMT2", moment))),
+        "heic": heic_with_properties(),
+        "orf": b"IIRO" + sized[4:],
+        "cut": heic_with_properties()[:60],
+        "unsized": EXIF,
+        "none": None,
+    }
+    got = {r.path: r for r in metadata.read_headers(spark.createDataFrame(list(rows.items()), "path string, content binary")).collect()}
+    taken = 1577934245.0
+    assert [tuple(got[k][1:]) for k in ("gif", "psd", "raf", "heic")] == [
+        (320, 200, None, None, None, None, 1, None),
+        (90, 70, taken, None, "Canon", "R5", 6, None),
+        (40, 30, taken, None, "Canon", "R5", 6, None),
+        (4032, 3024, taken, None, "Canon", "R5", 6, None),
+    ]
+    assert tuple(got["cr3"][1:]) == (6000, 4000, 1609455600.0, "+01:00", "Canon", None, 8, None)
+    assert (got["orf"].width, got["orf"].height, got["orf"].error) == (6000, 4000, None)
+    assert [got[k].error for k in ("cut", "unsized", "none")] == ["notAnImage", "notAnImage", "unreadable"]
+
+
+def test_hostile_headers_never_raise(spark):
+    rng, rows = random.Random(3), []
+    for i in range(400):
+        b = bytearray(heic_with_properties())
+        for _ in range(rng.randint(1, 4)):
+            b[rng.randrange(len(b))] = rng.randrange(256)
+        rows.append((str(i), bytes(b[: rng.randint(0, len(b))])))
+    assert metadata.read_headers(spark.createDataFrame(rows, "path string, content binary")).count() == 400
+
+
+def test_an_unknown_box_is_no_trailing_data():
+    assert con.image_hash(heic(b"n", b"pixels", tail=box(b"more", b"x")), "heic") == con.image_hash(heic(b"n", b"pixels"), "heic") is not None
+
+
+def test_natural_order_of_long_numbers(spark):
+    names = ["a2", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b1", "a02"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    got = [r.name for r in df.orderBy(walk.natural_key(F.col("name")), "name").collect()]
+    assert got == ["a02", "a2", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b1"]
+
+
+def test_a_hashing_pass_marks_attempts_and_leaves_the_rest(spark, tmp_path):
+    row = lambda i, name, hashed_at=None: {"id": i, "path": f"/p/{name}", "parent_dir": "/p", "name": name, "ext": name[-3:], "size": 1, "mtime": 1.0, "device": 1, "inode": i, "indexed_at": 1.0, "hashed_at": hashed_at}
+    index = idx.migrated(spark.createDataFrame([row(1, "a.jpg"), row(2, "b.png"), row(3, "c.jpg"), row(4, "d.jpg", 5.0)], "id long, path string, parent_dir string, name string, ext string, size long, mtime double, device long, inode long, indexed_at double, hashed_at double"))
+    contents = spark.createDataFrame([("/p/a.jpg", bytes(jpeg())), ("/p/b.png", b"no image")], "path string, content binary")
+    after, metrics = idx.hashing_pass(index, contents, m.Everywhere(), 9.0, ("V", 1), ("V", 1))
+    got = {r.id: r for r in after.collect()}
+    assert got[1].image_hash == con.image_hash(jpeg(), "jpeg") and got[1].image_hash_kind == "jpeg-scan-v1"
+    assert got[2].content_hash == hashlib.sha256(b"no image").hexdigest() and got[2].image_hash is None
+    assert [got[i].hashed_at for i in (1, 2, 3, 4)] == [9.0, 9.0, 9.0, 5.0] and got[3].content_hash is None
+    assert tuple(metrics.first()) == (3, 2, 1)
+    with pytest.raises(PermissionError):
+        idx.hashing_pass(index, contents, m.Everywhere(), 9.0, ("V", 1), ("W", 1))
+    assert spark.read.parquet(idx.rebuild(spark, str(tmp_path), 2)).count() == 0
+
+
+@pytest.mark.parametrize(("lat", "lon", "action"), [("", None, "nothingToWrite"), ("12.5", " -170 ", "write"), ("91", "0", "invalid"), ("1", "", "invalid"), ("x", "1", "invalid"), ("-90", "180", "write")])
+def test_typed_coordinates(spark, lat, lon, action):
+    df = spark.createDataFrame([(lat, lon)], "a string, b string")
+    assert df.select(edits.gps_edit(F.col("a"), F.col("b"))).first()[0] == action
+
+
+def test_values_read_back(spark):
+    rows = [("absent", "x", None, True), ("absent", None, "y", False), ("list", "a, b", "a,b", True), ("list", "a", "a,b", False), ("integer", "3", "03", True), ("number", "1.5", "1.5000001", True), ("number", "1.5", "1.6", False), ("text", "a", None, False), ("text", "a", "a", True)]
+    df = spark.createDataFrame(rows, "kind string, want string, got string, same boolean")
+    assert df.filter(edits.same_value(F.col("kind"), F.col("want"), F.col("got")) != F.col("same")).count() == 0
