@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, class_lm, embedding_links, html_text, passages, pieces, pu_quality, secrets, simhash, winnowing
+from . import chat, class_lm, embedding_links, html_text, passages, periodic_runs, pieces, pu_quality, secrets, simhash, target_resampling, token_counts, winnowing
 
 QUERIES = {
     "op1_passages": passages.op1_passages,
@@ -15,9 +15,13 @@ QUERIES = {
     "op7_class_lm": class_lm.op7_class_lm,
     "op10_chat": chat.op10_chat,
     "op9_simhash": simhash.op9_simhash,
+    "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_target_resampling": target_resampling.op13_target_resampling,
 }
 
 ORACLES: dict[str, str] = {
     "op4_cover_tree": embedding_links.ORACLE,
     "op8_winnowing": winnowing.ORACLE,
+    "op13_target_resampling": target_resampling.ORACLE,
 }
