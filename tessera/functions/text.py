@@ -38,9 +38,14 @@ def search_terms(text: str) -> list[str] | None:
     return [t for t in re.split(r"[^\w]|_", text) if t and any(unicodedata.category(c)[0] in "LN" for c in t)]
 
 
+def folded_words(terms: list[str]) -> list[str]:
+    """The words that terms ask for, as name_tokens folds them; the last one is a start."""
+    return [w for t in terms for w in re.split(r"[\W_]+", fold_term(t)) if w]
+
+
 def matches_terms(tokens: Column, terms: list[str]) -> Column:
     """All terms are words, the last one the start of a word."""
-    folded = [w for t in terms for w in re.split(r"[\W_]+", fold_term(t)) if w]
+    folded = folded_words(terms)
     if not folded:
         return F.lit(False)
     test = F.exists(tokens, lambda x: x.startswith(folded[-1]))

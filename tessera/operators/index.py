@@ -191,13 +191,9 @@ def hashing_pass(index: DataFrame, contents: DataFrame, scope, now: float, volum
     return guarded_hash_write(index, hash_results(queue, done, now)), metrics
 
 
-def rebuild(spark: SparkSession, root: str, generation: int) -> str:
-    """An empty generation after a broken one: the index only repeats what walks find, so nothing else is lost."""
-    return write_generation(spark.createDataFrame([], FILES), root, generation)
-
-
 def write_generation(index: DataFrame, root: str, generation: int) -> str:
-    """A generation in a directory of its own, ordered by path so that statistics prune scopes. Returns the directory."""
+    """The rows of a generation in a directory of its own, ordered by path so that statistics prune scopes. Returns the directory.
+    `store.Store` publishes them."""
     path = f"{root}/v{generation:08d}"
     index.repartitionByRange("path").sortWithinPartitions("path").write.parquet(path)
     return path

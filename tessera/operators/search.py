@@ -5,12 +5,14 @@ Comparisons stay three-valued. Only `Not` folds: unknown counts as "doesn't matc
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import ascii_fold, matches_terms, name_tokens, search_terms
+from ..functions.text import ascii_fold, folded_words, matches_terms, name_tokens, search_terms
 from . import model as m
+from .postings import ids_with
 
 SORT_COLUMNS = {"name": None, "captureDate": "capture_time", "modifiedDate": "mtime", "size": "size", "width": "width", "height": "height"}
 #: Marks of library-wide twins that `search` joins where a predicate asks for them.
@@ -63,19 +65,24 @@ def aspect_ratio() -> Column:
     return F.try_divide(F.col("width").cast("double"), F.col("height"))
 
 
-def predicate_filter(p, depth: int = 0) -> Column:
+def by_tokens(terms: list[str]) -> Column:
+    return matches_terms(F.col("name_tokens"), terms)
+
+
+def predicate_filter(p, depth: int = 0, words: Callable[[list[str]], Column] = by_tokens) -> Column:
+    """words: the test for search terms."""
     if depth > m.MAX_DEPTH:
         raise m.PredicateTooDeep(m.MAX_DEPTH)
     match p:
         case m.All():
             return F.lit(True)
         case m.And(parts) | m.Or(parts):
-            joined = [predicate_filter(x, depth + 1) for x in parts]
+            joined = [predicate_filter(x, depth + 1, words) for x in parts]
             if isinstance(p, m.And):
                 return reduce(Column.__and__, joined) if joined else F.lit(True)
             return reduce(Column.__or__, joined) if joined else F.lit(False)
         case m.Not(inner):
-            return ~F.coalesce(predicate_filter(inner, depth + 1), F.lit(False))
+            return ~F.coalesce(predicate_filter(inner, depth + 1, words), F.lit(False))
         case m.Width(test):
             return number_test(F.col("width"), test)
         case m.Height(test):
@@ -100,7 +107,7 @@ def predicate_filter(p, depth: int = 0) -> Column:
             return ascii_fold(F.col("camera_model")) == ascii_fold(F.lit(value))
         case m.FilenameText(text):
             terms = search_terms(text)
-            return F.lit(True) if terms is None else matches_terms(F.col("name_tokens"), terms) if terms else F.lit(False)
+            return F.lit(True) if terms is None else words(terms) if terms else F.lit(False)
         case m.HasDuplicates():
             return F.col(IMAGE_TWIN) | F.col(CONTENT_TWIN)
     raise TypeError(p)
@@ -126,11 +133,34 @@ def with_twins(files: DataFrame, library: DataFrame) -> DataFrame:
     return out
 
 
-def matching(files: DataFrame, query: m.SearchQuery, library: DataFrame | None = None) -> DataFrame:
-    """Rows in scope that match, without sort, limit and offset: what counts and duplicate scans read."""
-    test, columns = predicate_filter(query.predicate), files.columns
+def texts(p) -> list[str]:
+    """The texts that a predicate searches names for."""
+    if isinstance(p, m.FilenameText):
+        return [p.text]
+    parts = p.parts if isinstance(p, m.And | m.Or) else (p.inner,) if isinstance(p, m.Not) else ()
+    return [t for x in parts for t in texts(x)]
+
+
+def matching(files: DataFrame, query: m.SearchQuery, library: DataFrame | None = None, postings: DataFrame | None = None) -> DataFrame:
+    """Rows in scope that match, without sort, limit and offset: what counts and duplicate scans read.
+
+    With postings (term, id, field) of these files, words of names are looked up there: a mark for each text that is searched for,
+    joined by id. Where the text must match, the mark's join becomes an inner one. Without, names are cut into words.
+    """
+    columns = files.columns
     rows = files.filter(scope_filter(query.scope))
-    if asks(query.predicate, m.FilenameText) and "name_tokens" not in columns:
+    if postings is not None:
+        marks: dict[tuple, str] = {}
+        for terms in map(search_terms, texts(query.predicate)):
+            key = tuple(folded_words(terms or []))
+            if key and key not in marks:
+                marks[key] = f"__text_{len(marks)}"
+                rows = rows.join(ids_with(postings, list(key)).withColumn(marks[key], F.lit(True)), "id", "left")
+        found = lambda terms: F.coalesce(marks[k], F.lit(False)) if (k := tuple(folded_words(terms))) in marks else F.lit(False)
+        test = predicate_filter(query.predicate, words=found)
+    else:
+        test = predicate_filter(query.predicate)
+    if postings is None and asks(query.predicate, m.FilenameText) and "name_tokens" not in columns:
         text = [F.col("name")] + ([F.col("ocr_text")] if "ocr_text" in columns else [])
         rows = rows.withColumn("name_tokens", name_tokens(*text))
     if asks(query.predicate, m.HasDuplicates):
@@ -144,9 +174,9 @@ def sort_columns(sort: m.Sort) -> list[Column]:
     return [c.asc_nulls_last() if sort.ascending else c.desc_nulls_last(), F.col("id").asc()]
 
 
-def search(files: DataFrame, query: m.SearchQuery, columns: list[str] | None = None) -> DataFrame:
+def search(files: DataFrame, query: m.SearchQuery, columns: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
     """The page of rows that a query asks for, in its order."""
-    out = matching(files, query).orderBy(*sort_columns(query.sort))
+    out = matching(files, query, postings=postings).orderBy(*sort_columns(query.sort))
     if query.offset:
         out = out.offset(query.offset)
     if query.limit is not None:

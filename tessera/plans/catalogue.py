@@ -77,6 +77,9 @@ SEARCHES = {
 
 def _search(q: m.SearchQuery):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if s.texts(q.predicate):
+            rows, postings = ad.library(spark, sf_dir)
+            return s.matching(rows, q, postings=postings).select(*PAGE)
         return s.matching(ad.files(spark, sf_dir), q).select(*PAGE)
 
     return run
@@ -268,6 +271,23 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idx.upsert(index, ad.next_generation(index)).select("id", "path", "volume_uuid", "mtime", "width", "content_hash")
 
 
+TEXT_AFTER = "SELECT id, path FROM (SELECT *, regexp_replace(path, '.*/', '') AS name FROM upserted) WHERE " + SEARCHES["pred_text"][1]
+
+
+@query("text_after_upsert", with_files(TEXT_AFTER, NEXT_SQL, UPSERT_SQL))
+def text_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words looked up in a generation into which a later walk was merged."""
+    rows, postings = ad.library(spark, sf_dir, 2)
+    return s.matching(rows, SEARCHES["pred_text"][0], postings=postings).select("id", "path")
+
+
+@query("text_after_prune", with_files(TEXT_AFTER + " AND path IN (SELECT path FROM walked)", NEXT_SQL, UPSERT_SQL))
+def text_after_prune(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words looked up in the generation after that, without the files that weren't found."""
+    rows, postings = ad.library(spark, sf_dir, 3)
+    return s.matching(rows, SEARCHES["pred_text"][0], postings=postings).select("id", "path")
+
+
 WRITES = "SELECT id, path, size, CASE WHEN id % 5 = 0 THEN mtime + 1 ELSE mtime END AS mtime, CASE WHEN id % 4 <> 0 THEN concat('h', id) END AS h FROM files WHERE id % 3 = 0"
 
 

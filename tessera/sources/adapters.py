@@ -9,8 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.index import COLUMNS, FILES, write_generation
+from ..operators.index import COLUMNS, FILES, prune, upsert, write_generation
+from ..operators.model import Everywhere
 from ..operators.staging import folder
+from ..operators.store import Generation, Store
 
 MAC_KINDS = "CASE ext WHEN 'jpg' THEN 'jpeg-scan-v1' WHEN 'png' THEN 'png-idat-v1' WHEN 'webp' THEN 'webp-chunk-v1' WHEN 'heic' THEN 'heic-item-v1' END"
 #: Expressions that both engines read alike; {sha} is the text's hex SHA-256.
@@ -36,18 +38,41 @@ PARENT = "concat(CASE WHEN i % 50 = 0 THEN '/LIB/' ELSE '/lib/' END, source, '/'
 NAME = "concat(CASE WHEN i % 2 = 0 THEN 'IMG_' ELSE 'img-' END, lang, '-', lpad(CAST(i AS STRING), CAST(greatest(6, length(CAST(i AS STRING))) AS INT), '0'), '.', ext)"
 
 
-#: Index generations that this application has written.
-_generations: dict[tuple[str, str, bool], str] = {}
+#: Index folders that this application has written, and libraries it has published, by the state of the documents they come from.
+_generations: dict[tuple, str] = {}
+_libraries: dict[tuple, list[Generation]] = {}
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """(name, size, time) of a table's files: changes whenever its rows may have."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)
+    return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
 def files(spark: SparkSession, sf_dir: str, with_phash: bool = False) -> DataFrame:
-    """The catalogue's index over documents: written once for each application, laid out by path, so scopes and predicates prune."""
-    key = (spark.sparkContext.applicationId, sf_dir, with_phash)
+    """The catalogue's index over documents: written once for each application and state of the documents, laid out by path, so scopes
+    and predicates prune."""
+    key = (spark.sparkContext.applicationId, sf_dir, with_phash, state_of(spark, f"{sf_dir}/documents.parquet"))
     if key not in _generations:
         _generations[key] = write_generation(derived(spark, sf_dir, with_phash), f"{folder(spark)}/index-{uuid.uuid4().hex}", 1)
     return spark.read.schema(FILES).parquet(_generations[key])
 
 
+def library(spark: SparkSession, sf_dir: str, number: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(files, postings) of a published generation: 1 has all files, in 2 what a later walk found is merged, in 3 the rest is pruned."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/documents.parquet"))
+    if key not in _libraries:
+        _libraries[key] = [Generation()]
+        _generations[key] = f"{folder(spark)}/library-{uuid.uuid4().hex}"
+    store, made = Store(spark, _generations[key]), _libraries[key]
+    while len(made) <= number:
+        old, walked = store.files(made[-1]), next_generation(files(spark, sf_dir))
+        rows = (lambda: files(spark, sf_dir), lambda: upsert(old, walked), lambda: prune(old, walked, Everywhere()))[len(made) - 1]()
+        made.append(store.commit(made[-1], rows))
+    return store.files(made[number]), store.postings(made[number])
+
+
 def derived(spark: SparkSession, sf_dir: str, with_phash: bool = False) -> DataFrame:
     """The rows of the index. phash is null unless asked for, as it reads every word."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("i"), "text", "lang", "source", "n_chars")

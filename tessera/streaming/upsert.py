@@ -10,29 +10,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.index import FILES, upsert, write_generation
+from ..operators.index import upsert
+from ..operators.store import Store
 
 
 def latest_generation(spark: SparkSession, root: str) -> tuple[int, DataFrame]:
-    """(number, rows) of the newest complete generation below root; 0 and no rows if there is none."""
-    base = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = base.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(base)] if fs.exists(base) else []
-    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{n}/_SUCCESS"))]
-    if not done:
-        return 0, spark.createDataFrame([], FILES)
-    return max(done), spark.read.schema(FILES).parquet(f"{root}/v{max(done):08d}")
+    """(number, rows) of the newest published generation below root; 0 and no rows if there is none."""
+    store = Store(spark, root)
+    newest = store.latest()
+    return newest.number, store.files(newest)
 
 
 def merge_batch(root: str, finish: Callable[[DataFrame], DataFrame] = lambda df: df) -> Callable[[DataFrame, int], None]:
-    """A sink: each batch is one upsert. A batch that is repeated after a failure gives the same generation again, as the
-    last row of a path wins and an upsert of what is already there changes nothing."""
+    """A sink: each batch is one upsert. A generation says which batch of which query it took in, so a batch that is repeated after
+    a failure is taken once: a crash before the generation was published leaves nothing behind that the repeat would meet, and after
+    one that was the repeat does nothing. Another writer's generation in between is taken up, not overwritten."""
 
     def sink(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        number, index = latest_generation(spark, root)
+        store, query = Store(spark, root), spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if query and store.latest().marks.get(query, -1) >= epoch:
+            return
         newest = batch.groupBy("path").agg(F.max_by(F.struct(*batch.columns), F.struct("indexed_at", "mtime")).alias("x")).select("x.*")
-        write_generation(finish(upsert(index, newest)), root, number + 1)
+        store.update(lambda files: finish(upsert(files, newest)), {query: epoch} if query else None)
 
     return sink
 

@@ -12,6 +12,7 @@ from tessera.functions import containers as con, dates, edits
 from tessera.functions.hashes import phash_bits
 from tessera.operators import duplicates as dup, index as idx, journal as jnl, model as m, saved
 from tessera.sources import media, metadata, walk
+from tessera.operators.store import Store
 from tessera.streaming.upsert import follow, latest_generation
 
 G = 0x9F32A3B705AE1B18
@@ -418,7 +419,7 @@ def test_a_hashing_pass_marks_attempts_and_leaves_the_rest(spark, tmp_path):
     assert tuple(metrics.first()) == (3, 2, 1)
     with pytest.raises(PermissionError):
         idx.hashing_pass(index, contents, m.Everywhere(), 9.0, ("V", 1), ("W", 1))
-    assert spark.read.parquet(idx.rebuild(spark, str(tmp_path), 2)).count() == 0
+    assert Store(spark, str(tmp_path)).files(Store(spark, str(tmp_path)).rebuild()).count() == 0
 
 
 @pytest.mark.parametrize(("lat", "lon", "action"), [("", None, "nothingToWrite"), ("12.5", " -170 ", "write"), ("91", "0", "invalid"), ("1", "", "invalid"), ("x", "1", "invalid"), ("-90", "180", "write")])
