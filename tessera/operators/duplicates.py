@@ -6,13 +6,13 @@ stars: in name order, a row that no earlier seed claims becomes a seed and claim
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from dataclasses import dataclass
-from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import model as m
+from .hamming import near_pairs_of
 from .search import matching
 from .staging import written
 
@@ -82,38 +82,18 @@ def near_candidates(rows: DataFrame) -> DataFrame:
     return good.select("id", "path", F.struct(F.lower("name").alias("n"), F.col("path").alias("p")).alias("place"), half(F.col("phash"), 1).alias("hi"), half(F.col("phash"), 9).alias("lo"), exact_key().alias("key"))
 
 
-def masks(width: int, radius: int) -> list[int]:
-    from itertools import combinations
-
-    return [sum(1 << i for i in c) for k in range(radius + 1) for c in combinations(range(width), k)]
-
-
 def value_pairs(values: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT) -> DataFrame:
     """Pairs (v, w, distance) of distinct hashes (hi, lo) within the threshold, v <= w; a value pairs with itself too.
 
-    Up to nested_limit values, each is compared with all, the counted side being broadcast. Beyond, with four bands of 16
-    bits some band differs in at most threshold // 4 bits: both sides list the values near theirs in each band, one of them
-    within one bit and the other within the rest, and meet on equal ones. Both ways are exact.
+    Up to nested_limit values, each is compared with all, the counted side being broadcast. Beyond, hashes meet under the masks of a
+    code, which miss no pair. Both ways are exact.
     """
     values = values.select(F.struct("hi", "lo").alias("v")).distinct()
-    other = values.select(F.col("v").alias("w"))
     if values.limit(nested_limit + 1).count() <= nested_limit:
-        pairs = values.join(F.broadcast(other), F.col("v") <= F.col("w"))
-    else:
-        band = lambda c: [F.shiftright(F.col(f"{c}.{h}"), s).bitwiseAND(0xFFFF).cast("int") for h in ("hi", "lo") for s in (16, 0)]
-        reach = threshold // 4
-
-        def probes(df: DataFrame, c: str, radius: int) -> DataFrame:
-            bands = F.array(*[F.struct(F.lit(i).alias("band"), x.alias("x")) for i, x in enumerate(band(c))])
-            around = F.array(*[F.lit(x) for x in masks(16, radius)])
-            cut = df.select(c, F.explode(bands).alias("b"))
-            return cut.select(c, F.col("b.band").alias("band"), F.explode(F.transform(around, lambda k: F.col("b.x").bitwiseXOR(k))).alias("x"))
-
-        near = reach // 2
-        met = probes(values, "v", near).join(probes(other, "w", reach - near), ["band", "x"])
-        pairs = met.filter(F.col("v") <= F.col("w")).select("v", "w")
-        pairs = pairs.filter(distance("v", "w") <= threshold).distinct()
-    return pairs.withColumn("distance", distance("v", "w")).filter(F.col("distance") <= threshold)
+        pairs = values.join(F.broadcast(values.select(F.col("v").alias("w"))), F.col("v") <= F.col("w"))
+        return pairs.withColumn("distance", distance("v", "w")).filter(F.col("distance") <= threshold)
+    values = written(values, "values")
+    return near_pairs_of(values, values.count(), threshold).unionByName(values.select("v", F.col("v").alias("w"), F.lit(0).alias("distance")))
 
 
 def near_pairs(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT) -> DataFrame:
@@ -130,54 +110,81 @@ def pairs_of(cand: DataFrame, threshold: int, nested_limit: int) -> DataFrame:
     return out.filter(~F.coalesce(F.col("p.key") == F.col("q.key"), F.lit(False)) & (F.col("p.id") != F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), "distance", F.col("p.place").alias("pa"), F.col("q.place").alias("pb"))
 
 
-def claimed_of(edges: list[tuple]) -> list:
-    """The rows of edges (a, b), a before b, that the greedy star cover claims."""
-    later, waiting = defaultdict(list), Counter(b for _, b in edges)
-    for a, b in edges:
-        later[a].append(b)
-    claimed, ready = set(), [a for a in later if a not in waiting]
-    while ready:  # all earlier neighbours of these are decided
-        a = ready.pop()
-        for b in later.get(a, ()):
-            if a not in claimed:
-                claimed.add(b)
-            waiting[b] -= 1
-            if not waiting[b]:
-                ready.append(b)
-    return list(claimed)
-
-
-def star_cover(pairs: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(seed_id, match_id, distance): each row that an earlier seed reaches goes to the earliest such seed.
-
-    Seeds are the first maximal independent set in name order, so every row is a seed or is claimed by one. In a round, rows
-    without an undecided earlier neighbour are seeds and claim their later neighbours; pairs of claimed rows go. Every round
-    decides at least the first row of each connected part, and usually most rows, so the rounds end; there is no bound on them.
-    Long runs in which each row is near its neighbours only need a round for two rows; what is left below local_edges pairs is
-    decided in the driver, by the same rule.
+def best_two(rows: DataFrame, by: str) -> DataFrame:
+    """(by, first, second): the least x of rows (by, x), and the least one of another x.who. Least ones are found within tasks first."""
+    own = rows.groupBy(by, F.col("x.who").alias("who")).agg(F.min("x").alias("x"))
+    top = own.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("x"))).filter("place <= 2")
+    return top.groupBy(by).agg(F.min("x").alias("first"), F.max(F.when(F.col("place") == 2, F.col("x"))).alias("second"))
+
+
+def beside(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(w, first, second): best_two of the rows (v, place, who, id) whose hashes are linked to w, with their distance."""
+    mine = best_two(rows.select("v", F.struct("place", "who", "id").alias("x")), "v")
+    met = links.join(mine, "v").select("w", "distance", F.explode(F.array_compact(F.array("first", "second"))).alias("x"))
+    return best_two(met.select("w", F.struct("x.place", "x.who", "x.id", "distance").alias("x")), "w")
+
+
+def with_rival(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """rows with the first of the near rows that isn't of their own exact group, or null."""
+    met = rows.join(near.withColumnRenamed("w", "v"), "v", "left")
+    return met.withColumn("rival", F.when(F.col("first.who") != F.col("who"), F.col("first")).otherwise(F.col("second"))).drop("first", "second")
+
+
+def seeds_of(rows: list[tuple], links: dict) -> list:
+    """Ids of the rows (id, value, who), in name order, that no earlier seed claims. links: hashes near a hash, itself included."""
+    leads: dict = defaultdict(list)  # of each hash, its first seed's group and the first one of another group
+    seeds = []
+    for i, value, who in rows:
+        if all(x == who for near in links[value] for x in leads[near]):
+            seeds.append(i)
+            if len(leads[value]) < 2 and who not in leads[value]:
+                leads[value].append(who)
+    return seeds
+
+
+def star_cover(cand: DataFrame, pairs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
+    """(seed_id, match_id, distance): each row that an earlier seed reaches goes to the earliest such seed. cand: rows of
+    near_candidates; pairs: (v, w, distance) of their hashes, v <= w.
+
+    Rows never meet as pairs: they reach one another through their hashes, of which two rows are enough, the first and the first one
+    of another exact group, as only the own group is out of reach. So neither copies of a hash nor of a file are multiplied.
+    Seeds are the first maximal independent set in name order. In a round, rows without an undecided earlier row in reach are
+    seeds and claim later rows in reach. Every round decides at least the first row of each connected part, usually most rows, and
+    there is no bound on rounds; rows that reach fewer than `local` hashes altogether are decided in the driver, by the same rule.
     """
-    edges = written(pairs.select("a", "b", "distance", "pa"), "edges")
-    rest, claimed = edges.select("a", "b"), None
-    for k in count():
-        if rest.limit(local_edges + 1).count() <= local_edges:
-            break
-        fresh = written(rest.join(rest.select(F.col("b").alias("a")).distinct(), "a", "left_anti").select("b").distinct(), "claimed")
-        claimed = fresh if claimed is None else claimed.unionByName(fresh)
-        claimed = written(claimed, "claimed") if k % 20 == 19 else claimed  # keeps the plan short
-        rest = written(rest.join(fresh, "b", "left_anti").join(fresh.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"), "rest")
-    if last := claimed_of([tuple(r) for r in rest.collect()]):
-        fresh = edges.sparkSession.createDataFrame([(b,) for b in last], edges.select("b").schema)
-        claimed = fresh if claimed is None else claimed.unionByName(fresh)
-    if claimed is None:
-        return edges.select(F.col("a").alias("seed_id"), F.col("b").alias("match_id"), "distance")
-    reached = edges.join(claimed.withColumnRenamed("b", "a"), "a", "left_anti").join(claimed, "b", "left_semi")
-    return reached.groupBy("b").agg(F.min(F.struct("pa", "a", "distance")).alias("s")).select(F.col("s.a").alias("seed_id"), F.col("b").alias("match_id"), F.col("s.distance").alias("distance"))
-
-
-def near_groups(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT) -> DataFrame:
+    links = written(pairs.unionByName(pairs.filter("v != w").select(F.col("w").alias("v"), F.col("v").alias("w"), "distance")), "links")
+    who = F.coalesce(F.concat("key.ns", "key.hash"), F.concat(F.lit("r"), F.col("id").cast("string")))
+    rows = cand.select("id", "place", F.struct("hi", "lo").alias("v"), who.alias("who"))
+    some = links.filter("v != w").select("v").unionByName(rows.groupBy("v").agg(F.countDistinct("who").alias("n")).filter("n > 1").select("v")).distinct()
+    rows = written(rows.join(some, "v", "left_semi"), "rows")
+    degrees = links.groupBy("v").agg(F.count("*").alias("degree"))
+    rest, seeds = rows, []
+    while rest.join(degrees, "v").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0] > local:
+        rivals = with_rival(rest, beside(rest, links))
+        fresh = written(rivals.filter(F.col("rival").isNull() | (F.col("place") < F.col("rival.place"))).select(*rows.columns), "seeds")
+        seeds.append(fresh)
+        later = rest.join(fresh.select("id"), "id", "left_anti")
+        reached = with_rival(later, beside(fresh, links))
+        rest = written(reached.filter(F.col("rival").isNull() | (F.col("rival.place") > F.col("place"))).select(*rows.columns), "rest")
+    near: dict = defaultdict(list)
+    for r in links.join(rest.select("v").distinct(), "v", "left_semi").join(rest.select(F.col("v").alias("w")).distinct(), "w", "left_semi").select("v", "w").collect():
+        near[r.v].append(r.w)
+    if last := seeds_of([(r.id, r.v, r.who) for r in sorted(rest.collect(), key=lambda r: r.place)], near):
+        seeds.append(rows.join(rows.sparkSession.createDataFrame([(i,) for i in last], rows.select("id").schema), "id", "left_semi").select(*rows.columns))
+    if not seeds:
+        return rows.select(F.col("id").alias("seed_id"), F.col("id").alias("match_id"), F.lit(0).alias("distance")).limit(0)
+    chosen = seeds[0]
+    for more in seeds[1:]:
+        chosen = chosen.unionByName(more)
+    chosen = written(chosen, "seeds")
+    claimed = with_rival(rows.join(chosen.select("id"), "id", "left_anti"), beside(chosen, links))
+    return claimed.select(F.col("rival.id").alias("seed_id"), F.col("id").alias("match_id"), F.col("rival.distance").alias("distance"))
+
+
+def near_groups(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT, local: int = LOCAL_EDGES) -> DataFrame:
     """(group_no, seed_id, match_no, match_id, distance): groups by seed in name order, matches by distance, then name order."""
     cand = written(near_candidates(rows), "near")
-    stars = written(star_cover(pairs_of(cand, threshold, nested_limit)), "stars")
+    stars = written(star_cover(cand, value_pairs(cand.select("hi", "lo"), threshold, nested_limit), local), "stars")
     place = cand.select(F.col("id").alias("pid"), "place")
     heads = group_numbers(stars.select("seed_id").distinct().join(place, F.col("seed_id") == F.col("pid")).select("seed_id", "place"), "place")
     named = stars.join(heads.select("seed_id", "group_no"), "seed_id").join(place, F.col("match_id") == F.col("pid"))

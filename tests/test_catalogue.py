@@ -60,34 +60,38 @@ def test_near_groups(spark):
     assert near(spark, [("/a", None, None, None, None), ("/b", None, None, None, "not-a-hash")]) == []
 
 
-def greedy(values):
-    used, out = set(), set()
+def greedy(values, keys=None):
+    keys, used, out = keys or [None] * len(values), set(), set()
     for i, x in enumerate(values):
         if i in used:
             continue
         used.add(i)
         for j in range(i + 1, len(values)):
-            if j not in used and (x ^ values[j]).bit_count() <= 12:
+            if j not in used and (x ^ values[j]).bit_count() <= 12 and (keys[i] is None or keys[i] != keys[j]):
                 used.add(j)
-                out.add((i + 1, j + 1))
+                out.add((i + 1, j + 1, (x ^ values[j]).bit_count()))
     return out
 
 
 @pytest.mark.parametrize("limit", [1000, 0])
-def test_star_cover_equals_the_greedy_loop(spark, limit):
+@pytest.mark.parametrize("local", [dup.LOCAL_EDGES, 0])
+@pytest.mark.parametrize("copies", [False, True])
+def test_star_cover_equals_the_greedy_loop(spark, limit, local, copies):
     rng = random.Random(3)
     base = [rng.getrandbits(64) for _ in range(6)]
     values = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(70)]
-    rows = rows_of(spark, [(f"/{i:03d}", None, None, None, f"{v:016x}") for i, v in enumerate(values)])
-    got = dup.near_groups(rows, nested_limit=limit).collect()
-    assert {(r.seed_id, r.match_id) for r in got} == greedy(values)
-
-
-@pytest.mark.parametrize("n, limit", [(1101, dup.LOCAL_EDGES), (25, 0)])
-def test_star_cover_of_a_long_run_is_decided_to_its_end(spark, n, limit):
-    pairs = spark.createDataFrame([(i, i + 1, 3, i) for i in range(n - 1)], "a long, b long, distance int, pa long")
-    got = {tuple(r) for r in dup.star_cover(pairs, limit).collect()}
-    assert got == {(i - 1, i, 3) for i in range(1, n, 2)}
+    values = [rng.choice(values[:9]) if copies and rng.random() < 0.7 else v for v in values]
+    keys = [rng.choice([None, "k1", "k2", "k3"]) if copies else None for _ in values]
+    rows = rows_of(spark, [(f"/{i:03d}", None, k, "k" if k else None, f"{v:016x}") for i, (v, k) in enumerate(zip(values, keys))])
+    got = dup.near_groups(rows, nested_limit=limit, local=local).collect()
+    assert {(r.seed_id, r.match_id, r.distance) for r in got} == greedy(values, keys)
+
+
+@pytest.mark.parametrize("n, local", [(400, dup.LOCAL_EDGES), (14, 0)])
+def test_star_cover_of_a_long_run_is_decided_to_its_end(spark, n, local):
+    cand = spark.createDataFrame([(i, ("", f"{i:04d}"), i, 0, None) for i in range(n)], "id long, place struct<n:string,p:string>, hi long, lo long, key struct<ns:string,hash:string>")
+    pairs = spark.createDataFrame([((i, 0), (i + 1, 0), 3) for i in range(n - 1)] + [((i, 0), (i, 0), 0) for i in range(n)], "v struct<hi:long,lo:long>, w struct<hi:long,lo:long>, distance int")
+    assert {tuple(r) for r in dup.star_cover(cand, pairs, local).collect()} == {(i - 1, i, 3) for i in range(1, n, 2)}
 
 
 def test_report_ceiling(spark):
