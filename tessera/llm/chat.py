@@ -1,12 +1,17 @@
 """Chat formatting: a hidden Markov model over speaker markers and line features recovers roles, then turns are rendered.
 
 A transcript is a run of lines. Each line shows a marker class (which speaker's marker it starts with, or none) and features
-(its length, that of the whole turn where it opens one, a question mark, its place). Hidden states are role x (opens a turn |
-continues it). Start, transition and emission probabilities, markers' included, are estimated from rows whose role is known,
-of conversations outside the held-out fold: counts are sums over all of them, PRIOR_MARK counts for the role that a marker
-names are added. The role column is nothing the model sees where it decodes, unless use_roles is set; then a known role is a
-marker of the row's first line. Viterbi gives each line its state; a turn starts where a state opens one and where a row
-starts. Turns are rendered canonically.
+(its length, that of the whole row where it is the first one, a question mark, its place). Hidden states are role x (opens a turn |
+continues it). Start, transition and feature probabilities are estimated from rows whose role is known, of conversations
+outside the held-out fold: counts are sums over all of them. Inside a row, marked lines teach as openings of the role that they
+name. The role column is nothing the model sees where it decodes, unless use_roles is set; then a known role is a marker of
+the row's first line. Viterbi gives each line its state; a turn starts where a state opens one and where a row starts. Turns
+are rendered canonically.
+
+What a marker means is not counted but known, so it doesn't depend on how many rows have markers: an opening line's marker names
+its role but for OTHER_ROLE of the cases each, a line that goes on has one in QUOTED of the cases, and inside a row no line opens a turn without
+one. How often a row's first line has any marker is estimated. Openings inside a row look as first lines of rows do, by the line's own
+length. A marker leaves the text only where a turn of its role opens.
 
 Rows are sorted by conversation and turn over all partitions, and each partition is cut into lots of SEGMENT rows, whatever
 conversations they belong to, so that a task holds one lot at a time. A conversation that reaches over several lots (there are
@@ -42,7 +47,8 @@ SPEAKERS = {
 }
 NAMES = "|".join(sorted(SPEAKERS, key=len, reverse=True))
 MARKER = re.compile(rf"^\s*(?:(?:<\|(?:im_start\|>)?|\[|#{{1,4}}\s*|\*\*)\s*(?P<a>{NAMES})\s*(?:\|>|\]|:?\*\*:?|:|$)|(?P<b>{NAMES})\s*:)\s*", re.I)
-SEGMENT, SEGMENT_CHARS, SMOOTH, PRIOR_MARK, CHAIN, MAX_BROADCAST_ROWS = 256, 1_000_000, 0.5, 8.0, 4096, 200_000
+SEGMENT, SEGMENT_CHARS, SMOOTH, CHAIN, MAX_BROADCAST_ROWS = 256, 1_000_000, 0.5, 4096, 200_000
+OTHER_ROLE, QUOTED, BLUR = 1e-3, 1e-5, 0.1
 FOLDS, HELD_OUT = 4, 2
 STATES = 2 * len(ROLES)  # 2r opens a turn of role r, 2r + 1 continues it
 LENGTHS, PLACES = 12, 3
@@ -62,14 +68,17 @@ def split_marker(line: str) -> tuple[int, str]:
     return (1 + ROLES.index(SPEAKERS[(m["a"] or m["b"]).lower()]), line[m.end() :]) if m else (0, line)
 
 
-def lines_of(text: str | None, first: bool, role: int = -1) -> list[tuple[int, int, str]]:
-    """(marker, features, rest) of each line of a row. role: taken for the first line's marker, unless -1."""
+def shape(n: int, rest: str) -> int:
+    return min(LENGTHS - 1, n.bit_length()) * 2 + ("?" in rest)
+
+
+def lines_of(text: str | None, first: bool, role: int = -1) -> list[tuple[int, int, str, str]]:
+    """(marker, features, rest, line) of each line of a row. role: taken for the first line's marker, unless -1."""
     out = []
     for i, line in enumerate((text or "").split("\n")):
         found, rest = (1 + role, line) if role >= 0 and not i else split_marker(line)
-        size = min(LENGTHS - 1, (len(rest) if i else len(text or "")).bit_length())
         place = 0 if first and not i else 1 if not i else 2
-        out.append((found, (size * 2 + ("?" in rest)) * PLACES + place, rest))
+        out.append((found, shape(len(rest) if i else len(text or ""), rest) * PLACES + place, rest, line))
     return out
 
 
@@ -126,12 +135,20 @@ def held_out(conv) -> bool:
     return conv is not None and zlib.crc32(str(conv).encode()) % FOLDS == HELD_OUT
 
 
+def names(role: int, other: float) -> np.ndarray:
+    """How likely an opening line's marker, if it has one, names each role."""
+    out = np.full(len(ROLES), other)
+    out[role] = 1 - other * (len(ROLES) - 1)
+    return out
+
+
 def fit(lots: DataFrame, use_roles: bool) -> tuple[np.ndarray, np.ndarray]:
     """Log probabilities (states x states + start row, states x (markers, features)) from counts over rows with known roles.
 
-    A turn's first line is emitted by the opening state, further lines by the continuing one.
+    A turn's first line is emitted by the opening state, further lines by the continuing one. Counts: features by state; whether a
+    row's first line has a marker; shapes of opening lines by themselves; lines that go on and turns; roles after roles; first roles.
     """
-    sizes = {"emit": (STATES, FEATURES), "mark": (STATES, MARKS), "more": (len(ROLES), 2), "turn": (len(ROLES), len(ROLES)), "start": (1, len(ROLES))}
+    sizes = {"emit": (STATES, FEATURES), "marked": (1, 2), "inside": (len(ROLES), LENGTHS * 2), "more": (len(ROLES), 2), "turn": (len(ROLES), len(ROLES)), "start": (1, len(ROLES))}
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = {k: np.zeros(v, np.int64) for k, v in sizes.items()}
@@ -145,14 +162,26 @@ def fit(lots: DataFrame, use_roles: bool) -> tuple[np.ndarray, np.ndarray]:
                         r, first = role_of(roles[i]), i == lo and not (lo == 0 and head)
                         if r >= 0:
                             lines = lines_of(texts[i], first, r if use_roles else -1)
-                            for k, (mark, feature, _) in enumerate(lines):
-                                n["emit"][2 * r + (k > 0), feature] += 1
-                                n["mark"][2 * r + (k > 0), mark] += 1
-                            n["more"][r] += (len(lines) - 1, 1)
+                            if lines[0][0] and any(x[0] for x in lines[1:]):
+                                r = lines[0][0] - 1  # a transcript in one row names its speakers itself
+                            n["marked"][0, int(lines[0][0] > 0)] += 1
                             if first:
                                 n["start"][0, r] += 1
                             if last >= 0:
                                 n["turn"][last, r] += 1
+                            for k, (mark, feature, rest, _) in enumerate(lines):
+                                if k and mark:
+                                    n["more"][r, 1] += 1
+                                    n["turn"][r, mark - 1] += 1
+                                    r = mark - 1
+                                elif k:
+                                    n["emit"][2 * r + 1, feature] += 1
+                                    n["more"][r, 0] += 1
+                                    continue
+                                else:
+                                    n["emit"][2 * r, feature] += 1
+                                n["inside"][r, shape(len(rest), rest)] += 1
+                            n["more"][r, 1] += 1
                         last = r
         flat = np.concatenate([n[k].ravel() for k in sizes])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int64()), pa.array(flat)], ["k", "v"])
@@ -164,12 +193,6 @@ def fit(lots: DataFrame, use_roles: bool) -> tuple[np.ndarray, np.ndarray]:
     n, at = {}, 0
     for k, (a, b) in sizes.items():
         n[k], at = flat[at : at + a * b].reshape(a, b) + SMOOTH, at + a * b
-    for r in range(len(ROLES)):  # what a marker means is known before anything is counted
-        n["mark"][2 * r, 1 + r] += PRIOR_MARK
-        n["mark"][2 * r + 1, 0] += PRIOR_MARK
-        if use_roles:  # a role that is given isn't another, and whether it is given doesn't depend on which it is
-            n["mark"][2 * r, [1 + x for x in range(len(ROLES)) if x != r]] = 1e-9
-            n["mark"][2 * r, 0] = 0.02 * n["mark"][2 * r, 1:].sum()
     share = {k: v / v.sum(axis=1, keepdims=True) for k, v in n.items()}
     step = np.full((STATES + 1, STATES), -np.inf)
     for r in range(len(ROLES)):
@@ -177,13 +200,22 @@ def fit(lots: DataFrame, use_roles: bool) -> tuple[np.ndarray, np.ndarray]:
             step[state, 2 * r + 1] = np.log(share["more"][r, 0])
             step[state, 0::2] = np.log(share["more"][r, 1] * share["turn"][r])
     step[STATES, 0::2] = np.log(share["start"][0])
-    return step, np.log(share["mark"])[:, :, None] + np.log(share["emit"])[:, None, :]
+    # a role that is given isn't another, and whether it is given doesn't depend on which it is
+    marked, other = (0.98, 1e-9) if use_roles else (share["marked"][0, 1], OTHER_ROLE)
+    emit = np.log(share["emit"])[:, None, :] + np.zeros((STATES, MARKS, FEATURES))
+    inside = (1 - BLUR) * share["inside"] + BLUR / share["inside"].shape[1]
+    for r in range(len(ROLES)):
+        emit[2 * r] += np.log(np.r_[1 - marked, marked * names(r, other)])[:, None]
+        emit[2 * r, 0, PLACES - 1 :: PLACES] = -np.inf
+        emit[2 * r, 1:, PLACES - 1 :: PLACES] = np.log(names(r, OTHER_ROLE))[:, None] + np.log(inside[r])[None, :]
+        emit[2 * r + 1] += np.log(np.r_[1 - QUOTED, np.full(len(ROLES), QUOTED / len(ROLES))])[:, None]
+    return step, emit
 
 
-def transfer(lines: list[tuple[int, int, str]], step: np.ndarray, emit: np.ndarray) -> np.ndarray:
+def transfer(lines: list[tuple], step: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Max-plus: best score from the state before the lines (or the start) to the state of the last."""
     out = None
-    for mark, feature, _ in lines:
+    for mark, feature, *_ in lines:
         move = step + emit[:, mark, feature][None, :]
         out = move if out is None else (out[:, :, None] + move[None, :STATES, :]).max(axis=1)
     return out
@@ -194,10 +226,10 @@ def after(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a[:, :, None] + b[None, :STATES, :]).max(axis=1)
 
 
-def decode_lines(lines: list[tuple[int, int, str]], entry: np.ndarray, leave: np.ndarray, step: np.ndarray, emit: np.ndarray) -> list[int]:
+def decode_lines(lines: list[tuple], entry: np.ndarray, leave: np.ndarray, step: np.ndarray, emit: np.ndarray) -> list[int]:
     """The best states of the lines, given scores of the states before them and of what follows their last state."""
     score, back = entry, []
-    for mark, feature, _ in lines:
+    for mark, feature, *_ in lines:
         move = score[:, None] + (step if len(score) > STATES else step[:STATES])
         back.append(move.argmax(axis=0))
         score = move.max(axis=0) + emit[:, mark, feature]
@@ -265,7 +297,7 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     kind = to_arrow_type(lots.schema["convs"].dataType.elementType)
     sql = lots.schema["convs"].dataType.elementType.simpleString()
 
-    def lines(roles: list, texts: list, lo: int, hi: int, began: bool) -> list[list[tuple[int, int, str]]]:
+    def lines(roles: list, texts: list, lo: int, hi: int, began: bool) -> list[list[tuple]]:
         return [lines_of(texts[i], i == lo and not began, role_of(roles[i]) if use_roles else -1) for i in range(lo, hi)]
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +328,10 @@ def format_turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
                     entry, leave = (np.array(known["entry"]), np.array(known["leave"])) if known else (START, np.zeros(STATES))
                     states, at = decode_lines([y for x in per_row for y in x], entry, leave, step, emit), 0
                     for i, ls in zip(range(lo, hi), per_row, strict=True):
-                        for k, (_, _, rest) in enumerate(ls):
+                        for k, (mark, _, rest, line) in enumerate(ls):
                             state = states[at]
                             at += 1
+                            rest = rest if mark and state == 2 * (mark - 1) else line
                             if state % 2 == 0 or not k:
                                 out.append((convs[i], turns[i], out[-1][2] + 1 if k else 0, roles[i], ROLES[state // 2], [rest]))
                             else:

@@ -634,7 +634,7 @@ def test_very_long_conversations_are_chained_in_levels(spark, monkeypatch):
         """The score of the path that is found; other paths may be as good."""
         got = sorted((r.turn, r.role) for r in chat.format_turns(df, use_roles=False).filter("conv_id is null").collect())
         path = [chat.STATES, *(2 * chat.ROLES.index(r) for _, r in got)]
-        return sum(step[a, b] + emit[b, m, f] for a, b, (m, f, _) in zip(path, path[1:], (x for i, r in enumerate(rows[:230]) for x in chat.lines_of(r[3], i == 0)), strict=False))
+        return sum(step[a, b] + emit[b, m, f] for a, b, (m, f, *_) in zip(path, path[1:], (x for i, r in enumerate(rows[:230]) for x in chat.lines_of(r[3], i == 0)), strict=False))
 
     whole = value()
     monkeypatch.setattr(chat, "SEGMENT", 4)
