@@ -6,9 +6,11 @@ stars: in name order, a row that no earlier seed claims becomes a seed and claim
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from . import model as m
@@ -16,7 +18,7 @@ from .hamming import near_pairs_of
 from .search import matching
 from .staging import written
 
-THRESHOLD, CEILING, NESTED_LIMIT, LOCAL_EDGES = 12, 100_000, 20_000, 100_000
+THRESHOLD, CEILING, NESTED_LIMIT, BATCH = 12, 100_000, 20_000, 30_000
 PHASH = r"^[0-9a-fA-F]{16}$"
 
 
@@ -110,86 +112,81 @@ def pairs_of(cand: DataFrame, threshold: int, nested_limit: int) -> DataFrame:
     return out.filter(~F.coalesce(F.col("p.key") == F.col("q.key"), F.lit(False)) & (F.col("p.id") != F.col("q.id"))).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"), "distance", F.col("p.place").alias("pa"), F.col("q.place").alias("pb"))
 
 
-def best_two(rows: DataFrame, by: str) -> DataFrame:
-    """(by, first, second): the least x of rows (by, x), and the least one of another x.who. Least ones are found within tasks first."""
-    own = rows.groupBy(by, F.col("x.who").alias("who")).agg(F.min("x").alias("x"))
-    top = own.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("x"))).filter("place <= 2")
-    return top.groupBy(by).agg(F.min("x").alias("first"), F.max(F.when(F.col("place") == 2, F.col("x"))).alias("second"))
-
-
-def beside(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(w, first, second): best_two of the rows (v, place, who, id) whose hashes are linked to w, with their distance."""
-    mine = best_two(rows.select("v", F.struct("place", "who", "id").alias("x")), "v")
-    met = links.join(mine, "v").select("w", "distance", F.explode(F.array_compact(F.array("first", "second"))).alias("x"))
-    return best_two(met.select("w", F.struct("x.place", "x.who", "x.id", "distance").alias("x")), "w")
-
-
-def with_rival(rows: DataFrame, near: DataFrame) -> DataFrame:
-    """rows with the first of the near rows that isn't of their own exact group, or null."""
-    met = rows.join(near.withColumnRenamed("w", "v"), "v", "left")
-    return met.withColumn("rival", F.when(F.col("first.who") != F.col("who"), F.col("first")).otherwise(F.col("second"))).drop("first", "second")
-
-
-def seeds_of(rows: list[tuple], links: dict) -> list:
-    """Ids of the rows (id, value, who), in name order, that no earlier seed claims. links: hashes near a hash, itself included."""
-    leads: dict = defaultdict(list)  # of each hash, its first seed's group and the first one of another group
-    seeds = []
-    for i, value, who in rows:
-        if all(x == who for near in links[value] for x in leads[near]):
+def seeds_of(x: np.ndarray, who: np.ndarray, threshold: int) -> np.ndarray:
+    """Places of the hashes, in name order, that no earlier seed of another exact group is near."""
+    claimed, seeds = np.zeros(len(x), bool), []
+    for i in range(len(x)):
+        if not claimed[i]:
             seeds.append(i)
-            if len(leads[value]) < 2 and who not in leads[value]:
-                leads[value].append(who)
-    return seeds
-
-
-def star_cover(cand: DataFrame, pairs: DataFrame, local: int = LOCAL_EDGES) -> DataFrame:
-    """(seed_id, match_id, distance): each row that an earlier seed reaches goes to the earliest such seed. cand: rows of
-    near_candidates; pairs: (v, w, distance) of their hashes, v <= w.
-
-    Rows never meet as pairs: they reach one another through their hashes, of which two rows are enough, the first and the first one
-    of another exact group, as only the own group is out of reach. So neither copies of a hash nor of a file are multiplied.
-    Seeds are the first maximal independent set in name order. In a round, rows without an undecided earlier row in reach are
-    seeds and claim later rows in reach. Every round decides at least the first row of each connected part, usually most rows, and
-    there is no bound on rounds; rows that reach fewer than `local` hashes altogether are decided in the driver, by the same rule.
+            claimed[i:] |= (np.bitwise_count(x[i] ^ x[i:]) <= threshold) & (who[i] != who[i:])
+    return np.array(seeds, np.int64)
+
+
+def claims_of(rank: np.ndarray, x: np.ndarray, who: np.ndarray, seeds: tuple[np.ndarray, np.ndarray, np.ndarray], threshold: int, width: int = 256) -> np.ndarray:
+    """The rank of the first seed (rank, x, who; in order) before each row that is near it and of another exact group, or -1."""
+    out, left = np.full(len(x), -1, np.int64), np.arange(len(x))
+    for lo in range(0, len(seeds[0]), width):
+        r, y, w = (c[lo : lo + width] for c in seeds)
+        near = np.bitwise_count(x[left, None] ^ y[None, :]) <= threshold
+        some = np.flatnonzero(near.any(axis=1))
+        if len(some):
+            at = left[some]
+            near = near[some] & (w[None, :] != who[at, None]) & (r[None, :] < rank[at, None])
+            hit = near.any(axis=1)
+            out[at[hit]] = r[near[hit].argmax(axis=1)]
+            left = left[out[left] < 0]
+    return out
+
+
+def star_cover(cand: DataFrame, threshold: int = THRESHOLD, batch: int = BATCH) -> tuple[DataFrame, DataFrame]:
+    """(rows, claims): rows of near_candidates with their rank in name order, and (rank, seed_rank, distance) of each row that an earlier
+    seed reaches, the earliest such seed being its own.
+
+    In name order, a row that no earlier seed claims is a seed and claims later rows near it, its own exact group left out. A round
+    takes the first `batch` undecided rows, finds the seeds among them, sends these to all tasks and lets each undecided row look
+    for the first one that claims it; so no pairs are made, and rows that are near one another, whether thousands of copies or
+    of near copies, are gone once one of them is a seed. Rounds follow the number of seeds. A comparison is an exclusive or and a count of
+    bits in numpy arrays; there are as many as rows times seeds at most.
+    """
+    spark = cand.sparkSession
+    ranked = group_numbers(cand, "place", "rank")
+    first = ranked.filter("key is not null").groupBy(F.col("key").alias("k")).agg(F.min("rank").alias("least"))
+    rows = ranked.join(first, F.col("key") == F.col("k"), "left").select("rank", "id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("x"), F.coalesce("least", "rank").alias("who"))
+    rows = written(rows, "rows")
+    rest, claims = rows.select("rank", "x", "who"), None
+    while head := rest.orderBy("rank").limit(batch).collect():
+        r, x, who = (np.array(c, np.int64) for c in zip(*head))
+        at = seeds_of(x.view(np.uint64), who, threshold)
+        sent = spark.sparkContext.broadcast((r[at], x[at].view(np.uint64), who[at]))
+
+        def look(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                rank, x, who = (b.column(i).to_numpy() for i in range(3))
+                seed = claims_of(rank, x.view(np.uint64), who, sent.value, threshold)
+                own = np.searchsorted(sent.value[0], seed)
+                far = np.bitwise_count(x.view(np.uint64) ^ sent.value[1][np.minimum(own, len(sent.value[0]) - 1)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(seed), pa.array(far)], ["rank", "x", "who", "seed_rank", "distance"])
+
+        looked = written(rest.mapInArrow(look, "rank long, x long, who long, seed_rank long, distance int"), "looked")
+        found = looked.filter("seed_rank >= 0").select("rank", "seed_rank", "distance")
+        claims = found if claims is None else claims.unionByName(found)
+        rest = looked.filter((F.col("seed_rank") < 0) & (F.col("rank") > int(r[-1]))).select("rank", "x", "who")
+    return rows, spark.createDataFrame([], "rank long, seed_rank long, distance int") if claims is None else claims
+
+
+def near_groups(rows: DataFrame, threshold: int = THRESHOLD, batch: int = BATCH) -> DataFrame:
+    """(group_no, seed_id, match_no, match_id, distance): groups by seed in name order, matches by distance, then name order.
+
+    Numbers within a group are places in one order of all matches, less the group's first; no group is ordered in one task.
     """
-    links = written(pairs.unionByName(pairs.filter("v != w").select(F.col("w").alias("v"), F.col("v").alias("w"), "distance")), "links")
-    who = F.coalesce(F.concat("key.ns", "key.hash"), F.concat(F.lit("r"), F.col("id").cast("string")))
-    rows = cand.select("id", "place", F.struct("hi", "lo").alias("v"), who.alias("who"))
-    some = links.filter("v != w").select("v").unionByName(rows.groupBy("v").agg(F.countDistinct("who").alias("n")).filter("n > 1").select("v")).distinct()
-    rows = written(rows.join(some, "v", "left_semi"), "rows")
-    degrees = links.groupBy("v").agg(F.count("*").alias("degree"))
-    rest, seeds = rows, []
-    while rest.join(degrees, "v").agg(F.coalesce(F.sum("degree"), F.lit(0))).first()[0] > local:
-        rivals = with_rival(rest, beside(rest, links))
-        fresh = written(rivals.filter(F.col("rival").isNull() | (F.col("place") < F.col("rival.place"))).select(*rows.columns), "seeds")
-        seeds.append(fresh)
-        later = rest.join(fresh.select("id"), "id", "left_anti")
-        reached = with_rival(later, beside(fresh, links))
-        rest = written(reached.filter(F.col("rival").isNull() | (F.col("rival.place") > F.col("place"))).select(*rows.columns), "rest")
-    near: dict = defaultdict(list)
-    for r in links.join(rest.select("v").distinct(), "v", "left_semi").join(rest.select(F.col("v").alias("w")).distinct(), "w", "left_semi").select("v", "w").collect():
-        near[r.v].append(r.w)
-    if last := seeds_of([(r.id, r.v, r.who) for r in sorted(rest.collect(), key=lambda r: r.place)], near):
-        seeds.append(rows.join(rows.sparkSession.createDataFrame([(i,) for i in last], rows.select("id").schema), "id", "left_semi").select(*rows.columns))
-    if not seeds:
-        return rows.select(F.col("id").alias("seed_id"), F.col("id").alias("match_id"), F.lit(0).alias("distance")).limit(0)
-    chosen = seeds[0]
-    for more in seeds[1:]:
-        chosen = chosen.unionByName(more)
-    chosen = written(chosen, "seeds")
-    claimed = with_rival(rows.join(chosen.select("id"), "id", "left_anti"), beside(chosen, links))
-    return claimed.select(F.col("rival.id").alias("seed_id"), F.col("id").alias("match_id"), F.col("rival.distance").alias("distance"))
-
-
-def near_groups(rows: DataFrame, threshold: int = THRESHOLD, nested_limit: int = NESTED_LIMIT, local: int = LOCAL_EDGES) -> DataFrame:
-    """(group_no, seed_id, match_no, match_id, distance): groups by seed in name order, matches by distance, then name order."""
-    cand = written(near_candidates(rows), "near")
-    stars = written(star_cover(cand, value_pairs(cand.select("hi", "lo"), threshold, nested_limit), local), "stars")
-    place = cand.select(F.col("id").alias("pid"), "place")
-    heads = group_numbers(stars.select("seed_id").distinct().join(place, F.col("seed_id") == F.col("pid")).select("seed_id", "place"), "place")
-    named = stars.join(heads.select("seed_id", "group_no"), "seed_id").join(place, F.col("match_id") == F.col("pid"))
-    match_no = F.row_number().over(Window.partitionBy("seed_id").orderBy("distance", "place"))
-    return named.select("group_no", "seed_id", match_no.cast("long").alias("match_no"), "match_id", "distance")
+    ranked, claims = star_cover(written(near_candidates(rows), "near"), threshold, batch)
+    numbered = group_numbers(claims.withColumn("at", F.struct("seed_rank", "distance", "rank")), "at", "nth")
+    numbered = written(numbered.drop("at"), "matches")
+    heads = group_numbers(numbered.groupBy("seed_rank").agg(F.min("nth").alias("least")), "seed_rank")
+    ids = ranked.select("rank", "id")
+    heads = heads.join(ids.withColumnsRenamed({"rank": "seed_rank", "id": "seed_id"}), "seed_rank")
+    named = numbered.join(heads, "seed_rank").join(ids.withColumnRenamed("id", "match_id"), "rank")
+    return named.select("group_no", "seed_id", (F.col("nth") - F.col("least") + 1).alias("match_no"), "match_id", "distance")
 
 
 @dataclass

@@ -73,25 +73,38 @@ def greedy(values, keys=None):
     return out
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
-@pytest.mark.parametrize("local", [dup.LOCAL_EDGES, 0])
-@pytest.mark.parametrize("copies", [False, True])
-def test_star_cover_equals_the_greedy_loop(spark, limit, local, copies):
-    rng = random.Random(3)
+@pytest.mark.parametrize("batch", [dup.BATCH, 9, 1])
+@pytest.mark.parametrize("shape", ["apart", "copies", "walk"])
+def test_star_cover_equals_the_greedy_loop(spark, batch, shape):
+    rng, n = random.Random(3), 25 if batch == 1 else 120
     base = [rng.getrandbits(64) for _ in range(6)]
-    values = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(70)]
-    values = [rng.choice(values[:9]) if copies and rng.random() < 0.7 else v for v in values]
-    keys = [rng.choice([None, "k1", "k2", "k3"]) if copies else None for _ in values]
+    values = [rng.choice(base) ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 9))) for _ in range(n)]
+    if shape == "walk":  # each is near the next one and hardly any other
+        for i in range(1, n):
+            values[i] = values[i - 1] ^ sum(1 << b for b in rng.sample(range(64), 9))
+    keys = [None] * n
+    if shape == "copies":
+        values = [rng.choice(values[:9]) if rng.random() < 0.7 else v for v in values]
+        keys = [rng.choice([None, "k1", "k2", "k3"]) for _ in values]
     rows = rows_of(spark, [(f"/{i:03d}", None, k, "k" if k else None, f"{v:016x}") for i, (v, k) in enumerate(zip(values, keys))])
-    got = dup.near_groups(rows, nested_limit=limit, local=local).collect()
-    assert {(r.seed_id, r.match_id, r.distance) for r in got} == greedy(values, keys)
-
-
-@pytest.mark.parametrize("n, local", [(400, dup.LOCAL_EDGES), (14, 0)])
-def test_star_cover_of_a_long_run_is_decided_to_its_end(spark, n, local):
-    cand = spark.createDataFrame([(i, ("", f"{i:04d}"), i, 0, None) for i in range(n)], "id long, place struct<n:string,p:string>, hi long, lo long, key struct<ns:string,hash:string>")
-    pairs = spark.createDataFrame([((i, 0), (i + 1, 0), 3) for i in range(n - 1)] + [((i, 0), (i, 0), 0) for i in range(n)], "v struct<hi:long,lo:long>, w struct<hi:long,lo:long>, distance int")
-    assert {tuple(r) for r in dup.star_cover(cand, pairs, local).collect()} == {(i - 1, i, 3) for i in range(1, n, 2)}
+    got = dup.near_groups(rows, batch=batch).collect()
+    want = greedy(values, keys)
+    assert {(r.seed_id, r.match_id, r.distance) for r in got} == want and len(got) == len(want)
+    groups: dict = {}
+    for r in sorted(got, key=lambda r: (r.group_no, r.match_no)):
+        groups.setdefault((r.group_no, r.seed_id), []).append((r.match_no, r.distance, r.match_id))
+    assert [g for g, _ in sorted(groups)] == list(range(1, len(groups) + 1)) and [s for _, s in sorted(groups)] == sorted(s for _, s in groups)
+    assert all([m for m, *_ in v] == list(range(1, len(v) + 1)) and [x[1:] for x in v] == sorted(x[1:] for x in v) for v in groups.values())
+
+
+def test_claims_come_from_the_first_seed_however_seeds_are_cut():
+    rng = np.random.default_rng(6)
+    x = np.array([int(v) ^ (1 << int(b)) for v, b in zip(rng.choice([5, 2**40, 2**63], 300), rng.integers(0, 64, 300))], np.uint64)
+    who, rank = rng.integers(0, 5, 300), np.arange(300)
+    at = np.sort(rng.choice(300, 120, replace=False))
+    want = [next((int(s) for s in at if s < i and who[s] != who[i] and int(x[s] ^ x[i]).bit_count() <= 3), -1) for i in range(300)]
+    for width in (1, 7, 256):
+        assert dup.claims_of(rank, x, who, (at, x[at], who[at]), 3, width).tolist() == want
 
 
 def test_report_ceiling(spark):
