@@ -18,14 +18,16 @@ known by elimination, so each table decides by itself which pairs are its own, a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Up to so many hashes two parts; so many hashes in a group; so many in a row that moves; masked hashes that a task sorts, about.
-TWO_PARTS, GROUP, CHUNK, TASK = 100_000, 500_000, 20_000, 200_000_000
+#: Up to so many hashes two parts; so many hashes in a group; so many in a row that moves; masked hashes that a task sorts, about; near
+#: pairs that wait until their own table is known.
+TWO_PARTS, GROUP, CHUNK, TASK, SETTLE = 100_000, 500_000, 20_000, 200_000_000, 250_000
 # Primitive polynomials over two elements, by degree.
 FIELD = {4: 0b10011, 5: 0b100101, 6: 0b1000011}
 
@@ -91,20 +93,17 @@ def own_table(differ: np.ndarray, parts: int, threshold: int) -> np.ndarray:
     return out
 
 
-def meet(x: np.ndarray, side: np.ndarray | None, parts: int, threshold: int, slice_no: int, slices: int, seen: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(a, b): indices of pairs within the threshold that belong to every slices-th table from slice_no on. side: only pairs of both
-    sides count. seen: gets the number of pairs compared."""
-    found, waiting = [], 0
-    results: list[tuple[np.ndarray, np.ndarray]] = []
+def meetings(x: np.ndarray, side: np.ndarray | None, parts: int, threshold: int, slice_no: int, slices: int, seen: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(a, b), lot by lot: indices of pairs within the threshold that belong to every slices-th table from slice_no on. side: only pairs of
+    both sides count. seen: gets the number of pairs compared."""
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    waiting = 0
 
-    def settle() -> None:
-        nonlocal waiting
-        if found:
-            a, b, table = (np.concatenate(c) for c in zip(*found))
-            mine = own_table(x[a] ^ x[b], parts, threshold) == table
-            results.append((a[mine], b[mine]))
-            found.clear()
-        waiting = 0
+    def settled() -> tuple[np.ndarray, np.ndarray]:
+        a, b, table = (np.concatenate(c) for c in zip(*found))
+        found.clear()
+        mine = own_table(x[a] ^ x[b], parts, threshold) == table
+        return a[mine], b[mine]
 
     for j, v, mask in tables(parts, threshold)[slice_no::slices]:
         key = x & np.uint64(mask)
@@ -122,15 +121,20 @@ def meet(x: np.ndarray, side: np.ndarray | None, parts: int, threshold: int, sli
                 a, b = a[near], b[near]
                 found.append((a, b, np.full(len(a), j << 16 | v)))
                 waiting += len(a)
-                if waiting > 1_000_000:
-                    settle()
+                if waiting > SETTLE:
+                    yield settled()
+                    waiting = 0
             step += 1
             at = at[at + step < len(x)]
             at = at[key[at + step] == key[at]]
-    settle()
-    if not results:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([a for a, _ in results]), np.concatenate([b for _, b in results])
+    if found:
+        yield settled()
+
+
+def meet(*args, **more) -> tuple[np.ndarray, np.ndarray]:
+    """All of meetings at once."""
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *meetings(*args, **more)]
+    return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
 def near_pairs_of(values: DataFrame, count: int, threshold: int, two_parts: int = TWO_PARTS, group: int = GROUP) -> DataFrame:
@@ -149,16 +153,18 @@ def near_pairs_of(values: DataFrame, count: int, threshold: int, two_parts: int
     cells = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(F.least(own, h).alias("a"), F.greatest(own, h).alias("b")))
     dealt = packed.withColumn("own", own).withColumn("cell", F.explode(cells)).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        x = np.concatenate([np.asarray(v, np.int64) for v in rows["xs"]]).view(np.uint64)
-        side = None if key[0] == key[1] else np.repeat(rows["own"].to_numpy(), [len(v) for v in rows["xs"]])
-        a, b = meet(x, side, parts, threshold, int(key[2]), slices)
-        low, high = np.minimum(x[a], x[b]), np.maximum(x[a], x[b])
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(b.column("own"), b.column("xs")) for b in batches]
+        x = np.concatenate([xs.flatten().to_numpy(zero_copy_only=False) for _, xs in found]).view(np.uint64)
+        side = np.concatenate([np.repeat(own.to_numpy(), xs.value_lengths().to_numpy()) for own, xs in found]) if key[0] != key[1] else None
         half = np.uint64(0xFFFFFFFF)
-        return pd.DataFrame({c: (y >> np.uint64(32) if c[1] == "h" else y & half).astype(np.int64) for c, y in (("vh", low), ("vl", low), ("wh", high), ("wl", high))})
+        for a, b in meetings(x, side, parts, threshold, key[2].as_py(), slices):
+            low, high = np.minimum(x[a], x[b]), np.maximum(x[a], x[b])
+            cols = (low >> np.uint64(32), low & half, high >> np.uint64(32), high & half)
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], ["vh", "vl", "wh", "wl"])
 
     made = dealt.select(F.col("cell.a").alias("a"), F.col("cell.b").alias("b"), "slice", "own", "xs")
-    out = made.repartition(min(4096, groups * (groups + 1) // 2 * slices), "a", "b", "slice").groupBy("a", "b", "slice").applyInPandas(compare, "vh long, vl long, wh long, wl long")
+    out = made.repartition(min(4096, groups * (groups + 1) // 2 * slices), "a", "b", "slice").groupBy("a", "b", "slice").applyInArrow(compare, "vh long, vl long, wh long, wl long")
     pair = out.select(F.struct(F.col("vh").alias("hi"), F.col("vl").alias("lo")).alias("v"), F.struct(F.col("wh").alias("hi"), F.col("wl").alias("lo")).alias("w"))
     bits = lambda h: F.bit_count(F.col(f"v.{h}").bitwiseXOR(F.col(f"w.{h}")))
     return pair.withColumn("distance", bits("hi") + bits("lo"))

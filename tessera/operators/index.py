@@ -5,9 +5,16 @@ The index is an immutable table per generation; a single writer makes the next o
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .search import scope_filter
+from .staging import written
+
+#: Places that are sent to all tasks.
+FEW_PLACES = 20_000
 
 FILES = (
     "id long, path string, parent_dir string, name string, ext string, size long, mtime double, device long, inode long, volume_uuid string, width int, height int, capture_time double, capture_offset string, "
@@ -137,11 +144,64 @@ def ancestors(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i == 1, F.lit("/")).otherwise(F.array_join(F.slice(parts, 1, i), "/")))
 
 
-def at_or_under(rows: DataFrame, places: DataFrame) -> DataFrame:
-    """rows at or under any of the places (one column, path), by whole components."""
-    above = rows.select(F.col("path").alias("own"), F.explode(ancestors(F.col("path"))).alias("above"))
-    hit = above.join(places.select(F.col("path").alias("above")).distinct(), "above", "left_semi").select(F.col("own").alias("path")).distinct()
-    return rows.join(hit, "path", "left_semi")
+def component_key(path: Column) -> Column:
+    """The path with one slash at its end: of two paths, one is at or under the other if its key begins with the other's."""
+    return F.concat(F.regexp_replace(path, "/+$", ""), F.lit("/"))
+
+
+def disjoint(places: DataFrame) -> DataFrame:
+    """(key) of the places (one column, path) that aren't under another one."""
+    own = places.select(F.regexp_replace("path", "/+$", "").alias("path")).distinct()
+    own = own.withColumn("path", F.when(F.col("path") == "", "/").otherwise(F.col("path")))
+    above = own.select("path", F.explode(ancestors(F.col("path"))).alias("above")).filter(F.col("above") != F.col("path"))
+    nested = above.join(own.select(F.col("path").alias("above")), "above", "left_semi").select("path").distinct()
+    return own.join(nested, "path", "left_anti").select(component_key(F.col("path")).alias("key"))
+
+
+def at_or_under(rows: DataFrame, places: DataFrame, few: int = FEW_PLACES) -> DataFrame:
+    """rows at or under any of the places (one column, path), by whole components.
+
+    Places that aren't under one another are disjoint ranges of keys, so a row is in one of them at most. Up to `few` of them are sent to
+    all tasks, and rows look up their own beginnings of the depths that places have, without moving. More of them are ranges that
+    rows join by order: both are range-partitioned and sorted by key, and the last place before a row is the one that may cover it.
+    """
+    found = written(disjoint(places), "places")
+    if found.limit(few + 1).count() <= few:
+        depths = [r[0] for r in found.select(F.size(F.split("key", "/")).alias("n")).distinct().orderBy("n").collect()]  # of path components
+        if not depths:
+            return rows.limit(0)
+        start = lambda n: F.concat(F.array_join(F.slice(F.split(component_key(F.col("path")), "/"), 1, n - 1), "/"), F.lit("/"))
+        own = F.array_distinct(F.array(*[start(n) for n in depths]))  # shorter paths come out alike for several depths
+        return rows.withColumn("__start", F.explode(own)).join(F.broadcast(found.withColumnRenamed("key", "__start")), "__start", "left_semi").select(*rows.columns)
+    return in_ranges(rows, found)
+
+
+def in_ranges(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """rows whose key begins with one of the disjoint keys. Each row moves once, to its range; a place goes to all ranges it reaches into."""
+    key = component_key(F.col("path"))
+    ranges = rows.select(key.alias("key")).repartitionByRange("key").groupBy(F.spark_partition_id().alias("part")).agg(F.min("key").alias("low"))
+    bounds = sorted(r.low for r in ranges.collect())[1:]  # a key for each range
+    range_of = lambda c: F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= c)) if bounds else F.lit(0)
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    inner = rows.withColumns({"__part": range_of(key), "__key": key, "__row": F.lit(True)})
+    # the byte after the slash ends a place's keys
+    past = F.concat(F.expr("substr(key, 1, length(key) - 1)"), F.lit("0"))
+    places = found.select(*none, F.explode(F.sequence(range_of(F.col("key")), range_of(past))).alias("__part"), F.col("key").alias("__key"), F.lit(False).alias("__row"))
+    laid = inner.unionByName(places).repartition(len(bounds) + 1, "__part").sortWithinPartitions("__part", "__key", "__row")
+    names = rows.columns
+
+    def covered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = place = None
+        for b in batches:
+            hit = []
+            for part, k, is_row in zip(*(b.column(len(names) + i).to_pylist() for i in range(3))):
+                if part != at:
+                    at, place = part, None
+                place = place if is_row else k
+                hit.append(is_row and place is not None and k.startswith(place))
+            yield b.filter(pa.array(hit, pa.bool_())).select(names)
+
+    return laid.mapInArrow(covered, rows.schema)
 
 
 def reconcile(index: DataFrame, walked: DataFrame, skipped: DataFrame, scope, uuid: str | None, device: int, volume_before: tuple, volume_after: tuple, root_readable: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,7 @@ Comparisons stay three-valued. Only `Not` folds: unknown counts as "doesn't matc
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -13,8 +14,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import ascii_fold, folded_words, matches_terms, name_tokens, search_terms
 from . import model as m
 from .postings import ids_with
+from .staging import folder
 
 SORT_COLUMNS = {"name": None, "captureDate": "capture_time", "modifiedDate": "mtime", "size": "size", "width": "width", "height": "height"}
+#: Up to so deep a page is cut off a sorted stream.
+SHALLOW = 10_000
 #: Marks of library-wide twins that `search` joins where a predicate asks for them.
 IMAGE_TWIN, CONTENT_TWIN = "__image_twin", "__content_twin"
 
@@ -175,8 +179,17 @@ def sort_columns(sort: m.Sort) -> list[Column]:
 
 
 def search(files: DataFrame, query: m.SearchQuery, columns: list[str] | None = None, postings: DataFrame | None = None) -> DataFrame:
-    """The page of rows that a query asks for, in its order."""
-    out = matching(files, query, postings=postings).orderBy(*sort_columns(query.sort))
+    """The page of rows that a query asks for, in its order.
+
+    Up to SHALLOW rows from the top are kept by each task while it sorts. Deeper pages, and pages without an end, come from ranges
+    whose rows are counted.
+    """
+    rows = matching(files, query, postings=postings)
+    if query.offset and (query.limit is None or query.offset + query.limit > SHALLOW):
+        keep = [*(columns or rows.columns)]
+        last = None if query.limit is None else query.offset + query.limit
+        return placed(rows, query.sort, query.offset, last).orderBy("place").select(*keep)
+    out = rows.orderBy(*sort_columns(query.sort))
     if query.offset:
         out = out.offset(query.offset)
     if query.limit is not None:
@@ -184,6 +197,30 @@ def search(files: DataFrame, query: m.SearchQuery, columns: list[str] | None = N
     return out.select(*columns) if columns else out
 
 
+def placed(rows: DataFrame, sort: m.Sort, after: int = 0, last: int | None = None) -> DataFrame:
+    """rows with their place in an order, from 1; only those after the first `after` ones and up to the last one.
+
+    Ranges of the order are sorted side by side and written apart, so that the counts of the ranges say which of them have rows of the
+    page; the others aren't read.
+    """
+    order = sort_columns(sort)
+    own = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) + 1
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__place": own})
+    path = f"{folder(rows.sparkSession)}/catalogue-{uuid.uuid4().hex}-ranges"
+    ranged.write.partitionBy("__part").parquet(path)
+    ranged = rows.sparkSession.read.schema(ranged.schema).parquet(path)
+    before, total = [], 0
+    for part, n in sorted((r[0], r[1]) for r in ranged.groupBy("__part").count().collect()):  # a row for each range
+        if total + n > after and (last is None or total < last):
+            before.append((part, total))
+        total += n
+    wanted = ranged.filter(F.col("__part").isin([p for p, _ in before]))  # whole folders are left out
+    offsets = rows.sparkSession.createDataFrame(before, "__part int, __before long")
+    place = F.col("__before") + F.col("__place")
+    out = wanted.join(F.broadcast(offsets), "__part").withColumn("place", place).filter(F.col("place") > after)
+    return (out if last is None else out.filter(F.col("place") <= last)).drop("__part", "__place", "__before")
+
+
 def by_path(files: DataFrame, path: str) -> DataFrame:
     return files.filter(F.col("path") == path)
 

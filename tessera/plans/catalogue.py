@@ -9,6 +9,7 @@ from ..functions.hashes import hashed, phash_of
 from ..functions.text import ascii_fold
 from ..operators import duplicates as dup, facets as fct, index as idx, journal as jnl, model as m, saved, search as s
 from ..operators.search import SORT_COLUMNS
+from ..operators.vectors import top_k
 from ..sources import adapters as ad, walk
 from ..sources.adapters import FACTS_SQL, FILES_SQL, JOURNAL_SQL, NEXT_SQL, PHASH_SQL
 from ..sources.metadata import read_headers
@@ -229,11 +230,19 @@ def hashing_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.select("id", "content_hash", "image_hash", "hashed_at")
 
 
-@query("display_order", with_files("SELECT id, size FROM files WHERE id IN (SELECT user_id FROM events)"))
+@query("display_order", with_files("SELECT id, size, row_number() OVER (ORDER BY size IS NULL, size DESC, id) AS place FROM files WHERE id IN (SELECT user_id FROM events)"))
 def display_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files that events name, largest first."""
+    """The files that events name, largest first, with their places."""
     ids = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("id"))
-    return s.in_display_order(ad.files(spark, sf_dir), ids, m.Sort("size", False)).select("id", "size")
+    return s.placed(s.by_ids(ad.files(spark, sf_dir), ids), m.Sort("size", False)).select("id", "size", "place")
+
+
+@query("page_deep", with_files("SELECT id, path, place FROM (SELECT id, path, row_number() OVER (ORDER BY capture_time IS NULL, capture_time, id) AS place, count(*) OVER () AS n FROM files) WHERE place > n // 2 AND place <= n // 2 + 100"))
+def page_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hundred rows from the middle of an order, with their places."""
+    rows = ad.files(spark, sf_dir)
+    half = rows.count() // 2
+    return s.placed(rows, m.Sort("captureDate"), half, half + 100).select("id", "path", "place")
 
 
 @query("volume_identity", with_files("SELECT f.id, CASE WHEN f.volume_uuid IS NOT NULL THEN f.volume_uuid IS NOT DISTINCT FROM w.volume_uuid ELSE f.device = w.device END AS same FROM files f JOIN walked w ON f.path = w.path", NEXT_SQL))
@@ -705,11 +714,7 @@ def phash_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every twentieth one."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
-    wanted = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda t, x: t + x)
-    near = rows.join(wanted, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 9).alias("d"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("d").desc(), "vec_id"))
-    return near.withColumn("place", place).filter("place <= 5").select("query_id", "vec_id", F.col("place").cast("long").alias("place"))
+    return top_k(rows.filter("vec_id % 20 = 0"), rows, 5).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "place")
 
 
 @query("media_kinds", with_files("SELECT id, CASE ext WHEN 'jpg' THEN 'jpeg' WHEN 'cr2' THEN 'raw' ELSE ext END AS media, CASE ext WHEN 'jpg' THEN 'jpeg-scan-v1' WHEN 'png' THEN 'png-idat-v1' WHEN 'webp' THEN 'webp-chunk-v1' WHEN 'heic' THEN 'heic-item-v1' END AS kind, starts_with(name, '.') AS junk FROM files"))
