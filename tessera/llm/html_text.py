@@ -4,10 +4,12 @@ A page becomes a tree. Each subtree gets a hash of its tags, classes, text and c
 which each hash occurs outside explicit articles (pre-aggregated, distinct per page). Hashes found on many pages of a host are
 that host's template and are cut out of the page first. Then go elements whose tag, role or class says that they are menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles or reader comments; a class that may as well be about the subject
-doesn't delete running text. The blocks inside explicit articles (article, main) are
+doesn't delete running text. A form or a marked element around the page's longest article, or around half of the prose of a page without
+one, is a wrapper and stays. The blocks inside explicit articles (article, main) are
 counted by the different articles that hold them, as the same article may well stand on many pages; headings, single items and cells,
 and what is part of a sentence stay. The text is that of all articles of the page, in its order; of an article in a main
-element, that of the main element.
+element, that of the main element. Of several articles, cards that lead to other pages are left out. Headings and paragraphs that stand
+right before an article belong to it, unless they recur on the host.
 
 A host's template hashes are few: each is on at least `min_share` of its pages, so there are at most 1/min_share times as
 many as a page has subtrees on average. They are joined to the pages by host, broadcast if their counted rows are few.
@@ -39,7 +41,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 ENDS_P = set("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dd dt".split())
 LIMITS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}}
 # Elements, roles and words of class or id that mark what isn't the article.
-DROPPED = set("head script style noscript template nav footer aside form button select option textarea iframe svg canvas object embed dialog menu title input".split())
+DROPPED = set("head script style noscript template nav footer aside button select option textarea iframe svg canvas object embed dialog menu title input".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 SURE = set("ad ads advert adverts advertisement advertisements advertising adsense adslot adbox cookie cookies consent gdpr sponsor sponsors sponsored sidebar sidebars nav navs navbar navigation footer footers masthead breadcrumb breadcrumbs comment comments disqus share sharing newsletter newsletters subscribe signup popup popups modal modals login pagination pager copyright disclaimer".split())
 # Words that mark such a part too, but may be about the article's subject: prose under them stays.
@@ -47,6 +49,11 @@ MAYBE = set("banner banners notice notices alert alerts promo promos promotion p
 # What such words are combined with.
 WITH = set("area bar block body bottom box button buttons container content count entry footer form group header holder icon icons inner item items left line link links list main message module page panel right section site slot strip text thread title top unit user widget wrap wrapper".split())
 HEADERS = set("header headers topbar".split())
+# Words of a card that leads to another page; words under which even most of a page's prose isn't the article.
+CARDS = set("card cards teaser teasers preview tile snippet excerpt related recommended promo".split())
+NEVER = set("comment comments reply replies respond disqus ad ads advert adverts advertisement advertisements advertising".split())
+LEADS = set("h1 h2 hgroup p".split())
+ANCHORED = set("section h1 h2 h3 h4 h5 h6".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -139,19 +146,72 @@ def is_prose(node: Node) -> bool:
     return plain >= PROSE and linked <= 0.3 * (plain + linked)
 
 
-def marked(node: Node, in_article: bool) -> bool:
-    """Whether tag, role, class or id says that the node isn't part of the article.
+def names_of(text: str) -> list[set[str]]:
+    """The words of each class or id."""
+    return [set(re.split(r"[_-]+", x)) - {""} for x in text.lower().split()]
 
-    A class or id counts as a whole, all of its parts being words that mark or go with such words; `social-policy` isn't one.
+
+def plain_words(root: Node) -> dict[int, int]:
+    """Words outside links under each node, by id(node)."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, linked = todo.pop()
+        order.append((node, linked))
+        if node.tag not in RAW:
+            todo += [(k, linked or k.tag == "a") for k in node.kids if isinstance(k, Node)]
+    out: dict[int, int] = {}
+    for node, linked in reversed(order):
+        out[id(node)] = 0 if node.tag in RAW else sum(out[id(k)] if isinstance(k, Node) else 0 if linked else len(k.split()) for k in node.kids)
+    return out
+
+
+def never(node: Node) -> bool:
+    a = attributes(node) if node.attrs else {}
+    return node.tag in DROPPED - {"form"} or any(x & NEVER and x <= SURE | MAYBE | WITH for x in names_of(a.get("class", "") + " " + a.get("id", "")))
+
+
+def wrappers(root: Node) -> set[int]:
+    """What stays although it looks like a form or a part beside the article, by id(node): the elements around the page's longest article, or,
+    on a page without articles, those that hold half of its prose."""
+    words = plain_words(root)
+    longest, ways, todo = None, [], [(root, ())]
+    while todo:
+        node, above = todo.pop()
+        if node is not root and never(node):
+            continue
+        if is_article(node):
+            if longest is None or words[id(node)] > longest:
+                longest, ways = words[id(node)], list(above)
+            continue
+        todo += [(k, (*above, id(node))) for k in node.kids if isinstance(k, Node)]
+    if longest is not None:
+        return set(ways)
+    out, todo = set(), [root]
+    while todo:
+        node = todo.pop()
+        if words[id(node)] >= max(PROSE, 0.5 * words[id(root)]) and (node is root or not never(node)):
+            out.add(id(node))
+            todo += [k for k in node.kids if isinstance(k, Node)]
+    return out
+
+
+def marked(node: Node, in_article: bool, stay: set[int] = frozenset()) -> bool:
+    """Whether tag, role, class or id says that the node isn't part of the article. stay: those of which only the tag counts.
+
+    A class or id counts as a whole, all of its parts being words that mark or go with such words; `social-policy` isn't one. The id of
+    a section or heading inside an article is a place to link to: prose under it stays.
     """
-    if node.tag in DROPPED or node.tag == "header" and not in_article:
+    if id(node) in stay:
+        return False
+    if node.tag in DROPPED or node.tag == "form" or node.tag == "header" and not in_article:
         return True
     a = attributes(node)
     if not a:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", a.get("style", ""), re.I):
         return True
-    names = [set(re.split(r"[_-]+", x)) - {""} for x in (a.get("class", "") + " " + a.get("id", "")).lower().split()]
+    anchor = in_article and node.tag in ANCHORED and is_prose(node)
+    names = names_of(a.get("class", "") + " " + ("" if anchor else a.get("id", "")))
     if node.tag in ("html", "body", "article", "main"):
         return node.tag == "article" and any(x & {"comment", "comments", "reply"} and x <= SURE | MAYBE | WITH for x in names)
     names = [x for x in names if x <= SURE | MAYBE | WITH | HEADERS]
@@ -206,7 +266,47 @@ def page_hashes(html: str | None) -> list[tuple[int, int]]:
     return sorted(found | {(1, article) for _, article in found if article})
 
 
-def blocks_of(node: Node) -> list[str]:
+def is_card(node: Node) -> bool:
+    """Whether an article only leads to another page: by its class, or because its heading is a link."""
+    a = attributes(node) if node.attrs else {}
+    if any(x & CARDS and x <= CARDS | SURE | MAYBE | WITH | {"article", "post", "story"} for x in names_of(a.get("class", ""))):
+        return True
+    todo = [k for k in node.kids if isinstance(k, Node)]
+    while todo:
+        k = todo.pop(0)
+        if k.tag in ("h1", "h2", "h3", "h4"):
+            inner = [x for x in k.kids if not isinstance(x, str) or x.strip()]
+            return len(inner) == 1 and isinstance(inner[0], Node) and inner[0].tag == "a" and not attributes(inner[0]).get("href", "#").startswith("#")
+        todo = [x for x in k.kids if isinstance(x, Node)] + todo
+    return False
+
+
+def articles_of(root: Node, stay: set[int]) -> list[Node]:
+    """Explicit articles that aren't in one another, without cards beside them, each after the headings and paragraphs right before it."""
+    found: list[tuple[Node, list[Node]]] = []
+    todo: list[tuple[Node, list[Node]]] = [(root, [])]
+    while todo:
+        node, before = todo.pop()
+        if node is not root and marked(node, False, stay):
+            continue
+        if is_article(node):
+            found.append((node, before))
+            continue
+        kids, lead, more = [k for k in node.kids if isinstance(k, Node) or k.strip()], [], []
+        for k in kids:
+            if isinstance(k, Node) and k.tag in LEADS and not marked(k, False, stay):
+                lead.append(k)
+                more.append((k, []))
+            elif not (isinstance(k, Node) and k.tag == "hr"):  # which also stands where a template was cut out
+                if isinstance(k, Node):
+                    more.append((k, lead if is_article(k) else []))
+                lead = []
+        todo += reversed(more)
+    whole = [x for x in found if not is_card(x[0])] or found
+    return [y for node, before in whole for y in (*(before if node.tag == "article" else ()), node)]
+
+
+def blocks_of(node: Node, stay: set[int] = frozenset()) -> list[str]:
     """Text of the blocks under node, in page order, without what is marked."""
     blocks: list[str] = []
     line: list[str] = []
@@ -226,7 +326,7 @@ def blocks_of(node: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             line.append(x)
-        elif x is node or not marked(x, inside):
+        elif x is node or not marked(x, inside, stay):
             if x.tag == "br":
                 line.append(" ")
             block = x.tag in BLOCKS
@@ -258,16 +358,8 @@ def main_parts(html: str | None, templates: set[int] | None = None) -> tuple[str
         return "", 0
     root, templates = parse(html), templates or set()
     cut = without(root, templates, subtree_hashes(root)) if templates else 0
-    found, todo = [], [root]  # explicit articles that aren't in one another
-    while todo:
-        node = todo.pop()
-        if node is not root and marked(node, False):
-            continue
-        if is_article(node):
-            found.append(node)
-        else:
-            todo += [k for k in reversed(node.kids) if isinstance(k, Node)]
-    return "\n\n".join(b for x in found or [root] for b in blocks_of(x)), cut
+    stay = wrappers(root)
+    return "\n\n".join(b for x in articles_of(root, stay) or [root] for b in blocks_of(x, stay)), cut
 
 
 def main_text(html: str | None, templates: set[int] | None = None) -> str:
