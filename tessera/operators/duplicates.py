@@ -18,7 +18,7 @@ from .hamming import near_pairs_of
 from .search import matching
 from .staging import written
 
-THRESHOLD, CEILING, NESTED_LIMIT, BATCH = 12, 100_000, 20_000, 30_000
+THRESHOLD, CEILING, NESTED_LIMIT, BATCH, HOT = 12, 100_000, 20_000, 30_000, 1 / 1000
 PHASH = r"^[0-9a-fA-F]{16}$"
 
 
@@ -150,8 +150,15 @@ def star_cover(cand: DataFrame, threshold: int = THRESHOLD, batch: int = BATCH)
     """
     spark = cand.sparkSession
     ranked = group_numbers(cand, "place", "rank")
-    first = ranked.filter("key is not null").groupBy(F.col("key").alias("k")).agg(F.min("rank").alias("least"))
-    rows = ranked.join(first, F.col("key") == F.col("k"), "left").select("rank", "id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("x"), F.coalesce("least", "rank").alias("who"))
+    ranked = written(ranked.select("rank", "id", F.shiftleft("hi", 32).bitwiseOR(F.col("lo")).alias("x"), "key"), "ranked")
+    many = written(ranked.filter("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("rank").alias("who")).filter("n > 1"), "twins")
+    # keys that many rows have, at most 1 / HOT of them, are sent to the rows; rows of other groups meet them by key
+    often = F.col("n") > ranked.count() * HOT
+    hot, few = F.broadcast(many.filter(often).select("key", "who")), many.filter(~often).select("key", "who")
+    keyed = ranked.filter("key is not null")
+    rest = keyed.join(hot.select("key"), "key", "left_anti").join(few, "key", "left")
+    each = [keyed.join(hot, "key"), rest, ranked.filter("key is null").withColumn("who", F.lit(None).cast("long"))]
+    rows = each[0].unionByName(each[1]).unionByName(each[2]).select("rank", "id", "x", F.coalesce("who", "rank").alias("who"))
     rows = written(rows, "rows")
     rest, claims = rows.select("rank", "x", "who"), None
     while head := rest.orderBy("rank").limit(batch).collect():
