@@ -87,10 +87,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         words = once(words, f"h{k}", F.coalesce(runs(F.col("q"), k), none))
     kept = [winnowed(F.col(f"h{k}"), least - K + 1) if k == K else F.array_distinct(F.col(f"h{k}")) for k in lengths]
     prints = F.concat(*kept) if kept else none
-    # the first entry, null, carries the document itself through the join
+    # the first entry, null, carries the document itself past the join: one generator makes both kinds of rows
     rows = words.select("id", "th", F.size("q").cast("long").alias("n_words"), F.explode(F.concat(F.array(F.lit(None).cast("bigint")), prints)).alias("hash"))
-    hashes = bounded_broadcast(windows.select("hash").distinct().withColumn("found", F.lit(True)), max_broadcast)
-    found = rows.join(hashes, "hash", "left").filter(F.col("found") | F.col("hash").isNull())
+    hashes = windows.select("hash").distinct()
+    if hashes.limit(max_broadcast + 1).count() <= max_broadcast:
+        met = rows.join(F.broadcast(hashes.withColumn("found", F.lit(True))), "hash", "left").filter(F.col("found") | F.col("hash").isNull())
+        found = met.select("id", "th", "n_words", "hash")
+    else:  # rows without a hash don't move to where a null would be joined
+        found = rows.filter("hash is not null").join(hashes, "hash").select("id", "th", "n_words", "hash").unionByName(rows.filter("hash is null").select("id", "th", "n_words", "hash"))
     per_doc = staged(found.groupBy("id", "th", "n_words").agg(F.collect_set("hash").alias("hashes"), F.count_if(F.col("hash").isNull()).alias("copies")), "hits")
     hit = per_doc.filter(F.size("hashes") > 0).select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "hashes")
     again = docs.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th"))).select("id", "th", "text", "hashes")
