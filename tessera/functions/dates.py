@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, functions as F
+from pyspark.sql import Column, functions as F
 
 
 def exif_time(stamp: Column, offset: Column) -> Column:
@@ -32,6 +32,6 @@ def shift_amount(text: Column) -> Column:
     return F.when(text.rlike(form), F.when(F.regexp_extract(text, form, 1) == "-", -seconds).otherwise(seconds))
 
 
-def capture_sequence(start: float, interval: float, order: list[Column]) -> Column:
-    """start + i * interval in the given order. For a selection, which its user orders as a whole."""
-    return F.lit(float(start)) + F.lit(float(interval)) * (F.row_number().over(Window.orderBy(*order)) - 1)
+def capture_sequence(start: float, interval: float, nth: Column) -> Column:
+    """start + (nth - 1) * interval. nth: a place in the selection's order, from 1, as `duplicates.group_numbers` deals it."""
+    return F.lit(float(start)) + F.lit(float(interval)) * (nth - 1)

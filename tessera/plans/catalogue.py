@@ -600,8 +600,8 @@ def capture_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("capture_sequence", with_files(f"SELECT id, 1600000000 + 30 * (row_number() OVER (ORDER BY {ASCII_NAME}, id) - 1) AS seconds FROM files WHERE parent_dir = '/lib/src1/en'"))
 def capture_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = ad.files(spark, sf_dir).filter("parent_dir = '/lib/src1/en'").withColumn("__key", ascii_fold(F.col("name")))
-    return chosen.select("id", dates.capture_sequence(1600000000, 30, [F.col("__key").asc(), F.col("id").asc()]).cast("long").alias("seconds"))
+    chosen = ad.files(spark, sf_dir).filter("parent_dir = '/lib/src1/en'").select("id", F.struct(ascii_fold(F.col("name")).alias("name"), "id").alias("at"))
+    return dup.group_numbers(chosen, "at", "nth").select("id", dates.capture_sequence(1600000000, 30, F.col("nth")).cast("long").alias("seconds"))
 
 
 @query("offset_seconds", with_files("SELECT id, CASE capture_offset WHEN '-05:00' THEN -18000 WHEN '+00:00' THEN 0 END AS seconds FROM files"))

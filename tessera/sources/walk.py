@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from ..operators.staging import written
 from .media import OPAQUE, extension, in_opaque_bundle, is_junk, media_kind
 
 
@@ -68,13 +69,14 @@ def natural_key(name: Column) -> Column:
 def evictions(cache: DataFrame, budget: int) -> DataFrame:
     """Cache entries to evict: oldest first until the rest fits the budget; the newest one always stays.
 
-    cache: key, size, modified. Running sums go over time buckets first, so that no task orders the whole cache.
+    cache: key, size, modified. Ranges of (modified, key), newest first, are summed side by side, and each adds the bytes of those before;
+    entries of one moment are as many ranges as they fill.
     """
-    from pyspark.sql import Window
-
-    day = F.floor(F.col("modified") / 86400)
-    per_day = cache.groupBy(day.alias("day")).agg(F.sum("size").alias("bytes"))
-    newer = per_day.select("day", (F.sum("bytes").over(Window.orderBy(F.col("day").desc())) - F.col("bytes")).alias("newer"))
-    inside = Window.partitionBy("day").orderBy(F.col("modified").desc(), "key")
-    ranked = cache.withColumn("day", day).join(newer, "day").withColumn("held", F.col("newer") + F.sum("size").over(inside)).withColumn("first", (F.col("newer") == 0) & (F.row_number().over(inside) == 1))
-    return ranked.filter((F.col("held") > budget) & ~F.col("first")).select("key", "size", "modified")
+    order = [F.col("modified").desc(), F.col("key").asc()]
+    ranged = written(cache.select("key", "size", "modified").repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "cache")
+    per = ranged.groupBy("__part").agg(F.sum("size").alias("bytes"))
+    ahead = Window.orderBy("__part")  # a row for each range
+    newer = per.select("__part", (F.sum("bytes").over(ahead) - F.col("bytes")).alias("newer"), (F.row_number().over(ahead) == 1).alias("newest"))
+    inside = Window.partitionBy("__part").orderBy(*order)
+    ranked = ranged.join(F.broadcast(newer), "__part").withColumns({"held": F.col("newer") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)), "place": F.row_number().over(inside)})
+    return ranked.filter((F.col("held") > budget) & ~(F.col("newest") & (F.col("place") == 1))).select("key", "size", "modified")

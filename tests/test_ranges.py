@@ -68,3 +68,19 @@ def test_only_the_ranges_of_a_page_are_read(spark):
     assert "SinglePartition" not in plan and "PartitionFilters: [__part" in plan
     assert sorted(r.place for r in page.collect()) == list(range(1001, 1011))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("budget", [0, 1, 37, 500, 10**9])
+@pytest.mark.parametrize("moments", [1, 3, 10**6])
+def test_evictions_equal_a_loop(spark, budget, moments):
+    from tessera.sources.walk import evictions
+
+    rng = random.Random(budget + moments)
+    cache = [(f"k{i:03d}", rng.choice([0, 1, 5, 9]), float(rng.randrange(moments))) for i in range(150)]
+    held, want = 0, set()
+    for n, (key, size, _) in enumerate(sorted(cache, key=lambda x: (-x[2], x[0]))):
+        held += size
+        if held > budget and n:
+            want.add(key)
+    got = evictions(spark.createDataFrame(cache, "key string, size long, modified double").repartition(6), budget).collect()
+    assert {r.key for r in got} == want and len(got) == len(want)
