@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from .search import scope_filter
 from .staging import written
@@ -208,11 +208,13 @@ def reconcile(index: DataFrame, walked: DataFrame, skipped: DataFrame, scope, uu
     """A tier-0 pass: (next index, metrics of one row).
 
     A row goes only on evidence of a complete look at its place: rows at or under a skipped place stay, and nothing goes
-    unless the root was read and the volume is the same before and after.
+    unless the root was read and the volume is the same before and after. What is new or changed is found once, by a job that counts
+    while it writes; metrics are its counts, not another scan.
     """
     if not root_readable:
         raise PermissionError("the root can't be read; nothing is pruned")
-    state = needs_reindex(walked, index)
+    seen = Observation()
+    state = written(needs_reindex(walked, index).observe(seen, F.count(F.lit(1)).alias("total"), F.count_if(F.col("state") != "fresh").alias("completed")), "state")
     changed = walked.join(state.filter("state != 'fresh'").select("path"), "path", "left_semi")
     merged = upsert(index, changed)
     stamped = volume_stamp(merged, walked.select("path"), uuid, device)
@@ -221,7 +223,7 @@ def reconcile(index: DataFrame, walked: DataFrame, skipped: DataFrame, scope, uu
     keeping = walked.select("path").unionByName(protected.select("path"))
     same = volume_before == volume_after
     final = prune(following, keeping, scope, uuid, device) if same else following
-    counted = state.agg(F.count("*").alias("total"), F.count_if(F.col("state") != "fresh").alias("completed"), F.lit(0).alias("failed")).crossJoin(F.broadcast(skipped.agg(F.count("*").alias("skipped"))))  # one row each
+    counted = skipped.agg(F.count("*").alias("skipped")).select(F.lit(seen.get["total"]).cast("long").alias("total"), F.lit(seen.get["completed"]).cast("long").alias("completed"), F.lit(0).alias("failed"), "skipped")
     done = F.when(F.col("total") > 0, F.col("completed") / F.col("total")).otherwise(0.0)
     return final, counted.withColumn("fraction", done)
 

@@ -82,7 +82,7 @@ class Store:
     # --- reading ---
 
     def numbers(self) -> list[int]:
-        return sorted(int(n[1:]) for n, _ in self._names(f"{self.root}/generations") if n[:1] == "g" and n[1:].isdigit())
+        return self.folders(f"{self.root}/generations", "g")
 
     def latest(self) -> Generation:
         for number in reversed(self.numbers()):
@@ -132,6 +132,24 @@ class Store:
             raise LostRace(f"generation {made.number} is {won.owner}'s")
         return made
 
+    def folders(self, path: str, letter: str) -> list[int]:
+        """Numbers of the folders <letter><number> in a folder."""
+        return sorted(int(n[1:]) for n, _ in self._names(path) if n[:1] == letter and n[1:].isdigit())
+
+    def put(self, df: DataFrame, path: str) -> str:
+        df.write.parquet(path)
+        return path
+
+    def move(self, path: str, target: str) -> None:
+        """A folder that is complete gets its name at once. LostRace if another one has it."""
+        at = self._path(target)
+        self._fs.mkdirs(at.getParent())
+        if self._fs.exists(at) or not self._fs.rename(self._path(path), at):
+            raise LostRace(target)
+
+    def remove(self, path: str) -> None:
+        self._fs.delete(self._path(path), True)
+
     def _written(self, df: DataFrame, attempt: str, name: str) -> str:
         path = f"{self.root}/attempts/{attempt}/{name}"
         df.write.parquet(path)
