@@ -50,11 +50,11 @@ def state_of(spark: SparkSession, path: str) -> tuple:
     return tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in found))
 
 
-def files(spark: SparkSession, sf_dir: str, with_phash: bool = False) -> DataFrame:
+def files(spark: SparkSession, sf_dir: str, with_phash: bool = False, fresh: bool = False) -> DataFrame:
     """The catalogue's index over documents: written once for each application and state of the documents, laid out by path, so scopes
-    and predicates prune."""
+    and predicates prune. fresh: written again."""
     key = (spark.sparkContext.applicationId, sf_dir, with_phash, state_of(spark, f"{sf_dir}/documents.parquet"))
-    if key not in _generations:
+    if fresh or key not in _generations:
         _generations[key] = write_generation(derived(spark, sf_dir, with_phash), f"{folder(spark)}/index-{uuid.uuid4().hex}", 1)
     return spark.read.schema(FILES).parquet(_generations[key])
 
