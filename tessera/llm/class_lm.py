@@ -1,16 +1,22 @@
 """LM scoring with a Brown class-based bigram model.
 
 P(token | before) = P(class | class before) * P(token | class), both smoothed by one. Words are counted over all learning
-documents in Spark. Words whose share of the tokens is at least EXCHANGE_SHARE (hence at most 1/EXCHANGE_SHARE words) are
-assigned to classes one by one by exchange clustering; rarer words are exchanged as shapes, by their last SUFFIX bytes and their
-length. An exchange round is one Spark aggregation of how often each class precedes and follows each word, then a sweep in which each word moves
-to the class that raises the likelihood most. Rounds end when the likelihood settles or after ROUNDS; the classes of the best
-likelihood measured are kept.
-
-Scoring: counts of words with a share of at least LOOKUP_SHARE (at most 1/LOOKUP_SHARE words) go to the tasks; what remains
-of a document, its distinct rarer words, is joined with the counts by word in Spark and summed by document. So nothing that
-grows with the vocabulary is held in one place, and no key of the join holds more than a bounded share of the learning
-tokens.
+documents in Spark, and the number of classes grows with the vocabulary (class_number). Classes are found in two steps:
+
+1. Words whose share of the tokens is at least EXCHANGE_SHARE (hence at most 1/EXCHANGE_SHARE words) are assigned one by one
+   by exchange clustering; rarer words move with others of their shape, their last SUFFIX bytes and length. A pass is one Spark
+   aggregation of how often each class precedes and follows the ids whose turn is next, then a sweep over these. A sweep that
+   lowers the measured likelihood is taken back and its ids are halved, as neighbours that move at once chase one another; so
+   the likelihood of the kept classes never falls. Passes end when it settles or after ROUNDS.
+2. Each rarer word is exchanged by itself, in Spark: its pairs of neighbouring classes are counted as rows by word, and a
+   task gives it the class of the highest likelihood under the class counts of step 1, which are broadcast; leaving the class of
+   its shape must win more than LEAVE. The result is a table by word that grows with the vocabulary. If the likelihood of
+   all learning documents is lower than before, step 2 is taken back.
+
+Scoring: classes and counts of words with a share of at least LOOKUP_SHARE (at most 1/LOOKUP_SHARE words) go to the tasks; what
+remains of a document, its distinct rarer words, is joined with the table by word in Spark and gathered by document. So nothing
+that grows with the vocabulary is held in one place, and no key of the join holds more than a bounded share of the learning
+tokens. Words that no learning document has take the class of their shape.
 
 Defined results. Null or empty text: one token, the end. No learning documents: N = V = 0 and every token has probability
 one in either score. Repeated rows: each has its own result and counts as a document. Null ids: held_out is false, the row
@@ -19,21 +25,27 @@ is learnt from. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import fold, staged, table
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, ROUNDS, TURNS, SHAPES, SUFFIX, LONG = 32, 8, 2, 4096, 3, 15
-#: Rounds go on while the likelihood's part that the classes decide grows by this share.
-SETTLED = 1e-3
+LEAST_CLASSES, ROUNDS, TURNS, SHAPES, SUFFIX, LONG = 32, 10, 2, 4096, 3, 15
+#: Passes go on while the likelihood's part that the classes decide grows by this share in TURNS of them.
+SETTLED = 5e-4
+#: What a rarer word must win, in natural logarithms of the likelihood, to leave the class of its shape.
+LEAVE = 1.0
+#: A rarer word's key: its shape and so many bits of its hash. Words of one key share a class; nothing else depends on it.
+KEY_BITS, CLASS_BITS = 27, 12
 LENGTHS = [bytes([i]) for i in range(LONG + 1)]
 EXCHANGE_SHARE, LOOKUP_SHARE = 2e-5, 4e-6
 FLUSH = 300_000
@@ -95,34 +107,49 @@ def encoded(texts: DataFrame, model: Classes) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.array([*m.sequence(words_of(t)), 0], kind).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
 
-    return staged(texts.mapInArrow(part, "ids binary"), "ids")
+    packed = staged(texts.mapInArrow(part, "ids binary"), "ids")
+    # a pass sends a table of ids and classes from each task, so there are no more tasks than keep the cores busy
+    return packed.coalesce(3 * texts.sparkSession.sparkContext.defaultParallelism)
+
+
+def class_number(v: int) -> int:
+    """How many classes a vocabulary of v words has: they grow with its fourth root, so that class pairs grow with its square root."""
+    return max(LEAST_CLASSES, round(1.25 * v**0.25))
 
 
-def neighbours(ids: DataFrame, model: Classes) -> tuple[np.ndarray, np.ndarray]:
-    """How often each class precedes each id, and follows it: two arrays ids x classes."""
-    of, size, c = model.of, model.n, model.classes
+def neighbours(ids: DataFrame, model: Classes, of: np.ndarray, turn: int, turns: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class pairs, and how often each class precedes and follows each id whose turn it is (ids x classes; other rows are zero)."""
+    size, c = model.n, model.classes
     kind = np.uint16 if size <= 65_536 else np.uint32
     shared = ids.sparkSession.sparkContext.broadcast(of)
     names = [f"c{i}" for i in range(c)]
+    own = -(-size // turns)  # the most ids that one turn has
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value
-        before, after = (np.zeros(size * c, np.int64) for _ in range(2))
+        before, after, pairs = np.zeros(own * c, np.int64), np.zeros(own * c, np.int64), np.zeros(c * c, np.int64)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 seq = np.frombuffer(b"".join([kind(0).tobytes(), *whole.column(0).slice(at, 1000).to_pylist()]), kind).astype(np.int64)
                 cls = of[seq]
-                before += np.bincount(seq[1:] * c + cls[:-1], minlength=size * c)
-                after += np.bincount(seq[:-1] * c + cls[1:], minlength=size * c)
-        both = np.concatenate([before.reshape(-1, c), after.reshape(-1, c)])
-        used = np.nonzero(both.any(axis=1))[0]
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(both[used, i]) for i in range(c))], ["k", *names])
+                mine = seq % turns == turn
+                pairs += np.bincount(cls[:-1] * c + cls[1:], minlength=c * c)
+                k = mine[1:]
+                before += np.bincount((seq[1:] // turns * c + cls[:-1])[k], minlength=own * c)
+                k = mine[:-1]
+                after += np.bincount((seq[:-1] // turns * c + cls[1:])[k], minlength=own * c)
+        all_rows = np.concatenate([before.reshape(-1, c), after.reshape(-1, c), pairs.reshape(-1, c)])
+        used = np.nonzero(all_rows.any(axis=1))[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(all_rows[used, i]) for i in range(c))], ["k", *names])
 
     schema = T.StructType([T.StructField("k", T.LongType()), *(T.StructField(x, T.LongType()) for x in names)])
-    rows = ids.mapInArrow(part, schema).groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toPandas()  # at most 2 * ids rows
-    both = np.zeros((2 * model.n, c))
-    both[rows["k"].to_numpy(np.int64)] = rows[names].to_numpy(np.float64)
-    return both[: model.n], both[model.n :]
+    rows = ids.mapInArrow(part, schema).groupBy("k").agg(*[F.sum(x).alias(x) for x in names]).toPandas()  # at most 2 * ids + classes rows
+    found = np.zeros((2 * own + c, c))
+    found[rows["k"].to_numpy(np.int64)] = rows[names].to_numpy(np.float64)
+    before, after = np.zeros((model.n, c)), np.zeros((model.n, c))
+    n = len(before[turn::turns])
+    before[turn::turns], after[turn::turns] = found[:n], found[own : own + n]
+    return found[2 * own :], before, after
 
 
 def plogp(x: np.ndarray) -> np.ndarray:
@@ -140,14 +167,14 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(plogp(pairs).sum() - plogp(pairs.sum(axis=1)).sum() - plogp(pairs.sum(axis=0)).sum())
 
 
-def exchange(before: np.ndarray, after: np.ndarray, of: np.ndarray, classes: int, turn: int = 0, turns: int = 1) -> np.ndarray:
+def exchange(before: np.ndarray, after: np.ndarray, of: np.ndarray, classes: int, turn: int = 0, turns: int = 1, pairs: np.ndarray | None = None) -> np.ndarray:
     """One sweep: each id whose turn it is moves to the class of the highest likelihood, given its neighbours' classes.
 
     What precedes and follows an id is counted by the classes before the sweep, so ids take turns: neighbours that all move
-    at once would chase one another.
+    at once would chase one another. pairs: the class pairs, where after holds only the ids whose turn it is.
     """
     of = of.copy()
-    pairs = pair_counts(after, of, classes)
+    pairs = pair_counts(after, of, classes) if pairs is None else pairs.copy()
     size = np.bincount(of, minlength=classes)
     for w in np.argsort(-after.sum(axis=1), kind="stable"):
         a = of[w]
@@ -172,86 +199,254 @@ def exchange(before: np.ndarray, after: np.ndarray, of: np.ndarray, classes: int
     return of
 
 
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int = CLASSES, rounds: int = ROUNDS) -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of each row."""
+def exchanged(ids: DataFrame, model: Classes, rounds: int) -> tuple[np.ndarray, list[float]]:
+    """Step 1: moves model.of to the classes found; their pairs, and the likelihoods of the classes that were kept, which never fall."""
+    turn, turns = 0, TURNS
+    pairs, before, after = neighbours(ids, model, model.of, turn, turns)
+    kept = [likelihood(pairs)]
+    for _ in range(rounds):
+        of = exchange(before, after, model.of, model.classes, turn, turns, pairs)
+        if (of == model.of).all():
+            value = kept[-1]
+        else:
+            then = (turn + 1) % turns
+            found = neighbours(ids, model, of, then, turns)
+            value = likelihood(found[0])
+            if value <= kept[-1]:
+                # the half of these ids that has the same remainder by twice the turns; its counts are here already
+                turns *= 2
+                continue
+            model.of, (pairs, before, after), turn = of, found, then
+        kept.append(value)
+        if len(kept) > TURNS and value - kept[-1 - TURNS] < SETTLED * abs(value) or value == kept[-2]:
+            break
+    return pairs, kept
+
+
+def key_of(word: bytes, at: int) -> int:
+    return at << KEY_BITS | xxhash.xxh64_intdigest(word, 42) & (1 << KEY_BITS) - 1
+
+
+def key(word: str) -> Column:
+    """key_of as a column."""
+    return F.shiftleft(shape(word).cast("long"), KEY_BITS).bitwiseOR(F.xxhash64(word).bitwiseAND((1 << KEY_BITS) - 1))
+
+
+def moved(learn: DataFrame, model: Classes, pairs: np.ndarray) -> DataFrame:
+    """Step 2: (h, cls) of each key of a rarer word."""
+    c, first = model.classes, model.n - SHAPES
+    fit = pairs + 1.0 / c
+    # what a word of class c adds to the log likelihood for one neighbour before it, and for one after it
+    left = np.log(fit) - np.log(fit.sum(axis=1, keepdims=True)) - np.log(fit.sum(axis=0))
+    right = (np.log(fit) - np.log(fit.sum(axis=1, keepdims=True))).T.copy()
+    left[:, 0] = right[:, 0] = -np.inf
+    shared = learn.sparkSession.sparkContext.broadcast((model, left, right))
+
+    def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value[0]
+        own: list[np.ndarray] = []
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            k, n = np.unique(np.concatenate([np.zeros(0, np.int64), *own]), return_counts=True)
+            low = (1 << 2 * CLASS_BITS) - 1
+            return pa.RecordBatch.from_arrays([pa.array(k >> 2 * CLASS_BITS), pa.array((k & low).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "pair", "n"])
+
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words = words_of(t)
+                seq = np.array([0, *m.sequence(words), 0], np.int64)
+                cls = m.of[seq]
+                at = np.nonzero(seq >= first)[0]
+                if len(at):
+                    h = np.fromiter((key_of(words[i - 1], s - first) for i, s in zip(at.tolist(), seq[at].tolist(), strict=True)), np.int64, len(at))
+                    own.append(h << 2 * CLASS_BITS | cls[at - 1] << CLASS_BITS | cls[at + 1])
+                    held += len(at)
+                if held > 4 * FLUSH:
+                    yield out()
+                    own, held = [], 0
+        yield out()
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, left, right = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                lists = b.column(1)
+                ends = np.cumsum(lists.value_lengths().to_numpy())
+                starts = np.concatenate([[0], ends[:-1]])
+                flat = lists.flatten()
+                pair, n = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy()[:, None]
+                best = np.empty(b.num_rows, np.int64)
+                was = m.of[first + (b.column(0).to_numpy() >> KEY_BITS)]
+                cuts = np.unique(np.concatenate([np.searchsorted(ends, np.arange(0, ends[-1], 50_000), "right"), [b.num_rows]]))
+                for x, y in zip(np.concatenate([[0], cuts[:-1]]), cuts, strict=True):
+                    if x == y:
+                        continue
+                    part = slice(starts[x], ends[y - 1])
+                    value = np.add.reduceat(n[part] * (left[pair[part] >> CLASS_BITS] + right[pair[part] & (1 << CLASS_BITS) - 1]), starts[x:y] - starts[x])
+                    value[np.arange(y - x), was[x:y]] += LEAVE
+                    best[x:y] = value.argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best.astype(np.int32))], ["h", "cls"])
+
+    counted = learn.mapInArrow(contexts, "h long, pair int, n long").repartition("h").groupBy("h", "pair").agg(F.sum("n").alias("n"))
+    # a list has at most classes * classes entries
+    return staged(counted.groupBy("h").agg(F.collect_list(F.struct("pair", "n")).alias("pairs")).mapInArrow(choose, "h long, cls int"), "moved")
+
+
+def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]], ids: int, middle: dict[bytes, int], rare: DataFrame, n_docs: int) -> DataFrame:
+    """(id, learn, n_tokens, known, logs, old, new): of each document the summed logarithms of c + 1, and its classes after steps 1 and 2, packed."""
+    spark = docs.sparkSession
+    code = np.uint8 if model.classes <= 256 else np.uint16
+    look = {w: i for i, (_, w) in enumerate(frequent)}
+    later = np.array([model.of[1 + i] if i < ids else middle[w] for i, (_, w) in enumerate(frequent)] + [0], np.int64)
+    shared = spark.sparkContext.broadcast((model, look, later, np.log10(np.array([c for c, _ in frequent] + [0], float) + 1), float(np.log10(n_docs + 1)), n_docs > 0))
+    fields = [("row", T.LongType()), ("word", T.BinaryType()), ("slot", T.IntegerType()), ("tf", T.LongType()), ("id", docs.schema["id"].dataType), ("learn", T.BooleanType())]
+    fields += [("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("old", T.BinaryType()), ("new", T.BinaryType()), ("slots", T.BinaryType())]
+    schema = T.StructType([T.StructField(k, t) for k, t in fields])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, look, later, logs, end_log, any_end = shared.value
+        row = TaskContext.get().partitionId() << 40
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                b = whole.slice(at, 500)
+                head, rest = [], []
+                for t in b.column(2).to_pylist():
+                    words = words_of(t)
+                    old = m.of[np.array([0, *m.sequence(words), 0], np.int64)]
+                    places = np.fromiter((look.get(w, -1) for w in words), np.int64, len(words))
+                    new, out = old.copy(), np.nonzero(places < 0)[0]
+                    new[1:-1] = np.where(places < 0, old[1:-1], later[places])
+                    slots: dict[bytes, int] = {}
+                    own = np.array([slots.setdefault(words[i], len(slots)) for i in out.tolist()], np.int32)
+                    tf = np.bincount(own, minlength=len(slots))
+                    # places of the rarer words, then their slots
+                    where = np.concatenate([1 + out.astype(np.int32), own]).astype(np.int32).tobytes()
+                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), old.astype(code).tobytes(), new.astype(code).tobytes(), where))
+                    rest += [(row, w, s, int(tf[s])) for w, s in slots.items()]
+                    row += 1
+                h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), (), ()]
+                no = {name: pa.nulls(len(rest), schema_of[name]) for name in schema_of}
+                none = {name: pa.nulls(len(head), t) for name, t in (("word", pa.binary()), ("slot", pa.int32()), ("tf", pa.int64()))}
+                tops = dict(zip(("n_tokens", "known", "logs", "old", "new", "slots"), h[1:], strict=True))
+                columns = {"row": pa.array([*h[0], *r[0]], pa.int64())}
+                for i, (name, blank) in enumerate(none.items(), 1):
+                    columns[name] = pa.concat_arrays([blank, pa.array(r[i], blank.type)])
+                for name, i in (("id", 0), ("learn", 1)):
+                    columns[name] = pa.concat_arrays([b.column(i), pa.nulls(len(rest), b.column(i).type)])
+                for name, values in tops.items():
+                    columns[name] = pa.concat_arrays([pa.array(values, schema_of[name]), no[name]])
+                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    schema_of = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "old": pa.binary(), "new": pa.binary(), "slots": pa.binary()}
+    parts = staged(docs.select("id", "learn", "text").mapInArrow(cut, schema), "sequences")
+    found = parts.filter(F.col("slot").isNotNull()).select("row", "word", "slot", "tf").join(rare, "word")
+    found = found.groupBy("row").agg(
+        F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.collect_list(F.struct("slot", "cls")).alias("classes")
+    )
+    whole = parts.filter(F.col("slot").isNull()).select("row", *(k for k, _ in fields[4:])).join(found, "row", "left")
+    out_fields = T.StructType([T.StructField(k, t) for k, t in fields[4:11]])
+    numbers = [F.col("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs")]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            new = []
+            for codes, where, classes in zip(b.column("new").to_pylist(), b.column("slots").to_pylist(), b.column("classes"), strict=True):
+                if not classes.is_valid:
+                    new.append(codes)
+                    continue
+                own, (at, slot) = np.frombuffer(codes, code).copy(), np.frombuffer(where, np.int32).reshape(2, -1)
+                by_slot = np.full(slot.max() + 1, -1, np.int64)
+                by_slot[classes.values.field(0).to_numpy()] = classes.values.field(1).to_numpy()
+                known = by_slot[slot] >= 0
+                own[at[known]] = by_slot[slot[known]]
+                new.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "learn", "n_tokens", "known", "logs", "old")), pa.array(new, pa.binary())], out_fields.names)
+
+    return staged(whole.select("id", "learn", *numbers, "old", "new", "slots", "classes").mapInArrow(fill, out_fields), "classed")
+
+
+def learnt_pairs(classed: DataFrame, c: int) -> np.ndarray:
+    """Class pairs of the learning documents after step 2."""
+    code = np.uint8 if c <= 256 else np.uint16
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.zeros(c * c, np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                seq = np.frombuffer(b"".join(whole.column(0).slice(at, 1000).to_pylist()), code).astype(np.int64)
+                # a document begins and ends with class 0, which no word has: where two stand together, a document begins
+                both = seq[:-1] * c + seq[1:]
+                inside = np.ones(len(both), bool)
+                inside[np.cumsum([len(x) // code().nbytes for x in whole.column(0).slice(at, 1000).to_pylist()])[:-1] - 1] = False
+                pairs += np.bincount(both[inside], minlength=c * c)
+        used = np.nonzero(pairs)[0]
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pairs[used])], ["k", "n"])
+
+    out = np.zeros(c * c)
+    for r in classed.filter("learn").select("new").mapInArrow(part, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes * classes at most
+        out[r.k] = r.n
+    return out.reshape(c, c)
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: int | None = None, rounds: int = ROUNDS) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity) of each row."""
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     held = F.coalesce(fold(FOLDS, "id") == HELD_OUT, F.lit(False))
-    learn = docs.filter(~held).select("text")
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("learn", ~held)
+    learn = docs.filter("learn").select("text")
     counts = staged(count_words(learn), "counts")
     n_docs = learn.count()
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n + n_docs, total.v + (n_docs > 0)
-    frequent = sorted(((r.c, bytes(r.word)) for r in counts.filter(F.col("c") >= max(1.0, LOOKUP_SHARE * n)).collect()), key=lambda x: (-x[0], x[1]))
-    model = Classes([w for c, w in frequent if c >= EXCHANGE_SHARE * n], classes)
-    best: tuple[float, np.ndarray, np.ndarray] | None = None
-    ids = encoded(learn, model)
-    last = None
-    for i in range(rounds + 1):
-        before, after = neighbours(ids, model)
-        pairs = pair_counts(after, model.of, classes)
-        value = likelihood(pairs)
-        if best is None or value > best[0]:
-            best = (value, model.of, pairs)
-        if i == rounds or last is not None and i % TURNS == 0 and value - last < SETTLED * abs(last):
-            break
-        last = value if i % TURNS == 0 else last
-        model.of = exchange(before, after, model.of, classes, i % TURNS, TURNS)
-    model.of, pairs = best[1], best[2]
+    share = F.col("c") / F.lit(float(max(n, 1)))
+    frequent = sorted(((r.c, bytes(r.word)) for r in counts.filter(share >= LOOKUP_SHARE).collect()), key=lambda x: (-x[0], x[1]))
+    n_ids = sum(c / max(n, 1) >= EXCHANGE_SHARE for c, _ in frequent)
+    model = Classes([w for _, w in frequent[:n_ids]], classes or class_number(v))
+    c = model.classes
+    pairs, _ = exchanged(encoded(learn, model), model, rounds)
+    old_of_shape = F.element_at(F.array(*map(F.lit, model.of[model.n - SHAPES :].tolist())), shape("word") + 1).cast("int")
+    rarer = counts.filter(share < EXCHANGE_SHARE).withColumn("h", key("word")).withColumn("old", old_of_shape)
+    rarer = rarer.join(moved(learn, model, pairs), "h", "left").select("word", "c", "old", F.coalesce("cls", "old").alias("cls"))
+    rarer = staged(rarer, "rarer")
+    middle = {bytes(r.word): r.cls for r in rarer.filter(share >= LOOKUP_SHARE).select("word", "cls").collect()}  # at most 1 / LOOKUP_SHARE
+    classed = sequences(docs, model, frequent, n_ids, middle, rarer.filter(share < LOOKUP_SHARE).select("word", "c", "cls"), n_docs)
+    after = learnt_pairs(classed, c)
+    new = likelihood(after) >= likelihood(pairs)
+    pairs = after if new else pairs
     # tokens and distinct words of each class
-    words = [w for c, w in frequent if c >= EXCHANGE_SHARE * n]
-    tokens, kinds = np.zeros(classes), np.zeros(classes)
+    tokens, kinds = np.zeros(c), np.zeros(c)
     tokens[0], kinds[0] = n_docs, n_docs > 0
-    for c, w in frequent[: len(words)]:
-        cls = model.of[model.ids[w]]
-        tokens[cls] += c
-        kinds[cls] += 1
-    rare = counts.filter(F.col("c") < EXCHANGE_SHARE * n).groupBy(shape("word").alias("s")).agg(F.sum("c").alias("c"), F.count("*").alias("k")).collect()  # a row for each shape
-    for r in rare:
-        cls = model.of[model.n - SHAPES + r.s]
-        tokens[cls] += r.c
-        kinds[cls] += r.k
-    step = np.log10((pairs + 1) / (pairs.sum(axis=1, keepdims=True) + classes))
+    for i, (k, _) in enumerate(frequent[:n_ids]):
+        tokens[model.of[1 + i]] += k
+        kinds[model.of[1 + i]] += 1
+    for r in rarer.groupBy(F.col("cls" if new else "old").alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # a row for each class
+        tokens[r.k] += r.c
+        kinds[r.k] += r.n
+    step = np.log10((pairs + 1) / (pairs.sum(axis=1, keepdims=True) + c))
     below = np.log10(tokens + kinds + 1)
-    base_below = np.log10(n + v + 1)
     if not n_docs:
-        step, below, base_below = np.zeros_like(step), np.zeros_like(below), 0.0
-    shared = spark.sparkContext.broadcast((model, {w: i for i, (_, w) in enumerate(frequent)}, np.log10(np.array([c for c, _ in frequent] + [0], float) + 1), step, below, float(base_below), float(np.log10(n_docs + 1)), n_docs > 0))
-    kind = docs.schema["id"].dataType
-    schema = T.StructType([T.StructField(k, t) for k, t in (("row", T.LongType()), ("word", T.BinaryType()), ("tf", T.LongType()), ("id", kind), ("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("own", T.DoubleType()))])
+        step, below = np.zeros_like(step), np.zeros_like(below)
+    shared = spark.sparkContext.broadcast((step, below))
+    code = np.uint8 if c <= 256 else np.uint16
+    out = T.StructType([T.StructField("id", docs.schema["id"].dataType), *(T.StructField(k, t) for k, t in (("n_tokens", T.LongType()), ("n_known", T.LongType()), ("logs", T.DoubleType()), ("score", T.DoubleType())))])
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, look, logs, step, below, base_below, end_log, any_end = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                head, rest = [], []
-                for t in b.column(1).to_pylist():
-                    words = words_of(t)
-                    cls = m.of[np.array([0, *m.sequence(words), 0], np.int64)]
-                    places = np.fromiter((look.get(w, -1) for w in words), np.int64, len(words))
-                    known = logs[places].sum() + end_log  # a rarer word has 0 here, and its part from the join
-                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(known - (len(words) + 1) * base_below), float(known + step[cls[:-1], cls[1:]].sum() - below[cls[1:]].sum())))
-                    rest += [(row, w, c) for w, c in Counter([words[i] for i in np.nonzero(places < 0)[0].tolist()]).items()]
-                    row += 1
-                h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), ()]
-                none = [None] * len(rest)
-                # the document's own row has a word that no document has, another for each row
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*h[0], *r[0]], pa.int64()), pa.array([*(b" %d" % x for x in h[0]), *r[1]], pa.binary()), pa.array([*([0] * len(head)), *r[2]], pa.int64()),
-                        pa.concat_arrays([b.column(0), pa.nulls(len(rest), b.column(0).type)]), pa.array([*h[1], *none], pa.int64()), pa.array([*h[2], *none], pa.int64()), pa.array([*h[3], *none], pa.float64()), pa.array([*h[4], *none], pa.float64()),
-                    ],
-                    ["row", "word", "tf", "id", "n_tokens", "known", "base", "own"],
-                )
-
-    parts = docs.mapInArrow(part, schema)
-    joined = parts.join(counts, "word", "left").withColumn("more", F.coalesce(F.col("tf") * F.log10(F.col("c") + 1), F.lit(0.0))).withColumn("seen", F.when(F.col("c").isNotNull(), F.col("tf")).otherwise(0))
-    out = joined.groupBy("row").agg(
-        F.max("id").alias("id"), F.max("n_tokens").alias("n_tokens"), (F.sum("known") + F.sum("seen")).alias("n_known"), (F.sum("base") + F.sum("more")).alias("base_score"), (F.sum("own") + F.sum("more")).alias("score")
-    )
-    return out.select(F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+        step, below = shared.value
+        for b in batches:
+            own = []
+            for codes, logs in zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True):
+                cls = np.frombuffer(codes, code).astype(np.int64)
+                own.append(float(logs + step[cls[:-1], cls[1:]].sum() - below[cls[1:]].sum()))
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own, pa.float64())], out.names)
+
+    scored = classed.select("id", "n_tokens", F.col("known"), "logs", "new" if new else "old").mapInArrow(part, out)
+    base_below = math.log10(n + v + 1) if n_docs else 0.0
+    return scored.select(
+        F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n_tokens") * F.lit(base_below)).alias("base_score"), "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
+    )
 
 
 def op7_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
