@@ -295,14 +295,17 @@ def moved(learn: DataFrame, model: Classes, pairs: np.ndarray) -> DataFrame:
 
 
 def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]], ids: int, middle: dict[bytes, int], rare: DataFrame, n_docs: int) -> DataFrame:
-    """(id, learn, n_tokens, known, logs, old, new): of each document the summed logarithms of c + 1, and its classes after steps 1 and 2, packed."""
+    """(id, learn, n_tokens, known, logs, codes): of each document the summed logarithms of c + 1, and its classes, packed.
+
+    middle, rare: the classes of rarer words that the tasks hold, and of those that are joined.
+    """
     spark = docs.sparkSession
     code = np.uint8 if model.classes <= 256 else np.uint16
     look = {w: i for i, (_, w) in enumerate(frequent)}
     later = np.array([model.of[1 + i] if i < ids else middle[w] for i, (_, w) in enumerate(frequent)] + [0], np.int64)
     shared = spark.sparkContext.broadcast((model, look, later, np.log10(np.array([c for c, _ in frequent] + [0], float) + 1), float(np.log10(n_docs + 1)), n_docs > 0))
     fields = [("row", T.LongType()), ("word", T.BinaryType()), ("slot", T.IntegerType()), ("tf", T.LongType()), ("id", docs.schema["id"].dataType), ("learn", T.BooleanType())]
-    fields += [("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("old", T.BinaryType()), ("new", T.BinaryType()), ("slots", T.BinaryType())]
+    fields += [("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("codes", T.BinaryType()), ("slots", T.BinaryType())]
     schema = T.StructType([T.StructField(k, t) for k, t in fields])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -323,13 +326,13 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
                     tf = np.bincount(own, minlength=len(slots))
                     # places of the rarer words, then their slots
                     where = np.concatenate([1 + out.astype(np.int32), own]).astype(np.int32).tobytes()
-                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), old.astype(code).tobytes(), new.astype(code).tobytes(), where))
+                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), new.astype(code).tobytes(), where))
                     rest += [(row, w, s, int(tf[s])) for w, s in slots.items()]
                     row += 1
                 h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), (), ()]
                 no = {name: pa.nulls(len(rest), schema_of[name]) for name in schema_of}
                 none = {name: pa.nulls(len(head), t) for name, t in (("word", pa.binary()), ("slot", pa.int32()), ("tf", pa.int64()))}
-                tops = dict(zip(("n_tokens", "known", "logs", "old", "new", "slots"), h[1:], strict=True))
+                tops = dict(zip(("n_tokens", "known", "logs", "codes", "slots"), h[1:], strict=True))
                 columns = {"row": pa.array([*h[0], *r[0]], pa.int64())}
                 for i, (name, blank) in enumerate(none.items(), 1):
                     columns[name] = pa.concat_arrays([blank, pa.array(r[i], blank.type)])
@@ -339,32 +342,33 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
                     columns[name] = pa.concat_arrays([pa.array(values, schema_of[name]), no[name]])
                 yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    schema_of = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "old": pa.binary(), "new": pa.binary(), "slots": pa.binary()}
-    parts = staged(docs.select("id", "learn", "text").mapInArrow(cut, schema), "sequences")
+    schema_of = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "codes": pa.binary(), "slots": pa.binary()}
+    parts = staged(docs.select("id", "learn", "text").mapInArrow(cut, schema), "sequences", "zstd")
     found = parts.filter(F.col("slot").isNotNull()).select("row", "word", "slot", "tf").join(rare, "word")
     found = found.groupBy("row").agg(
-        F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.collect_list(F.struct("slot", "cls")).alias("classes")
+        F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.collect_list(F.shiftleft(F.col("slot").cast("long"), CLASS_BITS).bitwiseOR(F.col("cls"))).alias("classes")
     )
     whole = parts.filter(F.col("slot").isNull()).select("row", *(k for k, _ in fields[4:])).join(found, "row", "left")
-    out_fields = T.StructType([T.StructField(k, t) for k, t in fields[4:11]])
+    out_fields = T.StructType([T.StructField(k, t) for k, t in fields[4:10]])
     numbers = [F.col("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs")]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = []
-            for codes, where, classes in zip(b.column("new").to_pylist(), b.column("slots").to_pylist(), b.column("classes"), strict=True):
+            for codes, where, classes in zip(b.column("codes").to_pylist(), b.column("slots").to_pylist(), b.column("classes"), strict=True):
                 if not classes.is_valid:
                     new.append(codes)
                     continue
                 own, (at, slot) = np.frombuffer(codes, code).copy(), np.frombuffer(where, np.int32).reshape(2, -1)
                 by_slot = np.full(slot.max() + 1, -1, np.int64)
-                by_slot[classes.values.field(0).to_numpy()] = classes.values.field(1).to_numpy()
+                found = classes.values.to_numpy()
+                by_slot[found >> CLASS_BITS] = found & (1 << CLASS_BITS) - 1
                 known = by_slot[slot] >= 0
                 own[at[known]] = by_slot[slot[known]]
                 new.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "learn", "n_tokens", "known", "logs", "old")), pa.array(new, pa.binary())], out_fields.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "learn", "n_tokens", "known", "logs")), pa.array(new, pa.binary())], out_fields.names)
 
-    return staged(whole.select("id", "learn", *numbers, "old", "new", "slots", "classes").mapInArrow(fill, out_fields), "classed")
+    return staged(whole.select("id", "learn", *numbers, "codes", "slots", "classes").mapInArrow(fill, out_fields), "classed")
 
 
 def learnt_pairs(classed: DataFrame, c: int) -> np.ndarray:
@@ -385,7 +389,7 @@ def learnt_pairs(classed: DataFrame, c: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(pairs[used])], ["k", "n"])
 
     out = np.zeros(c * c)
-    for r in classed.filter("learn").select("new").mapInArrow(part, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes * classes at most
+    for r in classed.filter("learn").select("codes").mapInArrow(part, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # classes * classes at most
         out[r.k] = r.n
     return out.reshape(c, c)
 
@@ -410,11 +414,18 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     rarer = counts.filter(share < EXCHANGE_SHARE).withColumn("h", key("word")).withColumn("old", old_of_shape)
     rarer = rarer.join(moved(learn, model, pairs), "h", "left").select("word", "c", "old", F.coalesce("cls", "old").alias("cls"))
     rarer = staged(rarer, "rarer")
-    middle = {bytes(r.word): r.cls for r in rarer.filter(share >= LOOKUP_SHARE).select("word", "cls").collect()}  # at most 1 / LOOKUP_SHARE
-    classed = sequences(docs, model, frequent, n_ids, middle, rarer.filter(share < LOOKUP_SHARE).select("word", "c", "cls"), n_docs)
+
+    def classed_by(cls: str) -> DataFrame:
+        middle = {bytes(r.word): r[cls] for r in rarer.filter(share >= LOOKUP_SHARE).select("word", cls).collect()}  # at most 1 / LOOKUP_SHARE
+        return sequences(docs, model, frequent, n_ids, middle, rarer.filter(share < LOOKUP_SHARE).select("word", "c", F.col(cls).alias("cls")), n_docs)
+
+    classed = classed_by("cls")
     after = learnt_pairs(classed, c)
     new = likelihood(after) >= likelihood(pairs)
-    pairs = after if new else pairs
+    if new:
+        pairs = after
+    else:
+        classed = classed_by("old")
     # tokens and distinct words of each class
     tokens, kinds = np.zeros(c), np.zeros(c)
     tokens[0], kinds[0] = n_docs, n_docs > 0
@@ -441,7 +452,7 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
                 own.append(float(logs + step[cls[:-1], cls[1:]].sum() - below[cls[1:]].sum()))
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own, pa.float64())], out.names)
 
-    scored = classed.select("id", "n_tokens", F.col("known"), "logs", "new" if new else "old").mapInArrow(part, out)
+    scored = classed.select("id", "n_tokens", "known", "logs", "codes").mapInArrow(part, out)
     base_below = math.log10(n + v + 1) if n_docs else 0.0
     return scored.select(
         F.col("id").alias(id_col), held.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),
