@@ -47,7 +47,7 @@ LEAVE = 1.0
 #: A rarer word's key: its shape and so many bits of its hash. Words of one key share a class; nothing else depends on it.
 KEY_BITS, CLASS_BITS = 27, 12
 LENGTHS = [bytes([i]) for i in range(LONG + 1)]
-EXCHANGE_SHARE, LOOKUP_SHARE = 2e-5, 4e-6
+EXCHANGE_SHARE, LOOKUP_SHARE = 2e-5, 1e-6
 FLUSH = 300_000
 
 
@@ -83,12 +83,16 @@ class Classes:
         self.ids = {w: 1 + i for i, w in enumerate(words)}
         self.n = 1 + len(words) + SHAPES
         self.classes = classes
+        self.shapes: dict[bytes, int] = {}
         # by rank, so that classes start out alike in size; the end has class 0 for itself
         self.of = np.concatenate([[0], 1 + np.arange(self.n - 1) % (classes - 1)]).astype(np.int64)
 
     def sequence(self, words: list[bytes]) -> list[int]:
-        ids, first = self.ids, self.n - SHAPES
-        return [ids.get(w) or first + zlib.crc32(w[-SUFFIX:] + LENGTHS[min(len(w), LONG)]) % SHAPES for w in words]
+        """The ids of words. Those of shapes are kept for the next texts, as far as FLUSH words go."""
+        ids, known, first = self.ids, self.shapes, self.n - SHAPES
+        if len(known) > FLUSH:
+            known.clear()
+        return [ids.get(w) or known.get(w) or known.setdefault(w, first + zlib.crc32(w[-SUFFIX:] + LENGTHS[min(len(w), LONG)]) % SHAPES) for w in words]
 
 
 def shape(word: str) -> Column:
@@ -245,6 +249,7 @@ def moved(learn: DataFrame, model: Classes, pairs: np.ndarray) -> DataFrame:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value[0]
         own: list[np.ndarray] = []
+        keys: dict[bytes, int] = {}
         held = 0
 
         def out() -> pa.RecordBatch:
@@ -259,10 +264,13 @@ def moved(learn: DataFrame, model: Classes, pairs: np.ndarray) -> DataFrame:
                 cls = m.of[seq]
                 at = np.nonzero(seq >= first)[0]
                 if len(at):
-                    h = np.fromiter((key_of(words[i - 1], s - first) for i, s in zip(at.tolist(), seq[at].tolist(), strict=True)), np.int64, len(at))
+                    if len(keys) > FLUSH:
+                        keys.clear()
+                    rare = zip(map(words.__getitem__, (at - 1).tolist()), seq[at].tolist(), strict=True)
+                    h = np.fromiter((keys.get(w) or keys.setdefault(w, key_of(w, s - first)) for w, s in rare), np.int64, len(at))
                     own.append(h << 2 * CLASS_BITS | cls[at - 1] << CLASS_BITS | cls[at + 1])
                     held += len(at)
-                if held > 4 * FLUSH:
+                if held > 12 * FLUSH:
                     yield out()
                     own, held = [], 0
         yield out()
@@ -304,7 +312,7 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
     look = {w: i for i, (_, w) in enumerate(frequent)}
     later = np.array([model.of[1 + i] if i < ids else middle[w] for i, (_, w) in enumerate(frequent)] + [0], np.int64)
     shared = spark.sparkContext.broadcast((model, look, later, np.log10(np.array([c for c, _ in frequent] + [0], float) + 1), float(np.log10(n_docs + 1)), n_docs > 0))
-    fields = [("row", T.LongType()), ("word", T.BinaryType()), ("slot", T.IntegerType()), ("tf", T.LongType()), ("id", docs.schema["id"].dataType), ("learn", T.BooleanType())]
+    fields = [("row", T.LongType()), ("word", T.BinaryType()), ("slot", T.IntegerType()), ("id", docs.schema["id"].dataType), ("learn", T.BooleanType())]
     fields += [("n_tokens", T.LongType()), ("known", T.LongType()), ("logs", T.DoubleType()), ("codes", T.BinaryType()), ("slots", T.BinaryType())]
     schema = T.StructType([T.StructField(k, t) for k, t in fields])
 
@@ -317,21 +325,21 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
                 head, rest = [], []
                 for t in b.column(2).to_pylist():
                     words = words_of(t)
-                    old = m.of[np.array([0, *m.sequence(words), 0], np.int64)]
                     places = np.fromiter((look.get(w, -1) for w in words), np.int64, len(words))
-                    new, out = old.copy(), np.nonzero(places < 0)[0]
-                    new[1:-1] = np.where(places < 0, old[1:-1], later[places])
+                    new, out = np.zeros(len(words) + 2, np.int64), np.nonzero(places < 0)[0]
+                    rarer = [words[i] for i in out.tolist()]
+                    new[1:-1] = later[places]
+                    new[1 + out] = m.of[np.array(m.sequence(rarer), np.int64)]
                     slots: dict[bytes, int] = {}
-                    own = np.array([slots.setdefault(words[i], len(slots)) for i in out.tolist()], np.int32)
-                    tf = np.bincount(own, minlength=len(slots))
+                    own = np.array([slots.setdefault(w, len(slots)) for w in rarer], np.int32)
                     # places of the rarer words, then their slots
                     where = np.concatenate([1 + out.astype(np.int32), own]).astype(np.int32).tobytes()
                     head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), new.astype(code).tobytes(), where))
-                    rest += [(row, w, s, int(tf[s])) for w, s in slots.items()]
+                    rest += [(row, w, s) for w, s in slots.items()]
                     row += 1
-                h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), (), ()]
+                h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), ()]
                 no = {name: pa.nulls(len(rest), schema_of[name]) for name in schema_of}
-                none = {name: pa.nulls(len(head), t) for name, t in (("word", pa.binary()), ("slot", pa.int32()), ("tf", pa.int64()))}
+                none = {name: pa.nulls(len(head), t) for name, t in (("word", pa.binary()), ("slot", pa.int32()))}
                 tops = dict(zip(("n_tokens", "known", "logs", "codes", "slots"), h[1:], strict=True))
                 columns = {"row": pa.array([*h[0], *r[0]], pa.int64())}
                 for i, (name, blank) in enumerate(none.items(), 1):
@@ -344,31 +352,39 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
 
     schema_of = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "codes": pa.binary(), "slots": pa.binary()}
     parts = staged(docs.select("id", "learn", "text").mapInArrow(cut, schema), "sequences", "zstd")
-    found = parts.filter(F.col("slot").isNotNull()).select("row", "word", "slot", "tf").join(rare, "word")
-    found = found.groupBy("row").agg(
-        F.sum("tf").alias("more_known"), F.sum(F.col("tf") * F.log10(F.col("c") + 1)).alias("more"), F.collect_list(F.shiftleft(F.col("slot").cast("long"), CLASS_BITS).bitwiseOR(F.col("cls"))).alias("classes")
-    )
-    whole = parts.filter(F.col("slot").isNull()).select("row", *(k for k, _ in fields[4:])).join(found, "row", "left")
-    out_fields = T.StructType([T.StructField(k, t) for k, t in fields[4:10]])
-    numbers = [F.col("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs")]
+    found = parts.filter(F.col("slot").isNotNull()).select("row", "word", "slot").join(rare, "word")
+    found = found.select("row", F.shiftleft(F.col("slot").cast("long"), CLASS_BITS).bitwiseOR(F.col("cls")).alias("cls"), "c")
+    # moved as plain rows: lists of one entry each would be several times their size
+    found = found.repartition("row").groupBy("row").agg(F.collect_list(F.struct("cls", "c")).alias("found"))
+    whole = parts.filter(F.col("slot").isNull()).select("row", *(k for k, _ in fields[3:])).join(found, "row", "left")
+    out_fields = T.StructType([T.StructField(k, t) for k, t in fields[3:9]])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            known, logs = b.column("known").to_numpy().copy(), b.column("logs").to_numpy().copy()
+            lists = b.column("found")
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            flat = lists.flatten()
+            cls, c = flat.field(0).to_numpy(), np.log10(flat.field(1).to_numpy() + 1.0)
             new = []
-            for codes, where, classes in zip(b.column("codes").to_pylist(), b.column("slots").to_pylist(), b.column("classes"), strict=True):
-                if not classes.is_valid:
+            for i, (codes, where) in enumerate(zip(b.column("codes").to_pylist(), b.column("slots").to_pylist(), strict=True)):
+                mine = slice(ends[i - 1] if i else 0, ends[i])
+                if mine.start == mine.stop:
                     new.append(codes)
                     continue
                 own, (at, slot) = np.frombuffer(codes, code).copy(), np.frombuffer(where, np.int32).reshape(2, -1)
-                by_slot = np.full(slot.max() + 1, -1, np.int64)
-                found = classes.values.to_numpy()
-                by_slot[found >> CLASS_BITS] = found & (1 << CLASS_BITS) - 1
-                known = by_slot[slot] >= 0
-                own[at[known]] = by_slot[slot[known]]
+                by_slot, log_of = np.full(slot.max() + 1, -1, np.int64), np.zeros(slot.max() + 1)
+                by_slot[cls[mine] >> CLASS_BITS] = cls[mine] & (1 << CLASS_BITS) - 1
+                log_of[cls[mine] >> CLASS_BITS] = c[mine]
+                seen = by_slot[slot] >= 0
+                own[at[seen]] = by_slot[slot[seen]]
+                known[i] += seen.sum()
+                logs[i] += log_of[slot].sum()
                 new.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "learn", "n_tokens", "known", "logs")), pa.array(new, pa.binary())], out_fields.names)
+            columns = {"known": pa.array(known), "logs": pa.array(logs), "codes": pa.array(new, pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[k] if k in columns else b.column(k) for k in out_fields.names], out_fields.names)
 
-    return staged(whole.select("id", "learn", *numbers, "codes", "slots", "classes").mapInArrow(fill, out_fields), "classed")
+    return staged(whole.select(*out_fields.names, "slots", "found").mapInArrow(fill, out_fields), "classed")
 
 
 def learnt_pairs(classed: DataFrame, c: int) -> np.ndarray:
@@ -405,7 +421,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     n, v = total.n + n_docs, total.v + (n_docs > 0)
     share = F.col("c") / F.lit(float(max(n, 1)))
-    frequent = sorted(((r.c, bytes(r.word)) for r in counts.filter(share >= LOOKUP_SHARE).collect()), key=lambda x: (-x[0], x[1]))
+    often = counts.filter(share >= LOOKUP_SHARE).select("c", "word").toArrow()  # at most 1 / LOOKUP_SHARE
+    frequent = sorted(zip(often["c"].to_pylist(), often["word"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     n_ids = sum(c / max(n, 1) >= EXCHANGE_SHARE for c, _ in frequent)
     model = Classes([w for _, w in frequent[:n_ids]], classes or class_number(v))
     c = model.classes
@@ -416,7 +433,8 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     rarer = staged(rarer, "rarer")
 
     def classed_by(cls: str) -> DataFrame:
-        middle = {bytes(r.word): r[cls] for r in rarer.filter(share >= LOOKUP_SHARE).select("word", cls).collect()}  # at most 1 / LOOKUP_SHARE
+        found = rarer.filter(share >= LOOKUP_SHARE).select("word", cls).toArrow()  # at most 1 / LOOKUP_SHARE
+        middle = dict(zip(found["word"].to_pylist(), found[cls].to_pylist(), strict=True))
         return sequences(docs, model, frequent, n_ids, middle, rarer.filter(share < LOOKUP_SHARE).select("word", "c", F.col(cls).alias("cls")), n_docs)
 
     classed = classed_by("cls")
