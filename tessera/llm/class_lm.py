@@ -111,7 +111,7 @@ def encoded(texts: DataFrame, model: Classes) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([np.array([*m.sequence(words_of(t)), 0], kind).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
 
-    packed = staged(texts.mapInArrow(part, "ids binary"), "ids")
+    packed = staged(texts.mapInArrow(part, "ids binary"), "ids", "zstd")
     # a pass sends a table of ids and classes from each task, so there are no more tasks than keep the cores busy
     return packed.coalesce(3 * texts.sparkSession.sparkContext.defaultParallelism)
 
@@ -309,6 +309,7 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
     """
     spark = docs.sparkSession
     code = np.uint8 if model.classes <= 256 else np.uint16
+    marked = np.uint8 if model.classes <= 128 else np.uint16
     look = {w: i for i, (_, w) in enumerate(frequent)}
     later = np.array([model.of[1 + i] if i < ids else middle[w] for i, (_, w) in enumerate(frequent)] + [0], np.int64)
     shared = spark.sparkContext.broadcast((model, look, later, np.log10(np.array([c for c, _ in frequent] + [0], float) + 1), float(np.log10(n_docs + 1)), n_docs > 0))
@@ -332,9 +333,12 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
                     new[1 + out] = m.of[np.array(m.sequence(rarer), np.int64)]
                     slots: dict[bytes, int] = {}
                     own = np.array([slots.setdefault(w, len(slots)) for w in rarer], np.int32)
-                    # places of the rarer words, then their slots
-                    where = np.concatenate([1 + out.astype(np.int32), own]).astype(np.int32).tobytes()
-                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), new.astype(code).tobytes(), where))
+                    # the last bit marks the rarer words; of each, how far its slot is from the next new one, mostly zero
+                    mark = np.zeros(len(new), np.int64)
+                    mark[1 + out] = 1
+                    fresh = np.diff(np.maximum.accumulate(own), prepend=-1)
+                    back = (np.cumsum(fresh) - fresh - own).astype(np.int32)
+                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), (new << 1 | mark).astype(marked).tobytes(), back.tobytes()))
                     rest += [(row, w, s) for w, s in slots.items()]
                     row += 1
                 h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), ()]
@@ -369,10 +373,13 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
             new = []
             for i, (codes, where) in enumerate(zip(b.column("codes").to_pylist(), b.column("slots").to_pylist(), strict=True)):
                 mine = slice(ends[i - 1] if i else 0, ends[i])
+                both, back = np.frombuffer(codes, marked), np.frombuffer(where, np.int32)
+                own = (both >> 1).astype(code)
                 if mine.start == mine.stop:
-                    new.append(codes)
+                    new.append(own.tobytes())
                     continue
-                own, (at, slot) = np.frombuffer(codes, code).copy(), np.frombuffer(where, np.int32).reshape(2, -1)
+                at, fresh = np.nonzero(both & 1)[0], back == 0
+                slot = np.cumsum(fresh) - fresh - back
                 by_slot, log_of = np.full(slot.max() + 1, -1, np.int64), np.zeros(slot.max() + 1)
                 by_slot[cls[mine] >> CLASS_BITS] = cls[mine] & (1 << CLASS_BITS) - 1
                 log_of[cls[mine] >> CLASS_BITS] = c[mine]
