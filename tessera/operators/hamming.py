@@ -13,6 +13,10 @@ parts serve until pairs get many.
 
 A pair that meets under several masks counts under the first alone: the places of a pair span a space whose orthogonal v's are
 known by elimination, so each table decides by itself which pairs are its own, and nothing has to be made distinct.
+
+`near` compares two sets of hashes in one task in a plainer way, that needs few sorts: hashes are cut into parts, of which one
+differs in a place at most (or, in the last, in none), so hashes meet in the bucket of a part or one beside it, and buckets are compared
+in tiles that stay in the cache. Of random hashes 1 pair in 10 is compared, at about a nanosecond each.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 #: Up to so many hashes two parts; so many hashes in a group; so many in a row that moves; masked hashes that a task sorts, about; near
 #: pairs that wait until their own table is known.
 TWO_PARTS, GROUP, CHUNK, TASK, SETTLE = 100_000, 500_000, 20_000, 200_000_000, 250_000
+#: Hashes compared at once: a tile of 8 bytes each stays in the cache.
+TILE, WIDTH = 32_768, 1024
 # Primitive polynomials over two elements, by degree.
 FIELD = {4: 0b10011, 5: 0b100101, 6: 0b1000011}
 
@@ -137,6 +143,49 @@ def meet(*args, **more) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
+@cache
+def buckets(threshold: int) -> tuple[tuple[int, int, tuple[int, ...]], ...]:
+    """(shift, bits, offsets of the keys to look under) of each part. A part counts two places where one may differ, else one; together they
+    count threshold + 1, so hashes within the threshold meet in some part."""
+    pairs, odd = divmod(threshold + 1, 2)
+    last = (max(1, 64 // (pairs + 1) - 3) if pairs else 64) if odd else 0
+    sizes = [(64 - last) // pairs + (i < (64 - last) % pairs) for i in range(pairs)]
+    out, shift = [], 0
+    for bits, offsets in [*((n, (0, *(1 << b for b in range(n)))) for n in sizes), *([(last, (0,))] if odd else [])]:
+        out.append((shift, bits, offsets))
+        shift += bits
+    return tuple(out)
+
+
+def near(x: np.ndarray, y: np.ndarray, threshold: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j), lot by lot: indices of all x and y within the threshold, each pair once, j rising within a lot's rows of x."""
+    tile, bits_of = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8)  # kept, as fresh memory costs more than the comparing
+    parts = buckets(threshold) if threshold < 16 else ((0, 0, (0,)),)  # beyond, buckets would exclude little
+    for p, (shift, bits, offsets) in enumerate(parts):
+        key = lambda v: ((v >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.uint64)  # noqa: B023, E731
+        keys = (key(y)[None, :] ^ np.array(offsets, np.uint64).astype(np.uint16 if bits <= 16 else np.uint64)[:, None]).T.ravel()
+        by_key, own = np.argsort(keys, kind="stable"), key(x)
+        keys, columns = keys[by_key], by_key // len(offsets)
+        rows = np.argsort(own, kind="stable")
+        own, xs, ys = own[rows], x[rows], y[columns]
+        cut = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+        low, high = (np.searchsorted(keys, own[cut], side=s).tolist() for s in ("left", "right"))
+        for a, b, lo, hi in zip(cut.tolist(), [*cut[1:].tolist(), len(own)], low, high):
+            for s in range(lo, hi, WIDTH):
+                w = min(WIDTH, hi - s)
+                for r in range(a, b, max(1, TILE // w)):
+                    n = w * (min(b, r + max(1, TILE // w)) - r)
+                    np.bitwise_xor(xs[r : r + n // w, None], ys[s : s + w], out=tile[:n].reshape(-1, w))
+                    hit = np.flatnonzero(np.bitwise_count(tile[:n], out=bits_of[:n]) <= threshold)
+                    if len(hit):
+                        i, j = r + hit // w, s + hit % w
+                        differ, first = xs[i] ^ ys[j], np.ones(len(hit), bool)
+                        for at, size, few in parts[:p]:  # a pair that an earlier part finds is that part's
+                            first &= np.bitwise_count(differ & np.uint64(((1 << size) - 1) << at)) > (1 if len(few) > 1 else 0)
+                        if first.any():
+                            yield rows[i[first]], columns[j[first]]
+
+
 def near_pairs_of(values: DataFrame, count: int, threshold: int, two_parts: int = TWO_PARTS, group: int = GROUP) -> DataFrame:
     """(v, w, distance), v < w: pairs of distinct hashes (v: a struct of the halves hi and lo) within the threshold. count: how many
     there are.

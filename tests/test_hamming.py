@@ -74,3 +74,35 @@ def test_both_ways_of_pairing_agree(spark):
     nested, masked = ({tuple(r) for r in dup.value_pairs(rows, 12, limit).collect()} for limit in (10**6, 0))
     assert nested == masked and len(nested) > len(x)
     assert dup.value_pairs(rows.limit(0), 12, 0).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0, 1, 3, 12, 20])
+def test_buckets_and_tiles_find_each_pair_once(threshold, monkeypatch):
+    monkeypatch.setattr(hamming, "WIDTH", 7)
+    monkeypatch.setattr(hamming, "TILE", 20)
+    x = near_hashes(centres=60, reach=threshold + 4)
+    got = [(int(a), int(b)) for i, j in hamming.near(x[::2], x[1::2], threshold) for a, b in zip(i, j)]
+    assert len(got) == len(set(got)) and {tuple(sorted((2 * a, 2 * b + 1))) for a, b in got} == {(a, b) for a, b in all_pairs(x, threshold) if a % 2 != b % 2}
+    assert not list(hamming.near(x[:0], x, threshold)) and not list(hamming.near(x, x[:0], threshold))
+
+
+def test_random_hashes_are_compared_in_few_buckets():
+    """One pair in ten shares a bucket, for every place that two hashes may differ in."""
+    parts = hamming.buckets(12)
+    assert sum(bits for _, bits, _ in parts) == 64 and sum(2 if len(o) > 1 else 1 for *_, o in parts) == 13
+    assert sum(len(o) / 2**bits for _, bits, o in parts) <= 0.1
+
+
+@pytest.mark.parametrize("chunk", [1, 10**6])
+def test_near_pairs_leave_tasks_as_ids_and_are_all_pairs(spark, chunk, monkeypatch):
+    """Pairs within and across chunks, in name order, with the highest bit differing too; rows of one exact group don't pair."""
+    n, x = 1300, near_hashes(centres=200)
+    x = np.concatenate([x, x[:40], x[:30] ^ np.uint64(1 << 63)])[:n]
+    rows = [(i, f"/{(7919 * i) % 10007:05d}", f"{int(v):016x}", "k" if i % 9 == 0 else None) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, path string, phash string, content_hash string").withColumn("name", F.col("path")).withColumn("image_hash", F.lit(None).cast("string"))
+    got = dup.near_pairs(df, chunk=chunk)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    want = {(*sorted((i, j), key=lambda k: rows[k][1]), (int(x[i]) ^ int(x[j])).bit_count()) for i, j in all_pairs(x, 12) if not (i % 9 == 0 and j % 9 == 0)}
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(want) and set(found) == want
+    assert "Join" not in plan  # before, pairs of hashes were joined with rows twice, which moved every pair
