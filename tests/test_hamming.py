@@ -106,3 +106,13 @@ def test_near_pairs_leave_tasks_as_ids_and_are_all_pairs(spark, chunk, monkeypat
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(want) and set(found) == want
     assert "Join" not in plan  # before, pairs of hashes were joined with rows twice, which moved every pair
+
+
+def test_rounds_take_a_share_of_many_rows(spark, monkeypatch):
+    x = np.random.default_rng(8).integers(0, 2**63, 600)
+    df = spark.createDataFrame([(i, f"/{i:04d}", int(v) >> 32, int(v) & 0xFFFFFFFF) for i, v in enumerate(x)], "id long, path string, hi long, lo long")
+    cand = df.select("id", "path", F.struct(F.col("path").alias("n"), F.col("path").alias("p")).alias("place"), "hi", "lo", F.lit(None).cast("struct<ns:string,hash:string>").alias("key"))
+    rounds, find = [], dup.seeds_of
+    monkeypatch.setattr(dup, "seeds_of", lambda *a: rounds.append(len(a[0])) or find(*a))
+    dup.star_cover(cand, batch=4)
+    assert rounds[0] == 600 // dup.ROUNDS and len(rounds) <= dup.ROUNDS + 1
