@@ -116,3 +116,13 @@ def test_rounds_take_a_share_of_many_rows(spark, monkeypatch):
     monkeypatch.setattr(dup, "seeds_of", lambda *a: rounds.append(len(a[0])) or find(*a))
     dup.star_cover(cand, batch=4)
     assert rounds[0] == 600 // dup.ROUNDS and len(rounds) <= dup.ROUNDS + 1
+
+
+def test_seeds_of_one_hash_and_group_are_compared_once(monkeypatch):
+    """Copies in one exact group don't claim one another, so all are seeds; before, each was compared with each."""
+    x, who, sizes = np.full(900, 5, np.uint64), np.zeros(900, np.int64), []
+    real = dup.near
+    monkeypatch.setattr(dup, "near", lambda a, b, t: sizes.append(len(b)) or real(a, b, t))
+    assert dup.seeds_of(x, who, 12, lot=100).tolist() == list(range(900)) and max(sizes) == 1
+    x, who = np.array([5, 9, 5, 9, 5], np.uint64), np.array([1, 1, 1, 2, 1])
+    assert dup.unlike(x, who).tolist() == [0, 1, 3]
