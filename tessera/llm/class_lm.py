@@ -26,17 +26,17 @@ is learnt from. Other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import math
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from .common import fold, staged, table
+from .word_arrays import lots, numbered, split_words, sums
 
 FOLDS, HELD_OUT = 7, 2
 LEAST_CLASSES, ROUNDS, TURNS, SHAPES, SUFFIX, LONG = 32, 10, 2, 4096, 3, 15
@@ -46,7 +46,6 @@ SETTLED = 5e-4
 LEAVE = 1.0
 #: A rarer word's key: its shape and so many bits of its hash. Words of one key share a class; nothing else depends on it.
 KEY_BITS, CLASS_BITS = 27, 12
-LENGTHS = [bytes([i]) for i in range(LONG + 1)]
 EXCHANGE_SHARE, LOOKUP_SHARE = 2e-5, 1e-6
 FLUSH = 300_000
 
@@ -56,43 +55,83 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def word_lots(batches: Iterator[pa.RecordBatch], column: int = 0, **size: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, pa.Array]]:
+    """(rows, bounds, words) of lots of bounded size: row i has words[bounds[i]:bounds[i + 1]], those of words_of."""
+    for b in batches:
+        for lo, hi in lots(b.column(column), **size):
+            rows = b.slice(lo, hi - lo)
+            bounds, words = split_words(pc.ascii_lower(rows.column(column)))
+            yield rows, bounds, words.cast(pa.binary())
+
+
+def bytes_rows(flat: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Rows of bytes, row i being flat[bounds[i]:bounds[i + 1]]."""
+    offsets = pa.py_buffer((bounds * flat.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(np.ascontiguousarray(flat))])
+
+
+def flat_rows(rows: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, flat) of rows of bytes: what bytes_rows packed."""
+    if not len(rows):
+        return np.zeros(1, np.int64), np.zeros(0, kind)
+    _, offsets, data = rows.buffers()
+    ends = np.frombuffer(offsets, np.int32)[rows.offset : rows.offset + len(rows) + 1].astype(np.int64)
+    flat = np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]].view(kind)
+    return (ends - ends[0]) // flat.itemsize, flat
+
+
 def count_words(texts: DataFrame) -> DataFrame:
-    """(word, c). texts: one column. Counted within tasks before the shuffle, in tables of bounded size."""
+    """(word, c). texts: one column. Counted within tasks before the shuffle, in lots of bounded size."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: Counter = Counter()
+        for _, _, words in word_lots(batches, lot_bytes=40 * FLUSH):
+            number, distinct = numbered(words)
+            yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(number, minlength=len(distinct)))], ["word", "c"])
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.binary()), pa.array(list(own.values()), pa.int64())], ["word", "c"])
+    return texts.mapInArrow(part, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                own.update(words_of(t))
-                if len(own) > FLUSH:
-                    yield out()
-                    own.clear()
-        yield out()
 
-    return texts.mapInArrow(part, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+#: The steps of crc32 for each byte.
+CRC = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    CRC = np.where(CRC & 1, CRC >> 1 ^ np.uint32(0xEDB88320), CRC >> 1).astype(np.uint32)
+
+
+def shapes_of(words: pa.Array) -> np.ndarray:
+    """The number of each word's shape: crc32 of its last bytes and its length."""
+    ends, data = flat_rows(words, np.uint8)
+    length, crc = np.diff(ends), np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in range(SUFFIX, 0, -1):
+        some = np.nonzero(length >= k)[0]
+        crc[some] = CRC[(crc[some] ^ data[ends[1:][some] - k]) & 0xFF] ^ crc[some] >> np.uint32(8)
+    crc = CRC[(crc ^ np.minimum(length, LONG).astype(np.uint32)) & 0xFF] ^ crc >> np.uint32(8)
+    return (~crc % np.uint32(SHAPES)).astype(np.int64)
 
 
 class Classes:
     """Word ids and their classes. Id 0 is the end, then the exchanged words, then the shapes."""
 
     def __init__(self, words: list[bytes], classes: int):
-        self.ids = {w: 1 + i for i, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.n = 1 + len(words) + SHAPES
         self.classes = classes
-        self.shapes: dict[bytes, int] = {}
         # by rank, so that classes start out alike in size; the end has class 0 for itself
         self.of = np.concatenate([[0], 1 + np.arange(self.n - 1) % (classes - 1)]).astype(np.int64)
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The ids of words."""
+        out = places_in(words, self.words) + 1
+        rare = np.nonzero(out == 0)[0]
+        out[rare] = self.n - SHAPES + shapes_of(words.take(pa.array(rare)))
+        return out
+
     def sequence(self, words: list[bytes]) -> list[int]:
-        """The ids of words. Those of shapes are kept for the next texts, as far as FLUSH words go."""
-        ids, known, first = self.ids, self.shapes, self.n - SHAPES
-        if len(known) > FLUSH:
-            known.clear()
-        return [ids.get(w) or known.get(w) or known.setdefault(w, first + zlib.crc32(w[-SUFFIX:] + LENGTHS[min(len(w), LONG)]) % SHAPES) for w in words]
+        return self.numbers(pa.array(words, pa.binary())).tolist()
+
+
+def places_in(words: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each word stands in known, -1 if nowhere."""
+    return pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def shape(word: str) -> Column:
@@ -108,8 +147,11 @@ def encoded(texts: DataFrame, model: Classes) -> DataFrame:
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([np.array([*m.sequence(words_of(t)), 0], kind).tobytes() for t in b.column(0).to_pylist()], pa.binary())], ["ids"])
+        for _, bounds, words in word_lots(batches):
+            rows = np.arange(len(bounds))
+            flat = np.zeros(len(words) + len(bounds) - 1, kind)
+            flat[np.arange(len(words)) + np.repeat(rows[:-1], np.diff(bounds))] = m.numbers(words)
+            yield pa.RecordBatch.from_arrays([bytes_rows(flat, bounds + rows)], ["ids"])
 
     packed = staged(texts.mapInArrow(part, "ids binary"), "ids", "zstd")
     # a pass sends a table of ids and classes from each task, so there are no more tasks than keep the cores busy
@@ -249,7 +291,6 @@ def moved(learn: DataFrame, model: Classes, pairs: np.ndarray) -> DataFrame:
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value[0]
         own: list[np.ndarray] = []
-        keys: dict[bytes, int] = {}
         held = 0
 
         def out() -> pa.RecordBatch:
@@ -257,22 +298,20 @@ def moved(learn: DataFrame, model: Classes, pairs: np.ndarray) -> DataFrame:
             low = (1 << 2 * CLASS_BITS) - 1
             return pa.RecordBatch.from_arrays([pa.array(k >> 2 * CLASS_BITS), pa.array((k & low).astype(np.int32)), pa.array(n.astype(np.int64))], ["h", "pair", "n"])
 
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                words = words_of(t)
-                seq = np.array([0, *m.sequence(words), 0], np.int64)
-                cls = m.of[seq]
-                at = np.nonzero(seq >= first)[0]
-                if len(at):
-                    if len(keys) > FLUSH:
-                        keys.clear()
-                    rare = zip(map(words.__getitem__, (at - 1).tolist()), seq[at].tolist(), strict=True)
-                    h = np.fromiter((keys.get(w) or keys.setdefault(w, key_of(w, s - first)) for w, s in rare), np.int64, len(at))
-                    own.append(h << 2 * CLASS_BITS | cls[at - 1] << CLASS_BITS | cls[at + 1])
-                    held += len(at)
-                if held > 12 * FLUSH:
-                    yield out()
-                    own, held = [], 0
+        for _, bounds, words in word_lots(batches):
+            seq = m.numbers(words)
+            place = 1 + np.arange(len(seq)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            cls = np.zeros(len(seq) + len(bounds), np.int64)  # class 0 stands before, between and after the texts
+            cls[place] = m.of[seq]
+            at = np.nonzero(seq >= first)[0]
+            number, distinct = numbered(words.take(pa.array(at)))
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) & (1 << KEY_BITS) - 1 for w in distinct.to_numpy(zero_copy_only=False)), np.int64, len(distinct))
+            h = seq[at] - first << KEY_BITS | hashes[number]
+            own.append(h << 2 * CLASS_BITS | cls[place[at] - 1] << CLASS_BITS | cls[place[at] + 1])
+            held += len(at)
+            if held > 12 * FLUSH:
+                yield out()
+                own, held = [], 0
         yield out()
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +349,7 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
     spark = docs.sparkSession
     code = np.uint8 if model.classes <= 256 else np.uint16
     marked = np.uint8 if model.classes <= 128 else np.uint16
-    look = {w: i for i, (_, w) in enumerate(frequent)}
+    look = pa.array([w for _, w in frequent], pa.binary())
     later = np.array([model.of[1 + i] if i < ids else middle[w] for i, (_, w) in enumerate(frequent)] + [0], np.int64)
     shared = spark.sparkContext.broadcast((model, look, later, np.log10(np.array([c for c, _ in frequent] + [0], float) + 1), float(np.log10(n_docs + 1)), n_docs > 0))
     fields = [("row", T.LongType()), ("word", T.BinaryType()), ("slot", T.IntegerType()), ("id", docs.schema["id"].dataType), ("learn", T.BooleanType())]
@@ -319,42 +358,43 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, look, later, logs, end_log, any_end = shared.value
-        row = TaskContext.get().partitionId() << 40
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                head, rest = [], []
-                for t in b.column(2).to_pylist():
-                    words = words_of(t)
-                    places = np.fromiter((look.get(w, -1) for w in words), np.int64, len(words))
-                    new, out = np.zeros(len(words) + 2, np.int64), np.nonzero(places < 0)[0]
-                    rarer = [words[i] for i in out.tolist()]
-                    new[1:-1] = later[places]
-                    new[1 + out] = m.of[np.array(m.sequence(rarer), np.int64)]
-                    slots: dict[bytes, int] = {}
-                    own = np.array([slots.setdefault(w, len(slots)) for w in rarer], np.int32)
-                    # the last bit marks the rarer words; of each, how far its slot is from the next new one, mostly zero
-                    mark = np.zeros(len(new), np.int64)
-                    mark[1 + out] = 1
-                    fresh = np.diff(np.maximum.accumulate(own), prepend=-1)
-                    back = (np.cumsum(fresh) - fresh - own).astype(np.int32)
-                    head.append((row, len(words) + 1, int((places >= 0).sum()) + any_end, float(logs[places].sum() + end_log), (new << 1 | mark).astype(marked).tobytes(), back.tobytes()))
-                    rest += [(row, w, s) for w, s in slots.items()]
-                    row += 1
-                h, r = list(zip(*head, strict=True)), list(zip(*rest, strict=True)) or [(), (), ()]
-                no = {name: pa.nulls(len(rest), schema_of[name]) for name in schema_of}
-                none = {name: pa.nulls(len(head), t) for name, t in (("word", pa.binary()), ("slot", pa.int32()))}
-                tops = dict(zip(("n_tokens", "known", "logs", "codes", "slots"), h[1:], strict=True))
-                columns = {"row": pa.array([*h[0], *r[0]], pa.int64())}
-                for i, (name, blank) in enumerate(none.items(), 1):
-                    columns[name] = pa.concat_arrays([blank, pa.array(r[i], blank.type)])
-                for name, i in (("id", 0), ("learn", 1)):
-                    columns[name] = pa.concat_arrays([b.column(i), pa.nulls(len(rest), b.column(i).type)])
-                for name, values in tops.items():
-                    columns[name] = pa.concat_arrays([pa.array(values, schema_of[name]), no[name]])
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
-
-    schema_of = {"n_tokens": pa.int64(), "known": pa.int64(), "logs": pa.float64(), "codes": pa.binary(), "slots": pa.binary()}
+        first, row = m.n - SHAPES, TaskContext.get().partitionId() << 40
+        for b, bounds, words in word_lots(batches, 2):
+            n, doc = b.num_rows, np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            places = places_in(words, look)
+            out = np.nonzero(places < 0)[0]
+            number, distinct = numbered(words.take(pa.array(out)))
+            # each text's classes between two ends; the last bit marks the rarer words
+            codes = np.zeros(len(words) + 2 * n, np.int64)
+            inner = np.arange(len(words)) + 2 * doc + 1
+            codes[inner] = later[places] << 1
+            codes[inner[out]] = m.of[first + shapes_of(distinct)][number] << 1 | 1
+            # the rarer words of a text in the order in which they first come; a word's slot is its number in its text
+            _, at, own = np.unique(doc[out] * max(len(distinct), 1) + number, return_index=True, return_inverse=True)
+            order = np.argsort(at)
+            rank = np.empty(len(at), np.int64)
+            rank[order] = np.arange(len(at))
+            own, at = rank[own], at[order]
+            of = doc[out[at]]
+            slot = np.arange(len(at)) - np.searchsorted(of, np.arange(n))[of]
+            # of each rarer word, how far its slot is from the next new one, mostly zero
+            newest = np.maximum.accumulate(own)
+            back = newest + 1 - np.diff(newest, prepend=-1) - own
+            tops = {
+                "n_tokens": pa.array(np.diff(bounds) + 1), "known": pa.array(sums(places >= 0, bounds) + any_end),
+                "logs": pa.array(np.bincount(doc, weights=logs[places], minlength=n) + end_log),
+                "codes": bytes_rows(codes.astype(marked), bounds + 2 * np.arange(n + 1)), "slots": bytes_rows(back.astype(np.int32), np.searchsorted(out, bounds)),
+            }
+            columns = {"row": pa.array(row + np.concatenate([np.arange(n), of]))}
+            columns["word"] = pa.concat_arrays([pa.nulls(n, pa.binary()), distinct.take(pa.array(number[at]))])
+            columns["slot"] = pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(slot.astype(np.int32))])
+            for name, i in (("id", 0), ("learn", 1)):
+                columns[name] = pa.concat_arrays([b.column(i), pa.nulls(len(at), b.column(i).type)])
+            for name, values in tops.items():
+                columns[name] = pa.concat_arrays([values, pa.nulls(len(at), values.type)])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            row += n
+
     parts = staged(docs.select("id", "learn", "text").mapInArrow(cut, schema), "sequences", "zstd")
     found = parts.filter(F.col("slot").isNotNull()).select("row", "word", "slot").join(rare, "word")
     found = found.select("row", F.shiftleft(F.col("slot").cast("long"), CLASS_BITS).bitwiseOR(F.col("cls")).alias("cls"), "c")
@@ -365,30 +405,25 @@ def sequences(docs: DataFrame, model: Classes, frequent: list[tuple[int, bytes]]
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            known, logs = b.column("known").to_numpy().copy(), b.column("logs").to_numpy().copy()
+            bounds, both = flat_rows(b.column("codes"), marked)
+            where, back = flat_rows(b.column("slots"), np.int32)
             lists = b.column("found")
-            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            found = np.repeat(np.arange(b.num_rows), lists.value_lengths().fill_null(0).to_numpy())
             flat = lists.flatten()
             cls, c = flat.field(0).to_numpy(), np.log10(flat.field(1).to_numpy() + 1.0)
-            new = []
-            for i, (codes, where) in enumerate(zip(b.column("codes").to_pylist(), b.column("slots").to_pylist(), strict=True)):
-                mine = slice(ends[i - 1] if i else 0, ends[i])
-                both, back = np.frombuffer(codes, marked), np.frombuffer(where, np.int32)
-                own = (both >> 1).astype(code)
-                if mine.start == mine.stop:
-                    new.append(own.tobytes())
-                    continue
-                at, fresh = np.nonzero(both & 1)[0], back == 0
-                slot = np.cumsum(fresh) - fresh - back
-                by_slot, log_of = np.full(slot.max() + 1, -1, np.int64), np.zeros(slot.max() + 1)
-                by_slot[cls[mine] >> CLASS_BITS] = cls[mine] & (1 << CLASS_BITS) - 1
-                log_of[cls[mine] >> CLASS_BITS] = c[mine]
-                seen = by_slot[slot] >= 0
-                own[at[seen]] = by_slot[slot[seen]]
-                known[i] += seen.sum()
-                logs[i] += log_of[slot].sum()
-                new.append(own.tobytes())
-            columns = {"known": pa.array(known), "logs": pa.array(logs), "codes": pa.array(new, pa.binary())}
+            # slots are numbered on from text to text
+            fresh = np.concatenate([[0], np.cumsum(back == 0)])
+            slot = fresh[:-1] - back
+            at = fresh[where[:-1]][found] + (cls >> CLASS_BITS)
+            by_slot, log_of = np.full(fresh[-1], -1, np.int64), np.zeros(fresh[-1])
+            by_slot[at], log_of[at] = cls & (1 << CLASS_BITS) - 1, c
+            own, rare = (both >> 1).astype(code), np.nonzero(both & 1)[0]
+            seen = by_slot[slot] >= 0
+            own[rare[seen]] = by_slot[slot[seen]]
+            doc = np.repeat(np.arange(b.num_rows), np.diff(where))
+            known = b.column("known").to_numpy() + sums(seen, where)
+            logs = b.column("logs").to_numpy() + np.bincount(doc, weights=log_of[slot], minlength=b.num_rows)
+            columns = {"known": pa.array(known), "logs": pa.array(logs), "codes": bytes_rows(own, bounds)}
             yield pa.RecordBatch.from_arrays([columns[k] if k in columns else b.column(k) for k in out_fields.names], out_fields.names)
 
     return staged(whole.select(*out_fields.names, "slots", "found").mapInArrow(fill, out_fields), "classed")
@@ -471,10 +506,12 @@ def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step, below = shared.value
         for b in batches:
-            own = []
-            for codes, logs in zip(b.column(4).to_pylist(), b.column(3).to_pylist(), strict=True):
-                cls = np.frombuffer(codes, code).astype(np.int64)
-                own.append(float(logs + step[cls[:-1], cls[1:]].sum() - below[cls[1:]].sum()))
+            bounds, cls = flat_rows(b.column(4), code)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(bounds) - 1)
+            after = np.ones(len(cls), bool)
+            after[bounds[:-1]] = False  # a document's first code is the end before it
+            at = np.nonzero(after)[0]
+            own = b.column(3).to_numpy() + np.bincount(doc, weights=step[cls[at - 1], cls[at]] - below[cls[at]], minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(own, pa.float64())], out.names)
 
     scored = classed.select("id", "n_tokens", "known", "logs", "codes").mapInArrow(part, out)

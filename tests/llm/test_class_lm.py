@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,29 @@ def test_nothing_to_learn_from(spark):
     ids = [i for i in range(200) if held(i)]
     got = class_lm.score(docs_of(spark, [(i, "some words") for i in ids])).collect()
     assert {(r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.perplexity) for r in got} == {(True, 3, 0, 0, 0.0, 0.0, 1.0)}
+
+
+def test_words_in_lots_are_those_of_plain_splits():
+    rng = random.Random(5)
+    bits = ["A", "zZ", "É", "日本", " ", "\t", "\n", "\v", "\f", "\r", "\x00", "\x1c", "\x85", "\u2003", "x" * 40, "0"]
+    texts = [None, "", " ", *("".join(rng.choices(bits, k=rng.randrange(60))) for _ in range(300)), None]
+    rows = pa.RecordBatch.from_arrays([pa.array([7, *range(len(texts))]), pa.array(["cut off", *texts], pa.string())], ["id", "text"]).slice(1)
+    model = class_lm.Classes([b"a", b"zz", b"0"], 4)
+    seen, sizes = [], []
+    for some, bounds, words in class_lm.word_lots(iter([rows]), 1, lot_bytes=500):
+        sizes.append(some.num_rows)
+        words_of = words.to_pylist()
+        seen += [(i, words_of[lo:hi]) for i, lo, hi in zip(some.column(0).to_pylist(), bounds, bounds[1:], strict=False)]
+        first = model.n - class_lm.SHAPES
+        plain = {b"a": 1, b"zz": 2, b"0": 3}
+        assert model.numbers(words).tolist() == [plain.get(w) or first + zlib.crc32(w[-3:] + bytes([min(len(w), 15)])) % class_lm.SHAPES for w in words_of]
+    assert len(sizes) > 5 and seen == [(i, class_lm.words_of(t)) for i, t in enumerate(texts)]
+
+
+def test_packed_rows_come_back():
+    flat, bounds = np.arange(9, dtype=np.uint16), np.array([0, 0, 4, 4, 9])
+    rows = class_lm.bytes_rows(flat, bounds)
+    assert rows.to_pylist() == [flat[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+    for lo, hi in ((0, 4), (1, 2), (2, 4), (3, 1)):
+        got, values = class_lm.flat_rows(rows.slice(lo, max(hi - lo, 0)), np.uint16)
+        assert values.tolist() == flat[bounds[lo] : bounds[max(hi, lo)]].tolist() and got.tolist() == (bounds[lo : max(hi, lo) + 1] - bounds[lo]).tolist()
