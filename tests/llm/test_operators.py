@@ -207,6 +207,22 @@ def test_frequent_seeds_are_linked_within_tasks_too(spark):
         assert found == set(range(300)) and len(got) < 12 * len(rows)
 
 
+@pytest.mark.parametrize("options", [{}, {"hot_share": 1e-3}, {"few": None}])
+def test_texts_that_repeat_one_word_find_one_another(spark, options):
+    """Stretches of one word, a short one before or after a long one in some; nothing else is shared."""
+    rng = random.Random(47)
+    stretch = lambda i: [f"{'of ' * (20 + i % 9)}{text_of(rng, 25)}", "of " * (55 + 3 * i)][:: 1 if i % 3 else -1]
+    rows = [(i, f"{text_of(rng, 30)} {' '.join(stretch(i))} {text_of(rng, 30)}") for i in range(14)]
+    got = passages.passages(docs_of(spark, rows).repartition(4), **options).collect()
+    assert all(min(r.end - r.start, r.other_end - r.other_start) >= passages.MIN_WORDS for r in got)
+    reached = {0}
+    for _ in rows:
+        reached |= {x for r in got for x in (r.id, r.other_id) if r.id in reached or r.other_id in reached}
+    assert reached == set(range(14))
+    if "few" in options:  # each with each
+        assert {(r.id, r.other_id) for r in got} == {(i, j) for i in range(14) for j in range(i)}
+
+
 def test_passages_edges(spark):
     rng = random.Random(24)
     long_text = text_of(rng, 60_000)
