@@ -118,6 +118,10 @@ class Classes:
         # by rank, so that classes start out alike in size; the end has class 0 for itself
         self.of = np.concatenate([[0], 1 + np.arange(self.n - 1) % (classes - 1)]).astype(np.int64)
 
+    @property
+    def ids(self) -> dict[bytes, int]:
+        return {w: 1 + i for i, w in enumerate(self.words.to_pylist())}
+
     def numbers(self, words: pa.Array) -> np.ndarray:
         """The ids of words."""
         out = places_in(words, self.words) + 1
