@@ -1,10 +1,13 @@
 """Pairs of hashes within a distance: no pair is missed, none comes twice, and few unlike ones are compared."""
 
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import duplicates as dup, hamming
+from tessera.sources import adapters as ad
 
 
 def near_hashes(seed=1, centres=120, around=6, reach=15):
@@ -108,6 +111,34 @@ def test_near_pairs_leave_tasks_as_ids_and_are_all_pairs(spark, chunk, monkeypat
     assert "Join" not in plan  # before, pairs of hashes were joined with rows twice, which moved every pair
 
 
+def test_a_file_of_near_pairs_has_two_chunks_and_runs_of_equal_values(spark):
+    """Before, a file had the pairs of any chunks as they were found, three bytes a pair on larger tables."""
+    x = near_hashes(centres=200)
+    rows = [(i, f"/{(7919 * i) % 10007:05d}", f"{int(v):016x}") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, path string, phash string").withColumn("name", F.col("path")).withColumns({c: F.lit(None).cast("string") for c in ("image_hash", "content_hash")})
+    place = {i: n for n, (i, *_) in enumerate(sorted(rows, key=lambda r: r[1]))}
+    parts = {}
+    for part, a, b, d in dup.near_pairs(df, chunk=1).select(F.spark_partition_id(), "a", "b", "distance").collect():
+        parts.setdefault(part, []).append((d, place[a], place[b]))
+    chunks = -(-len(x) // 1000)
+    for found in parts.values():
+        assert found == sorted(found) and len({(a * chunks // len(x), b * chunks // len(x)) for _, a, b in found}) == 1
+    assert len(parts) == chunks * (chunks + 1) // 2 > 1
+
+
+def test_hashes_of_words_are_made_without_moving_texts(spark):
+    docs = spark.createDataFrame([(1, "b a  A\tc"), (1, "d"), (2, ""), (3, "x"), (4, None), (5, "y"), (6, "é Ü"), (None, "z")], "i long, text string")
+    got = {r.i: r.phash for r in ad.word_phash(docs).collect()}
+    for i, words in ((1, "a b c d"), (6, "é ü")):
+        low = {}
+        for m in (hashlib.md5(w.encode()).hexdigest() for w in words.split()):
+            bucket = int(m[:2], 16) % 64
+            low[bucket] = min(low.get(bucket, 1 << 32), int(m[2:10], 16))
+        assert got[i] == f"{sum(v % 2 << b for b, v in low.items()):016x}"
+    assert got[5] == "not-a-hash" and got[3] is None and got.get(2) is None and got.get(4) is None
+    assert "Generate" not in ad.word_phash(docs)._jdf.queryExecution().optimizedPlan().toString()  # before, a row for each word
+
+
 def test_rounds_take_a_share_of_many_rows(spark, monkeypatch):
     x = np.random.default_rng(8).integers(0, 2**63, 600)
     df = spark.createDataFrame([(i, f"/{i:04d}", int(v) >> 32, int(v) & 0xFFFFFFFF) for i, v in enumerate(x)], "id long, path string, hi long, lo long")
