@@ -223,6 +223,37 @@ def test_texts_that_repeat_one_word_find_one_another(spark, options):
         assert {(r.id, r.other_id) for r in got} == {(i, j) for i in range(14) for j in range(i)}
 
 
+def not_told(got, whole, least=passages.MIN_WORDS):
+    """Rows of whole whose documents `got` neither lists together nor lists with the same words of a third one."""
+    places, pairs = {}, {(r.id, r.other_id) for r in got}
+    for r in got:
+        places.setdefault(r.id, []).append((r.other_id, r.start, r.end, r.other_start, r.other_end))
+        places.setdefault(r.other_id, []).append((r.id, r.other_start, r.other_end, r.start, r.end))
+    meets = lambda doc, low, high: [x for x in places.get(doc, []) if x[1] < high and x[2] > low]
+    told = lambda r: any(x[0] == y[0] and min(x[4], y[4]) - max(x[3], y[3]) >= least for x in meets(r.id, r.start, r.end) for y in meets(r.other_id, r.other_start, r.other_end))
+    return [tuple(r) for r in whole if (r.id, r.other_id) not in pairs and not told(r)]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot_share": 1e-3}])
+@pytest.mark.parametrize("kind", ["blocks", "one word", "windows"])
+def test_no_link_is_lost_however_frequent_the_seeds(spark, kind, options):
+    """Each pair that all places each with each give is listed, or both documents are with the same words of a third one."""
+    rng, rows = random.Random(61), []
+    blocks = [text_of(rng, 27) for _ in range(9)]
+    for i in range(16 if kind == "one word" else 50):
+        if kind == "blocks":  # each block is in a third of the documents, two in a row in a few
+            rows.append((i, f"{text_of(rng, 20)} {' '.join(rng.sample(blocks, 3))} {text_of(rng, 20)}"))
+        elif kind == "one word":
+            rows.append((i, " ".join(f"{text_of(rng, 12)} {'of ' * rng.choice([20, 52, 56, 60])}" for _ in range(2))))
+        else:  # stretches of one text that begin and end anywhere
+            words, low = " ".join(blocks).split(), rng.randrange(180)
+            rows.append((i, f"{text_of(rng, 20)} {' '.join(words[low : low + rng.randint(52, 80)])} {text_of(rng, 20)}"))
+    docs = docs_of(spark, rows).repartition(3)
+    whole = [r for r in passages.passages(docs, few=None).collect() if r.identity == 1.0 and r.end - r.start > passages.MIN_WORDS]
+    assert len({(r.id, r.other_id) for r in whole}) > 30
+    assert not_told(passages.passages(docs, **options).collect(), whole) == []
+
+
 def test_passages_edges(spark):
     rng = random.Random(24)
     long_text = text_of(rng, 60_000)
