@@ -254,6 +254,16 @@ def test_no_link_is_lost_however_frequent_the_seeds(spark, kind, options):
     assert not_told(passages.passages(docs, **options).collect(), whole) == []
 
 
+def test_no_link_is_lost_between_near_copies_of_a_passage(spark):
+    rng = random.Random(5)
+    words = text_of(rng, 100).split()
+    rows = [(i, " ".join([text_of(rng, 20), *(w if rng.random() > 0.05 else text_of(rng, 1) for w in words), text_of(rng, 20)])) for i in range(24)]
+    docs = docs_of(spark, rows).repartition(3)
+    whole = passages.passages(docs, few=None).collect()
+    assert len({(r.id, r.other_id) for r in whole}) == 24 * 23 // 2
+    assert not_told(passages.passages(docs).collect(), whole) == []
+
+
 def test_passages_edges(spark):
     rng = random.Random(24)
     long_text = text_of(rng, 60_000)
